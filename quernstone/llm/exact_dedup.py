@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import scalar, stored
+from .common import scalar, ship, stored
 
 #: What normalisation deletes: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
@@ -148,6 +148,7 @@ NULL_ID = -(1 << 63)
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 128, max_depth: int = 20, bits: int = HASH_BITS) -> DataFrame:
     """One row per row of docs: id, keep_id, group_size, kept, text_sha256, bucket (null for unique texts), chain."""
+    ship(docs.sparkSession)
     norm = normalised(F.col(text_col))
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), norm.alias("norm"), F.length(F.coalesce(text_col, F.lit(""))).alias("len"))
     rows = stored(own.select("id", text_hash(F.col("norm"), bits).alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha"), "len"), "dedup-rows")
