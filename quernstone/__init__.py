@@ -1 +1,26 @@
 """Quernstone: text-corpus analytics expressed as Spark DataFrame jobs."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import zipfile
+
+_shipped: set[str] = set()
+
+
+def ship(spark) -> None:
+    """Give this package's source to the executors, once for each application, so that functions in tasks find it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="quernstone-"), "quernstone.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(here)))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
