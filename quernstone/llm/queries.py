@@ -1,8 +1,8 @@
 """The registered queries of this subpackage, and their SQL."""
 
-from . import exact_dedup
+from . import chat, exact_dedup, ngram_join, packing, sharding
 
-MODULES = [exact_dedup]
+MODULES = [exact_dedup, ngram_join, chat, packing, sharding]
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in getattr(m, "SQL", {}).items()}
