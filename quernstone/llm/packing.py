@@ -3,8 +3,9 @@
 1. Each document becomes its ids plus an end id; one longer than a sequence is cut into full pieces, of which only the
    first may be shorter. Full pieces are sequences of their own.
 2. The short pieces are dealt to tasks of at most ``items_per_task`` pieces. A task places each piece, longest first,
-   in that open sequence (or a new one) which leaves the sum over residual gaps of the squared number of open
-   sequences smallest; of equal choices it takes the tightest.
+   in that open sequence which leaves the sum over residual gaps of the squared number of open sequences smallest; of
+   equal choices it takes the tightest, and it opens a new one only where none holds the piece. (Free to open new
+   ones for a smaller sum, as for pieces in random order, it needs 1 to 3 % more sequences.)
 3. Sequences that a task leaves open are packed again as wholes, across tasks, until one task holds them all or a
    round saves nothing. So few open sequences remain, however many tasks there were.
 
@@ -113,7 +114,7 @@ def sum_of_squares(sizes: list[int], capacity: int) -> tuple[list[int], list[int
             gain[0] -= 1
             gain[n[s:capacity] == 0] = 1 << 60
             best = int(gain.argmin())
-            if gain[best] <= 2 * n[capacity - s] + 1:
+            if gain[best] < 1 << 59:
                 gap = best + s
         if gap:
             b = at[gap].pop()

@@ -1,8 +1,8 @@
 """The registered queries of this subpackage, and their SQL."""
 
-from . import chat, exact_dedup, ngram_join, packing, sharding
+from . import ann, chat, exact_dedup, language_id, licences, ngram_join, packing, quality, sharding
 
-MODULES = [exact_dedup, ngram_join, chat, packing, sharding]
+MODULES = [exact_dedup, licences, quality, ngram_join, chat, packing, ann, language_id, sharding]
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in getattr(m, "SQL", {}).items()}
