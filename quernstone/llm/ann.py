@@ -2,8 +2,8 @@
 
 1. Centroids are fitted on a bounded sample; a cluster that holds more than its share is split in two until none does.
    Their number follows the number of vectors up to ``MAX_LISTS``.
-2. Every vector goes to the list of its nearest centroid; one near a boundary is replicated to other lists whose
-   centroid is at most ``1 + SPREAD`` times as far, unless a list it already has lies closer to that centroid.
+2. Every vector goes to the list of its nearest centroid; one near a boundary is replicated to up to ``REPLICAS`` lists
+   in all, whose centroids are at most ``1 + SPREAD`` times as far.
 3. A query walks the graph of centroids (each linked to its nearest ones) best first, and visits the lists whose
    distance is at most ``1 + RATIO`` times the nearest's, at least until they hold several times as many vectors as asked.
 4. Lists meet their queries in a join; a long list and many queries of one list are dealt to several tasks. Each task
@@ -32,8 +32,8 @@ LIST_SIZE, MAX_LISTS = 160, 4096
 SAMPLE = 40_000
 ROUNDS = 6
 SPREAD, REPLICAS = 0.12, 4
-RATIO, PROBES = 0.35, 48
-LINKS, BEAM = 24, 96
+RATIO, PROBES = 0.25, 64
+LINKS, BEAM = 24, 128
 CHUNK = 8192
 
 
@@ -149,7 +149,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
             if not len(pdf):
                 continue
             x = _lift(np.array(pdf["v"].to_list()), largest)
-            near = min(3 * REPLICAS, len(c))
+            near = min(REPLICAS, len(c))
             out_row, out_list = [], []
             for at in range(0, len(x), 1024):
                 part = x[at : at + 1024]
@@ -162,8 +162,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
                     for j in near_lists[1:]:
                         if d[r, j] > reach or len(kept) == REPLICAS:
                             break
-                        if all(((c[j] - c[i]) ** 2).sum() > d[r, j] for i in kept):
-                            kept.append(j)
+                        kept.append(j)
                     out_row += [at + r] * len(kept)
                     out_list += kept
             yield pd.DataFrame({"list": np.array(out_list, dtype=np.int32), "id": pdf["id"].to_numpy()[out_row], "v": pdf["v"].to_numpy()[out_row]})
