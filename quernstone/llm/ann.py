@@ -4,7 +4,7 @@
    Their number follows the number of vectors up to ``MAX_LISTS``.
 2. Every vector goes to the list of its nearest centroid; one near a boundary is replicated to up to ``REPLICAS`` lists
    in all, whose centroids are at most ``1 + SPREAD`` times as far.
-3. A query walks the graph of centroids (each linked to its nearest ones) best first, and visits the lists whose
+3. A query walks the graph of centroids (each linked to near ones in different directions) best first, and visits the lists whose
    distance is at most ``1 + RATIO`` times the nearest's, at least until they hold several times as many vectors as asked.
 4. Lists meet their queries in a join; a long list and many queries of one list are dealt to several tasks. Each task
    multiplies its block of queries by its vectors in double precision and keeps the best of each query.
@@ -74,18 +74,33 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return c[np.bincount(_nearest(x, c), minlength=len(c)) > 0].astype(np.float32)
 
 
-def link(c: np.ndarray, links: int = LINKS) -> np.ndarray:
-    """Neighbours of each centroid: the nearest, and a few spread over all, so that the graph is connected."""
-    n = len(c)
-    out = np.empty((n, min(links, n)), dtype=np.int32)
-    for at in range(0, n, 512):
-        d = (c * c).sum(1)[None, :] - 2 * (c[at : at + 512] @ c.T)
-        out[at : at + 512] = np.argsort(d, axis=1, kind="stable")[:, : out.shape[1]]
-    ring = (np.arange(n)[:, None] + np.array([1, max(1, n // 7), max(1, n // 3)])[None, :]) % n
-    return np.hstack([out, ring.astype(np.int32)])
-
-
-def walk(q: np.ndarray, c: np.ndarray, norms: np.ndarray, graph: np.ndarray, beam: int = BEAM) -> list[tuple[float, int]]:
+def link(c: np.ndarray, links: int = LINKS, near: int = 192, far: int = 64) -> list[np.ndarray]:
+    """Neighbours of each centroid: of its nearest and some random ones, those to which no kept one lies closer; and back.
+
+    So a tight cluster of centroids keeps links to the outside, and the outside to it.
+    """
+    n, rng = len(c), np.random.default_rng(24)
+    norms = (c * c).sum(1)
+    out: list[list[int]] = [[] for _ in range(n)]
+    for i in range(n):
+        d = norms - 2 * (c @ c[i]) + norms[i]
+        d[i] = np.inf
+        some = np.argpartition(d, min(near, n - 1) - 1)[: min(near, n - 1)] if n > 1 else np.zeros(0, dtype=np.int64)
+        some = np.setdiff1d(np.r_[some, rng.integers(0, n, far)], [i])
+        some = some[np.argsort(d[some], kind="stable")]
+        x, alive = c[some], np.ones(len(some), dtype=bool)
+        for _ in range(links):
+            if not alive.any():
+                break
+            j = int(alive.argmax())
+            out[i].append(int(some[j]))
+            out[int(some[j])].append(i)
+            alive &= ((x - x[j]) ** 2).sum(1) > d[some]
+            alive[j] = False
+    return [np.unique(np.array(o, dtype=np.int32)) for o in out]
+
+
+def walk(q: np.ndarray, c: np.ndarray, norms: np.ndarray, graph: list[np.ndarray], beam: int = BEAM) -> list[tuple[float, int]]:
     """(squared distance, centroid) of the nearest centroids found, nearest first."""
     offset = float(q @ q)
     far = lambda i: norms[i] - 2 * (c[i] @ q) + offset
@@ -101,7 +116,6 @@ def walk(q: np.ndarray, c: np.ndarray, norms: np.ndarray, graph: np.ndarray, bea
         if len(best) >= beam and d > -best[0][0]:
             break
         new = graph[i][~seen[graph[i]]]
-        new = np.unique(new)
         seen[new] = True
         for d, j in zip(far(new).tolist(), new.tolist()):
             if len(best) < beam:
