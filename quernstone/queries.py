@@ -1,4 +1,401 @@
-"""The registered queries over the library's own operators, and their SQL."""
+"""The registered queries over the library's own operators, and the SQL that gives the same rows.
+
+The driver's tables stand in for the corpora: documents are records (lang is the mode), labels a review ledger,
+benchmark a hard test set, pages web sources, conversations pairs of input and output, events votes and logs. Persian
+rules run on sentences built from orders by templates.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from quernstone import ship
+from quernstone.functions import audit as q, chars, guards as g, text as t
+from quernstone.operators import matching, selection, summary
+from quernstone.plans import corpus, edits
+from quernstone.streaming import deltas
 
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+LATIN = r"\p{IsLatin}"
+PLAIN = q.Profile(script=LATIN, suffixes=(), stop=("the", "and", "of", "to"))
+FNV = "list_reduce(list_prepend(2166136261::UBIGINT, list_transform(string_split(lang || '|' || doc_id || chr(0) || text, ''), lambda c: unicode(c)::UBIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The tables are single row groups: deal rows to all cores before heavy text functions."""
+    return rows.repartition(max(2, rows.sparkSession.sparkContext.defaultParallelism))
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat("lang", F.lit("|"), F.col("doc_id").cast("string")).alias("key"), F.col("lang").alias("mode"), "source", "text")
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn of a user followed by one of the assistant."""
+    c = table(spark, sf_dir, "conversations")
+    a = c.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("input"))
+    b = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("output"))
+    return spread(a.join(b, ["conv_id", "turn"]))
+
+
+PAIRS = "(SELECT a.conv_id, a.turn, a.text AS input, b.text AS output FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant')"
+RECORDS = "(SELECT doc_id, lang || '|' || doc_id AS key, lang AS mode, source, text FROM documents)"
+
+
+@query(f"SELECT doc_id, mode FROM (SELECT *, row_number() OVER (PARTITION BY mode, text ORDER BY doc_id) AS n FROM {RECORDS}) WHERE n = 1")
+def dedupe_first_wins(spark, sf_dir):
+    return selection.first_wins(records(spark, sf_dir), ["mode", "text"], ["doc_id"])[0].select("doc_id", "mode")
+
+
+@query(f"SELECT doc_id, mode, 'duplicate mode/input' AS reason FROM (SELECT *, row_number() OVER (PARTITION BY mode, text ORDER BY doc_id) AS n FROM {RECORDS}) WHERE n > 1")
+def dedupe_removed_log(spark, sf_dir):
+    return selection.first_wins(records(spark, sf_dir), ["mode", "text"], ["doc_id"])[1].select("doc_id", "mode", F.lit("duplicate mode/input").alias("reason"))
+
+
+POISON = r"""(SELECT doc_id, mode, CASE WHEN NOT regexp_matches(text, '\p{Latin}') THEN 'no Persian output'
+    WHEN regexp_matches(text, '[^\P{L}\p{Latin}]') THEN 'foreign-script letter "' || regexp_extract(text, '([^\P{L}\p{Latin}])', 1) || '"'
+    WHEN regexp_matches(text, '[0-9]') THEN 'ASCII digit in output' WHEN regexp_matches(text, '\[[^\]\n]{2,}\]|【[^】\n]{2,}】') THEN 'placeholder output'
+    WHEN length(text) > greatest(600, 6 * length(substring(text, 1, 200))) THEN 'extreme output length' ELSE '' END AS reason FROM """ + RECORDS + ")"
+
+
+def _poison(spark, sf_dir, fragments=False):
+    rows = spread(records(spark, sf_dir))
+    return rows.select("doc_id", "mode", g.poison_reason(F.col("text"), F.substring("text", 1, 200), native=LATIN, fragments=fragments).alias("reason"))
+
+
+@query(f"SELECT * FROM {POISON}")
+def poison_reasons(spark, sf_dir):
+    return _poison(spark, sf_dir)
+
+
+@query(f"SELECT CASE WHEN reason LIKE 'foreign-script letter%' THEN 'foreign-script letter' ELSE reason END AS reason, count(*) AS n FROM {POISON} GROUP BY 1")
+def poison_summary(spark, sf_dir):
+    return _poison(spark, sf_dir).select(summary.folded_reason(F.col("reason"), ["foreign-script letter"]).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query()
+def poison_with_repetition(spark, sf_dir):
+    return _poison(spark, sf_dir, True)
+
+
+SPLIT = f"(SELECT doc_id, mode, CASE WHEN row_number() OVER (PARTITION BY mode ORDER BY h, key) <= floor(count(*) OVER (PARTITION BY mode) * 0.1 + 0.5) THEN 'valid' ELSE 'train' END AS split FROM (SELECT r.doc_id, r.key, r.mode, {FNV} AS h FROM {RECORDS} r JOIN documents d ON r.doc_id = d.doc_id))".replace("|| text, ''", "|| d.text, ''").replace("|| doc_id ||", "|| d.doc_id ||")
+
+
+def _split(spark, sf_dir):
+    return selection.stratified_split(spread(records(spark, sf_dir)), "mode", F.col("key"), F.col("text"))
+
+
+@query(f"SELECT * FROM {SPLIT}")
+def stratified_split(spark, sf_dir):
+    return _split(spark, sf_dir).select("doc_id", "mode", "split")
+
+
+@query(f"SELECT mode, split, count(*) AS n FROM {SPLIT} GROUP BY mode, split")
+def split_counts(spark, sf_dir):
+    return _split(spark, sf_dir).groupBy("mode", "split").agg(F.count("*").alias("n"))
+
+
+LANGS = [("en", 1), ("fr", 2), ("de", 3), ("es", 4)]
+
+
+@query(f"SELECT r.doc_id, m.p AS mode_position, row_number() OVER (PARTITION BY r.mode ORDER BY {FNV}, r.key) AS round FROM {RECORDS} r JOIN documents d ON r.doc_id = d.doc_id JOIN (VALUES ('en', 1), ('fr', 2), ('de', 3), ('es', 4)) m(mode, p) ON m.mode = r.mode".replace("|| text, ''", "|| d.text, ''").replace("|| doc_id ||", "|| d.doc_id ||"))
+def interleave_round_robin(spark, sf_dir):
+    modes = spark.createDataFrame(LANGS, "mode string, position int")
+    return selection.interleave(spread(records(spark, sf_dir)), modes, "mode", F.col("key"), F.col("text")).select("doc_id", "mode_position", "round")
+
+
+@query("SELECT d.doc_id, copy FROM documents d JOIN labels l ON d.doc_id = l.doc_id, LATERAL (SELECT unnest(range(1, 1 + CASE WHEN lang = 'es' THEN 1 WHEN quality = 1 THEN 4 ELSE 3 END))::INTEGER AS copy)")
+def weighted_replication(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id")
+    mode = F.when(F.col("lang") == "es", "tashih").when(F.col("quality") == 1, "rasmi").otherwise("other")
+    return selection.replicate(rows, selection.corpus_weight(mode, ["rasmi"])).select("doc_id", "copy")
+
+
+@query("SELECT page_id, position, CASE WHEN position <= 60 THEN 'valid' ELSE 'train' END AS split FROM (SELECT page_id, row_number() OVER (ORDER BY page_id) AS position, count(*) OVER () // 50 AS step FROM pages) WHERE (position - 1) % step = 0 AND position <= step * 50")
+def systematic_sample(spark, sf_dir):
+    rows = selection.systematic_sample(table(spark, sf_dir, "pages").select("page_id"), "page_id", 50)
+    return selection.head_tail(rows, 60).select("page_id", "position", "split")
+
+
+@query("SELECT page_id, 'web' || lpad(row_number() OVER (ORDER BY page_id)::VARCHAR, 6, '0') AS id FROM pages")
+def sequential_ids(spark, sf_dir):
+    return selection.sequential_ids(table(spark, sf_dir, "pages").select("page_id"), "page_id", "web", 6).select("page_id", "id")
+
+
+@query(f"SELECT v.doc_id FROM (SELECT s.doc_id, s.mode, d.text FROM {SPLIT} s JOIN documents d ON s.doc_id = d.doc_id WHERE split = 'valid') v WHERE EXISTS (SELECT 1 FROM {SPLIT} s JOIN documents d ON s.doc_id = d.doc_id WHERE s.split = 'train' AND s.mode = v.mode AND d.text = v.text)")
+def leakage_exact(spark, sf_dir):
+    rows = _split(spark, sf_dir)
+    return matching.leaked(rows.filter("split = 'valid'"), rows.filter("split = 'train'"), ["mode", "text"]).select("doc_id")
+
+
+LEDGER = "(SELECT d.doc_id, lang || '|' || d.doc_id AS key, CASE WHEN d.doc_id % 7 = 0 THEN 'stale' ELSE sha256(lang || chr(0) || text || chr(0) || source || chr(0)) END AS digest, CASE WHEN toxic = 1 THEN ['meaning-review', 'register-review'] ELSE ['meaning-review'] END AS categories FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
+
+
+@query(f"SELECT d.doc_id, f.category, coalesce(f.category <> 'schema' AND l.digest = sha256(d.lang || chr(0) || d.text || chr(0) || d.source || chr(0)) AND list_contains(l.categories, f.category), false) AS approved FROM documents d CROSS JOIN (VALUES ('meaning-review'), ('register-review'), ('schema')) f(category) LEFT JOIN {LEDGER} l ON l.doc_id = d.doc_id")
+def approval_join(spark, sf_dir):
+    rows = records(spark, sf_dir).withColumn("digest", q.record_digest(F.col("mode"), F.col("text"), F.col("source"), F.lit("")))
+    flags = rows.select("doc_id", "key", "digest", F.explode(F.array(*map(F.lit, ("meaning-review", "register-review", "schema")))).alias("category"))
+    both = F.array(F.lit("meaning-review"), F.lit("register-review"))
+    ledger = rows.join(table(spark, sf_dir, "labels"), "doc_id").select("key", F.when(F.col("doc_id") % 7 == 0, "stale").otherwise(F.col("digest")).alias("digest"), F.when(F.col("toxic") == 1, both).otherwise(F.slice(both, 1, 1)).alias("categories"))
+    return matching.approved(flags, ledger, ["meaning-review", "register-review"]).select("doc_id", "category", "approved")
+
+
+@query(f"SELECT conv_id, turn, 'rasmi' AS mode, 'Rewrite.' || chr(10) || chr(10) || 'Keep facts.' AS system, 'user' || chr(10) || 'Rewrite.' || chr(10) || chr(10) || 'Keep facts.' || chr(10) || chr(10) || input || chr(10) || 'assistant' || chr(10) || output AS messages FROM {PAIRS}")
+def record_rebuild(spark, sf_dir):
+    modes = spark.createDataFrame([("rasmi", "formal", "Rewrite.")], "mode string, register string, instruction string")
+    rows = pairs(spark, sf_dir).select(F.concat_ws("|", "conv_id", "turn").alias("key"), F.lit("rasmi").alias("mode"), "input", "output")
+    built = corpus.rebuild(rows, modes, "Keep facts.")
+    key = F.split("key", r"\|")
+    lines = F.transform("messages", lambda m: F.concat(m["role"], F.lit("\n"), m["content"]))
+    return built.select(F.get(key, F.lit(0)).cast("long").alias("conv_id"), F.get(key, F.lit(1)).cast("long").alias("turn"), "mode", "system", F.array_join(lines, "\n").alias("messages"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def resume_anti_join(spark, sf_dir):
+    log = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "ok").otherwise("failed").alias("status"))
+    return matching.not_done(table(spark, sf_dir, "documents").select("doc_id"), log, "doc_id")
+
+
+@query("SELECT c_custkey, coalesce(e.event_type, c_mktsegment) AS segment, e.event_type IS NOT NULL AS updated FROM customer LEFT JOIN (SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id) e ON e.user_id = c_custkey")
+def update_latest(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("c_custkey"), "event_id", F.col("event_type").alias("segment"))
+    return matching.with_latest(rows, log, "c_custkey", "event_id", "segment")
+
+
+@query("SELECT doc_id, mode, mode || '|' || doc_id AS key FROM documents CROSS JOIN (VALUES ('rasmi'), ('edari'), ('adabi')) m(mode)")
+def cross_mode_source(spark, sf_dir):
+    modes = F.explode(F.array(*map(F.lit, ("rasmi", "edari", "adabi")))).alias("mode")
+    return table(spark, sf_dir, "documents").select("doc_id", modes).withColumn("key", F.concat_ws("|", "mode", "doc_id"))
+
+
+NUMBERS = r"regexp_extract_all(input, '[0-9]+(?:[.,][0-9]+)?')"
+
+
+@query(f"SELECT conv_id, turn, len({NUMBERS})::BIGINT AS n_numbers, len(list_filter({NUMBERS}, lambda n: NOT contains(output, n))) = 0 AS kept FROM {PAIRS}")
+def number_preservation(spark, sf_dir):
+    rows = pairs(spark, sf_dir)
+    return rows.select("conv_id", "turn", F.size(g.numbers(F.col("input"))).cast("long").alias("n_numbers"), g.numbers_kept(F.col("input"), F.col("output")).alias("kept"))
+
+
+def _tokens_sql(c: str) -> str:
+    return rf"list_distinct(list_filter(regexp_extract_all(lower({c}), '[\p{{Latin}}]{{2,}}'), lambda x: x NOT IN ('the', 'and', 'of', 'to')))"
+
+
+OVERLAP = f"(SELECT conv_id, turn, input, output, a, b, len(list_filter(a, lambda x: len(list_filter(b, lambda y: y = x OR (length(x) >= 4 AND length(y) >= 4 AND (contains(x, y) OR contains(y, x))))) > 0)) AS matched FROM (SELECT *, {_tokens_sql('input')} AS a, {_tokens_sql('output')} AS b FROM {PAIRS}))"
+RATIO = "CASE WHEN len(a) = 0 OR len(b) = 0 THEN 1.0::DOUBLE ELSE matched::DOUBLE / least(len(a), len(b)) END"
+
+
+@query(f"SELECT conv_id, turn, round({RATIO}, 6) AS overlap FROM {OVERLAP}")
+def token_overlap(spark, sf_dir):
+    return pairs(spark, sf_dir).select("conv_id", "turn", F.round(q.overlap(F.col("input"), F.col("output"), PLAIN), 6).alias("overlap"))
+
+
+@query(rf"""SELECT conv_id, turn, CASE WHEN NOT regexp_matches(output, '\p{{Latin}}') THEN 'empty-or-no-Persian-output' WHEN regexp_matches(output, '[^\P{{L}}\p{{Latin}}]') THEN 'foreign-script-letter'
+    WHEN regexp_matches(output, '[0-9]') THEN 'ASCII-digit' WHEN trim(output) = trim(input) THEN 'unchanged-register' WHEN len(list_filter({NUMBERS}, lambda n: NOT contains(output, n))) > 0 THEN 'lost-number'
+    WHEN {RATIO} < 0.14 THEN 'weak-meaning-anchor' WHEN length(output)::DOUBLE / greatest(1, length(input)) < 0.2 OR length(output)::DOUBLE / greatest(1, length(input)) > 4 THEN 'extreme-length-change' ELSE '' END AS reason FROM {OVERLAP}""")
+def strict_reject_pairs(spark, sf_dir):
+    rows = pairs(spark, sf_dir).withColumn("overlap", q.overlap(F.col("input"), F.col("output"), PLAIN))
+    reason = g.reject_reason(F.col("output"), F.col("input"), F.lit(False), F.col("overlap"), native=LATIN, fragments=False)
+    return rows.select("conv_id", "turn", reason.alias("reason"))
+
+
+MARKER = {"en": "(?i)the", "fr": "(?i)que", "de": "(?i)und", "es": "(?i)los"}
+MARKED = "CASE lang WHEN 'en' THEN regexp_matches(text, '(?i)the') WHEN 'fr' THEN regexp_matches(text, '(?i)que') WHEN 'de' THEN regexp_matches(text, '(?i)und') WHEN 'es' THEN regexp_matches(text, '(?i)los') END"
+
+
+def _marked(spark, sf_dir):
+    marks = spark.createDataFrame(list(MARKER.items()), "mode string, marker string")
+    return records(spark, sf_dir).join(F.broadcast(marks), "mode").withColumn("hit", q.marked(F.col("text"), F.col("marker"), F.lit(False)))
+
+
+@query(f"SELECT m.mode, count(d.lang) AS n, round(avg(hit::INT::DOUBLE), 3) AS coverage FROM (VALUES ('en'), ('fr'), ('de'), ('es'), ('xx')) m(mode) LEFT JOIN (SELECT lang, {MARKED} AS hit FROM documents) d ON d.lang = m.mode GROUP BY m.mode")
+def marker_coverage(spark, sf_dir):
+    every = spark.createDataFrame([(m,) for m in [*MARKER, "xx"]], "mode string")
+    return summary.coverage(_marked(spark, sf_dir), "mode", F.col("hit"), every)
+
+
+@query(f"""WITH d AS (SELECT doc_id, lang, {MARKED} AS hit FROM documents), c AS (SELECT lang, count(*) AS n, round(avg(hit::INT::DOUBLE), 3) AS voice FROM d GROUP BY lang),
+    h AS (SELECT count(*) FILTER (quality = 0) AS hard, count(*) FILTER (toxic = 1) AS mean FROM labels JOIN documents USING (doc_id))
+    SELECT (SELECT count(*) FROM d) AS records, hard AS hard_issues, mean AS meaning_issues, round(mean / (SELECT count(*) FROM d), 3) AS meaning_rate, hard = 0 AS no_hard_issues, round(mean / (SELECT count(*) FROM d), 3) <= 0.1 AS meaning_ok,
+    (SELECT bool_and(voice >= 0.75) AND count(*) = 2 FROM c WHERE lang IN ('en', 'fr')) AS voice_ok, (SELECT count(*) = 4 FROM c WHERE lang IN ('en', 'fr', 'de', 'es')) AS all_modes,
+    CASE WHEN hard = 0 AND round(mean / (SELECT count(*) FROM d), 3) <= 0.1 AND (SELECT bool_and(voice >= 0.75) AND count(*) = 2 FROM c WHERE lang IN ('en', 'fr')) AND (SELECT count(*) = 4 FROM c WHERE lang IN ('en', 'fr', 'de', 'es')) THEN 'PASS' ELSE 'FAIL' END AS status FROM h""")
+def acceptance_gate(spark, sf_dir):
+    docs = _marked(spark, sf_dir)
+    modes = spark.createDataFrame([(m,) for m in MARKER], "mode string")
+    labelled = records(spark, sf_dir).select("doc_id", "key", "mode").join(table(spark, sf_dir, "labels"), "doc_id")
+    issue = lambda rows, category, severity: rows.select("key", "mode", F.lit(category).alias("category"), F.lit(severity).alias("severity"))
+    issues = issue(labelled.filter("quality = 0"), "repetition", "hard").unionByName(issue(labelled.filter("toxic = 1"), "meaning-review", "metric")).unionByName(issue(docs.filter("NOT hit"), "register-review", "metric"))
+    return summary.gate(docs, issues, modes, ["en", "fr"])
+
+
+LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 12)"
+
+
+@query(f"SELECT doc_id, len(list_distinct({LINES})) < len({LINES}) AS repeated FROM documents")
+def repeated_lines(spark, sf_dir):
+    return records(spark, sf_dir).select("doc_id", q.repeated_line(F.col("text")).alias("repeated"))
+
+
+SENTENCES = r"list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!؟])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(10))), lambda x: length(x) > 0)"
+
+
+@query(f"SELECT n_sentences, count(*) AS n FROM (SELECT len({SENTENCES})::BIGINT AS n_sentences FROM documents) GROUP BY 1")
+def sentence_histogram(spark, sf_dir):
+    return records(spark, sf_dir).select(F.size(q.sentences(F.col("text"))).cast("long").alias("n_sentences")).groupBy("n_sentences").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT max(n) AS most, count(*) AS sentences, count(*) FILTER (n > 5) AS over_five FROM (SELECT s, count(*) AS n FROM (SELECT unnest({SENTENCES}) AS s FROM documents) GROUP BY s)")
+def max_sentence_repeat(spark, sf_dir):
+    rows = summary.sentence_frequency(records(spark, sf_dir), q.sentences(F.col("text")))
+    return rows.agg(F.max("n").alias("most"), F.count("*").alias("sentences"), F.count_if(F.col("n") > 5).alias("over_five"))
+
+
+@query(r"SELECT lang AS mode, count(*) FILTER (regexp_matches(text, '[0-9]')) AS digits, count(*) FILTER (regexp_matches(text, '!!')) AS shouted, count(*) FILTER (regexp_matches(text, '\|')) AS tabular, count(*) FILTER (length(text) < 100) AS short FROM documents GROUP BY lang")
+def trap_counts(spark, sf_dir):
+    text = F.col("text")
+    traps = {"digits": text.rlike("[0-9]"), "shouted": text.rlike("!!"), "tabular": text.rlike(r"\|"), "short": F.length(text) < 100}
+    return records(spark, sf_dir).groupBy("mode").agg(*(F.count_if(c).alias(n) for n, c in traps.items()))
+
+
+@query(r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<![^>]*>', '', 'g'), '<[^>]+>', ' ', 'g'), '&[a-zA-Z]+;', ' ', 'g'), '&#[0-9]+;', ' ', 'g'), '\s+', ' ', 'g'), '^ | $', '', 'g') AS text FROM pages""")
+def html_strip(spark, sf_dir):
+    return spread(table(spark, sf_dir, "pages")).select("page_id", g.strip_html(F.col("html")).alias("text"))
+
+
+@query()
+def sentencify_chunks(spark, sf_dir):
+    pieces = g.chunks(g.strip_html(F.col("html")), native="[A-Za-z]")
+    return spread(table(spark, sf_dir, "pages")).select("page_id", F.posexplode(pieces).alias("chunk", "text"))
+
+
+@query("SELECT lang AS mode, sha256(string_agg(sha256(lang || chr(0) || text || chr(0) || source || chr(0)), '' ORDER BY doc_id)) AS digest, count(*) AS n FROM documents GROUP BY lang")
+def corpus_digest(spark, sf_dir):
+    rows = records(spark, sf_dir).select("doc_id", "mode", q.record_digest(F.col("mode"), F.col("text"), F.col("source"), F.lit("")).alias("d"))
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "d"))), lambda x: x["d"]), "")
+    return rows.groupBy("mode").agg(F.sha2(ordered, 256).alias("digest"), F.count("*").alias("n"))
+
+
+VERDICT = "CASE event_type WHEN 'purchase' THEN 'PASS' WHEN 'click' THEN 'FAIL' ELSE 'UNCERTAIN' END"
+VOTES = f"(SELECT user_id AS key, event_id AS vote, CASE WHEN value < 20 THEN 'skipped' ELSE 'judged' END AS status, {VERDICT} AS verdict, value AS score FROM events)"
+FOLDED = f"""(SELECT key, CASE WHEN j = 0 THEN 'SKIP' WHEN len(v) = 1 THEN v[1] ELSE 'UNCERTAIN' END AS verdict, floor(mean + 0.5)::BIGINT AS score, CASE WHEN j = 2 THEN len(v) = 1 END AS agreement FROM (
+    SELECT key, count(*) FILTER (status = 'judged') AS j, coalesce(list(DISTINCT verdict) FILTER (status = 'judged'), []) AS v, avg(score) FILTER (status = 'judged') AS mean FROM {VOTES} GROUP BY key))"""
+
+
+def _folded(spark, sf_dir):
+    kind = F.col("event_type")
+    votes = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("key"), F.col("event_id").alias("vote"), F.when(F.col("value") < 20, "skipped").otherwise("judged").alias("status"),
+        F.when(kind == "purchase", "PASS").when(kind == "click", "FAIL").otherwise("UNCERTAIN").alias("verdict"), F.col("value").alias("score"), kind.alias("reason"), F.lit("unavailable").alias("error"),
+    )
+    return summary.fold_votes(votes, 2)
+
+
+@query(f"SELECT * FROM {FOLDED}")
+def vote_fold(spark, sf_dir):
+    return _folded(spark, sf_dir).select("key", "verdict", "score", "agreement")
+
+
+@query(f"""SELECT completed, passed, failed, uncertain, skipped, completed - skipped AS judged, round(passed / nullif(completed - skipped, 0), 4) AS pass_rate, CASE WHEN completed = skipped THEN 'UNAVAILABLE' WHEN skipped = 0 THEN 'COMPLETE' ELSE 'PARTIAL' END AS status FROM (
+    SELECT count(*) AS completed, count(*) FILTER (verdict = 'PASS') AS passed, count(*) FILTER (verdict = 'FAIL') AS failed, count(*) FILTER (verdict = 'UNCERTAIN') AS uncertain, count(*) FILTER (verdict = 'SKIP') AS skipped FROM {FOLDED})""")
+def judge_report(spark, sf_dir):
+    return summary.judge_report(_folded(spark, sf_dir)).drop("requested")
+
+
+@query(f"SELECT key, verdict, score FROM {FOLDED} WHERE verdict <> 'SKIP' ORDER BY CASE verdict WHEN 'FAIL' THEN 0 WHEN 'UNCERTAIN' THEN 1 ELSE 2 END, coalesce(score, 50), key LIMIT 5")
+def worst_five(spark, sf_dir):
+    return summary.worst(_folded(spark, sf_dir)).select("key", "verdict", "score")
+
+
+@query("""WITH e AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS position, value < 5 AS s FROM events), r AS (SELECT *, s AND lag(s, 1, false) OVER (ORDER BY position) AND lag(s, 2, false) OVER (ORDER BY position) AS three FROM e)
+    SELECT event_id, position, coalesce(position > (SELECT min(position) FROM r WHERE three), false) AS circuit_open FROM r""")
+def circuit_breaker(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "value")
+    return matching.circuit_breaker(rows, "event_id", F.col("value") < 5).select("event_id", "position", "circuit_open")
+
+
+@query("SELECT event_id, user_id FROM (SELECT *, coalesce(sum(CASE WHEN value < 20 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM events) WHERE f < 3")
+def failure_budget(spark, sf_dir):
+    return matching.failure_budget(table(spark, sf_dir, "events"), "user_id", "event_id", F.col("value") < 20, 3).select("event_id", "user_id")
+
+
+@query("SELECT user_id, arg_min(event_type, event_id) FILTER (value >= 50) AS event_type, min(event_id) FILTER (value >= 50) AS event_id FROM events GROUP BY user_id")
+def first_success(spark, sf_dir):
+    return matching.first_success(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type", F.col("value") >= 50)
+
+
+@query("SELECT event_id, CASE WHEN length(t) = 0 THEN 'بدون عنوان' WHEN length(t) > 32 THEN substring(t, 1, 32) || '…' ELSE t END AS title FROM (SELECT event_id, trim(regexp_replace(event_type || '  ' || props, '\\s+', ' ', 'g')) AS t FROM events ORDER BY event_id DESC LIMIT 40)")
+def history_top40(spark, sf_dir):
+    rows = matching.newest(table(spark, sf_dir, "events"), "event_id")
+    return rows.select("event_id", t.title(F.concat("event_type", F.lit("  "), "props")).alias("title"))
+
+
+@query("SELECT doc_id FROM documents WHERE contains(text, 'idiot') OR contains(source, 'idiot')")
+def history_search(spark, sf_dir):
+    return matching.search(table(spark, sf_dir, "documents"), ["text", "source"], "idiot").select("doc_id")
+
+
+def persian(spark, sf_dir):
+    """Sentences by template from each order: Arabic-layout letters, mixed digits, unjoined prefixes, Latin marks."""
+    n = F.col("o_orderkey").cast("string")
+    arabic = F.translate(n, chars.ASCII_DIGITS, chars.ARABIC_DIGITS)
+    text = F.concat(F.lit("من كتاب "), n, F.lit(" را می خواهم,  و شماره "), arabic, F.lit(" يك است...  این قلم ها خوب است ؟ نمي رود"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
+
+
+PERSIAN = f"(SELECT o_orderkey, 'من كتاب ' || o_orderkey || ' را می خواهم,  و شماره ' || translate(o_orderkey::VARCHAR, '0123456789', '{chars.ARABIC_DIGITS}') || ' يك است...  این قلم ها خوب است ؟ نمي رود' AS text FROM orders)"
+FOLD = f"translate(text, 'أإيكة{chars.ARABIC_DIGITS}', 'اایکه{chars.PERSIAN_DIGITS}')"
+
+
+@query(f"SELECT o_orderkey, {FOLD} AS folded, translate({FOLD}, '{chars.PERSIAN_DIGITS}', '0123456789') AS ascii FROM {PERSIAN}")
+def char_fold(spark, sf_dir):
+    folded = t.fold_chars(F.col("text"))
+    return persian(spark, sf_dir).select("o_orderkey", folded.alias("folded"), t.ascii_digits(folded).alias("ascii"))
+
+
+@query(f"SELECT o_orderkey, 'من کتاب ' || o_orderkey || ' را می' || chr(8204) || 'خواهم، و شماره ' || translate(o_orderkey::VARCHAR, '0123456789', '{chars.PERSIAN_DIGITS}') || ' یک است… این قلم' || chr(8204) || 'ها خوب است؟ نمی' || chr(8204) || 'رود' AS text FROM orders")
+def punctuation_and_spacing(spark, sf_dir):
+    text = t.fix_spacing(t.fix_punctuation(t.join_half_spaces(t.fold_chars(F.col("text")))))
+    return persian(spark, sf_dir).select("o_orderkey", text.alias("text"))
+
+
+@query(f"SELECT o_orderkey, 'من کتاب ' || o_orderkey || ' را می' || chr(8204) || 'خواهم، و شماره ' || translate(o_orderkey::VARCHAR, '0123456789', '{chars.PERSIAN_DIGITS}') || ' یک است… این قلم' || chr(8204) || 'ها خوب است؟ نمی' || chr(8204) || 'رود.' AS output, 3::BIGINT AS n_notes FROM orders")
+def offline_edit(spark, sf_dir):
+    rows = edits.edit_table(spread(persian(spark, sf_dir)).withColumn("mode", F.lit("tashih")), modes=["tashih"])
+    return rows.select("o_orderkey", F.col("edited.output").alias("output"), F.size("edited.notes").cast("long").alias("n_notes"))
+
+
+WORDS = r"string_split_regex({}, '\s+')"
+
+
+@query(f"SELECT conv_id, turn, len(list_filter(list_zip(a, b), lambda z: z[1] IS DISTINCT FROM z[2]))::BIGINT AS changed FROM (SELECT conv_id, turn, {WORDS.format('input')} AS a, {WORDS.format('output')} AS b FROM {PAIRS})")
+def word_diff(spark, sf_dir):
+    return pairs(spark, sf_dir).select("conv_id", "turn", t.word_changes(F.col("input"), F.col("output")).cast("long").alias("changed"))
+
+
+@query("SELECT conv_id AS session, string_agg(trim(text), ' ' ORDER BY turn) AS text FROM conversations WHERE conv_id = (SELECT max(conv_id) FROM conversations) GROUP BY conv_id")
+def dictation_merge(spark, sf_dir):
+    events = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("result_index"), F.lit(True).alias("is_final"), F.col("text").alias("transcript"))
+    return deltas.merged_dictation(events)
+
+
+@query("SELECT conv_id::VARCHAR AS request_id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS text FROM conversations c WHERE turn <= coalesce((SELECT min(turn) FROM conversations d WHERE d.conv_id = c.conv_id AND role = 'assistant'), 1000000) GROUP BY conv_id")
+def delta_collect(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("request_id"), F.col("turn").alias("seq"), "text", (F.col("role") == "assistant").alias("done"), F.lit(None).cast("string").alias("error"))
+    return deltas.collected(rows).select("request_id", "text")
