@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import ship, table
 
@@ -120,8 +120,8 @@ def identify(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([*own.columns, pa.array(names, pa.string()), pa.array(best)], [*own.schema.names, "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col), *keep, F.col(text_col).alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_text").schema)
-    return rows.mapInArrow(score, f"{kinds}, lang_pred string, score double")
+    kind = T.StructType([*rows.drop("_text").schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(score, kind)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -207,7 +207,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, class_id (least id of the class), n_links (documents at or over the threshold), class_size."""
+    """One row per document: id, class_id (least id of the class), n_links (documents at or over the threshold), class_size,
+    text_hash (xxhash64 of the text) and kept (of each class the row of least id, then hash)."""
     ship(docs.sparkSession)
     small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
@@ -232,15 +233,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     counts = checked.groupBy("v").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.min("whole").alias("whole"))
     rest = components(checked.filter("NOT whole AND root <> v").select(F.col("root").alias("a"), F.col("v").alias("b")))
     classes = counts.join(rest, "v", "left").select("v", "links", F.when(F.col("whole"), F.col("root")).otherwise(F.coalesce("c", "v")).alias("c"))
-    classes = stored(texts.join(classes, "v", "left").select("v", "id", "copies", F.coalesce("c", "v").alias("c"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
-    sizes = classes.groupBy("c").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
-    found = sketches.select("id", "v").join(classes.join(sizes, "c").select("v", "class_id", "n_links", "class_size"), "v", "left")
+    classes = stored(texts.join(classes, "v", "left").select("v", "id", "t", "copies", F.coalesce("c", "v").alias("c"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
+    sizes = classes.groupBy("c").agg(F.min(F.struct("id", "t")).alias("first"), F.sum("copies").alias("class_size"))
+    found = sketches.select("id", "t", "v").join(classes.join(sizes, "c").select("v", "first", "n_links", "class_size"), "v", "left")
     real = lambda c: F.nullif(c, F.lit(NULL_ID))
-    return found.select(real(F.col("id")).alias(id_col), real(F.coalesce("class_id", "id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+    return found.select(real(F.col("id")).alias(id_col), real(F.coalesce("first.id", "id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.col("t").alias("text_hash"), F.coalesce(F.col("first") == F.struct("id", "t"), F.lit(True)).alias("kept"))
 
 
 def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "class_size")
 
 
 QUERIES = {"op5_ngram_jaccard_join": op5_ngram_jaccard_join}
