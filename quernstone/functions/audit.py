@@ -9,14 +9,14 @@ import unicodedata
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from .chars import ARABIC_EXTENDED, SPACE, replace, trim
 from .guards import ECHO, NUMBER, foreign_letter, repeated_fragment
 from .text import ascii_digits
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility composition; Spark has no function for it."""
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")

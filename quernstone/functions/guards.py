@@ -6,7 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from .chars import ARABIC_EXTENDED, PERSIAN, SPACE, ascii_bounded, letters_outside, replace, trim
 from .text import ascii_digits, has_persian
@@ -104,7 +104,7 @@ def tripled(text: str, least: int) -> bool:
 def repeated_fragment(text: Column, least: int) -> Column:
     """tripled() over a column: a backreference does the same in time quadratic in a text's length."""
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(T.BooleanType())
     def found(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: tripled(t, least), na_action="ignore")
 
