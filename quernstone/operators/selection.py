@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quernstone.functions.audit import stable_hash
+from quernstone.tables import stored
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[Column | str]) -> tuple[DataFrame, DataFrame]:
@@ -66,6 +67,7 @@ def systematic_sample(rows: DataFrame, order: str, size: int) -> DataFrame:
 def with_positions(rows: DataFrame, order: str) -> DataFrame:
     """Adds position, gapless from 1 in the order of a column: range partitions, their counts, then ranks within each."""
     spread = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    spread = stored(spread, "positions")  # ranges are sampled, so a second run could draw them elsewhere
     counts = spread.groupBy("_p").agg(F.count("*").alias("_c"))
     # One row for each partition, however many rows there are.
     before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quernstone.tables import stored
+
 
 def count_by(rows: DataFrame, by: str, every: DataFrame | None = None) -> DataFrame:
     """n by value; with ``every`` (a small table of the column) zero for values that don't occur, and no others."""
@@ -100,7 +102,7 @@ def order_digest(rows: DataFrame, position: str, line: Column) -> DataFrame:
     level = rows.select(F.col(position).cast("long").alias("p"), F.sha2(F.concat(F.col(position).cast("string"), F.lit("\n"), line), 256).alias("d"))
     while True:
         level = level.groupBy(F.floor((F.col("p") - 1) / 1024).alias("b")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), ""), 256).alias("d"))
-        level = level.select((F.col("b") + 1).alias("p"), "d").checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else level.select((F.col("b") + 1).alias("p"), "d")
+        level = stored(level.select((F.col("b") + 1).alias("p"), "d"), "digests")
         n = level.count()
         if n <= 1:
             return level.select(F.col("d").alias("digest"))

@@ -131,3 +131,30 @@ def test_nulls_pass_through(spark):
     rows = spark.createDataFrame([(None,)], "x string")
     got = rows.select(t.fold_chars(F.col("x")), t.fix_spacing(F.col("x")), g.strip_html(F.col("x"))).first()
     assert list(got) == [None, None, None]
+
+
+def test_small_variants(spark):
+    assert one(spark, t.polish_quick(F.col("x")), x="می روم ، خانه ها") == f"می{Z}روم، خانه{Z}ها."
+    assert [tuple(w) for w in one(spark, t.new_words(F.col("a"), F.col("b")), a="سلام، دوست", b="سلام رفیق")] == [("سلام", False), ("رفیق", True)]
+    assert one(spark, t.word_changes(F.col("a"), F.col("b"), 2), a="a b c", b="x y z w") == 2
+    assert one(spark, t.wrap(F.col("x"), "با سلام", "سپاس"), x="متن") == "با سلام؛ متن. سپاس."
+    assert one(spark, t.persian_digits(F.col("x")), x="v1.2") == "v۱.۲"
+    assert one(spark, g.inject(F.col("x"), F.lit("!"), 0.5), x="a b c d") == "a b ! c d"
+    assert one(spark, g.clean_seed(F.col("x")), x="«سلام\n دوست»") == "سلام دوست"
+    assert one(spark, g.token_budget(F.col("x")), x="abc") == 256
+
+
+def test_guards_in_order(spark):
+    reasons = one(spark, g.broken_reasons(F.col("a"), F.col("b"), F.lit(False)), a="hello 7", b="سلام ۵")
+    assert reasons == ["no-persian", "numbers"]
+    assert one(spark, g.poison_reason(F.col("a"), F.col("b")), a="سلام [نام کارفرما]", b="x") == "placeholder output"
+    assert one(spark, g.poison_reason(F.col("a"), F.col("b")), a="سلام دوستان خوبم" * 3, b="x") == "repeated long fragment"
+    assert one(spark, g.admission(F.col("m"), F.col("c"), F.col("u"), F.lit(None).cast("string"), []), m="POST", c="application/json", u=" ") == "empty"
+    assert one(spark, g.candidate_reason(F.col("a"), F.col("b"), F.lit(True)), a="سلام", b="سلام ۵") == "lost-number"
+
+
+def test_overlap_profiles(spark):
+    both = {"a": "کتابخانه بزرگ شهر", "b": "کتاب بزرگ"}
+    assert one(spark, q.overlap(F.col("a"), F.col("b"), q.PROFILES["gate"]), **both) == 1.0
+    assert one(spark, q.overlap(F.col("a"), F.col("b"), q.PROFILES["v3"]), **both) == pytest.approx(1 / 3)
+    assert one(spark, q.audit_tokens(F.col("x")), x="ﻛﺘﺎﺑﻬﺎ و ۱۲") == ["کتاب"]
