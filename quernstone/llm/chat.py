@@ -65,10 +65,10 @@ def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     done, hops = branches_of(nodes)
     leaves = done.join(nodes.select("tree", F.col("parent").alias("node")).filter("node IS NOT NULL"), ["tree", "node"], "left_anti")
     ranked = leaves.withColumn("score", F.col("total") / F.col("depth")).withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "node")))
-    marks = ranked.filter(F.col("rank") <= branches).select("tree", F.col("node").alias("leaf"), "rank", "score", F.lit(0).cast("long").alias("step"), "node")
+    marks = stored(ranked.filter(F.col("rank") <= branches).select("tree", F.col("node").alias("leaf"), "rank", "score", F.lit(0).cast("long").alias("step"), "node"), "chat-marks")
     for k in reversed(range(len(hops))):
         up = marks.join(hops[k], ["tree", "node"]).select("tree", "leaf", "rank", "score", (F.col("step") + (1 << k)).alias("step"), F.col("up").alias("node"))
-        marks = marks.unionByName(up)
+        marks = stored(marks.unionByName(up), "chat-marks")  # else each round would plan the one before twice
     return marks
 
 
