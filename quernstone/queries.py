@@ -399,3 +399,69 @@ def dictation_merge(spark, sf_dir):
 def delta_collect(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("request_id"), F.col("turn").alias("seq"), "text", (F.col("role") == "assistant").alias("done"), F.lit(None).cast("string").alias("error"))
     return deltas.collected(rows).select("request_id", "text")
+
+
+@query("SELECT page_id FROM (SELECT page_id, row_number() OVER (PARTITION BY regexp_extract(url, '://([^/]+)', 1) ORDER BY page_id) AS n FROM pages) WHERE n <= 8")
+def limit_per_feed(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").withColumn("host", F.regexp_extract("url", "://([^/]+)", 1))
+    return selection.limit_per_group(pages, "host", ["page_id"], 8).select("page_id")
+
+
+@query("SELECT doc_id, 'codexv3' || lpad(n::VARCHAR, 3, '0') || '|' || lang AS expected_key FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents)")
+def expected_keys(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return selection.expected_keys(rows, "lang", "doc_id", "codexv3").select("doc_id", "expected_key")
+
+
+@query("SELECT lang || '|' || d.doc_id || CASE WHEN i = 1 THEN '' ELSE '-v' || (i - 1) END AS key FROM documents d JOIN labels l ON d.doc_id = l.doc_id, LATERAL (SELECT unnest(range(1, 3 + quality)) AS i)")
+def boost_copies(spark, sf_dir):
+    rows = records(spark, sf_dir).select("doc_id", "key").join(table(spark, sf_dir, "labels"), "doc_id")
+    return selection.boost(rows, "key", F.col("quality") + 2).select("key")
+
+
+@query(f"SELECT p_partkey, t::INTEGER AS template, replace(replace(x, '{{a}}', translate(p_size::VARCHAR, '0123456789', '{chars.PERSIAN_DIGITS}')), '{{b}}', translate(p_partkey::VARCHAR, '0123456789', '{chars.PERSIAN_DIGITS}')) AS input FROM part CROSS JOIN (VALUES (0, 'از {{a}} تا {{b}}'), (1, 'کد {{b}} با اندازه {{a}}')) v(t, x)")
+def number_lessons(spark, sf_dir):
+    from quernstone.plans import lessons
+
+    templates = [("از {a} تا {b}", "از {a} تا {b}."), ("کد {b} با اندازه {a}", "کد {b}، اندازه {a}.")]
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    return lessons.number_lessons(rows, "p_size", "p_partkey", templates).select("p_partkey", "template", "input")
+
+
+@query("SELECT user_id AS key, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS categories FROM events GROUP BY user_id")
+def categories_by_key(spark, sf_dir):
+    flags = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("category"))
+    return summary.categories_by_key(flags).select("key", F.array_join("categories", ",").alias("categories"))
+
+
+@query("SELECT mode, coalesce(n, 0) AS n, expected::BIGINT AS expected FROM (VALUES ('en', 100), ('fr', 100), ('de', 100), ('xx', 0), ('yy', 5)) e(mode, expected) LEFT JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY lang) d ON d.lang = e.mode WHERE coalesce(n, 0) <> expected")
+def expected_counts(spark, sf_dir):
+    expected = spark.createDataFrame([("en", 100), ("fr", 100), ("de", 100), ("xx", 0), ("yy", 5)], "mode string, expected long")
+    return summary.expectation_flags(summary.count_by(records(spark, sf_dir), "mode"), expected)
+
+
+@query("SELECT source, count(*) AS total, count(*) FILTER (quality = 1) AS accepted FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY source")
+def source_acceptance(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id")
+    return rows.groupBy("source").agg(F.count("*").alias("total"), F.count_if(F.col("quality") == 1).alias("accepted"))
+
+
+@query("SELECT least(99, floor(sum(l_discount) / sum(greatest(l_tax, l_discount)) * 100))::BIGINT AS percent FROM lineitem")
+def load_progress(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_discount").alias("loaded"), F.col("l_tax").alias("total"))
+    return summary.progress(rows).select(F.col("percent").cast("long").alias("percent"))
+
+
+@query("SELECT event_id, CASE WHEN event_type <> 'click' THEN 'method' WHEN user_id % 10 = 3 THEN 'origin' WHEN NOT contains(coalesce(props, ''), '{') THEN 'content-type' WHEN length(trim(coalesce(event_type, ''))) = 0 THEN 'empty' ELSE '' END AS reason FROM events")
+def request_admission(spark, sf_dir):
+    method = F.when(F.col("event_type") == "click", "POST").otherwise("GET")
+    kind = F.when(F.contains(F.coalesce("props", F.lit("")), F.lit("{")), "application/json").otherwise("text/plain")
+    origin = F.when(F.col("user_id") % 10 == 3, "https://elsewhere.example")
+    return table(spark, sf_dir, "events").select("event_id", g.admission(method, kind, F.col("event_type"), origin, ["https://here.example"]).alias("reason"))
+
+
+@query(f"SELECT conv_id, turn, list_distinct({_tokens_sql('output')}) = [] AS empty, len(list_filter({WORDS.format('output')}, lambda w: NOT list_contains(list_transform({WORDS.format('input')}, lambda x: regexp_replace(x, '[.,!؟،؛]', '', 'g')), regexp_replace(w, '[.,!؟،؛]', '', 'g'))))::BIGINT AS n_new FROM {PAIRS}")
+def new_word_marks(spark, sf_dir):
+    rows = pairs(spark, sf_dir)
+    marked = t.new_words(F.col("input"), F.col("output"))
+    return rows.select("conv_id", "turn", (F.size(q.tokens(F.col("output"), PLAIN)) == 0).alias("empty"), F.size(F.filter(marked, lambda w: w["is_new"])).cast("long").alias("n_new"))
