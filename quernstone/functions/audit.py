@@ -71,7 +71,7 @@ def stem(token: Column, suffixes: tuple[str, ...] = ("ترین", "هایی", "ه
 
 def audit_tokens(text: Column, stop: tuple[str, ...] = STOP) -> Column:
     words = F.filter(F.split(audit_normal(text), rf"{SPACE}+"), lambda t: (F.length(t) >= 3) & ~t.isin(*stop))
-    return F.array_distinct(F.filter(F.transform(words, stem), lambda t: F.length(t) >= 3))
+    return F.array_distinct(F.filter(F.transform(words, lambda t: stem(t)), lambda t: F.length(t) >= 3))
 
 
 def overlap_of(a: Column, b: Column, contained_from: int, over_smaller: bool) -> Column:

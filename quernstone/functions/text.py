@@ -183,10 +183,10 @@ def edit(text: Column, register: str, connectors: list[str] = (), opener: str |
     entries = lx.with_joined_prefixes(lx.REGISTERS.get(register, []) if lexicon is None else lexicon)
     formal = register in ("formal", "academic", "admin")
 
-    def stages(t: Column) -> Column:
-        # Each stage is bound once by a one-element transform, so that it isn't computed again for every use.
-        bind = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
+    # Each stage is bound once by a one-element transform, so that it isn't computed again for every use.
+    bind = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
 
+    def stages(t: Column) -> Column:
         def after_all(folded, joined, marked, stripped, said, woven):
             ended_in = fix_spacing(join_half_spaces(wrap(woven, opener, closer), compat))
             return bind(
@@ -221,8 +221,7 @@ def edit(text: Column, register: str, connectors: list[str] = (), opener: str |
 
     folded = fold_chars(text)
     none = F.struct(trim(folded).alias("output"), F.lit(0).alias("changed"), F.array(F.lit(NOTES["none"])).alias("notes"))
-    done = stages(folded)
-    clean = F.struct(done["output"].alias("output"), done["changed"].alias("changed"), F.when(F.size(done["notes"]) == 0, F.array(F.lit(NOTES["clean"]))).otherwise(done["notes"]).alias("notes"))
+    clean = bind(stages(folded), lambda d: F.struct(d["output"].alias("output"), d["changed"].alias("changed"), F.when(F.size(d["notes"]) == 0, F.array(F.lit(NOTES["clean"]))).otherwise(d["notes"]).alias("notes")))
     return F.when(has_persian(folded), clean).otherwise(none)
 
 

@@ -1,5 +1,7 @@
 """Operators over small tables, and every query against its SQL."""
 
+import time
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -155,8 +157,6 @@ def test_ordered_jsonl(spark, tmp_path):
 
 
 def test_service_retries(spark):
-    import time
-
     def send(row):
         if row["id"] == 2:
             raise RuntimeError("down")
@@ -187,8 +187,10 @@ def test_delta_stream(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1, "x", False, None), ("a", 2, "y", True, None), ("b", 1, "z", False, None)], "request_id string, seq bigint, text string, done boolean, error string")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = deltas.collect_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
-    query = stream.writeStream.format("memory").queryName("delta_out").outputMode("update").trigger(processingTime="1 second").start()
-    query.processAllAvailable()
+    query = stream.writeStream.format("memory").queryName("delta_out").outputMode("update").start()
+    until = time.time() + 90  # a stream with timeouts keeps running, so wait for its rows
+    while spark.table("delta_out").count() < 2 and time.time() < until and query.isActive:
+        time.sleep(0.5)
     query.stop()
     got = {r["request_id"]: (r["text"], r["state"]) for r in spark.table("delta_out").collect()}
     assert got == {"a": ("xy", "done"), "b": ("z", "open")}
