@@ -124,13 +124,14 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     words = word_table(own.select("text"), tokenizer)
     known, least = frequent(words, head)
     shared = spark.sparkContext.broadcast(known)
-    own = own.withColumn("t", F.xxhash64("text"))
+    # Both branches below scan alike, so a row has one number in both; unlike an id it is unique.
+    own = own.withColumn("row", F.monotonically_increasing_id())
 
     def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         split, find = tokens(tokenizer).words, shared.value.get
         for pdf in batches:
             out = []
-            for i, t, text in zip(pdf["id"], pdf["t"], pdf["text"]):
+            for row, i, text in zip(pdf["row"], pdf["id"], pdf["text"]):
                 words = split(text)
                 ids = list(map(find, words))
                 holes, rest, at = [], [], 0
@@ -142,20 +143,20 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                             ids[k] = b""
                         else:
                             at += len(x) // 2
-                out.append((i, t, zlib.compress(b"".join(ids), 1), np.array(holes, dtype="<u4").tobytes(), rest))
-            yield pd.DataFrame(out, columns=["id", "t", "ids", "holes", "rest"])
+                out.append((row, i, zlib.compress(b"".join(ids), 6), zlib.compress(np.array(holes, dtype="<u4").tobytes(), 6), rest))
+            yield pd.DataFrame(out, columns=["row", "id", "ids", "holes", "rest"])
 
-    looked = own.mapInPandas(look_up, "id long, t long, ids binary, holes binary, rest array<string>")
-    missing = looked.filter(F.size("rest") > 0).select("id", "t", F.posexplode("rest").alias("hole", "word"))
+    looked = own.mapInPandas(look_up, "row long, id long, ids binary, holes binary, rest array<string>")
+    missing = looked.filter(F.size("rest") > 0).select("row", F.posexplode("rest").alias("hole", "word"))
     found = missing.join(words.filter(F.col("n") < least).select("word", F.col("ids").alias("more")), "word")
-    found = found.groupBy("id", "t").agg(F.collect_set(F.struct("hole", "more")).alias("more"))  # a set: equal rows of one id fill the same holes
-    both = looked.select("id", "t", "ids", "holes").join(found, ["id", "t"], "left").select("id", "ids", "holes", F.sort_array("more").alias("more"))
+    found = found.groupBy("row").agg(F.collect_list(F.struct("hole", "more")).alias("more"))
+    both = looked.select("row", "id", "ids", "holes").join(found, "row", "left").select("id", "ids", "holes", F.sort_array("more").alias("more"))
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for ids, holes, more in zip(pdf["ids"], pdf["holes"], pdf["more"]):
-                at = np.frombuffer(holes, dtype="<u4")
+                at = np.frombuffer(zlib.decompress(holes), dtype="<u4")
                 if not len(at):
                     out.append(ids)
                     continue
