@@ -50,12 +50,11 @@ def branches_of(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     )
     hops, before = [], None
     while (now := state.filter("up IS NOT NULL").count()) and now != before:
-        hops.append(state.filter("up IS NOT NULL").select("tree", "node", "up"))
+        below = state.filter("up IS NOT NULL")
+        hops.append(below.select("tree", "node", "up"))
         above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("total").alias("rest"))
-        state = stored(
-            state.join(above, ["tree", "up"], "left").select("tree", "node", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("rest", F.lit(0.0))).alias("total")),
-            "chat-up",
-        )
+        moved = below.join(above, ["tree", "up"]).select("tree", "node", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("total") + F.col("rest")).alias("total"))
+        state = stored(state.filter("up IS NULL").unionByName(moved), "chat-up")  # messages that met their root move no more
         before = now
     return state.filter("up IS NULL").drop("up"), hops
 
