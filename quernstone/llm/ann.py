@@ -5,7 +5,9 @@
 2. Every vector goes to the list of its nearest centroid; one near a boundary is replicated to up to ``REPLICAS`` lists
    in all, whose centroids are at most ``1 + SPREAD`` times as far.
 3. A query walks the graph of centroids (each linked to near ones in different directions) best first, and visits the lists whose
-   distance is at most ``1 + RATIO`` times the nearest's, at least until they hold several times as many vectors as asked.
+   distance is at most ``1 + ratio`` times the nearest's, at least until they hold several times as many vectors as asked.
+   ``TRIED`` queries are first compared with every vector; ratio, number of lists and beam grow from ``RATIO``, ``PROBES``
+   and ``BEAM`` until the lists visited hold ``TARGET`` of these queries' true neighbours, whatever the number of vectors.
 4. Lists meet their queries in a join; a long list and many queries of one list are dealt to several tasks. Each task
    multiplies its block of queries by its vectors in double precision and keeps the best of each query.
 
@@ -34,6 +36,8 @@ ROUNDS = 6
 SPREAD, REPLICAS = 0.12, 4
 RATIO, PROBES = 0.25, 64
 LINKS, BEAM = 24, 128
+#: Recall that the visits are widened to, and queries that it is measured on, at most.
+TARGET, TRIED = 0.97, 256
 CHUNK = 8192
 
 
@@ -128,6 +132,105 @@ def walk(q: np.ndarray, c: np.ndarray, norms: np.ndarray, graph: list[np.ndarray
     return sorted((max(-d, 0.0), i) for d, i in best)
 
 
+def scan(q: np.ndarray, c: np.ndarray, norms: np.ndarray) -> list[tuple[float, int]]:
+    """What a walk over the whole graph finds: every centroid, nearest first."""
+    d = np.maximum(norms - 2 * (c @ q) + q @ q, 0)
+    order = np.argsort(d, kind="stable")
+    return list(zip(d[order].tolist(), order.tolist()))
+
+
+def find(q: np.ndarray, c: np.ndarray, norms: np.ndarray, graph: list[np.ndarray], beam: int) -> list[tuple[float, int]]:
+    return scan(q, c, norms) if 2 * beam >= len(c) else walk(q, c, norms, graph, beam)
+
+
+def visited(found: list[tuple[float, int]], held: np.ndarray, k: int, ratio: float, probes: int) -> list[int]:
+    """The lists to visit: those near enough, and in any case until they hold several times as many vectors as asked."""
+    reach, got, out = max(found[0][0], 1e-30) * (1 + ratio) ** 2, 0, []
+    for n, (d, i) in enumerate(found):
+        if got >= 8 * k and (d > reach or n >= probes):
+            break
+        got += int(held[i])
+        out.append(i)
+    return out
+
+
+def assign(x: np.ndarray, c: np.ndarray, norms: np.ndarray) -> tuple[list[int], list[int]]:
+    """Rows and lists: each row's nearest centroid and those about as near."""
+    near = min(REPLICAS, len(c))
+    out_row, out_list = [], []
+    for at in range(0, len(x), 1024):
+        part = x[at : at + 1024]
+        d = np.maximum(norms[None, :] - 2 * (part @ c.T) + (part * part).sum(1)[:, None], 0)
+        some = np.argpartition(d, near - 1, axis=1)[:, :near]
+        some = np.take_along_axis(some, np.argsort(np.take_along_axis(d, some, 1), axis=1), 1)
+        for r, near_lists in enumerate(some):
+            kept = [near_lists[0]]
+            reach = d[r, near_lists[0]] * (1 + SPREAD) ** 2
+            for j in near_lists[1:]:
+                if d[r, j] > reach or len(kept) == REPLICAS:
+                    break
+                kept.append(j)
+            out_row += [at + r] * len(kept)
+            out_list += kept
+    return out_row, out_list
+
+
+def nearest(ids: np.ndarray, x: np.ndarray, names: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query its number, the best rows of the k best other ids, best first, and their scores."""
+    by_id = np.argsort(ids, kind="stable")
+    ids, x = ids[by_id], x[by_id]
+    start = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    for at in range(0, len(q), 512):
+        s = q[at : at + 512] @ x.T
+        for r in range(len(s)):
+            s[r, np.searchsorted(ids, names[at + r]) : np.searchsorted(ids, names[at + r], "right")] = -np.inf
+        top = s if len(start) == len(ids) else np.maximum.reduceat(s, start, axis=1)
+        for r in range(len(s)):
+            least = np.partition(top[r], len(start) - k)[len(start) - k] if len(start) > k else -np.inf
+            some = np.flatnonzero((s[r] >= least - 1e-9 * (1 + abs(least))) & (s[r] > -np.inf))
+            exact = (x[some] * q[at + r]).sum(axis=1)  # the same sum for equal vectors, wherever they stand
+            order = np.lexsort((ids[some], -exact))
+            order = order[np.sort(np.unique(ids[some][order], return_index=True)[1])[:k]]
+            yield at + r, by_id[some[order]], exact[order]
+
+
+def widen(truth: list[tuple[np.ndarray, list[set[int]]]], c: np.ndarray, norms: np.ndarray, graph: list[np.ndarray], held: np.ndarray, k: int, ratio: float, probes: int, target: float) -> tuple[float, int, int]:
+    """Ratio, probes and beam with which queries visit ``target`` of their true neighbours, from the lists of each neighbour."""
+    beam = max(BEAM, 2 * probes)
+    truth = [(q, near) for q, near in truth if near]
+    if not truth:
+        return ratio, probes, beam
+    weight, forced, far, place = [], [], [], []
+    for q, near in truth:
+        d, order = (np.array(a) for a in zip(*scan(q, c, norms)))
+        at = np.empty(len(c), dtype=np.int64)
+        at[order] = np.arange(len(c))
+        before = np.cumsum(held[order]) - held[order]
+        first = np.array([min(at[i] for i in lists) for lists in near])
+        weight.append(np.full(len(near), 1 / len(near) / len(truth)))
+        forced.append(before[first] < 8 * k)
+        far.append(np.sqrt(d[first] / max(d[0], 1e-30)) - 1)
+        place.append(first + 1)
+    weight, forced, far, place = (np.concatenate(a) for a in (weight, forced, far, place))
+
+    def least(need: np.ndarray, start: float, goal: float) -> float:
+        order = np.argsort(need, kind="stable")
+        total = np.cumsum(weight[order])
+        at = int(np.searchsorted(total, goal - 1e-9))
+        return max(start, need[order][min(at, len(order) - 1)])
+
+    # Half of what may be missed is left to each of the two bounds.
+    ratio = float(least(np.where(forced, 0, far * (1 + 1e-6)), ratio, (1 + target) / 2))
+    probes = int(least(np.where(forced, 0, np.where(far <= ratio, place, len(c))), probes, target))
+    beam = max(BEAM, 2 * probes)
+    while 2 * beam < len(c):
+        seen = [(set(visited(walk(q, c, norms, graph, beam), held, k, ratio, probes)), near) for q, near in truth]
+        if np.mean([np.mean([bool(own & lists) for lists in near]) for own, near in seen]) >= target - 0.002:
+            break
+        beam *= 2
+    return ratio, probes, beam
+
+
 def sound(v: Column, size: int) -> Column:
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return F.coalesce(v.isNotNull() & (F.size(v) == size) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
@@ -138,8 +241,11 @@ def _lift(x: np.ndarray, largest: float) -> np.ndarray:
     return np.c_[x, np.sqrt(rest)].astype(np.float32)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", list_size: int = LIST_SIZE, ratio: float = RATIO, probes: int = PROBES) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each query among all other vectors."""
+def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", list_size: int = LIST_SIZE, ratio: float = RATIO, probes: int = PROBES, target: float = TARGET) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each query among all other vectors.
+
+    ``ratio`` and ``probes`` are where widening starts, so that ``target`` of the true neighbours are found.
+    """
     spark = vectors.sparkSession
     ship(spark)
     size = vectors.agg(F.max(F.size(F.col(vec_col)))).first()[0] or 0
@@ -155,7 +261,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
         c = fit_centroids(_lift(x, largest), int(min(MAX_LISTS, max(1, n // list_size))))
     else:
         c = np.zeros((1, size + 1), dtype=np.float32)
-    shared = spark.sparkContext.broadcast((c, (c * c).sum(1), link(c)))  # at most 2 * MAX_LISTS centroids
+    norms, graph = (c * c).sum(1), link(c)
+    shared = spark.sparkContext.broadcast((c, norms, graph))  # at most 2 * MAX_LISTS centroids
+    h = F.xxhash64("id", F.lit(20))
+    tried = [(r["id"], r["v"]) for r in rows.filter("asks").orderBy(h, "id").limit(TRIED).select("id", "v").collect()]
+    tried_names, tried_vectors = np.array([i for i, _ in tried], dtype=np.int64), np.array([v for _, v in tried])
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c, norms, _ = shared.value
@@ -163,22 +273,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
             if not len(pdf):
                 continue
             x = _lift(np.array(pdf["v"].to_list()), largest)
-            near = min(REPLICAS, len(c))
-            out_row, out_list = [], []
-            for at in range(0, len(x), 1024):
-                part = x[at : at + 1024]
-                d = np.maximum(norms[None, :] - 2 * (part @ c.T) + (part * part).sum(1)[:, None], 0)
-                some = np.argpartition(d, near - 1, axis=1)[:, :near]
-                some = np.take_along_axis(some, np.argsort(np.take_along_axis(d, some, 1), axis=1), 1)
-                for r, near_lists in enumerate(some):
-                    kept = [near_lists[0]]
-                    reach = d[r, near_lists[0]] * (1 + SPREAD) ** 2
-                    for j in near_lists[1:]:
-                        if d[r, j] > reach or len(kept) == REPLICAS:
-                            break
-                        kept.append(j)
-                    out_row += [at + r] * len(kept)
-                    out_list += kept
+            out_row, out_list = assign(x, c, norms)
             yield pd.DataFrame({"list": np.array(out_list, dtype=np.int32), "id": pdf["id"].to_numpy()[out_row], "v": pdf["v"].to_numpy()[out_row]})
 
     posts = stored(rows.select("id", "v").mapInPandas(post, "list int, id long, v array<double>"), "ann-lists")
@@ -186,20 +281,43 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     for r in posts.groupBy("list").count().collect():  # one row for each centroid
         held[r["list"]] = r["count"]
 
+    def ideal(v: list[float]) -> np.ndarray:
+        q = np.r_[v, 0.0].astype(np.float32)
+        return q * np.float32(largest / max(np.linalg.norm(q), 1e-30))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, x = np.zeros(0, dtype=np.int64), np.zeros((0, size))
+        for pdf in batches:
+            if len(pdf):
+                ids, x = np.r_[ids, pdf["id"].to_numpy()], np.r_[x, np.array(pdf["v"].to_list())]
+                some = np.unique(np.concatenate([rows for _, rows, _ in nearest(ids, x, tried_names, tried_vectors, k)]))
+                ids, x = ids[some], x[some]  # TRIED * k at most
+        for r, some, exact in nearest(ids, x, tried_names, tried_vectors, k) if len(ids) else ():
+            yield pd.DataFrame({"query": np.int32(r), "id": ids[some], "score": exact, "v": list(x[some])})
+
+    truth = []
+    if tried:
+        every = rows.select("id", "v").mapInPandas(compare, "query int, id long, score double, v array<double>")
+        every = every.groupBy("query", "id").agg(F.max("score").alias("score"), F.max_by("v", "score").alias("v"))
+        best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+        near = [[] for _ in tried]
+        for r in every.withColumn("n", best).filter(F.col("n") <= k).select("query", "v").collect():  # TRIED * k at most
+            near[r["query"]].append(r["v"])
+        for v, own in zip(tried_vectors, near):
+            lists = [set() for _ in own]
+            for r, i in zip(*assign(_lift(np.array(own), largest), c, norms)) if own else ():
+                lists[r].add(int(i))
+            truth.append((ideal(v), lists))
+    ratio, probes, beam = widen(truth, c, norms, graph, held, k, ratio, probes, target)
+
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c, norms, graph = shared.value
         for pdf in batches:
             out_row, out_list = [], []
             for r, v in enumerate(pdf["v"]):
-                q = np.r_[v, 0.0].astype(np.float32)
-                found = walk(q * np.float32(largest / max(np.linalg.norm(q), 1e-30)), c, norms, graph)
-                reach, got = found[0][0] * (1 + ratio) ** 2, 0
-                for visits, (d, i) in enumerate(found):
-                    if got >= 8 * k and (d > reach or visits >= probes):
-                        break
-                    got += int(held[i])
-                    out_row.append(r)
-                    out_list.append(i)
+                lists = visited(find(ideal(v), c, norms, graph, beam), held, k, ratio, probes)
+                out_row += [r] * len(lists)
+                out_list += lists
             yield pd.DataFrame({"list": np.array(out_list, dtype=np.int32), "id": pdf["id"].to_numpy()[out_row], "v": pdf["v"].to_numpy()[out_row]})
 
     asked = stored(rows.filter("asks").select("id", "v").repartition(max(2, spark.sparkContext.defaultParallelism), "id").mapInPandas(ask, "list int, id long, v array<double>"), "ann-asked")

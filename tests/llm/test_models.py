@@ -138,6 +138,19 @@ def test_neighbours(spark):
     assert np.mean(hits) >= 0.9 and min(hits) > 0.3
 
 
+def test_visits_follow_the_lists(spark):
+    """Far more lists than are visited at first; the target is reached all the same."""
+    x = np.random.default_rng(5).normal(size=(3000, 24))
+    df = spark.createDataFrame([(int(i), [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, list_size=10, probes=4).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert set(got) == set(range(0, 3000, 20))
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    assert np.mean([len(own & set(np.argsort(-s[i])[:20].tolist())) / 20 for i, own in got.items()]) >= 0.95
+
+
 def test_few_neighbours(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r["vec_id"], r["score"]) for r in ann.search(df, F.col("vec_id") % 20 == 0).orderBy("rank").collect()] == [(1, 1.0), (2, 0.0)]
