@@ -1,10 +1,12 @@
 """Language identification: string-kernel classification.
 
 The kernel of two texts is the blended-spectrum presence kernel: the number of n-grams (1 to 4 bytes of the lower-cased
-text, folded into ``2 ** BITS`` features) that both hold, divided by the geometric mean of their own numbers. Nystroem
-landmarks, some for each language, map a text to its kernels with them, whitened by the landmarks' own kernel matrix;
-one-versus-rest kernel ridge regression is fitted on these. Whitening and weights fold into one matrix, so a batch of
-texts is scored by two matrix products: presence by landmarks, kernels by weights.
+text, folded into ``2 ** BITS`` features) that both hold, divided by the geometric mean of their own numbers. A long text
+would fill the features, so it is taken in equal pieces of at most ``PIECE`` bytes, and its kernel is the mean of theirs;
+every piece counts. Nystroem landmarks, pieces of some texts of each language, map a text to its kernels with them,
+whitened by the landmarks' own kernel matrix; one-versus-rest kernel ridge regression is fitted on these. Whitening and
+weights fold into one matrix, so a batch of pieces is scored by two matrix products: presence by landmarks, kernels by
+weights.
 
 The model is fitted on a bounded sample, the ``sample`` training rows of least hash; scoring covers every whole text.
 
@@ -16,15 +18,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .common import ship, table
+from .common import ship, stored, table
 
-ORDERS, BITS = (1, 2, 3, 4), 13
+ORDERS, BITS = (1, 2, 3, 4), 15
 #: Rows that the model is fitted on, and landmarks for each language, at most.
 SAMPLE, LANDMARKS = 3000, 48
 RIDGE = 1e-3
@@ -32,76 +35,102 @@ RIDGE = 1e-3
 SHARPNESS = 6.0
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
-#: n-grams are taken from so many bytes at a time; pieces overlap, so none is lost.
-PIECE = 1 << 20
+#: Bytes of a piece, at most; pieces overlap, so no n-gram is lost.
+PIECE = 1 << 12
+#: Pieces of a matrix product.
+BLOCK = 256
 
 
-def presence(text: str) -> np.ndarray:
-    """Which features the text holds, as a boolean vector."""
-    raw = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), dtype=np.uint8)
+def pieces(text: str) -> list[bytes]:
+    """The text's bytes in pieces of equal length that overlap by an n-gram less one byte."""
+    raw = text.lower().encode("utf-8", "surrogatepass")
+    n = max(1, -(-len(raw) // PIECE))
+    return [raw[len(raw) * i // n : len(raw) * (i + 1) // n + (max(ORDERS) - 1 if i + 1 < n else 0)] for i in range(n)]
+
+
+def presence(text: str | bytes) -> np.ndarray:
+    """Which features the text or piece holds, as a boolean vector."""
+    raw = text.lower().encode("utf-8", "surrogatepass") if isinstance(text, str) else text
+    b = np.frombuffer(raw, dtype=np.uint8).astype(np.uint32)
     out = np.zeros(1 << BITS, dtype=bool)
-    for at in range(0, len(raw), PIECE):
-        b = raw[at : at + PIECE + max(ORDERS) - 1].astype(np.uint32)
-        gram = np.zeros(len(b), dtype=np.uint32)
-        for n in range(1, max(ORDERS) + 1):
-            if len(b) < n:
-                break
-            gram = (gram[: len(b) - n + 1] << np.uint32(8)) | b[n - 1 :]
-            if n in ORDERS:
-                out[((gram + np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(2654435769)) >> np.uint32(32 - BITS)] = True
+    gram = np.zeros(len(b), dtype=np.uint32)
+    for n in range(1, max(ORDERS) + 1):
+        if len(b) < n:
+            break
+        gram = (gram[: len(b) - n + 1] << np.uint32(8)) | b[n - 1 :]
+        if n in ORDERS:
+            out[((gram + np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(2654435769)) >> np.uint32(32 - BITS)] = True
     return out
 
 
 def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    a, b = a.astype(np.float32), b.astype(np.float32)
+    a, b = a.astype(np.float32, copy=False), b.astype(np.float32, copy=False)
     return (a @ b.T) / np.sqrt(np.maximum(a.sum(1), 1)[:, None] * np.maximum(b.sum(1), 1)[None, :])
 
 
-def fit(x: np.ndarray, lang: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> dict | None:
-    """Landmarks, weights and languages, from presence vectors and their languages."""
+def kernels(texts: list[str], marks: np.ndarray) -> np.ndarray:
+    """Each text's kernels with the landmarks: the mean over all of its pieces."""
+    out = np.zeros((len(texts), len(marks)))
+    each = ((i, piece, len(all_)) for i, t in enumerate(texts) for all_ in [pieces(t)] for piece in all_)
+    while part := list(islice(each, BLOCK)):
+        i, raw, n = zip(*part)
+        np.add.at(out, list(i), kernel(np.stack([presence(p) for p in raw]), marks) / np.array(n)[:, None])
+    return out
+
+
+def fit(marks: np.ndarray, k: np.ndarray, lang: list[str], ridge: float = RIDGE) -> dict:
+    """Landmarks, weights and languages, from the landmarks, the kernels of texts with them and the texts' languages."""
     langs = sorted(set(lang))
-    if not langs:
-        return None
     y = np.array([[1.0 if a == b else -1.0 for b in langs] for a in lang])
-    marks = x[np.concatenate([[i for i, a in enumerate(lang) if a == b][:landmarks] for b in langs]).astype(int)]
     own = kernel(marks, marks).astype(np.float64)
     values, vectors = np.linalg.eigh(own)
     white = vectors / np.sqrt(np.maximum(values, 1e-6))
-    z = np.c_[kernel(x, marks) @ white, np.ones(len(x))]
-    w = np.linalg.solve(z.T @ z + ridge * len(x) * np.eye(z.shape[1]), z.T @ y)
+    z = np.c_[k @ white, np.ones(len(k))]
+    w = np.linalg.solve(z.T @ z + ridge * len(k) * np.eye(z.shape[1]), z.T @ y)
     return {"marks": np.packbits(marks, axis=1), "weights": white @ w[:-1], "bias": w[-1], "langs": langs}
 
 
-def scores(model: dict, x: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    z = SHARPNESS * (kernel(x, marks) @ model["weights"] + model["bias"])
+def scores(model: dict, texts: list[str], marks: np.ndarray) -> np.ndarray:
+    z = SHARPNESS * (kernels(texts, marks) @ model["weights"] + model["bias"])
     z = np.exp(z - z.max(axis=1, keepdims=True))
     return z / z.sum(axis=1, keepdims=True)
 
 
-def sample_of(docs: DataFrame, sample: int, id_col: str, text_col: str, lang_col: str) -> tuple[np.ndarray, list[str]]:
-    """Presence vectors and languages of at most ``sample`` rows: those of least hash (a few KB for each)."""
+def model_of(docs: DataFrame, sample: int, landmarks: int, id_col: str, text_col: str, lang_col: str) -> dict | None:
+    """The model of at most ``sample`` rows, those of least hash (a few KB of each go to the driver)."""
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     h = F.xxhash64(F.col(id_col), F.lit(9))
     bound = known.select(h.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if bound is None:
-        return np.zeros((0, 1 << BITS), dtype=bool), []
+        return None
+    rows = known.filter(h <= bound).select(h.alias("h"), F.xxhash64(text_col).alias("t"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = stored(rows.orderBy("h", "t", "lang").limit(2 * sample), "language-sample")  # more than the sample only where ids repeat
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            some = [(p := pieces(text))[i % len(p)] for i, text in zip(pdf["h"], pdf["text"])]
+            yield pd.DataFrame({"h": pdf["h"], "t": pdf["t"], "lang": pdf["lang"], "x": [np.packbits(presence(p)).tobytes() for p in some]})
+
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
+    first = rows.select("h", "t", "lang", "text").withColumn("n", place).filter(F.col("n") <= landmarks).drop("n")
+    got = first.mapInPandas(own, "h long, t long, lang string, x binary").orderBy("lang", "h", "t").collect()
+    marks = np.unpackbits(np.array([np.frombuffer(r["x"], dtype=np.uint8) for r in got]), axis=1).astype(bool)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"h": pdf["h"], "lang": pdf["lang"], "x": [np.packbits(presence(t)).tobytes() for t in pdf["text"]]})
+            yield pd.DataFrame({"h": pdf["h"], "t": pdf["t"], "lang": pdf["lang"], "k": [k.tobytes() for k in kernels(list(pdf["text"]), marks.astype(np.float32))]})
 
-    rows = known.filter(h <= bound).select(h.alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInPandas(read, "h long, lang string, x binary")
-    got = rows.orderBy("h", "x").limit(2 * sample).collect()  # more than the sample only where ids repeat
-    x = np.array([np.frombuffer(r["x"], dtype=np.uint8) for r in got]).reshape(len(got), -1)
-    return np.unpackbits(x, axis=1).astype(bool), [r["lang"] for r in got]
+    spread = rows.repartition(max(2, docs.sparkSession.sparkContext.defaultParallelism), "h")
+    got = spread.mapInPandas(meet, "h long, t long, lang string, k binary").orderBy("h", "t", "lang").collect()
+    return fit(marks, np.array([np.frombuffer(r["k"]) for r in got]), [r["lang"] for r in got])
 
 
 def identify(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, landmarks: int = LANDMARKS, keep: list[str] = ()) -> DataFrame:
     """id, lang_pred, score of every row (and the columns ``keep``); learns from the rows that ``train`` admits."""
     spark = docs.sparkSession
     ship(spark)
-    model = fit(*sample_of(docs if train is None else docs.filter(train), sample, id_col, text_col, lang_col), landmarks)
-    shared = spark.sparkContext.broadcast(model)  # landmarks of 1 KB each and their weights
+    model = model_of(docs if train is None else docs.filter(train), sample, landmarks, id_col, text_col, lang_col)
+    shared = spark.sparkContext.broadcast(model)  # landmarks of 4 KB each and their weights
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -112,7 +141,7 @@ def identify(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id
             rows = [i for i, t in enumerate(text) if model and t and LETTER.search(t)]
             for at in range(0, len(rows), 256):
                 part = rows[at : at + 256]
-                p = scores(model, np.stack([presence(text[i]) for i in part]), marks)
+                p = scores(model, [text[i] for i in part], marks)
                 best[part] = p.max(axis=1)
                 for i, k in zip(part, p.argmax(axis=1)):
                     names[i] = model["langs"][k]

@@ -28,6 +28,28 @@ def test_language_odd_rows(spark, odd_docs):
     assert language_id.identify(odd_docs.limit(0)).count() == 0
 
 
+def test_language_of_long_texts(spark):
+    """Held-out texts of over 100,000 characters, of words rich enough to hold nearly every folded n-gram."""
+    letters = {"de": "abcdefghijklmnopqrstuvwxyzäöüß", "en": "abcdefghijklmnopqrstuvwxyz", "fr": "abcdefghijklmnopqrstuvwxyzéèçàê", "tr": "abcdefghijklmnopqrstuvwxyzığşçö"}
+    rng = np.random.default_rng(13)
+    words = {}
+    for lang, own in letters.items():  # letters follow each other by each language's own habit
+        habit = rng.dirichlet(np.full(len(own), 0.3), size=len(own)) * 0.9 + 0.1 / len(own)
+        words[lang] = []
+        for _ in range(20_000):
+            at = [int(rng.integers(len(own)))]
+            for _ in range(int(rng.integers(2, 9))):
+                at.append(int(np.searchsorted(np.cumsum(habit[at[-1]]), rng.random() * 0.999)))
+            words[lang].append("".join(own[min(i, len(own) - 1)] for i in at))
+    some = lambda lang, n: " ".join(rng.choice(words[lang], n))
+    rows = [(i, some(lang, 40), lang) for i, lang in enumerate(["en"] * 120 + ["de"] * 30 + ["fr"] * 30 + ["tr"] * 30)]
+    rows += [(1000 + i, some(lang, 150_000), lang) for i, lang in enumerate(letters)]
+    assert all(len(t) > 100_000 for i, t, _ in rows if i >= 1000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.identify(docs, F.col("doc_id") < 1000, keep=["lang"]).filter("doc_id >= 1000").collect()
+    assert [(r["lang_pred"], r["score"] > 0.9) for r in got] == [(r["lang"], True) for r in got]
+
+
 def test_presence_kernel_like_sets():
     a, b = "the cat sat", "the dog sat"
     grams = lambda t: {t[i : i + n] for n in language_id.ORDERS for i in range(len(t) - n + 1)}
