@@ -88,8 +88,14 @@ def seeded_order(key: Column, seed: int = 7) -> Column:
     return F.xxhash64(key, F.lit(seed))
 
 
+def padded(n: Column, width: int) -> Column:
+    """The number with zeros before it up to ``width`` digits; a longer one stays whole."""
+    digits = n.cast("string")
+    return F.when(F.length(digits) >= width, digits).otherwise(F.lpad(digits, width, "0"))
+
+
 def sequential_ids(rows: DataFrame, order: str, prefix: str, width: int = 4) -> DataFrame:
-    return with_positions(rows, order).withColumn("id", F.concat(F.lit(prefix), F.lpad(F.col("position").cast("string"), width, "0")))
+    return with_positions(rows, order).withColumn("id", F.concat(F.lit(prefix), padded(F.col("position"), width)))
 
 
 def window_of(rows: DataFrame, order: str, start: int, limit: int) -> DataFrame:
@@ -100,4 +106,4 @@ def window_of(rows: DataFrame, order: str, start: int, limit: int) -> DataFrame:
 def expected_keys(rows: DataFrame, by: str, order: str, prefix: str, width: int = 3) -> DataFrame:
     """Adds expected_key: prefix, number within the mode, and the mode."""
     n = F.row_number().over(Window.partitionBy(by).orderBy(order))
-    return rows.withColumn("expected_key", F.concat(F.lit(prefix), F.lpad(n.cast("string"), width, "0"), F.lit("|"), F.col(by)))
+    return rows.withColumn("expected_key", F.concat(F.lit(prefix), padded(n, width), F.lit("|"), F.col(by)))

@@ -194,3 +194,11 @@ def test_delta_stream(spark, tmp_path):
     query.stop()
     got = {r["request_id"]: (r["text"], r["state"]) for r in spark.table("delta_out").collect()}
     assert got == {"a": ("xy", "done"), "b": ("z", "open")}
+
+
+def test_long_numbers_stay_whole(spark):
+    rows = spark.range(1, 1241).select("id", F.lit("en").alias("lang"))
+    keys = {r["id"]: r["expected_key"] for r in selection.expected_keys(rows, "lang", "id", "codexv3").collect()}
+    assert len(set(keys.values())) == 1240 and keys[7] == "codexv3007|en" and keys[1234] == "codexv31234|en"
+    ids = {r["n"]: r["id"] for r in selection.sequential_ids(rows.select(F.col("id").alias("n")), "n", "web", 2).collect()}
+    assert len(set(ids.values())) == 1240 and ids[7] == "web07" and ids[1234] == "web1234"
