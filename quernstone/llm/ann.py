@@ -13,7 +13,7 @@
 
 Largest inner product becomes least distance by one more component, sqrt(max norm^2 - norm^2), that is 0 in queries.
 
-Defined results: vectors that are null, zero, of another length than the longest, or hold null or non-finite
+Defined results: vectors that are null, zero, of another length than the most frequent (of several the longest), or hold null or non-finite
 components take no part, neither as query nor as candidate; equal scores go to the smaller id; rows of one id are one
 candidate (the best score counts); an empty table gives an empty result; with few vectors all are in one list.
 """
@@ -231,7 +231,7 @@ def widen(truth: list[tuple[np.ndarray, list[set[int]]]], c: np.ndarray, norms:
     return ratio, probes, beam
 
 
-def sound(v: Column, size: int) -> Column:
+def sound(v: Column, size: int | Column) -> Column:
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return F.coalesce(v.isNotNull() & (F.size(v) == size) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
@@ -248,7 +248,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     """
     spark = vectors.sparkSession
     ship(spark)
-    size = vectors.agg(F.max(F.size(F.col(vec_col)))).first()[0] or 0
+    length = F.size(F.col(vec_col))
+    lengths = vectors.filter(F.col(id_col).isNotNull() & sound(F.col(vec_col).cast("array<double>"), length)).groupBy(length.alias("size")).count()
+    usual = lengths.orderBy(F.desc("count"), F.desc("size")).first()
+    size = usual["size"] if usual else 0
     rows = vectors.filter(F.col(id_col).isNotNull() & sound(F.col(vec_col).cast("array<double>"), size)).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), is_query.alias("asks"))
     rows = stored(rows, "ann-vectors")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
@@ -278,8 +281,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
 
     posts = stored(rows.select("id", "v").mapInPandas(post, "list int, id long, v array<double>"), "ann-lists")
     held = np.zeros(len(c), dtype=np.int64)
-    for r in posts.groupBy("list").count().collect():  # one row for each centroid
-        held[r["list"]] = r["count"]
+    for r in posts.groupBy("list").agg(F.countDistinct("id").alias("ids")).collect():  # one row for each centroid
+        held[r["list"]] = r["ids"]
 
     def ideal(v: list[float]) -> np.ndarray:
         q = np.r_[v, 0.0].astype(np.float32)
@@ -321,37 +324,39 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
             yield pd.DataFrame({"list": np.array(out_list, dtype=np.int32), "id": pdf["id"].to_numpy()[out_row], "v": pdf["v"].to_numpy()[out_row]})
 
     asked = stored(rows.filter("asks").select("id", "v").repartition(max(2, spark.sparkContext.defaultParallelism), "id").mapInPandas(ask, "list int, id long, v array<double>"), "ann-asked")
-    parts = lambda n: F.ceil(n / F.lit(CHUNK)).cast("int")
-    sizes = posts.groupBy("list").agg(parts(F.count("*")).alias("lists")).join(asked.groupBy("list").agg(parts(F.count("*")).alias("asks")), "list")
-    sizes = F.broadcast(sizes)  # a row for each centroid
-    part = lambda side, n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int").alias(side)
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = posts.join(sizes, "list").select("list", part("a", "lists"), each("asks").alias("b"), "id", "v")
-    right = asked.join(sizes, "list").select("list", each("lists").alias("a"), part("b", "asks"), "id", "v")
-
     def meet(lists: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         if not len(lists) or not len(asks):
             return none
-        x, ids = np.array(lists["v"].to_list()), lists["id"].to_numpy()
-        q, names = np.array(asks["v"].to_list()), asks["id"].to_numpy()
+        names = asks["id"].to_numpy()
         out = [none]
-        for at in range(0, len(q), 512):
-            s = q[at : at + 512] @ x.T
-            for r in range(len(s)):
-                name = names[at + r]
-                s[r, ids == name] = -np.inf
-                least = np.partition(s[r], len(ids) - k)[len(ids) - k] if len(ids) > k else -np.inf
-                some = np.flatnonzero((s[r] >= least - 1e-9 * (1 + abs(least))) & (s[r] > -np.inf)) if least > -np.inf else np.flatnonzero(s[r] > -np.inf)
-                exact = (x[some] * q[at + r]).sum(axis=1)  # the same sum for equal vectors, wherever they stand
-                order = np.lexsort((ids[some], -exact))[:k]
-                out.append(pd.DataFrame({"query_id": name, "vec_id": ids[some][order], "score": exact[order]}))
+        ids = lists["id"].to_numpy()
+        for r, some, exact in nearest(ids, np.array(lists["v"].to_list()), names, np.array(asks["v"].to_list()), k):
+            out.append(pd.DataFrame({"query_id": names[r], "vec_id": ids[some], "score": exact}))
         return pd.concat(out, ignore_index=True)
 
-    met = left.groupBy("list", "a", "b").cogroup(right.groupBy("list", "a", "b")).applyInPandas(meet, "query_id long, vec_id long, score double")
-    best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    def answers(asked: DataFrame) -> DataFrame:
+        parts = lambda n: F.ceil(n / F.lit(CHUNK)).cast("int")
+        sizes = posts.groupBy("list").agg(parts(F.count("*")).alias("lists")).join(asked.groupBy("list").agg(parts(F.count("*")).alias("asks")), "list")
+        sizes = F.broadcast(sizes)  # a row for each centroid
+        part = lambda side, n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int").alias(side)
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = posts.join(sizes, "list").select("list", part("a", "lists"), each("asks").alias("b"), "id", "v")
+        right = asked.join(sizes, "list").select("list", each("lists").alias("a"), part("b", "asks"), "id", "v")
+        met = left.groupBy("list", "a", "b").cogroup(right.groupBy("list", "a", "b")).applyInPandas(meet, "query_id long, vec_id long, score double")
+        return met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    best = stored(answers(asked).withColumn("rank", rank).filter(F.col("rank") <= k), "ann-best")
+    # Copies and replicas can leave a query with too few other ids; it then asks every list.
+    wanted = min(k, rows.select("id").distinct().count() - 1)
+    short = rows.filter("asks").select("id", "v").join(best.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n")), "id", "left").filter(F.coalesce("n", F.lit(0)) < wanted).drop("n")
+    short = stored(short, "ann-short")
+    if short.take(1):
+        lists = F.sequence(F.lit(0), F.lit(len(c) - 1))
+        again = answers(short.select(F.explode(lists).alias("list"), "id", "v")).withColumn("rank", rank)
+        best = best.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(again)
+    return best.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op8_nearest_neighbours(spark, sf_dir: str) -> DataFrame:

@@ -173,6 +173,16 @@ def test_visits_follow_the_lists(spark):
     assert np.mean([len(own & set(np.argsort(-s[i])[:20].tolist())) / 20 for i, own in got.items()]) >= 0.95
 
 
+def test_copies_take_one_place(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 8))
+    rows = [(i, v) for i, v in enumerate(x.tolist())] + [(1, (x[0] * 3 + 0.01 * rng.normal(size=8)).tolist()) for _ in range(200)] + [(777, [1.0] * 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [r["vec_id"] for r in ann.search(df, F.col("vec_id") == 0, list_size=20).orderBy("rank").collect()]
+    others = sorted(range(2, 60), key=lambda i: -float(x[i] @ x[0]))[:19]
+    assert len(got) == 20 and got[0] == 1 and len(set(got[1:]) & set(others)) >= 17
+
+
 def test_few_neighbours(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r["vec_id"], r["score"]) for r in ann.search(df, F.col("vec_id") % 20 == 0).orderBy("rank").collect()] == [(1, 1.0), (2, 0.0)]
