@@ -2,41 +2,53 @@
 
 1. Tasks split their texts into words as the tokenizer does and count them; grouped aggregation gives the table of
    distinct words, and each distinct word is encoded once.
-2. Ids come back by position. Words of the highest counts, at most ``HEAD`` of them, are a broadcast table; a text
-   whose words are all in it is done in its own task. Every other word of a text leaves a hole: its position and word
-   are joined with the table of the remaining words by a shuffle, and the ids found are grouped by text and set in.
-3. Decoding joins ids with the vocabulary's pieces, a table of fixed size, and joins the pieces.
-
-So texts are not shuffled, only their ids (16 bits each, compressed), and words outside the broadcast table.
+2. Ids come back by position. The words of the highest counts, at most ``HEAD`` of them, are numbered in a broadcast
+   table, and a text becomes its words' numbers. Every other word of a text leaves a hole: its place among the text's
+   holes and the word are joined with the table of the remaining words by a shuffle, and the ids found are grouped by
+   text, meet the text's numbers and are set in.
+3. Decoding joins ids with the vocabulary's pieces. The vocabulary has a fixed size, so this is a map-side join: each
+   task looks its ids up in the broadcast table, in place. (A row for each id, joined and gathered again, would move
+   several times the input through a shuffle for the same text.)
+
+So texts are not shuffled, only their words' numbers (one to three bytes each, compressed) and words outside the
+broadcast table. Rows without a hole, an eighth of those bytes, move along: to leave them out, texts would be looked up
+a third time.
 
 Defined results: a null text is empty and has no tokens; special strings in a text are special ids; rows of one id are
-encoded one by one; an empty table gives an empty result.
+encoded one by one; an empty table gives an empty result. A tokenizer file that splits, marks or decodes words in
+another way than this module knows is refused (ValueError).
 """
 
 from __future__ import annotations
 
-import hashlib
+import json
 import os
 import re
-import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import ship, stored, table
 
-#: Words of the broadcast table, at most.
+#: Words of the broadcast table, at most; numbers of three bytes allow for 342,975.
 HEAD = 200_000
-#: Distinct words that a task counts before it hands on what it has combined.
+#: Distinct words, or runs between white space, that a task counts before it hands on what it has combined.
 COMBINE_WORDS = 400_000
-NULL_ID = -(1 << 63)
-#: Texts of other characters than these are normalised and split by the library itself.
-BEYOND = re.compile(r"[^\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ÿ]")
+#: Runs between white space whose numbers a task keeps.
+KEPT_RUNS = 250_000
+#: Rows that a task holds as Python objects at a time.
+SLICE = 512
+#: Texts of these bytes in Latin-1 are split here; all others by the library itself.
+PLAIN = bytes([*range(0x1C), *range(0x20, 0x80), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
+LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A or (0xC0 <= b <= 0xDE and b != 0xD7) else b for b in range(256))
 #: Fixed value: how the tokenizer with word ends splits a normalised text, for ASCII and Latin-1 letters.
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+#: Fixed value: the same in the tokenizer file.
+SPLITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class Tokens:
@@ -49,18 +61,37 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        file = json.loads(self.tokenizer.to_str())
+        self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        splits = [p.get("pattern", {}).get("Regex") for p in (file["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        normal = [n["type"] for n in (file["normalizer"] or {}).get("normalizers", [])]
+        if file["decoder"] is not None or SPLITS not in splits or normal != ["NFC", "Replace", "Lowercase"] or self.size > 1 << 16:
+            raise ValueError(f"{path}: not a tokenizer of lower-cased words without a decoder and of up to 65,536 ids")
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
+    def runs(self, text: str) -> list[bytes] | None:
+        """The lower-cased runs between white space, across which no word reaches; None for a text that only the library can split."""
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        if raw.translate(None, PLAIN) or (b"<|" in raw and self.cut and self.cut.search(text)):
+            return None
+        return raw.translate(LOWER).split()
+
+    @staticmethod
+    def words_of(run: bytes) -> list[str]:
+        return WORDS.findall(run.decode("latin-1"))
+
     def words(self, text: str) -> list[str]:
         """The words in order; a special string stays as it is and is told apart by its case-sensitive form."""
-        if self.cut and "<|" in text and self.cut.search(text):
-            return [w for part in self.cut.split(text) for w in ([part] if part in self.special else self._plain(part))]
-        return self._plain(text)
+        parts = self.cut.split(text) if self.cut else [text]
+        return [w for part in parts for w in ([part] if part in self.special else self._plain(part))]
 
     def _plain(self, text: str) -> list[str]:
-        if not BEYOND.search(text):
-            return WORDS.findall(text.lower())
+        if (runs := self.runs(text)) is not None:
+            return [w for run in runs for w in self.words_of(run)]
         normal = self.tokenizer.normalizer.normalize_str(text)
         return [normal[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
 
@@ -81,31 +112,72 @@ def tokens(path: str) -> Tokens:
     return _tokens[path]
 
 
+class Kept(dict):
+    """Values of a function, kept for a bounded number of keys."""
+
+    def __init__(self, f: Callable) -> None:
+        self.f = f
+
+    def __missing__(self, key):
+        if len(self) >= KEPT_RUNS:
+            self.clear()
+        value = self[key] = self.f(key)
+        return value
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
+def _batch(columns: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
 def word_table(texts: DataFrame, tokenizer: str) -> DataFrame:
-    """(word, n, ids): the distinct words of texts (text), how often each occurs, and its ids."""
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, seen = tokens(tokenizer).words, Counter()
-        for pdf in batches:
-            for text in pdf["text"]:
-                seen.update(words(text))
-                if len(seen) > COMBINE_WORDS:
-                    yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
-                    seen.clear()
+    """(word, n, ids): the distinct words of texts (text), how often each occurs, and its ids (little-endian unsigned 16-bit)."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, runs, seen = tokens(tokenizer), Counter(), Counter()
+
+        def settle() -> None:
+            for run, n in runs.items():
+                for w in own.words_of(run):
+                    seen[w] += n
+            runs.clear()
+
+        def out() -> pa.RecordBatch:
+            found = _batch({"word": pa.array(seen.keys(), pa.string()), "n": pa.array(seen.values(), pa.int64())})
+            seen.clear()
+            return found
+
+        for batch in _slices(batches):
+            for text in batch.column("text").to_pylist():
+                some = own.runs(text)
+                if some is None:
+                    seen.update(own.words(text))
+                else:
+                    runs.update(some)
+            if len(runs) > COMBINE_WORDS:
+                settle()
+            if len(seen) > COMBINE_WORDS:
+                yield out()
+        settle()
         if seen:
-            yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+            yield out()
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokens(tokenizer)
-        for pdf in batches:
-            yield pdf.assign(ids=own.encode(pdf["word"].tolist()))
+        for batch in batches:
+            yield _batch({"word": batch.column("word"), "n": batch.column("n"), "ids": pa.array(own.encode(batch.column("word").to_pylist()), pa.binary())})
 
-    counted = texts.mapInPandas(split, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return stored(counted.mapInPandas(encode, "word string, n long, ids binary"), "bpe-words")
+    counted = texts.mapInArrow(split, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return stored(counted.mapInArrow(encode, "word string, n long, ids binary"), "bpe-words")
 
 
-def frequent(words: DataFrame, head: int) -> tuple[dict[str, bytes], int]:
-    """The words that occur most, at most ``head``, and the least count among them."""
+def frequent(words: DataFrame, head: int) -> tuple[list[str], list[bytes], int]:
+    """The words that occur most, at most ``head``, most frequent first, their ids, and the least count among them."""
     levels = words.groupBy(F.floor(F.log2("n") * 16).alias("level")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("level")).collect()  # at most 16 * 63
     least, total = (1 << 62), 0
     for r in levels:
@@ -113,92 +185,125 @@ def frequent(words: DataFrame, head: int) -> tuple[dict[str, bytes], int]:
         if total > head:
             break
         least = r["least"]
-    return {r["word"]: bytes(r["ids"]) for r in words.filter(F.col("n") >= least).collect()}, least
+    rows = sorted(words.filter(F.col("n") >= least).collect(), key=lambda r: (-r["n"], r["word"]))
+    return [r["word"] for r in rows], [bytes(r["ids"]) for r in rows], least
 
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
-    """id and ids (binary: little-endian unsigned 16-bit) of each row of docs, compressed by zlib."""
+def pack_numbers(x: np.ndarray) -> bytes:
+    """Numbers up to 342,975 in one to three bytes each, the first bytes of all before the second ones; compressed."""
+    import zstandard
+
+    first = np.where(x < 192, x, np.where(x < 15296, 192 + ((x - 192) >> 8), 251 + ((x - 15296) >> 16))).astype("u1")
+    two = x[x >= 192]
+    second = np.where(two < 15296, two - 192, two - 15296).astype("u1")
+    third = ((x[x >= 15296] - 15296) >> 8).astype("u1")
+    return np.uint32(len(x)).tobytes() + zstandard.ZstdCompressor(level=3).compress(first.tobytes() + second.tobytes() + third.tobytes())
+
+
+def unpack_numbers(raw: bytes) -> np.ndarray:
+    import zstandard
+
+    n = int(np.frombuffer(raw, "u4", 1)[0])
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[4:]), dtype="u1").astype("u4")
+    x = flat[:n].copy()
+    two, three = x >= 192, x >= 251
+    second = np.zeros(n, dtype="u4")
+    second[two] = flat[n : n + int(two.sum())]
+    third = flat[n + int(two.sum()) :]
+    middle = two & ~three
+    out = x
+    out[middle] = 192 + ((x[middle] - 192) << 8) + second[middle]
+    out[three] = 15296 + ((x[three] - 251) << 16) + (third << 8) + second[three]
+    return out
+
+
+def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, settled: bool = False) -> DataFrame:
+    """id and ids (binary: little-endian unsigned 32-bit) of each row of docs.
+
+    ``settled``: docs gives the same rows in the same order whenever it is read, as files do; other inputs are stored first,
+    since a row is known by its place.
+    """
     spark = docs.sparkSession
     ship(spark)
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    if head > 342_975:
+        raise ValueError("head: at most 342,975")
+    own = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    own = own if settled else stored(own, "bpe-texts")
+    kind = own.schema["id"].dataType
     words = word_table(own.select("text"), tokenizer)
-    known, least = frequent(words, head)
-    shared = spark.sparkContext.broadcast(known)
-    # Both branches below scan alike, so a row has one number in both; unlike an id it is unique.
+    names, ids, least = frequent(words, head)
+    shared_names, shared_ids = spark.sparkContext.broadcast(names), spark.sparkContext.broadcast([b"", *ids])
     own = own.withColumn("row", F.monotonically_increasing_id())
 
-    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split, find = tokens(tokenizer).words, shared.value.get
-        for pdf in batches:
+    def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, known = tokens(tokenizer), set(shared_names.value)
+        lost = Kept(lambda run: tuple(w for w in own.words_of(run) if w not in known))
+        for batch in _slices(batches):
+            row, hole, word = [], [], []
+            for r, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
+                runs = own.runs(text)
+                some = list(chain.from_iterable(map(lost.__getitem__, runs))) if runs is not None else [w for w in own.words(text) if w not in known]
+                row += [r] * len(some)
+                hole += range(len(some))
+                word += some
+            yield _batch({"row": pa.array(row, pa.int64()), "hole": pa.array(hole, pa.int32()), "word": pa.array(word, pa.string())})
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, number = tokens(tokenizer), {w: i for i, w in enumerate(shared_names.value, 1)}
+        as_bytes = lambda words: np.array([number.get(w, 0) for w in words], dtype="<u4").tobytes()  # noqa: E731  0 is a hole
+        of = Kept(lambda run: as_bytes(own.words_of(run)))
+        for batch in _slices(batches):
             out = []
-            for row, i, text in zip(pdf["row"], pdf["id"], pdf["text"]):
-                words = split(text)
-                ids = list(map(find, words))
-                holes, rest, at = [], [], 0
-                if None in ids:
-                    for k, x in enumerate(ids):
-                        if x is None:
-                            holes.append(at)
-                            rest.append(words[k])
-                            ids[k] = b""
-                        else:
-                            at += len(x) // 2
-                out.append((row, i, zlib.compress(b"".join(ids), 6), zlib.compress(np.array(holes, dtype="<u4").tobytes(), 6), rest))
-            yield pd.DataFrame(out, columns=["row", "id", "ids", "holes", "rest"])
-
-    looked = own.mapInPandas(look_up, "row long, id long, ids binary, holes binary, rest array<string>")
-    missing = looked.filter(F.size("rest") > 0).select("row", F.posexplode("rest").alias("hole", "word"))
-    found = missing.join(words.filter(F.col("n") < least).select("word", F.col("ids").alias("more")), "word")
-    found = found.groupBy("row").agg(F.collect_list(F.struct("hole", "more")).alias("more"))
-    both = looked.select("row", "id", "ids", "holes").join(found, "row", "left").select("id", "ids", "holes", F.sort_array("more").alias("more"))
-
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+            for text in batch.column("text").to_pylist():
+                runs = own.runs(text)
+                raw = b"".join(map(of.__getitem__, runs)) if runs is not None else as_bytes(own.words(text))
+                out.append(pack_numbers(np.frombuffer(raw, dtype="<u4")))
+            yield _batch({"row": batch.column("row"), "id": batch.column("id"), "numbers": pa.array(out, pa.binary())})
+
+    holes = own.select("row", "text").mapInArrow(missing, "row long, hole int, word string")
+    found = holes.join(words.filter(F.col("n") < least).select("word", "ids"), "word")
+    found = found.groupBy("row").agg(F.collect_list(F.struct("hole", "ids")).alias("more"))
+    numbered = own.mapInArrow(numbers, T.StructType([T.StructField("row", T.LongType()), T.StructField("id", kind), T.StructField("numbers", T.BinaryType())]))
+    both = numbered.join(found, "row", "left").select("id", "numbers", F.col("more.hole").alias("holes"), F.col("more.ids").alias("more"))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of = shared_ids.value.__getitem__
+        for batch in _slices(batches):
             out = []
-            for ids, holes, more in zip(pdf["ids"], pdf["holes"], pdf["more"]):
-                at = np.frombuffer(zlib.decompress(holes), dtype="<u4")
-                if not len(at):
-                    out.append(ids)
-                    continue
-                if more is None or len(more) != len(at):
+            for raw, holes, more in zip(batch.column("numbers").to_pylist(), batch.column("holes").to_pylist(), batch.column("more").to_pylist()):
+                x = unpack_numbers(raw)
+                parts = list(map(ids_of, x.tolist()))
+                at = np.flatnonzero(x == 0).tolist()
+                if len(at) != len(holes or ()):
                     raise ValueError("a word of a text is missing from the table of words")
-                flat, parts, last = zlib.decompress(ids), [], 0
-                for h, m in zip(at.tolist(), more):
-                    parts += [flat[last : 2 * h], m["more"]]
-                    last = 2 * h
-                out.append(zlib.compress(b"".join([*parts, flat[last:]]), 1))
-            yield pd.DataFrame({"id": pdf["id"], "ids": out})
-
-    return both.mapInPandas(fill, "id long, ids binary").select(F.when(F.col("id") != NULL_ID, F.col("id")).alias(id_col), "ids")
+                for h, m in zip(holes or (), more or ()):
+                    parts[at[h]] = m
+                out.append(np.frombuffer(b"".join(parts), dtype="<u2").astype("<u4").tobytes())
+            yield _batch({"id": batch.column("id"), "ids": pa.array(out, pa.binary())})
 
+    return both.mapInArrow(fill, T.StructType([T.StructField("id", kind), T.StructField("ids", T.BinaryType())])).withColumnRenamed("id", id_col)
 
-def vocabulary(spark, tokenizer: str) -> DataFrame:
-    """(piece_id, piece): the tokenizer's own table, of fixed size."""
-    own = tokens(tokenizer).tokenizer
-    return spark.createDataFrame(pd.DataFrame(sorted((i, p) for p, i in own.get_vocab(with_added_tokens=True).items()), columns=["piece_id", "piece"]), "piece_id int, piece string")
 
+def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
+    """encoded with its ids (binary: little-endian unsigned 32-bit; null: none) replaced by the text they stand for, special strings included."""
+    vocabulary = tokens(tokenizer).tokenizer.get_vocab(with_added_tokens=True)
+    pieces = [""] * (max(vocabulary.values()) + 1)
+    for piece, i in vocabulary.items():
+        pieces[i] = piece
+    shared = encoded.sparkSession.sparkContext.broadcast(pieces)  # of the vocabulary's fixed size
+    rest = [c for c in encoded.columns if c != ids_col]
+    rows = encoded.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(rest)), F.col(ids_col).alias("ids"))
 
-def digests(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id") -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256: ids meet the vocabulary in a map-side join and their pieces are joined."""
-    spark = encoded.sparkSession
-    rows = vocabulary(spark, tokenizer).collect()
-    pieces = [""] * (max(r["piece_id"] for r in rows) + 1)
-    for r in rows:
-        pieces[r["piece_id"]] = r["piece"]
-    shared = spark.sparkContext.broadcast(pieces)
-
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = shared.value.__getitem__
-        for pdf in batches:
-            out = []
-            for ids in pdf["ids"]:
-                ids = np.frombuffer(zlib.decompress(ids), dtype="<u2")
-                text = " ".join(map(piece, ids.tolist()))  # this tokenizer has no decoder: its pieces are joined by spaces
-                out.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
-            yield pd.DataFrame({"id": pdf["id"], **dict(zip(("n_tokens", "ids_sha256", "decoded_sha256"), zip(*out)))}) if out else pd.DataFrame(columns=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for batch in _slices(batches):
+            # This tokenizer has no decoder: its pieces are joined by spaces.
+            text = [" ".join(map(piece, np.frombuffer(ids or b"", dtype="<u4").tolist())) for ids in batch.column("ids").to_pylist()]
+            own = batch.drop_columns(["ids"])
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(text, pa.string())], [*own.schema.names, "text"])
 
-    rows = encoded.select(F.coalesce(F.col(id_col), F.lit(NULL_ID)).alias("id"), "ids").mapInPandas(digest, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return rows.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias(id_col), "n_tokens", "ids_sha256", "decoded_sha256")
+    kind = T.StructType([*rows.drop("ids").schema.fields, T.StructField("text", T.StringType())])
+    return rows.mapInArrow(join, kind).toDF(*rest, text_col)
 
 
 def word_bpe() -> str:
@@ -208,7 +313,9 @@ def word_bpe() -> str:
 
 
 def op3_bpe(spark, sf_dir: str) -> DataFrame:
-    return digests(encode(table(spark, sf_dir, "documents"), word_bpe()), word_bpe())
+    encoded = encode(table(spark, sf_dir, "documents"), word_bpe(), settled=True)
+    told = encoded.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    return decode(told, word_bpe()).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
 
 QUERIES = {"op3_bpe": op3_bpe}

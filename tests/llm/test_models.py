@@ -130,12 +130,42 @@ def expected_digests(text):
 @pytest.mark.parametrize("head", [3, 200_000])
 def test_bpe_round_trip(spark, odd_docs, head):
     docs = odd_docs.unionByName(odd_docs.limit(1).withColumn("doc_id", F.lit(99).cast("long")).withColumn("text", F.lit("Hello  WORLD's 12 don't <|endoftext|>x <|ENDOFTEXT|> İstanbul ΣΑΣ ﬁ ''s #'s 'sa a\x1cb")))
-    got = bpe.digests(bpe.encode(docs, bpe.word_bpe(), head=head), bpe.word_bpe())
-    have = sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got.collect())
+    got = bpe.decode(bpe.encode(docs, bpe.word_bpe(), head=head).withColumn("sha", F.sha2("ids", 256)).withColumn("n", F.octet_length("ids") / 4), bpe.word_bpe()).collect()
+    have = sorted((str(r["doc_id"]), int(r["n"]), r["sha"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in got)
     assert have == sorted((str(r["doc_id"]), *expected_digests(r["text"])) for r in docs.collect())
     assert bpe.encode(docs.limit(0), bpe.word_bpe()).count() == 0
 
 
+def test_bpe_after_a_shuffle(spark, sf_dir):
+    """Rows whose order is another one at each reading are stored first."""
+    docs = table(spark, sf_dir, "documents")
+    got = bpe.encode(docs.select("doc_id", "text").orderBy(F.rand()), bpe.word_bpe(), head=50).join(docs, "doc_id").collect()
+    assert len(got) == docs.count()
+    for r in got:
+        assert hashlib.sha256(bytes(r["ids"])).hexdigest() == expected_digests(r["text"])[1]
+
+
+def test_bpe_query(spark, sf_dir):
+    texts = {r["doc_id"]: r["text"] for r in table(spark, sf_dir, "documents").collect()}
+    rows = bpe.op3_bpe(spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    assert all((r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == expected_digests(texts[r["doc_id"]]) for r in rows)
+
+
+def test_bpe_refuses_other_files():
+    import public_tokenizers
+
+    with pytest.raises(ValueError):
+        bpe.tokens(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@pytest.mark.parametrize("top", [1, 200, 16_000, 342_976])
+def test_packed_numbers(top):
+    x = np.random.default_rng(top).integers(0, top, 5000).astype("u4")
+    assert (bpe.unpack_numbers(bpe.pack_numbers(x)) == x).all()
+    assert not len(bpe.unpack_numbers(bpe.pack_numbers(x[:0])))
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(3000, 16))
