@@ -55,12 +55,49 @@ def test_near_copies_and_blocks(spark, make_text, monkeypatch):
     want = brute(rows)
     assert got(m.near_duplicates(df)) == want
     monkeypatch.setattr(m, "BLOCK_ROWS", 16)
-    monkeypatch.setattr(m, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(m, "PART_ROWS", 16)
+    monkeypatch.setattr(m, "BROADCAST_BYTES", 0)
     assert got(m.near_duplicates(df)) == want
     kept = m.near_duplicates(df).filter("kept").count()
     assert kept == len({w[1] for w in want})
 
 
+def test_large_group_at_all_distances(spark, make_text, monkeypatch):
+    """Copies whose distances from the leader fall into every class, repeated rows and a chain to texts far from it."""
+    monkeypatch.setattr(m, "PART_ROWS", 32)
+    monkeypatch.setattr(m, "BLOCK_ROWS", 20)
+    rng, base, rows = random.Random(7), make_text(7, 150).split(), []
+    for k in range(260):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 4, 5, 7])):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(40)}"
+        rows.append((k, " ".join(words)))
+    for k in range(60):  # each a step further
+        base[rng.randrange(len(base))] = f"step{k}"
+        rows.append((1000 + k, " ".join(base)))
+    rows += rows[:20] + [(5000, rows[3][1] + "."), (None, rows[4][1]), (None, rows[4][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert got(m.near_duplicates(df)) == brute(rows)
+
+
+def test_classes_of_distances():
+    sure, open_ = m.class_pairs(0.8)
+    assert (0, 0) in sure and (1, 1) in sure and (0, 2) in sure and (1, 2) not in sure
+    assert (0, 3) in open_ and (0, 6) not in open_ and (6, 6) in open_ and not set(sure) & set(open_)
+
+
+def test_long_unrelated_texts_are_pruned():
+    rng = np.random.default_rng(11)
+    some = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    least = m.least_matches(0.8, 1e-6)
+    for n in (100, 1_000, 10_000):
+        common = some(n)
+        near = [np.concatenate([common, some(n // 20)]) for _ in range(2)]
+        mins = np.stack([m.bytes_of(m.min_hashes(s)) for s in (some(n), some(n), *near)])
+        i, j = m.candidates(np.triu(np.ones((4, 4), dtype=bool), 1), mins, least)
+        assert list(zip(i, j)) == [(2, 3)]
+
+
 def test_pruning_is_rare_above_the_threshold():
     least = m.least_matches(0.8, 1e-6)
     assert list(least) == [32, 64, 96, 128] and least[128] > 0.6 * 128
