@@ -15,6 +15,7 @@ null ids are scanned one by one; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,7 +69,22 @@ TEMPLATES = {
     ],
     "Unlicense": [
         "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
-        "commercial or non-commercial, and by any means."
+        "commercial or non-commercial, and by any means. "
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and "
+        "to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+        "IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
+        "commercial or non-commercial, and by any means.",
+    ],
+    "BSL-1.0": [
+        'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, '
+        "and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: "
+        "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative "
+        "works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. '
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR "
+        "THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ],
     "GPL-3.0 notice": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 3."],
     "GPL-3.0-or-later header": [
@@ -104,27 +120,45 @@ class Scanner:
         self.least = np.ceil(self.sizes * threshold / (2 - threshold) - 1e-9).astype(int)
         self.most = np.floor(self.sizes * (2 - threshold) / threshold + 1e-9).astype(int)
 
-    def passages(self, words: list[str], hits: np.ndarray, pairs: np.ndarray, k: int) -> list[tuple]:
-        """(score, template's size, start word, end word, template) of every passage from one hit to another that reaches the threshold; for each start the best."""
-        mine = self.member[pairs, k]
-        at, own = hits[mine].tolist(), pairs[mine].tolist()
-        found = []
-        for i, start in enumerate(at):
-            common: set[int] = set()
-            inside: set[tuple] = set()
-            upto, best = start, None
-            for j in range(i, len(at)):
-                for x in range(upto, at[j] + 1):
-                    inside.add((words[x], words[x + 1]))
-                upto = at[j] + 1
-                if len(inside) > self.most[k]:
-                    break
-                common.add(own[j])
-                score = 2 * len(common) / (len(inside) + int(self.sizes[k]))
-                if score >= self.t and (best is None or score > best[0]):
-                    best = (score, int(self.sizes[k]), start, at[j] + 2, self.names[k])
-            if best:
-                found.append(best)
+    def passages(self, codes: list[int], hits: np.ndarray, pairs: np.ndarray, candidates: np.ndarray) -> list[tuple]:
+        """(score, template's size, start word, end word, template) of passages from one hit to another that reach the threshold; of each start and template the best.
+
+        Only where a bigram comes up for the first time since the start can the score change. So starts are taken from the
+        last to the first, with the first places since the start of all bigrams in a linked list: a start walks no more
+        places than a passage may have distinct bigrams, however often the text repeats itself.
+        """
+        own = [[] for _ in codes]
+        for place, pair in zip(hits.tolist(), pairs.tolist()):
+            own[place] = candidates[self.member[pair, candidates]].tolist()
+        found, first, after, before, head = [], {}, [-1] * len(codes), [-1] * len(codes), -1
+        for i in range(len(codes) - 1, -1, -1):
+            j = first.get(codes[i], -1)
+            if j >= 0:  # no longer the first place of this bigram
+                x, y = before[j], after[j]
+                if x >= 0:
+                    after[x] = y
+                else:
+                    head = y
+                if y >= 0:
+                    before[y] = x
+            first[codes[i]], after[i] = i, head
+            if head >= 0:
+                before[head] = i
+            before[i], head = -1, i
+            for k in own[i]:
+                size, most, common, inside, best, at = int(self.sizes[k]), int(self.most[k]), 0, 0, None, i
+                while at >= 0 and inside < most:
+                    inside += 1
+                    if k in own[at]:
+                        common += 1
+                        score = 2 * common / (inside + size)
+                        if score >= self.t and (best is None or score > best[0]):
+                            best = (score, size, i, at + 2, self.names[k])
+                        if common == size:
+                            break
+                    at = after[at]
+                if best:
+                    found.append(best)
         return found
 
     def scan(self, text: str | None) -> list[dict]:
@@ -137,12 +171,18 @@ class Scanner:
         hits = np.flatnonzero(pairs >= 0)
         pairs = pairs[hits]
         candidates = np.flatnonzero(self.member[np.unique(pairs)].sum(axis=0) >= self.least)
-        found = [p for k in candidates for p in self.passages(words, hits, pairs, int(k))]
-        out: list[tuple] = []
-        for p in sorted(found, key=lambda p: (-p[0], -p[1], p[2], p[4])):
-            if all(p[3] <= o[2] or p[2] >= o[3] for o in out):
-                out.append(p)
-        return [{"licence": p[4], "dice": p[0], "start": p[2], "end": p[3]} for p in sorted(out, key=lambda p: p[2])]
+        if not len(candidates):
+            return []
+        number: dict[str, int] = {}
+        place = [number.setdefault(w, len(number)) for w in words]
+        codes = [a * len(number) + b for a, b in zip(place, place[1:])]
+        starts, out = [], []  # of the passages that stay, by start
+        for p in sorted(self.passages(codes, hits, pairs, candidates), key=lambda p: (-p[0], -p[1], p[2], p[4])):
+            at = bisect(starts, p[2])
+            if (at == 0 or out[at - 1][3] <= p[2]) and (at == len(out) or p[3] <= out[at][2]):
+                starts.insert(at, p[2])
+                out.insert(at, p)
+        return [{"licence": p[4], "dice": p[0], "start": p[2], "end": p[3]} for p in out]
 
 
 PASSAGES = pa.list_(pa.struct([("licence", pa.string()), ("dice", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))

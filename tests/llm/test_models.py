@@ -1,6 +1,7 @@
 """Classifiers, licences, BPE and neighbours."""
 
 import hashlib
+import json
 
 import numpy as np
 import pytest
@@ -92,25 +93,63 @@ def test_licence_inside_a_text(name, make_text):
     assert not scanner.scan(make_text(3, 500))
 
 
-def test_licence_like_brute_force(make_text):
-    """Every passage is tried, without bounds; the best score of each template is the same."""
-    templates = {"x": ["alpha beta gamma delta epsilon zeta"], "y": ["one two three four"]}
-    scanner = licences.Scanner(templates, 0.8)
-    for text in ["alpha beta gamma delta epsilon", "q alpha beta gamma w delta epsilon zeta q", "one two three four one two three four", "alpha beta x gamma delta epsilon zeta one two three", ""]:
-        w = licences.words_of(text)
-        best = {}
-        for k, (t,) in templates.items():
-            mine = set(zip(licences.words_of(t), licences.words_of(t)[1:]))
-            for i in range(len(w)):
-                for j in range(i + 2, len(w) + 1):
-                    own = set(zip(w[i:j], w[i + 1 : j]))
+def brute_licences(text, templates, threshold=0.8):
+    """Every passage from one template bigram to another, tried one by one; of those that overlap the best stays."""
+    w, found = licences.words_of(text), []
+    for name, texts in templates.items():
+        for t in texts:
+            t = licences.words_of(t)
+            mine = set(zip(t, t[1:]))
+            at = [i for i in range(len(w) - 1) if (w[i], w[i + 1]) in mine]
+            for i in at:
+                best, own, upto = None, set(), i
+                for j in (j for j in at if j >= i):
+                    own.update(zip(w[upto : j + 1], w[upto + 1 : j + 2]))
+                    upto = j + 1
                     score = 2 * len(own & mine) / (len(own) + len(mine))
-                    if score >= 0.8:
-                        best[k] = max(best.get(k, 0), score)
-        got = {}
-        for p in scanner.scan(text):
-            got[p["licence"]] = max(got.get(p["licence"], 0), p["dice"])
-        assert got == pytest.approx(best)
+                    if score >= threshold and (best is None or score > best[0]):
+                        best = (score, len(mine), i, j + 2, name)
+                if best:
+                    found.append(best)
+    out = []
+    for p in sorted(found, key=lambda p: (-p[0], -p[1], p[2], p[4])):
+        if all(p[3] <= o[2] or p[2] >= o[3] for o in out):
+            out.append(p)
+    return sorted((p[2], p[3], p[4], p[0]) for p in out)
+
+
+def test_licence_like_brute_force():
+    templates = {"x": ["alpha beta gamma delta epsilon zeta"], "y": ["one two three four"], "z": ["alpha beta one two"]}
+    scanner = licences.Scanner(templates, 0.8)
+    rng = np.random.default_rng(2)
+    texts = ["alpha beta gamma delta epsilon", "q alpha beta gamma w delta epsilon zeta q", "one two three four one two three four", "alpha beta x gamma delta epsilon zeta one two three", ""]
+    parts = ["alpha beta gamma delta epsilon zeta", "one two three four", "alpha beta", "one two", "gamma delta epsilon", "q", "four"]
+    texts += [" ".join(rng.choice(parts, rng.integers(1, 25))) for _ in range(300)]
+    for text in texts:
+        assert [(p["start"], p["end"], p["licence"], p["dice"]) for p in scanner.scan(text)] == brute_licences(text, templates)
+
+
+def test_repeated_notice_is_linear():
+    import time
+
+    scanner = licences.Scanner(licences.TEMPLATES, licences.THRESHOLD)
+    notice = licences.TEMPLATES["MIT notice"][0] + " "
+    began = time.process_time()
+    assert len(scanner.scan(notice * 4000)) == 4000
+    short = " ".join(notice.split()[:4]) + " "  # never the whole notice, but for the end
+    assert scanner.scan(short * 5000 + notice)
+    assert time.process_time() - began < 4
+    assert [(p["start"], p["end"], p["licence"], p["dice"]) for p in scanner.scan(notice * 20)] == brute_licences(notice * 20, licences.TEMPLATES)
+
+
+def test_licence_query_like_brute_force(spark, sf_dir):
+    texts = {r["doc_id"]: r["text"] for r in table(spark, sf_dir, "documents").collect()}
+    rows = licences.op2_licence_scan(spark, sf_dir).collect()
+    assert len(rows) == len(texts) and sum(r["n_passages"] for r in rows) > 0
+    for r in rows:
+        want = brute_licences(texts[r["doc_id"]], licences.TEMPLATES)
+        assert [(p["start"], p["end"], p["licence"], p["dice"]) for p in json.loads(r["passages"])] == want
+        assert (r["n_passages"], r["licences"], r["best_dice"]) == (len(want), ",".join(sorted({x[2] for x in want})), max((x[3] for x in want), default=0.0))
 
 
 def test_licences_odd_rows(spark, odd_docs):
