@@ -1,7 +1,7 @@
 """Quality classifier: hierarchical empirical Bayes over documents, hosts and paths.
 
-1. Document evidence: a logistic model on counts of characters, words and lines, fitted on a bounded sample of labelled
-   rows (the ``sample`` of least hash), gives each document a probability of being good.
+1. Document evidence: a logistic model on counts of characters, words and lines and on hashed words, fitted on a bounded
+   sample of labelled rows (the ``sample`` ids of least hash), gives each document a probability of being good.
 2. Grouped aggregation of these probabilities gives every path and host its total and its number of documents. The
    spread between hosts (and between paths of a host) beyond sampling noise sets, by the method of moments, how many
    documents the prior counts for.
@@ -10,62 +10,111 @@
    odds, are the posterior odds.
 4. Documents whose posterior probability is under ``threshold`` are rejected.
 
+Each text is looked at once; what is found is stored, then meets its site. Sites of many documents are broadcast, a
+bounded number; rows of all others, a few for each site, meet theirs in a shuffle where the sites are too many.
+
 Defined results: a text that is null or has no character but white space has posterior 0 and is rejected; a null host
 or path is a site of its own; without labels every other document has posterior 1; rows with repeated or null ids are
-judged one by one, a repeated label counts as its mean; an empty table gives an empty result.
+judged one by one, a repeated label counts as its mean, and of the rows of a labelled id one is learned from; columns
+to keep may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from zlib import crc32
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import ship, stored, table
 
 #: Labelled rows that the document model is fitted on, at most.
 SAMPLE = 20_000
 THRESHOLD = 0.5
-RIDGE = 1.0
-#: Site tables of up to this many rows are broadcast; larger ones are joined by a shuffle.
+#: Penalties of the weights of counts and of hashed words, and the number of hashed words.
+RIDGE, WORD_RIDGE, BUCKETS = 1.0, 4.0, 1024
+#: Sites that are broadcast, at most: all, or those of the most documents.
 BROADCAST_ROWS = 100_000
 
+SYMBOLS, DIGITS = b"#$%&*|!@^=<>{}[]_~\\", b"0123456789"
+RUNS = re.compile(r"[!#$%&*]{2,}")
+LETTER = re.compile(r"[^\W\d_]")
+_latin = [chr(i) for i in range(256)]
+LETTERS, UPPER = ("".join(filter(f, _latin)).encode("latin-1") for f in (str.isalpha, str.isupper))
+COUNTS = 11
 
-def features(text: Column) -> list[Column]:
+
+def counts(text: str, words: list[str]) -> list[float]:
     """Numbers between 0 and about 3 that say what a text is made of."""
-    t = F.coalesce(text, F.lit(""))
-    n = F.greatest(F.length(t), F.lit(1)).cast("double")
-    words = F.split(F.lower(t), r"\s+")
-    lines = F.split(t, "\n")
-    count = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("double")
-    letters = F.greatest(count(r"\p{L}"), F.lit(1.0))
+    n, k, lines = max(len(text), 1), max(len(words), 1), text.split("\n")
+    raw = text.encode("utf-8", "surrogatepass")
+    among = lambda raw, some: len(raw) - len(raw.translate(None, some))
+    try:
+        latin = raw if len(raw) == len(text) else text.encode("latin-1")
+        letters, upper = among(latin, LETTERS), among(latin, UPPER)
+    except UnicodeEncodeError:
+        letters, upper = len(LETTER.findall(text)), sum(map(str.isupper, text))
     return [
-        count(r"[#$%&*|!@^=<>{}\[\]_~\\]") / n,
-        count(r"[!#$%&*]{2,}") / F.size(words),
-        count(r"\|") / F.size(words),
-        count(r"\p{Lu}") / letters,
-        count(r"[0-9]") / n,
+        among(raw, SYMBOLS) / n,
+        len(RUNS.findall(text)) / k,
+        raw.count(b"|") / k,
+        upper / max(letters, 1),
+        among(raw, DIGITS) / n,
         1 - letters / n,
-        1 - F.size(F.array_distinct(words)) / F.size(words),
-        1 - F.size(F.array_distinct(lines)) / F.size(lines),
-        F.least(n / F.size(words), F.lit(30.0)) / 10,
-        F.log10(n + 1) / 2,
-        F.size(lines) / F.size(words),
+        1 - len(set(words)) / k,
+        1 - len(set(lines)) / len(lines),
+        min(n / k, 30.0) / 10,
+        float(np.log10(n + 1)) / 2,
+        len(lines) / k,
     ]
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 50) -> np.ndarray | None:
-    """Weights (the last is the constant) of a logistic model, by Newton's method on standardised features."""
+class Buckets(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 300_000:
+            self.clear()
+        i = self[word] = crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
+        return i
+
+
+_buckets = Buckets()
+
+
+def features(text: str) -> np.ndarray:
+    """Counts, then the square roots of the hashed words' frequencies (of length 1 in all)."""
+    words = text.lower().split()
+    hashed = np.sqrt(np.bincount(np.fromiter(map(_buckets.__getitem__, words), dtype=np.int64, count=len(words)), minlength=BUCKETS) / max(len(words), 1))
+    return np.r_[counts(text, words), hashed].astype(np.float32)
+
+
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray | None:
+    """Weights (the last is the constant) of a logistic model: Newton's steps on standardised counts and hashed words, each solved by conjugate gradients."""
     if not len(x):
         return None
-    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
-    z = np.c_[(x - mean) / scale, np.ones(len(x))]
+    mean, scale = np.zeros(x.shape[1]), np.ones(x.shape[1])
+    mean[:COUNTS], scale[:COUNTS] = x[:, :COUNTS].mean(axis=0), np.maximum(x[:, :COUNTS].std(axis=0), 1e-9)
+    z = np.c_[(x - mean) / scale, np.ones(len(x))].astype(np.float32)
+    penalty = np.r_[np.full(COUNTS, RIDGE), np.full(x.shape[1] - COUNTS, WORD_RIDGE), 1e-3]
+    times = lambda v: (z @ v.astype(np.float32)).astype(np.float64)
+    back = lambda v: (v.astype(np.float32) @ z).astype(np.float64)
     w = np.zeros(z.shape[1])
-    penalty = ridge * np.r_[np.ones(x.shape[1]), 1e-3]
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * w)
+        p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
+        rest = back(y - p) - penalty * w
+        step, way, left = np.zeros_like(w), rest.copy(), float(rest @ rest)
+        for _ in range(60):
+            if left < 1e-8:
+                break
+            curve = back(p * (1 - p) * times(way)) + penalty * way
+            far = left / float(way @ curve)
+            step, rest = step + far * way, rest - far * curve
+            now = float(rest @ rest)
+            way, left = rest + now / left * way, now
         w = w + step
-        if np.abs(step).max() < 1e-9:
+        if np.abs(step).max() < 1e-4:
             break
     return np.r_[w[:-1] / scale, w[-1] - (w[:-1] * mean / scale).sum()]
 
@@ -73,18 +122,38 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 50) ->
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> np.ndarray | None:
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.avg(F.col(label_col).cast("double")).alias("y"))
     chosen = known.orderBy(F.xxhash64("id", F.lit(4)), "id").limit(sample)
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = own.join(F.broadcast(chosen), "id").select("y", F.array(*features(F.col("text"))).alias("x"), "id")  # the sample's bound
-    got = sorted((r["id"], r["y"], r["x"]) for r in rows.collect())
-    return fit(np.array([r[2] for r in got]), np.array([r[1] for r in got]))
+    own = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = own.join(F.broadcast(chosen), "id").groupBy("id").agg(F.max("y").alias("y"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("m"))  # the sample's bound
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in batch.column("text").to_pylist():
+                x = features(text)
+                at = np.flatnonzero(x)
+                found.append(at.astype("<u2").tobytes() + x[at].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("y"), pa.array(found, pa.binary())], ["h", "y", "x"])
+
+    got = rows.select(F.xxhash64("id").alias("h"), "y", "m.text").mapInArrow(look, "h long, y double, x binary").collect()
+    x = np.zeros((len(got), COUNTS + BUCKETS), dtype=np.float32)
+    for k, r in enumerate(sorted(got, key=lambda r: r["h"])):
+        n = len(r["x"]) // 6
+        x[k, np.frombuffer(r["x"], "<u2", n)] = np.frombuffer(r["x"], "<f4", n, 2 * n)
+    return fit(x, np.array([r["y"] for r in sorted(got, key=lambda r: r["h"])]))
+
+
+def evidence(docs: DataFrame, weights: np.ndarray | None, text_col: str = "_text") -> DataFrame:
+    """docs with its text replaced by _odds, the document's own log odds of being good."""
+    rest = docs.drop(text_col)
 
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(at, 512) for at in range(0, whole.num_rows, 512)):
+                odds = [30.0 if weights is None else float(np.clip(features(t or "") @ weights[:-1] + weights[-1], -30, 30)) for t in batch.column(text_col).to_pylist()]
+                own = batch.drop_columns([text_col])
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(odds, pa.float64())], [*own.schema.names, "_odds"])
 
-def evidence(text: Column, weights: np.ndarray | None) -> Column:
-    """The document's own log odds of being good."""
-    if weights is None:
-        return F.lit(30.0)
-    x = features(text)
-    return F.greatest(F.lit(-30.0), F.least(F.lit(30.0), sum((F.lit(float(w)) * c for w, c in zip(weights, x)), F.lit(float(weights[-1])))))
+    return docs.mapInArrow(look, T.StructType([*rest.schema.fields, T.StructField("_odds", T.DoubleType())]))
 
 
 def _logit(p: Column) -> Column:
@@ -119,19 +188,26 @@ def judge(docs: DataFrame, labels: DataFrame, host: Column, path: Column, thresh
     """The columns ``keep`` (the id alone by default) of each row of docs, with document_p, site_p, posterior and accepted."""
     ship(docs.sparkSession)
     weights = train(docs, labels, sample, id_col, text_col)
+    keep = keep or [id_col]
+    said = F.coalesce(F.col(text_col).rlike(r"\S"), F.lit(False))
+    own = docs.select(F.struct(*(F.col(c) for c in keep)).alias("_kept"), host.cast("string").alias("_host"), path.cast("string").alias("_path"), said.alias("_said"), F.col(text_col).alias("_text"))
+    own = stored(evidence(own, weights), "quality-odds")
     p = 1 / (1 + F.exp(-F.col("_odds")))
-    own = docs.select(*(F.col(c) for c in keep or [id_col]), host.alias("_host"), path.alias("_path"), evidence(F.col(text_col), weights).alias("_odds"), F.coalesce(F.col(text_col).rlike(r"\S"), F.lit(False)).alias("_said"))
-    if not keep:  # narrow rows: keep them, so that each text is read once
-        own = stored(own, "quality-odds")
     sites = stored(sites_of(own.filter("_said").select(F.col("_host").alias("host"), F.col("_path").alias("path"), p.alias("p"))), "quality-sites")
-    near = F.broadcast(sites) if sites.count() <= BROADCAST_ROWS else sites
-    rows = own.join(near, F.col("_host").eqNullSafe(F.col("host")) & F.col("_path").eqNullSafe(F.col("path")), "left")
+    here = F.col("_host").eqNullSafe(F.col("host")) & F.col("_path").eqNullSafe(F.col("path"))
+    if sites.count() <= BROADCAST_ROWS:
+        rows = own.join(F.broadcast(sites), here, "left")
+    else:
+        order = [F.desc("path_n"), "host", "path"]
+        hot = stored(sites.orderBy(*order).limit(BROADCAST_ROWS), "quality-hot")
+        cold = sites.join(F.broadcast(hot.select(F.col("host").alias("_host"), F.col("path").alias("_path"))), here, "left_anti")
+        rows = own.join(F.broadcast(hot), here).unionByName(own.join(F.broadcast(hot), here, "left_anti").join(cold, here, "left"))
     rest = lambda total, n, mean, k: (F.col(total) - p + k * mean) / (F.col(n) - 1 + k)  # noqa: E731  without the document itself
     of_host = rest("host_total", "host_n", F.col("mean"), F.col("host_k"))
     of_path = rest("path_total", "path_n", of_host, F.col("path_k"))
     odds = F.col("_odds") + _logit(of_path) - _logit(F.col("mean"))
     posterior = F.when(F.col("_said"), 1 / (1 + F.exp(-odds))).otherwise(0.0)
-    return rows.select(*(F.col(c) for c in keep or [id_col]), p.alias("document_p"), F.coalesce(of_path, F.lit(0.0)).alias("site_p"), posterior.alias("posterior"), (posterior >= threshold).alias("accepted"))
+    return rows.select(*(F.col("_kept")[c].alias(c) for c in keep), p.alias("document_p"), F.coalesce(of_path, F.lit(0.0)).alias("site_p"), posterior.alias("posterior"), (posterior >= threshold).alias("accepted"))
 
 
 def section(host: str = "source", lang: str = "lang") -> Column:

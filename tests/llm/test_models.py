@@ -59,14 +59,56 @@ def test_presence_kernel_like_sets():
     assert abs(float(language_id.kernel(x, x)[0, 1]) - want) < 0.05
 
 
-def test_quality(spark, sf_dir):
-    labels = table(spark, sf_dir, "labels")
-    rows = quality.op4_quality_classifier(spark, sf_dir).join(labels, "doc_id").collect()
+def test_quality_held_out(spark):
+    """Fitted on half of the labels, judged by the other half."""
+    sf = "/root/testdata/sf0.01"
+    labels = table(spark, sf, "labels")
+    docs = table(spark, sf, "documents")
+    odd = F.crc32(F.col("doc_id").cast("string")) % 2 == 1
+    rows = quality.judge(docs, labels.filter(~odd), F.col("source"), quality.section()).join(labels.filter(odd), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
     good = [r["accepted"] for r in rows if r["quality"] == 1]
     bad = [r["accepted"] for r in rows if r["quality"] == 0]
+    assert len(good) > 50 and len(bad) > 20
     assert np.mean(good) >= 0.97 and np.mean(bad) <= 0.1
 
 
+def posteriors(rows, mean_k):
+    """By hand: rows (host, path, p), the parameters of a site table; the site's p of each row without the row itself, and the posterior."""
+    mean, host_k, path_k = mean_k
+    logit = lambda p: np.log(p / (1 - p))
+    out = []
+    for k, (h, s, p) in enumerate(rows):
+        host = [q for i, (a, _, q) in enumerate(rows) if i != k and a == h]
+        path = [q for i, (a, b, q) in enumerate(rows) if i != k and (a, b) == (h, s)]
+        of_host = (sum(host) + host_k * mean) / (len(host) + host_k)
+        of_path = (sum(path) + path_k * of_host) / (len(path) + path_k)
+        out.append((of_path, 1 / (1 + np.exp(-(logit(p) + logit(of_path) - logit(mean))))))
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 2, 0])
+def test_site_evidence_decides(spark, monkeypatch, broadcast):
+    """Documents that say little by themselves are accepted on good sites and paths and rejected on bad ones, as by hand."""
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", broadcast)
+    odds = {"yes": 3.0, "no": -3.0, "maybe": 0.0}
+    monkeypatch.setattr(quality, "train", lambda *a, **k: None)
+
+    def evidence(docs, weights, text_col="_text"):
+        value = F.coalesce(*(F.when(F.col(text_col) == t, F.lit(o)) for t, o in odds.items()))
+        return docs.withColumn("_odds", value).drop(text_col)
+
+    monkeypatch.setattr(quality, "evidence", evidence)
+    texts = [("fine", "a", "yes")] * 60 + [("fine", "b", "no")] * 60 + [("poor", "a", "no")] * 60 + [("fine", "a", "maybe"), ("fine", "b", "maybe"), ("poor", "a", "maybe"), ("poor", "new", "maybe"), ("new", None, "maybe"), (None, None, "yes")]
+    df = spark.createDataFrame([(i, h, s, t, "x") for i, (h, s, t) in enumerate(texts)], "doc_id long, host string, path string, text string, mean string")
+    got = sorted(quality.judge(df, df, F.col("host"), F.col("path"), keep=["doc_id", "host", "path", "mean"]).collect(), key=lambda r: r["doc_id"])
+    assert [(r["host"], r["path"], r["mean"]) for r in got] == [(h, s, "x") for h, s, _ in texts]
+    rows = [(h, s, 1 / (1 + np.exp(-odds[t]))) for h, s, t in texts]
+    site = quality.sites_of(spark.createDataFrame([(h, s, float(p)) for h, s, p in rows], "host string, path string, p double")).first()
+    want = posteriors(rows, (site["mean"], site["host_k"], site["path_k"]))
+    assert np.allclose([(r["site_p"], r["posterior"]) for r in got], want)
+    assert [r["accepted"] for r in got[180:184]] == [True, False, False, False]
+
+
 def test_quality_odd_rows(spark, odd_docs, sf_dir):
     got = quality.judge(odd_docs, table(spark, sf_dir, "labels"), F.col("source"), quality.section()).collect()
     assert len(got) == odd_docs.count()
