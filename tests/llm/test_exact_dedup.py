@@ -34,12 +34,21 @@ def test_collisions_chain_and_bytes_decide(spark, bits):
     assert got(m.exact_dedup(df, capacity=4, bits=bits)) == brute(rows)
 
 
-def test_hot_group(spark):
-    rows = [(i, "same" if i % 3 else f"t{i}") for i in range(3000)]
+@pytest.mark.parametrize("broadcast, hot", [(500_000, 20_000), (0, 20_000), (0, 3)])
+def test_hot_group(spark, monkeypatch, broadcast, hot):
+    monkeypatch.setattr(m, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(m, "HOT_GROUPS", hot)
+    rows = [(i, "same" if i % 3 else f"t{i % 50}") for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
     assert got(m.exact_dedup(df)) == brute(rows)
 
 
+def test_extreme_and_null_ids(spark):
+    rows = [(-(1 << 63), "a"), (1, "a"), (None, "b"), (2, "b "), (None, "c"), (None, "c"), ((1 << 63) - 1, "a b"), (3, "d")]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, h int, sha string")
+    assert got(m.exact_dedup(df)) == brute(rows)
+
+
 def test_directory_doubles_only_where_overfull():
     buckets = m.grow_directory({0: 9, 1: 1, 2: 1, 3: 1}, 2, 4)
     assert buckets == [(0, 2), (1, 2), (1, 1)]
