@@ -9,7 +9,8 @@
 
 Defined results: a null text or role is empty; a null score counts 0; a parent that is absent makes its reply a root;
 messages under a cycle have no root and are left out; of rows with one (tree, node) the first by (parent, role, text)
-is the message; ties of score go to the smaller leaf; a null tree is a tree of its own.
+is the message; a message with a null node has no replies, and gets a number above the others of its tree, in order of
+(parent, role, text); ties of score go to the smaller leaf; a null tree is a tree of its own.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 from .common import stored, table
 
 START, END = "<|im_start|>", "<|im_end|>\n"
-NO_TREE = -(1 << 63)
 
 
 def escape(text: Column) -> Column:
@@ -100,17 +100,22 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 def format_trees(messages: DataFrame, branches: int = 1, tree_col: str = "tree_id", node_col: str = "node_id", parent_col: str = "parent_id", score_col: str = "score") -> DataFrame:
     """The ``branches`` best root-to-leaf paths of each reply tree of messages (tree, node, parent, role, text, score), formatted."""
+    tree = F.col(tree_col).cast("long")
     rows = messages.select(
-        F.coalesce(F.col(tree_col).cast("long"), F.lit(NO_TREE)).alias("tree"),
+        F.struct(tree.isNull().alias("none"), F.coalesce(tree, F.lit(0)).alias("id")).alias("tree"),
         F.col(node_col).cast("long").alias("node"),
         F.col(parent_col).cast("long").alias("parent"),
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce(F.col(score_col).cast("double"), F.lit(0.0)).alias("score"),
-    ).filter("node IS NOT NULL")
-    rows = rows.groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m")).select("tree", "node", "m.*")
-    nodes = stored(rows, "chat-nodes")
-    return format_paths(nodes, paths(nodes, branches)).withColumn("tree", F.when(F.col("tree") != NO_TREE, F.col("tree")))
+    )
+    named = rows.filter("node IS NOT NULL").groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m")).select("tree", "node", "m.*")
+    if rows.filter("node IS NULL").take(1):
+        last = rows.groupBy("tree").agg(F.coalesce(F.greatest(F.max("node"), F.max("parent")), F.lit(0)).alias("last"))
+        n = F.row_number().over(Window.partitionBy("tree").orderBy("parent", "role", "text", "score"))
+        named = named.unionByName(rows.filter("node IS NULL").join(last, "tree").withColumn("node", F.col("last") + n).drop("last"))
+    nodes = stored(named, "chat-nodes")
+    return format_paths(nodes, paths(nodes, branches)).withColumn("tree", F.when(~F.col("tree")["none"], F.col("tree")["id"]))
 
 
 def op6_chat_format(spark, sf_dir: str) -> DataFrame:

@@ -45,6 +45,15 @@ def test_deep_chain(spark):
     assert [t["text"] for t in m.read_back(m.format_trees(df)).first()["turns"]] == [str(i) for i in range(300)]
 
 
+def test_odd_messages(spark, make_text):
+    """Null nodes and trees, repeated (tree, node), very long texts, extra columns with names that are used inside."""
+    long = make_text(5, 20_000)
+    rows = [(1, 1, None, "user", "q"), (1, 2, 1, "assistant", "b"), (1, 2, 1, "assistant", "a"), (1, None, 1, "assistant", "unnamed"), (1, None, 1, "assistant", "unnamed"), (2, None, None, "user", "alone"), (None, None, None, "user", "none"), (0, 7, None, "user", long), (-(1 << 63), 1, None, "user", "least")]
+    df = spark.createDataFrame([(*r, 0.0, 1, "x", 2) for r in rows], "tree_id long, node_id long, parent_id long, role string, text string, score double, step int, tree string, leaf int")
+    got = {(r["tree"], r["rank"]): [t["text"] for t in r["turns"]] for r in m.read_back(m.format_trees(df, 5)).collect()}
+    assert got == {(1, 1): ["q", "a"], (1, 2): ["q", "unnamed"], (1, 3): ["q", "unnamed"], (2, 1): ["alone"], (None, 1): ["none"], (0, 1): [long], (-(1 << 63), 1): ["least"]}
+
+
 def test_empty(spark):
     assert m.format_trees(spark.createDataFrame([], "tree_id long, node_id long, parent_id long, role string, text string, score double")).count() == 0
 
