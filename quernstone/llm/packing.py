@@ -191,7 +191,7 @@ def pack_items(items: DataFrame, sequence: int, items_per_task: int = ITEMS_PER_
             break
         items = packed.select(F.col("bin").alias("item"), F.col("fill").alias("length")).distinct().filter(F.col("length") < sequence)
         n, before = items.count(), n
-        if n > 0.9 * before or not n:
+        if n >= before or not n:
             break
     found = rounds[0]
     for later in rounds[1:]:

@@ -3,9 +3,10 @@
 Groups (rows of equal text) sorted by size enter the bin with the tightest remaining capacity, found in a balanced
 tree. To stay bounded at any input size this runs in two steps of the same kind:
 
-1. Tasks pack their share of the groups into crates of a fixed small capacity (a shard's capacity divided by
-   ``crates_per_shard``); each task keeps its open crates in a balanced tree.
-2. The crates, at most a fixed number whatever the input, enter the shards by the same rule.
+1. Tasks, as many as the rows need (``TASKS`` at most), pack their share of the groups into crates of a fixed small
+   capacity (a shard's capacity divided by ``crates_per_shard``); each task keeps its open crates in a balanced tree.
+2. The crates, at most two of each capacity and one more for each task whatever the input, enter the shards by the same
+   rule, at the smallest capacity of the shards that a search finds.
 
 A group over a crate's capacity is numbered in chunks so that no task gets all of it, but its chunks go to one shard.
 Only a group that is larger than a whole shard, and so fits no shard, is spread over several by whole rows.
@@ -24,7 +25,8 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 from .common import ship, stored, table
 
 CRATES_PER_SHARD = 512
-PACKING_TASKS = 64
+#: Rows for each packing task, and packing tasks at most.
+ROWS_PER_TASK, TASKS = 250_000, 4096
 
 
 class Remaining:
@@ -109,18 +111,24 @@ def best_fit(sizes: list[int], capacity: int) -> list[int]:
 
 
 def least_capacity(sizes: list[int], bins: int) -> tuple[int, list[int]]:
-    """The smallest capacity tried at which the sizes, in decreasing order, enter so many bins; the tries end within 1 part in 4096."""
+    """A capacity at which the sizes, in decreasing order, enter so many bins, and their bins: found by doubling steps, then by halving what lies between it and one that failed, to 1 part in 4096."""
     total = sum(sizes)
     low = max([-(-total // bins), *sizes[:1], 1])
-    step = max(1, low >> 12)
-    at = low
-    while max(got := best_fit(sizes, at), default=-1) >= bins:
-        at += step
-        step *= 2
+    fine = step = max(1, low >> 12)
+    fits = lambda got: max(got, default=-1) < bins
+    at, failed = low, low - 1
+    while not fits(got := best_fit(sizes, at)):
+        at, failed, step = at + step, at, step * 2
+    while at - failed > fine:
+        middle = (at + failed) // 2
+        if fits(now := best_fit(sizes, middle)):
+            at, got = middle, now
+        else:
+            failed = middle
     return at, got
 
 
-def crates(sizes: DataFrame, capacity: int) -> DataFrame:
+def crates(sizes: DataFrame, capacity: int, tasks: int) -> DataFrame:
     """(g, chunk, n, bytes) with a crate for each row of sizes: bins of the capacity, packed by each task on its own."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,7 +150,7 @@ def crates(sizes: DataFrame, capacity: int) -> DataFrame:
                 out.append(first + found[1])
             yield pdf.assign(crate=out)
 
-    ordered = sizes.repartition(PACKING_TASKS, "g", "chunk").sortWithinPartitions(F.desc("bytes"), "g", "chunk")
+    ordered = sizes.repartition(tasks, "g", "chunk").sortWithinPartitions(F.desc("bytes"), "g", "chunk")
     return ordered.mapInPandas(pack, "g binary, chunk int, n long, bytes long, crate long")
 
 
@@ -157,19 +165,20 @@ def shard(docs: DataFrame, shards: int = 40, group: Column | None = None, id_col
             (F.octet_length(text) + overhead).cast("long").alias("size"),
             F.crc32(text).alias("crc"),
             F.unhex(F.sha2(text if group is None else group.cast("string"), 256)).alias("g"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "shard-rows",
     )
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     full = max(1, -(-total // shards))
     small = max(1, full // crates_per_shard)
     groups = rows.groupBy("g").agg(F.sum("size").alias("bytes"))
     # Of groups over a crate's capacity there are at most shards * crates_per_shard, whatever the input.
     large = groups.filter(F.col("bytes") > small).select("g", F.ceil(F.col("bytes") / small).cast("int").alias("chunks"), (F.col("bytes") <= full).alias("tied"))
     large = stored(large, "shard-large")
-    placed = rows.join(F.broadcast(large), "g", "left").withColumn("chunk", F.when(F.col("chunks").isNull(), 0).otherwise(F.pmod(F.xxhash64("id", F.lit(7)), "chunks").cast("int")))
+    placed = rows.join(F.broadcast(large), "g", "left").withColumn("chunk", F.when(F.col("chunks").isNull(), 0).otherwise(F.pmod(F.xxhash64("row"), "chunks").cast("int")))
     units = placed.groupBy("g", "chunk").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
-    boxed = stored(crates(units, small), "shard-crates")
+    boxed = stored(crates(units, small, min(TASKS, max(1, -(-n // ROWS_PER_TASK)))), "shard-crates")
     tied = boxed.join(F.broadcast(large.filter("tied").select("g", F.lit(True).alias("tied"))), "g", "left")
     items = tied.groupBy("crate").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"), F.max(F.when(F.col("tied"), F.hex("g"))).alias("tie")).toPandas()
     # At most two crates of each capacity and one more for each task: no more rows than the parameters allow.
@@ -181,7 +190,7 @@ def shard(docs: DataFrame, shards: int = 40, group: Column | None = None, id_col
     items["base"] = items.groupby("shard")["n"].cumsum() - items["n"]
     where = spark.createDataFrame([(int(c), int(s), int(b)) for c, s, b in zip(items["crate"], items["shard"], items["base"])], "crate long, shard int, base long")
     found = placed.join(boxed.select("g", "chunk", "crate"), ["g", "chunk"])
-    order = Window.partitionBy("crate").orderBy("id", "crc", "size")
+    order = Window.partitionBy("crate").orderBy("id", "crc", "size", "row")
     return found.join(F.broadcast(where), "crate").select(
         F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", (F.row_number().over(order) - 1 + F.col("base")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )

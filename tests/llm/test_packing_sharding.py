@@ -1,8 +1,10 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quernstone.llm import packing as p, sharding as s
 
@@ -65,6 +67,52 @@ def test_sum_of_squares_is_near_the_bound():
     assert len(fill) <= -(-sum(sizes) // 2048) * 1.02
 
 
+def test_sum_of_squares_like_a_scan():
+    """Every open sequence that holds the piece is tried; the sum of squares decides, then the tightest."""
+    rng = random.Random(3)
+    for _ in range(20):
+        capacity = rng.choice([20, 64])
+        sizes = sorted((rng.randint(1, capacity) for _ in range(120)), reverse=True)
+        gaps, want = [], []
+        squares = lambda g: sum(c * c for v, c in Counter(g).items() if v)
+        for x in sizes:
+            tried = [(squares([*gaps[:i], g - x, *gaps[i + 1 :]]), g) for i, g in enumerate(gaps) if g >= x]
+            if tried:
+                i = next(i for i, g in enumerate(gaps) if g == min(tried)[1])
+                gaps[i] -= x
+            else:
+                gaps.append(capacity - x)
+            want.append(sorted(gaps))
+        bins, _, _ = p.sum_of_squares(sizes, capacity)
+        left = Counter()
+        for x, b, gaps in zip(sizes, bins, want):
+            left[b] += x
+            assert sorted(capacity - f for f in left.values()) == gaps
+
+
+def test_pieces_over_half_a_sequence_end_the_rounds(spark):
+    items = spark.createDataFrame([(i, 70 + i % 50) for i in range(300)], "item long, length long")
+    found = p.pack_items(items, 128, items_per_task=50).collect()
+    assert len({r["bin"] for r in found}) == len(found) == 300
+
+
+def test_capacity_is_near_the_least():
+    rng = random.Random(4)
+    sizes = sorted((rng.randint(1, 10_000) for _ in range(300)), reverse=True)
+    at, bins = s.least_capacity(sizes, 12)
+    assert max(bins) < 12 and at <= -(-sum(sizes) // 12) * (1 + 3 / 4096) + 1
+    assert s.least_capacity([7, 5, 5], 2)[0] == 10
+
+
+def test_sharding_of_rows_alike(spark):
+    """A third of the rows have no id and one text; columns have names that are used inside."""
+    rows = [(None, "same text", 1)] * 700 + [(i, f"text {i} " * (i % 9), 2) for i in range(1400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int").withColumns({"g": F.lit("x"), "size": F.lit(0), "chunk": F.lit(1)}).repartition(6)
+    found = s.shard(df, 6).collect()
+    sizes = check_shards(rows, found, 6)
+    assert max(sizes.values()) / min(sizes.values()) < 1.05
+
+
 def test_best_fit_like_a_scan():
     rng = random.Random(2)
     for _ in range(30):
