@@ -15,7 +15,8 @@ Largest inner product becomes least distance by one more component, sqrt(max nor
 
 Defined results: vectors that are null, zero, of another length than the most frequent (of several the longest), or hold null or non-finite
 components take no part, neither as query nor as candidate; equal scores go to the smaller id; rows of one id are one
-candidate (the best score counts); an empty table gives an empty result; with few vectors all are in one list.
+candidate (the best score counts), and query rows of one id are one query, that of the vectors which any of them is near
+to; an empty table gives an empty result; with few vectors all are in one list.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ weights.
 The model is fitted on a bounded sample, the ``sample`` training rows of least hash; scoring covers every whole text.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; with no training row every text is
-``und``; ties go to the language first in order; rows with repeated or null ids are scored like any other.
+``und``; ties go to the language first in order; rows with repeated or null ids are scored like any other; columns to
+keep may have any name but those of the result (ValueError).
 """
 
 from __future__ import annotations
@@ -129,6 +130,8 @@ def identify(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id
     """id, lang_pred, score of every row (and the columns ``keep``); learns from the rows that ``train`` admits."""
     spark = docs.sparkSession
     ship(spark)
+    if {"lang_pred", "score", id_col} & {*keep}:
+        raise ValueError(f"keep: {id_col}, lang_pred and score are columns of the result")
     model = model_of(docs if train is None else docs.filter(train), sample, landmarks, id_col, text_col, lang_col)
     shared = spark.sparkContext.broadcast(model)  # landmarks of 4 KB each and their weights
 

@@ -27,6 +27,8 @@ def test_language_odd_rows(spark, odd_docs):
     none = language_id.identify(odd_docs, F.lit(False)).collect()
     assert {r["lang_pred"] for r in none} == {"und"}
     assert language_id.identify(odd_docs.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        language_id.identify(odd_docs, keep=["score"])
 
 
 def test_language_of_long_texts(spark):
