@@ -113,15 +113,15 @@ def tokens(path: str) -> Tokens:
 
 
 class Kept(dict):
-    """Values of a function, kept for a bounded number of keys."""
+    """Values of a function, kept for the first so many keys: frequent ones come early."""
 
     def __init__(self, f: Callable) -> None:
         self.f = f
 
     def __missing__(self, key):
-        if len(self) >= KEPT_RUNS:
-            self.clear()
-        value = self[key] = self.f(key)
+        value = self.f(key)
+        if len(self) < KEPT_RUNS:
+            self[key] = value
         return value
 
 
