@@ -96,7 +96,8 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray | None:
         return None
     mean, scale = np.zeros(x.shape[1]), np.ones(x.shape[1])
     mean[:COUNTS], scale[:COUNTS] = x[:, :COUNTS].mean(axis=0), np.maximum(x[:, :COUNTS].std(axis=0), 1e-9)
-    z = np.c_[(x - mean) / scale, np.ones(len(x))].astype(np.float32)
+    z = np.ones((len(x), x.shape[1] + 1), dtype=np.float32)
+    np.divide(np.subtract(x, mean.astype(np.float32), out=z[:, :-1]), scale.astype(np.float32), out=z[:, :-1])
     penalty = np.r_[np.full(COUNTS, RIDGE), np.full(x.shape[1] - COUNTS, WORD_RIDGE), 1e-3]
     times = lambda v: (z @ v.astype(np.float32)).astype(np.float64)
     back = lambda v: (v.astype(np.float32) @ z).astype(np.float64)
@@ -135,11 +136,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
             yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("y"), pa.array(found, pa.binary())], ["h", "y", "x"])
 
     got = rows.select(F.xxhash64("id").alias("h"), "y", "m.text").mapInArrow(look, "h long, y double, x binary").collect()
-    x = np.zeros((len(got), COUNTS + BUCKETS), dtype=np.float32)
-    for k, r in enumerate(sorted(got, key=lambda r: r["h"])):
+    got.sort(key=lambda r: r["h"])
+    x, y = np.zeros((len(got), COUNTS + BUCKETS), dtype=np.float32), np.array([r["y"] for r in got])
+    for k, r in enumerate(got):
         n = len(r["x"]) // 6
         x[k, np.frombuffer(r["x"], "<u2", n)] = np.frombuffer(r["x"], "<f4", n, 2 * n)
-    return fit(x, np.array([r["y"] for r in sorted(got, key=lambda r: r["h"])]))
+    got.clear()
+    return fit(x, y)
 
 
 def evidence(docs: DataFrame, weights: np.ndarray | None, text_col: str = "_text") -> DataFrame:
