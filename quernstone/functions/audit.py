@@ -9,7 +9,7 @@ import unicodedata
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .chars import ARABIC_EXTENDED, SPACE, replace, trim
 from .guards import ECHO, NUMBER, foreign_letter, repeated_fragment
@@ -34,6 +34,7 @@ class Profile:
     script: str = ARABIC_EXTENDED
     least: int = 2
     stop: tuple[str, ...] = ()
+    #: Suffixes of the later profiles.
     suffixes: tuple[str, ...] = ("ها", "های", "هایی", "تر", "ترین", "ام", "ات", "اش", "مان", "تان", "شان")
     contained_from: int = 4
     over_smaller: bool = True  # matched over the smaller set, 1 if either is empty; or over the first, 1 if it is empty
@@ -43,6 +44,8 @@ class Profile:
 
 #: Stop words of the gate's profile, and what the longer one adds.
 STOP = tuple("از به در با را که و یا این آن یک برای تا اما اگر چون روی زیر بعد قبل خود شده شود کرد کرده می ما من تو او شما آنها ایشان است بود هست نیست چه فقط هم هر خیلی باید شاید درباره مورد متن".split())
+#: Stop words of the first audit.
+STOP_FIRST = tuple("این آن اون یک یه برای از به با در روی زیر تا که و یا اما ولی اگر اگه چون هم را رو من ما تو شما او ایشان خود خودم خودش همه هر هیچ خیلی فقط هنوز دیگر دوباره امروز فردا دیروز حالا بعد قبل وقت شد شده بود بوده است هست نیست شود کرد کرده کنم کنید کنه میخوام میخواهم باید میشه میشود میتوان لطفا خواهشمند درخواست اطلاع استحضار".split())
 PROFILES = {
     "gate": Profile(stop=STOP),
     "v4": Profile(),
@@ -60,7 +63,11 @@ def tokens(text: Column, profile: Profile) -> Column:
     return F.array_distinct(kept)
 
 
-def stem(token: Column, suffixes: tuple[str, ...] = ("ترین", "هایی", "های", "ها", "شان", "مان", "تان", "ان", "ات", "تر")) -> Column:
+#: Suffixes in the order in which the first audit tries them.
+STEM_SUFFIXES = ("ترین", "هایی", "های", "ها", "شان", "مان", "تان", "ان", "ات", "تر")
+
+
+def stem(token: Column, suffixes: tuple[str, ...] = STEM_SUFFIXES) -> Column:
     """Without a verbal prefix, and without the first suffix in order that leaves more than three letters."""
     t = replace(token, r"\A(ن?می)", "")
     chain = F.when(F.lit(False), t)
@@ -69,7 +76,7 @@ def stem(token: Column, suffixes: tuple[str, ...] = ("ترین", "هایی", "ه
     return chain.otherwise(t)
 
 
-def audit_tokens(text: Column, stop: tuple[str, ...] = STOP) -> Column:
+def audit_tokens(text: Column, stop: tuple[str, ...] = STOP_FIRST) -> Column:
     words = F.filter(F.split(audit_normal(text), rf"{SPACE}+"), lambda t: (F.length(t) >= 3) & ~t.isin(*stop))
     return F.array_distinct(F.filter(F.transform(words, lambda t: stem(t)), lambda t: F.length(t) >= 3))
 
@@ -87,6 +94,15 @@ def overlap(before: Column, output: Column, profile: Profile) -> Column:
     return overlap_of(tokens(before, profile), tokens(output, profile), profile.contained_from, profile.over_smaller)
 
 
+def with_audit_overlap(rows: DataFrame, before: str, output: str, name: str = "overlap") -> DataFrame:
+    """Adds the first audit's overlap: its own tokens, over the input's, parts of words from five places on.
+
+    Tokens are columns of their own, since a function over them can't hold the Python function that composes them.
+    """
+    cut = rows.withColumns({"_a": audit_tokens(F.col(before)), "_b": audit_tokens(F.col(output))})
+    return cut.withColumn(name, overlap_of(F.col("_a"), F.col("_b"), 5, False)).drop("_a", "_b")
+
+
 def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, rf"(?<=[.!؟!]){SPACE}+"), trim), lambda s: F.length(s) > 0)
 
@@ -105,14 +121,45 @@ def length_ratio(before: Column, output: Column) -> Column:
     return F.length(output) / F.greatest(F.lit(1), F.length(before))
 
 
-def negation_lost(before: Column, output: Column, pattern: str = r"(^|\s)(نه|هیچ|نیست|نبود|نشد|نمی|بدون|فاقد|عدم)") -> Column:
-    return before.rlike(pattern) & ~output.rlike(pattern)
+#: Fixed value: words and beginnings that negate, sought in normalised text.
+NEGATION = r"(^|\s)(نه|هیچ|نیست|نبود|نشد|نشده|ندار|نخواه|نمی|نتوان|فاقد|عدم|بدون|بیرون|بی‌آنکه|بی‌هیچ|نرسید|نکرد|نرفت|نگرفت|نماند|نیامد|نداد|نگفت|نپذیرفت|نخواند|نپرسید|نچرخید|نزد|ناقص|ناموفق|نامناسب|محدود|متوقف|لغو|رد|حذف|کسر|اختلال|معیوب|خطا|اشتباه|بسته|تمام|منقضی|بازماند|دریغ|خالی|سکوت|سرگردان|بپرهیز|خودداری|صرفاً|تنها|اولویت)"
+
+
+def negation_lost(before: Column, output: Column, pattern: str = NEGATION) -> Column:
+    return audit_normal(before).rlike(pattern) & ~audit_normal(output).rlike(pattern)
+
+
+#: Colloquial tokens that don't belong in formal registers, and these.
+COLLOQUIAL = r"می‌خوام|نمی‌خوام|می‌تون|نمی‌تون|اگه|واسه|(^|\s)یه\s|خونه|بگید|کنسل|اوکی|(^|\s)رو(\s|$)"
+FORMAL_MODES = ("rasmi", "daneshgahi", "edari")
+
+
+def colloquial_in_formal(mode: Column, output: Column) -> Column:
+    return mode.isin(*FORMAL_MODES) & output.rlike(COLLOQUIAL)
+
+
+def coverage(before: Column, output: Column, least: float = 0.45, most: float = 2.4) -> Column:
+    """Which bound of the lengths' ratio an output breaks, or an empty string."""
+    return F.when(F.length(output) < F.length(before) * least, "short").when(F.length(output) > F.length(before) * most, "long").otherwise("")
+
+
+def sentence_bounds(before: Column, output: Column) -> Column:
+    """array: 'long-input' for an input outside 3 to 8 sentences, 'coverage' for an output under three."""
+    n = lambda x: F.size(sentences(x))
+    return F.filter(F.array(F.when(~n(before).between(3, 8), "long-input"), F.when(n(output) < 3, "coverage")), lambda x: x.isNotNull())
 
 
 #: What makes an input a trap.
 TRAPS = {"meta": r"\Aاین چند جمله رو", "mixed_script": "[A-Za-z]", "ambiguous": "همون قبلی", "refusal": "نمی‌تونم مسئولیت", "nested": "می‌خوام اول .* بعد .*؛ اگر"}
 
 
+def trap_counts(rows: DataFrame, by: str, before: Column, least: int = 20) -> DataFrame:
+    """(by, trap, n, too_few): inputs of each kind of trap in each group."""
+    counts = rows.groupBy(by).agg(*(F.count_if(before.rlike(p)).alias(k) for k, p in TRAPS.items()))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("trap"), F.col(k).alias("n")) for k in TRAPS))).alias("t")
+    return counts.select(by, each).select(by, "t.trap", "t.n", (F.col("t.n") < least).alias("too_few"))
+
+
 def marked(output: Column, marker: Column, poetry: Column) -> Column:
     """The register's marker occurs; poetry may show by its form instead: more lines than one, or two marks in a line."""
     return F.coalesce(output.rlike(marker) if isinstance(marker, str) else F.regexp_like(output, marker), F.lit(False)) | (poetry & (F.contains(output, F.lit("\n")) | output.rlike("[؛،].*[؛،]")))

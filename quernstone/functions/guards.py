@@ -17,6 +17,13 @@ ECHO = {
     "v2": "از نو بساز|بازسازی کن|توضیح نده|یک ویراستار حرفه‌ای باش|متن را به زبان .* بازنویسی کن",
     "v4": "متن را به زبان|بازنویسی کن|یک ویراستار حرفه‌ای|ویرایشگر حرفه‌ای|توضیح نده|فقط متن نهایی",
     "edit": "برگردان؛ توضیح نده|قوانین اکید|فقط متن بازنویسی‌شده را برگردان",
+    "v1": "از نو بساز|بازسازی کن|توضیح نده|فقط متن (بازنویسی|ویرایش|اصلاح)[‌\\- ]?شده|متن را به زبان .* بازنویسی کن|یک ویراستار حرفه‌ای باش|متن (اصلی|موردنظر|ارسالی) را .* (بفرست|ارسال)|برای (ویرایش|بازنویسی) به من",
+    "v3": "این چند جمله رو|متن اصلی رو بفرستم|بازنویسی کن|متن را به زبان|یک ویراستار حرفه‌ای|توضیح نده|[Pp][Ll][Aa][Cc][Ee][Hh][Oo][Ll][Dd][Ee][Rr]",
+}
+#: What each version of the quarantine calls its reasons, in order.
+REASONS = {
+    "v2": ["no Persian output", None, "ASCII digit in output", "prompt echo", "placeholder output", "repeated long fragment", "extreme output length"],
+    "v3": ["no Persian output", "foreign-script letter", "ASCII digit", "prompt echo", "placeholder", "repetition", "extreme expansion"],
 }
 #: Replies that dodge the edit, and template placeholders.
 DODGES = [
@@ -111,23 +118,25 @@ def repeated_fragment(text: Column, least: int) -> Column:
     return F.coalesce(found(text), F.lit(False))
 
 
-def poison_reason(output: Column, before: Column, least: int = 12, native: str = ARABIC_EXTENDED, fragments: bool = True) -> Column:
-    """The first reason to quarantine a training record; a native script other than Persian can be given."""
+def poison_reason(output: Column, before: Column, least: int | None = None, native: str = ARABIC_EXTENDED, version: str = "v2") -> Column:
+    """The first reason to quarantine a training record; a native script other than Persian can be given.
+
+    Version v3 has other names, doesn't say which letter is foreign, and looks for fragments of 16 places instead of 12.
+    """
     letter = foreign_letter(output, native)
-    cases = [
-        (~output.rlike(f"[{native}]"), "no Persian output"),
-        (letter != "", F.concat(F.lit('foreign-script letter "'), letter, F.lit('"'))),
-        (output.rlike("[0-9]"), "ASCII digit in output"),
-        (output.rlike(ECHO["v2"]), "prompt echo"),
-        (output.rlike(PLACEHOLDER), "placeholder output"),
-    ]
-    if fragments:
-        cases.append((repeated_fragment(output, least), "repeated long fragment"))
-    cases.append((F.length(output) > F.greatest(F.lit(600), F.length(before) * 6), "extreme output length"))
-    return first_of(*cases)
+    none, foreign, digit, echo, placeholder, repeated, long = REASONS[version]
+    return first_of(
+        (~output.rlike(f"[{native}]"), none),
+        (letter != "", foreign or F.concat(F.lit('foreign-script letter "'), letter, F.lit('"'))),
+        (output.rlike("[0-9]"), digit),
+        (output.rlike(ECHO["v2"]), echo),
+        (output.rlike(PLACEHOLDER), placeholder),
+        (repeated_fragment(output, least or (12 if version == "v2" else 16)), repeated),
+        (F.length(output) > F.greatest(F.lit(600), F.length(before) * 6), long),
+    )
 
 
-def reject_reason(output: Column, before: Column, correction: Column, overlap: Column, least: int = 16, native: str = ARABIC_EXTENDED, fragments: bool = True) -> Column:
+def reject_reason(output: Column, before: Column, correction: Column, overlap: Column, least: int = 16, native: str = ARABIC_EXTENDED) -> Column:
     """The stricter ordered reasons, with the measure of common tokens given."""
     ratio = F.length(output) / F.greatest(F.lit(1), F.length(before))
     cases = [
@@ -139,9 +148,8 @@ def reject_reason(output: Column, before: Column, correction: Column, overlap: C
         (~numbers_kept(before, output), "lost-number"),
         (overlap < 0.14, "weak-meaning-anchor"),
         ((ratio < 0.2) | (ratio > 4), "extreme-length-change"),
+        (repeated_fragment(output, least), "repetition"),
     ]
-    if fragments:
-        cases.append((repeated_fragment(output, least), "repetition"))
     return first_of(*cases)
 
 
@@ -288,5 +296,45 @@ def judge_prompt(before: Column, reference: Column, candidate: Column, vote: Col
     return F.concat_ws("\n\n", angle, F.concat(F.lit("INPUT: "), before), F.concat(F.lit("REFERENCE: "), reference), F.concat(F.lit("CANDIDATE: "), candidate))
 
 
-def token_budget(text: Column, factor: float = 3.0, least: int = 256, most: int = 4096) -> Column:
-    return F.least(F.lit(most), F.greatest(F.lit(least), F.ceil(F.length(text) * factor))).cast("int")
+def echoes(output: Column, version: str, instruction: Column | None = None) -> Column:
+    """Whether an instruction shows in the output: by a version's phrases, by a placeholder in v1, or by the first 24 code points of the instruction."""
+    found = output.rlike(ECHO[version])
+    if version == "v1":
+        found = found | output.rlike(PLACEHOLDER)
+    return found if instruction is None else found | F.contains(output, F.substring(instruction, 1, 24))
+
+
+#: Fixed value: letters that a clean row has none of.
+UNCLEAN = r"[A-Za-z\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{0E00}-\x{0E7F}\x{0900}-\x{097F}\x{0400}-\x{04FF}]"
+
+
+def clean_pair(before: Column, output: Column) -> Column:
+    return ~before.rlike(UNCLEAN) & ~output.rlike(UNCLEAN)
+
+
+def voice_positive(before: Column, output: Column, voiced: Column) -> Column:
+    """A clean pair in its register's voice that keeps its numbers."""
+    return clean_pair(before, output) & voiced & numbers_kept(before, output)
+
+
+def needs_regeneration(mode: Column, voiced: Column, required: list[str]) -> Column:
+    return mode.isin(*required) & ~voiced
+
+
+def seed_fits(text: Column, least: int = 8, most: int = 400) -> Column:
+    """Whether a seed has a fitting length after its cleanup."""
+    return F.length(clean_seed(text)).between(least, most)
+
+
+def fold_prompt(system: Column, user: Column) -> Column:
+    """Fixed value: the template of the model that is evaluated, whose system text is part of the user's turn."""
+    return F.concat(F.lit("<start_of_turn>user\n"), system, F.lit("\n\n"), user, F.lit("<end_of_turn>\n<start_of_turn>model\n"))
+
+
+#: Tokens for each word, tokens besides, least and most, by service.
+BUDGETS = {"online": (8, 512, 2048, 8192), "hosted": (4, 120, 256, 4096), "browser": (3, 60, 240, 420)}
+
+
+def token_budget(text: Column, service: str = "online") -> Column:
+    factor, more, least, most = BUDGETS[service]
+    return F.least(F.lit(most), F.greatest(F.lit(least), word_count(trim(text)) * factor + more)).cast("int")

@@ -6,6 +6,8 @@ replacement has to handle: keys of several words, prefixed verbs, and values tha
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+
 from .chars import ZWNJ
 
 Lexicon = list[tuple[str, str]]
@@ -36,6 +38,21 @@ def merged(*parts: Lexicon) -> Lexicon:
     return list(out.items())
 
 
+#: Entries that a query's lexicons hold, at most: each is a pass over the texts that it occurs in.
+MOST_ENTRIES = 5_000
+
+
+def from_table(rows: DataFrame) -> dict[str, Lexicon]:
+    """Lexicons by register from a table (register, pos, k, v): a dimension of at most MOST_ENTRIES rows, refused if larger."""
+    found = rows.select("register", "pos", "k", "v").orderBy("register", "pos").limit(MOST_ENTRIES + 1).collect()
+    if len(found) > MOST_ENTRIES:
+        raise ValueError(f"more than {MOST_ENTRIES} lexicon entries")
+    out: dict[str, Lexicon] = {}
+    for r in found:
+        out.setdefault(r["register"], []).append((r["k"], r["v"]))
+    return {register: merged(entries) for register, entries in out.items()}
+
+
 def with_joined_prefixes(lexicon: Lexicon, prefixes: tuple[str, ...] = ("نمی", "می")) -> Lexicon:
     """Adds the half-space spelling of every key that starts with a verbal prefix; it overrides an entry of that key."""
     out = dict(lexicon)

@@ -77,9 +77,10 @@ def _entries(entries: lx.Lexicon) -> list[tuple[str, str]]:
 def replace_words(text: Column, entries: lx.Lexicon) -> Column:
     """Whole words, one pass for each entry, longest key first, so later passes see what earlier ones wrote.
 
-    Each pass has a literal pattern, which Spark compiles once.
+    Each pass has a literal pattern, which Spark compiles once. A text without any of the keys, found by one pass, takes no other.
     """
-    return reduce(lambda t, e: replace(t, *e), _entries(entries), text)
+    passes = reduce(lambda t, e: replace(t, *e), _entries(entries), text)
+    return F.when(replaces_any(text, entries), passes).otherwise(text) if entries else text
 
 
 def replaced_words(text: Column, entries: lx.Lexicon) -> Column:

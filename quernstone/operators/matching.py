@@ -63,6 +63,46 @@ def with_latest(rows: DataFrame, log: DataFrame, key: str, order: str, value: st
     return rows.join(last, key, "left").withColumn("updated", F.col("_new").isNotNull()).withColumn(value, F.coalesce("_new", F.col(value))).drop("_new")
 
 
+def update_outputs(rows: DataFrame, log: DataFrame, order: str, key: str = "key", status: str = "ok") -> DataFrame:
+    """Output and the assistant's message of each record replaced by the last log row of its key among those of the status."""
+    new = with_latest(rows, log.filter(F.col("status") == status).select(key, order, "output"), key, order, "output")
+    if "messages" not in rows.columns:
+        return new
+    swapped = F.transform("messages", lambda m, i: F.when(i == 1, m.withField("content", F.col("output"))).otherwise(m))
+    return new.withColumn("messages", F.when(F.col("updated"), swapped).otherwise(F.col("messages")))
+
+
+def with_fallbacks(references: DataFrame, candidates: DataFrame, key: str = "key") -> DataFrame:
+    """key, mode, input, reference, candidate: each the first of its columns that is not null, on either side; missing columns count as null.
+
+    A reference without a candidate, differing inputs and an empty text are refused.
+    """
+    has = lambda df, c, side: df[c].alias(f"{side}_{c}") if c in df.columns else F.lit(None).cast("string").alias(f"{side}_{c}")
+    left = references.select(key, *(has(references, c, "r") for c in ("mode", "input", "reference", "output")))
+    right = candidates.select(key, *(has(candidates, c, "c") for c in ("mode", "input", "candidate", "output")))
+    assert_none(left.join(right, key, "left_anti").select(key), "no candidate")
+    both = left.join(right, key)
+    full = lambda c: F.length(F.coalesce(c, F.lit(""))) > 0
+    assert_none(both.filter(full("r_input") & full("c_input") & (F.col("r_input") != F.col("c_input"))).select(key), "input differs")
+    chosen = both.select(key, F.coalesce("r_mode", "c_mode", F.lit("unknown")).alias("mode"), F.coalesce("r_input", "c_input", F.lit("")).alias("input"), F.coalesce("r_reference", "r_output", F.lit("")).alias("reference"), F.coalesce("c_candidate", "c_output", F.lit("")).alias("candidate"))
+    assert_none(chosen.filter("input = '' OR reference = '' OR candidate = ''").select(key), "missing text")
+    return chosen
+
+
+def without_ids(entries: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
+    """Entries but those deleted."""
+    return entries.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def cleared(entries: DataFrame) -> DataFrame:
+    return entries.limit(0)
+
+
+def in_categories(rows: DataFrame, categories: DataFrame, mode: str = "mode") -> DataFrame:
+    """Rows beside each category (category, mode) that their mode belongs to; the table of categories is a dimension."""
+    return rows.join(F.broadcast(categories.select(F.col("mode").alias("_m"), "category")), F.col(mode) == F.col("_m")).drop("_m")
+
+
 def paired_by_hash(lessons: DataFrame, base: DataFrame, key: str, seed: int = 7) -> DataFrame:
     """Each lesson meets one base row, chosen by a hash of its key; positions on the base side make it an equi-join."""
     from .selection import with_positions

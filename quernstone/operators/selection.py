@@ -8,33 +8,91 @@ from quernstone.functions.audit import stable_hash
 from quernstone.tables import stored
 
 
-def first_wins(rows: DataFrame, keys: list[str], order: list[Column | str]) -> tuple[DataFrame, DataFrame]:
-    """Of rows with equal keys the first in order stays; the second result is the log of those removed."""
-    numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return numbered.filter("_n = 1").drop("_n"), numbered.filter("_n > 1").drop("_n")
+#: Keys that occur more than once are broadcast up to this many; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
-def repeated(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
+def key_digest(keys: list[str]) -> Column:
+    """32 bytes that tell apart the values of the key columns, nulls too."""
+    part = lambda c: F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-"))
+    return F.unhex(F.sha2(F.concat(*(part(F.col(k)) for k in keys)), 256))
+
+
+def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Of rows with equal keys the first in order stays; the second result is the log of those removed.
+
+    Keys are counted by their digests, combined within map tasks; only rows whose key occurs again are looked at further,
+    so a very common key fills no task.
+    """
+    marked = rows.withColumns({"_d": key_digest(keys), "_o": F.struct(*order)})
+    again = marked.groupBy("_d").agg(F.count("*").alias("_n"), F.min("_o").alias("_first")).filter("_n > 1").drop("_n")
+    again = stored(again, "repeated")
+    side = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+    joined = marked.join(side, "_d", "left")
+    alone, won = F.col("_first").isNull(), F.col("_o").eqNullSafe(F.col("_first"))
+    # Rows alike in keys and order: any one of them stays.
+    winners = joined.filter(~alone & won).withColumn("_n", F.row_number().over(Window.partitionBy("_d").orderBy("_o")))
+    kept = joined.filter(alone).unionByName(winners.filter("_n = 1").drop("_n"))
+    removed = joined.filter(~alone & ~won).unionByName(winners.filter("_n > 1").drop("_n"))
+    return kept.select(rows.columns), removed.select(rows.columns)
+
+
+def repeated(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The second and later occurrences."""
     return first_wins(rows, keys, order)[1]
 
 
+def placed_within(rows: DataFrame, by: str, order: list[str], rank: str = "position") -> DataFrame:
+    """Adds a gapless rank from 1 within each value of ``by``: range partitions by (by, order), counts of earlier partitions, ranks within.
+
+    A value of ``by`` is dealt to as many tasks as its rows need.
+    """
+    spread = rows.repartitionByRange(by, *order).sortWithinPartitions(by, *order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    spread = stored(spread, "ranks")  # ranges are sampled, so a second run could draw them elsewhere
+    counts = spread.groupBy(F.col("_p").alias("_q"), F.col(by).alias("_value")).agg(F.count("*").alias("_c"), F.min("_i").alias("_first"))
+    # A row for each value and partition that holds some of it.
+    before = F.sum("_c").over(Window.partitionBy("_value").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1))
+    counts = stored(counts.select("_q", "_value", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift")), "counts")
+    side = F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts
+    placed = spread.join(side, (F.col("_p") == F.col("_q")) & F.col(by).eqNullSafe(F.col("_value")))
+    return placed.withColumn(rank, F.col("_i") + 1 + F.col("_shift")).select(*rows.columns, rank)
+
+
+def split_by_hash(rows: DataFrame, by: str, hash_col: str, key: str, share: float = 0.10) -> DataFrame:
+    """Adds split: in each stratum the first round(share * n) rows by (hash, key) are 'valid', the rest 'train'; rows alike in both go together.
+
+    Only stratum, hash and key are ranked; what comes back is one bound for each stratum.
+    """
+    narrow = rows.select(F.col(by).alias("_s"), F.col(hash_col).alias("_h"), F.col(key).alias("_k"))
+    placed = placed_within(narrow, "_s", ["_h", "_k"], "_n")
+    sizes = narrow.groupBy(F.col("_s").alias("_stratum")).agg(F.floor(F.count("*") * F.lit(share) + 0.5).alias("_last"))
+    bounds = placed.join(sizes, F.col("_s").eqNullSafe(F.col("_stratum")) & (F.col("_n") == F.col("_last"))).select("_stratum", F.struct("_h", "_k").alias("_bound"))
+    bounds = stored(bounds, "bounds")
+    side = F.broadcast(bounds) if bounds.count() <= BROADCAST_ROWS else bounds
+    within = F.struct(F.col(hash_col).alias("_h"), F.col(key).alias("_k")) <= F.col("_bound")
+    joined = rows.join(side, F.col(by).eqNullSafe(F.col("_stratum")), "left")
+    return joined.withColumn("split", F.when(within, "valid").otherwise("train")).select(*rows.columns, "split")
+
+
 def stratified_split(rows: DataFrame, by: str, key: Column, text: Column, share: float = 0.10) -> DataFrame:
-    """Adds split: in each stratum the first round(share * n) rows by stable hash are 'valid', the rest 'train'."""
-    hashed = rows.withColumn("_h", stable_hash(key, text)).withColumn("_k", key)
-    n = F.count("*").over(Window.partitionBy(by))
-    rank = F.row_number().over(Window.partitionBy(by).orderBy("_h", "_k"))
-    return hashed.withColumn("split", F.when(rank <= F.floor(n * F.lit(share) + 0.5), "valid").otherwise("train")).drop("_h", "_k")
+    """split_by_hash over the stable hash of key and text."""
+    hashed = stored(rows.withColumns({"_stable": stable_hash(key, text), "_key": key}), "hashed")
+    return split_by_hash(hashed, by, "_stable", "_key", share).drop("_stable", "_key")
 
 
-def interleave(rows: DataFrame, modes: DataFrame, by: str, key: Column, text: Column) -> DataFrame:
-    """Round-robin over modes (mode, position): adds round and mode_position; rows of other modes go, explicitly.
+def interleave_by_hash(rows: DataFrame, modes: DataFrame, by: str, hash_col: str, key: str) -> DataFrame:
+    """Round-robin over modes (mode, position) by (hash, key): adds round and mode_position; rows of other modes go, explicitly.
 
     The order (round, mode_position) is total; no global sort is needed until something is written.
     """
-    order = Window.partitionBy(by).orderBy(stable_hash(key, text), key)
     known = rows.join(F.broadcast(modes.select(F.col("mode").alias("_mode"), F.col("position").alias("mode_position"))), F.col(by) == F.col("_mode")).drop("_mode")
-    return known.withColumn("round", F.row_number().over(order).cast("long"))
+    return placed_within(known, by, [hash_col, key], "round")
+
+
+def interleave(rows: DataFrame, modes: DataFrame, by: str, key: Column, text: Column) -> DataFrame:
+    """interleave_by_hash over the stable hash of key and text."""
+    hashed = stored(rows.withColumns({"_stable": stable_hash(key, text), "_key": key}), "hashed")  # ranges are sampled: don't hash twice
+    return interleave_by_hash(hashed, modes, by, "_stable", "_key").drop("_stable", "_key")
 
 
 def replicate(rows: DataFrame, weight: Column) -> DataFrame:
@@ -54,14 +112,15 @@ def boost(rows: DataFrame, key: str, weight: Column, suffix: str = "-v") -> Data
 
 
 def systematic_sample(rows: DataFrame, order: str, size: int) -> DataFrame:
-    """Every floor(n / size)-th row by an indexed order, then the first ``size`` of them; adds position from 1.
+    """Every floor(n / size)-th row by an indexed order, then the first ``size`` of them; adds position and sample_no, both from 1.
 
     Positions come from counts of ranges, so no task sees all rows.
     """
     placed = with_positions(rows, order)
     n = placed.count()
     step = max(1, n // size)
-    return placed.filter((F.col("position") - 1) % step == 0).filter(F.col("position") <= step * size)
+    some = placed.filter((F.col("position") - 1) % step == 0).filter(F.col("position") <= step * size)
+    return some.withColumn("sample_no", F.floor((F.col("position") - 1) / step) + 1)
 
 
 def with_positions(rows: DataFrame, order: str) -> DataFrame:
@@ -74,11 +133,20 @@ def with_positions(rows: DataFrame, order: str) -> DataFrame:
     return spread.join(F.broadcast(before), "_p").withColumn("position", F.col("_i") + 1 + F.col("_before")).drop("_p", "_i", "_before")
 
 
-def head_tail(rows: DataFrame, head: int, position: str = "position") -> DataFrame:
-    """Adds split: the first ``head`` positions are 'valid'."""
+def head_tail(rows: DataFrame, head: int, position: str = "sample_no") -> DataFrame:
+    """Adds split: the first ``head`` of a sample are 'valid'."""
     return rows.withColumn("split", F.when(F.col(position) <= head, "valid").otherwise("train"))
 
 
+def holdout(rows: DataFrame, key: str, test: DataFrame, valid: DataFrame) -> DataFrame:
+    """Adds split by the source id, the last part of a key: 'test' or 'valid' where these tables (id) hold it, test first; else 'train'."""
+    held = test.select(F.col("id"), F.lit("test").alias("_split")).unionByName(valid.select("id", F.lit("valid").alias("_split"))).groupBy("id").agg(F.min("_split").alias("_split"))
+    held = stored(held, "held")
+    side = F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
+    joined = rows.withColumn("id", F.element_at(F.split(key, r"\|"), -1)).join(side, "id", "left")
+    return joined.withColumn("split", F.coalesce("_split", F.lit("train"))).select(*rows.columns, "split")
+
+
 def limit_per_group(rows: DataFrame, by: str, order: list[Column | str], n: int) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")
 
@@ -105,5 +173,5 @@ def window_of(rows: DataFrame, order: str, start: int, limit: int) -> DataFrame:
 
 def expected_keys(rows: DataFrame, by: str, order: str, prefix: str, width: int = 3) -> DataFrame:
     """Adds expected_key: prefix, number within the mode, and the mode."""
-    n = F.row_number().over(Window.partitionBy(by).orderBy(order))
-    return rows.withColumn("expected_key", F.concat(F.lit(prefix), padded(n, width), F.lit("|"), F.col(by)))
+    placed = placed_within(rows, by, [order], "_n")
+    return placed.withColumn("expected_key", F.concat(F.lit(prefix), padded(F.col("_n"), width), F.lit("|"), F.col(by))).drop("_n")

@@ -84,6 +84,18 @@ def sentence_frequency(rows: DataFrame, sentences: Column) -> DataFrame:
     return rows.select(F.explode(sentences).alias("sentence")).groupBy("sentence").agg(F.count("*").alias("n"))
 
 
+def distinct_counts(rows: DataFrame, columns: list[str], sentences: dict[str, Column] | None = None) -> DataFrame:
+    """One row: the exact number of distinct values of each column, and of distinct sentences and their highest count.
+
+    Values are told apart by SHA-256, so whole texts don't move.
+    """
+    one = rows.agg(*(F.countDistinct(F.sha2(F.col(c).cast("string"), 256)).alias(f"unique_{c}") for c in columns))
+    for name, s in (sentences or {}).items():
+        counted = rows.select(F.explode(F.transform(s, lambda x: F.sha2(x, 256))).alias("s")).groupBy("s").agg(F.count("*").alias("n"))
+        one = one.join(F.broadcast(counted.agg(F.count("*").alias(f"unique_{name}"), F.coalesce(F.max("n"), F.lit(0)).alias(f"max_{name}"))))  # a row beside a row
+    return one
+
+
 def categories_by_key(flags: DataFrame) -> DataFrame:
     return flags.groupBy("key").agg(F.array_sort(F.collect_set("category")).alias("categories"))
 
@@ -94,18 +106,22 @@ def expectation_flags(counts: DataFrame, expected: DataFrame, by: str = "mode")
     return both.filter(F.col("n") != F.col("expected")).select(by, "n", "expected")
 
 
-def order_digest(rows: DataFrame, position: str, line: Column) -> DataFrame:
-    """One digest of all rows that depends on their order, in bounded memory.
+def order_digests(rows: DataFrame, by: str, position: str, digest: str, levels: int = 4) -> DataFrame:
+    """(by, digest): one digest of the rows' digests of each value of ``by`` that depends on their positions (gapless from 1 within it), in bounded memory.
 
-    Each row's digest covers its position and line; blocks of positions are digested, then the blocks, level by level.
+    Blocks of 1,024 digests in a row are joined and digested, then the blocks, so many times; four levels hold 10 ** 12 rows.
     """
-    level = rows.select(F.col(position).cast("long").alias("p"), F.sha2(F.concat(F.col(position).cast("string"), F.lit("\n"), line), 256).alias("d"))
-    while True:
-        level = level.groupBy(F.floor((F.col("p") - 1) / 1024).alias("b")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), ""), 256).alias("d"))
-        level = stored(level.select((F.col("b") + 1).alias("p"), "d"), "digests")
-        n = level.count()
-        if n <= 1:
-            return level.select(F.col("d").alias("digest"))
+    level = rows.select(by, F.col(position).cast("long").alias("_n"), F.col(digest).alias("digest"))
+    for _ in range(levels):
+        blocks = level.groupBy(by, F.floor((F.col("_n") - 1) / 1024).alias("_b")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "digest"))), lambda x: x["digest"]), ""), 256).alias("digest"))
+        level = blocks.select(by, (F.col("_b") + 1).alias("_n"), "digest")
+    return level.select(by, "digest")
+
+
+def order_digest(rows: DataFrame, position: str, line: Column) -> DataFrame:
+    """One digest of all rows that depends on their order, in bounded memory."""
+    own = rows.select(F.lit(0).alias("all"), F.col(position).alias("n"), F.sha2(F.concat(F.col(position).cast("string"), F.lit("\n"), line), 256).alias("d"))
+    return order_digests(own, "all", "n", "d").select("digest")
 
 
 def progress(rows: DataFrame, most: int = 99) -> DataFrame:

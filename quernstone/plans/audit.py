@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from quernstone.functions import audit as q
-from quernstone.functions.guards import ECHO, foreign_letter, numbers_kept, repeated_fragment
+from quernstone.functions.guards import echoes, foreign_letter, numbers_kept, repeated_fragment
 from quernstone.functions.chars import trim
 from quernstone.operators import matching, selection, summary
 
@@ -17,7 +17,7 @@ def flags_of(records: DataFrame, modes: DataFrame, profile: q.Profile, fragments
 
     Repeated keys, inputs and outputs are flagged from the second occurrence on, in the order of key.
     """
-    rows = records.join(F.broadcast(modes.select("mode", "marker_regex", "overlap_threshold")), "mode", "left")
+    rows = records.join(F.broadcast(modes.select("mode", "marker_regex", "overlap_threshold", "instruction")), "mode", "left")
     before, output = F.col("input"), F.col("output")
     flag = lambda holds, category, detail: F.when(F.coalesce(holds, F.lit(False)), F.struct(F.lit(category).alias("category"), F.lit(detail).alias("detail")))
     ratio = q.length_ratio(before, output)
@@ -27,7 +27,7 @@ def flags_of(records: DataFrame, modes: DataFrame, profile: q.Profile, fragments
         flag(~q.rebuilt(F.col("messages"), F.col("system"), before, output), "schema", "messages do not reconstruct system/input/output"),
         flag(foreign_letter(output, profile.script) != "", "foreign-script", "letter outside the native script"),
         flag(output.rlike("[0-9]"), "foreign-script", "ASCII digit in output"),
-        flag(output.rlike(ECHO["v2"]), "prompt-echo", "output resembles an instruction"),
+        flag(echoes(output, "v1", F.col("instruction")), "prompt-echo", "output resembles an instruction"),
         flag(~numbers_kept(before, output), "meaning-anchor", "missing number"),
         flag(q.negation_lost(before, output), "meaning-review", "negation may be missing"),
         flag(q.overlap(before, output, profile) < F.coalesce("overlap_threshold", F.lit(profile.weak_below)), "meaning-review", "low token overlap"),
@@ -36,12 +36,30 @@ def flags_of(records: DataFrame, modes: DataFrame, profile: q.Profile, fragments
         flag(repeated_fragment(output, 12) if fragments else F.lit(False), "repetition", "repeated long fragment"),
         flag(correction & ~ratio.between(0.72, 1.35), "register-review", "length ratio suggests rewriting"),
         flag(~correction & ~q.marked(output, F.col("marker_regex"), F.lit(False)), "register-review", "missing register signal"),
+        flag(q.colloquial_in_formal(F.col("mode"), output), "register-review", "colloquial token may remain in formal register"),
     )
     own = rows.select("key", "mode", F.explode(F.filter(all_flags, lambda x: x.isNotNull())).alias("f")).select("key", "mode", "f.*")
     twice = [selection.repeated(records, [c], ["key"]).select("key", "mode", F.lit("duplicate").alias("category"), F.lit(f"duplicate {c}").alias("detail")) for c in ("input", "output")]
     return own.unionByName(twice[0]).unionByName(twice[1])
 
 
+def long_flags(records: DataFrame, modes: DataFrame) -> DataFrame:
+    """(key, mode, category): the flags that long records get besides: bounds of sentences and lengths, echoes of another set, fragments of 18 places, tokens in common."""
+    rows = records.join(F.broadcast(modes.select("mode", "marker_regex")), "mode", "left")
+    before, output = F.col("input"), F.col("output")
+    told = F.regexp_replace(before, r"\Aاین چند جمله[^.؟!]*[.؟!]\s*", "")
+    flag = lambda holds, category: F.when(F.coalesce(holds, F.lit(False)), category)
+    found = F.array(
+        flag(echoes(output, "v3"), "meta-echo"),
+        flag(repeated_fragment(output, 18), "repetition"),
+        flag(~numbers_kept(before, output), "meaning"),
+        flag(q.overlap(told, output, q.PROFILES["v3"]) < q.PROFILES["v3"].weak_below, "meaning-review"),
+        flag(~q.marked(output, F.col("marker_regex"), F.lit(False)), "register-review"),
+        flag(q.coverage(before, output) != "", "coverage"),
+    )
+    return rows.select("key", "mode", F.explode(F.concat(q.sentence_bounds(before, output), F.filter(found, lambda x: x.isNotNull()))).alias("category"))
+
+
 def digests(records: DataFrame) -> DataFrame:
     return records.select("key", q.record_digest(F.col("mode"), F.col("input"), F.col("output"), F.col("system")).alias("digest"))
 

@@ -30,14 +30,15 @@ def quarantine(records: DataFrame, source: str, reason: Column) -> tuple[DataFra
     return judged.filter("reason = ''").drop("reason"), judged.filter("reason <> ''").select(F.lit(source).alias("source"), "key", "mode", "reason")
 
 
-def prepare(sources: dict[str, DataFrame], curated: DataFrame, modes: DataFrame, hard_modes: list[str], share: float = 0.10, long: bool = False, native: str | None = None) -> dict[str, DataFrame]:
+def prepare(sources: dict[str, DataFrame], curated: DataFrame, modes: DataFrame, hard_modes: list[str], share: float = 0.10, long: bool = False, native: str | None = None, version: str = "v2", hard: DataFrame | None = None) -> dict[str, DataFrame]:
     """train, valid, rejected, duplicates and manifest.
 
     sources: records (key, mode, input, output) by name, names ending in '_valid' for validation, in priority order;
-    the curated records are split by stable hash, come last in priority and are weighted after the dedupe.
+    the curated records are split by stable hash, come last in priority and are weighted after the dedupe. ``version``
+    says how reasons are named and which splits, the ``hard`` records among them from v3 on, must share nothing.
     """
     extra = {} if native is None else {"native": native}
-    reason = poison_reason(F.col("output"), F.col("input"), **extra)
+    reason = poison_reason(F.col("output"), F.col("input"), version=version, **extra)
     kept, rejected = {}, []
     for name, records in sources.items():
         kept[name], bad = quarantine(records, name, reason)
@@ -54,7 +55,8 @@ def prepare(sources: dict[str, DataFrame], curated: DataFrame, modes: DataFrame,
         unique, again = selection.first_wins(joined(split), ["mode", "input"], ["priority", "key"])
         out[split] = unique
         removed.append(again.select("source", "key", "mode", F.lit("duplicate mode/input").alias("reason")))
-    matching.assert_no_leak({"train": out["train"], "valid": out["valid"].filter("source = 'curated'")}, [("valid", "train")], ["mode", "input"])
+    nothing = out["valid"].limit(0)
+    check_leaks({**out, "codex_valid": out["valid"].filter("source = 'curated'"), "hard": nothing if hard is None else hard}, version)
     weight = F.when(F.col("source") == "curated", selection.corpus_weight(F.col("mode"), hard_modes, long)).otherwise(1)
     out["train"] = selection.replicate(out["train"], weight)
     order = modes.filter("in_pipeline").select("mode", "position")
@@ -62,17 +64,38 @@ def prepare(sources: dict[str, DataFrame], curated: DataFrame, modes: DataFrame,
         out[split] = selection.interleave(out[split], order, "mode", F.col("key"), F.col("input"))
     log = reduce(DataFrame.unionByName, rejected) if rejected else curated.limit(0).select(F.lit("").alias("source"), "key", "mode", F.lit("").alias("reason"))
     copies = reduce(DataFrame.unionByName, removed)
-    return out | {"rejected": log, "duplicates": copies, "manifest": manifest(out, log, copies, modes)}
+    return out | {"rejected": log, "duplicates": copies, "manifest": manifest(out, log, copies, modes, sources)}
 
 
-def manifest(splits: dict[str, DataFrame], rejected: DataFrame, duplicates: DataFrame, modes: DataFrame) -> DataFrame:
-    """(part, name, n): rows by split and mode, rejects by reason, removed copies by source."""
+#: Which splits must not share (mode, input), by version of the preparation.
+LEAKS = {"v2": [("codex_valid", "train")], "v3": [("valid", "train"), ("hard", "train"), ("hard", "valid")], "v4": [("train", "hard"), ("valid", "hard"), ("valid", "train")]}
+
+
+def check_leaks(splits: dict[str, DataFrame], version: str) -> None:
+    """Raises if a pair of splits that the version names shares (mode, input)."""
+    matching.assert_no_leak(splits, LEAKS[version], ["mode", "input"])
+
+
+def manifest(splits: dict[str, DataFrame], rejected: DataFrame, duplicates: DataFrame, modes: DataFrame, sources: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(part, name, n, digest): rows by split and mode, rejects by reason, removed copies by source, total and accepted by source;
+    for each split the digest of its rows in order (round, mode_position)."""
     every = modes.filter("in_pipeline").select("mode")
     parts = [summary.count_by(rows, "mode", every).select(F.lit(split).alias("part"), F.col("mode").alias("name"), "n") for split, rows in splits.items()]
     reason = summary.folded_reason(F.col("reason"), ["foreign-script letter"])
     parts.append(rejected.groupBy(reason.alias("name")).agg(F.count("*").alias("n")).select(F.lit("rejected").alias("part"), "name", "n"))
     parts.append(duplicates.groupBy(F.col("source").alias("name")).agg(F.count("*").alias("n")).select(F.lit("duplicates").alias("part"), "name", "n"))
-    return reduce(DataFrame.unionByName, parts)
+    bad = rejected.groupBy("source").agg(F.count("*").alias("bad"))
+    for name, rows in (sources or {}).items():
+        total = rows.agg(F.count("*").alias("total")).withColumn("source", F.lit(name)).join(F.broadcast(bad), "source", "left")  # one row
+        parts.append(total.select(F.lit("total").alias("part"), F.col("source").alias("name"), F.col("total").alias("n")))
+        parts.append(total.select(F.lit("accepted").alias("part"), F.col("source").alias("name"), (F.col("total") - F.coalesce("bad", F.lit(0))).alias("n")))
+    counts = reduce(DataFrame.unionByName, parts).withColumn("digest", F.lit(None).cast("string"))
+    for split, rows in splits.items():
+        if "round" in rows.columns:
+            lines = rows.select(F.struct("round", "mode_position", "key").alias("_o"), F.sha2(F.concat_ws("\n", "key", "mode", "input", "output"), 256).alias("_d")).withColumn("_all", F.lit(0))
+            digest = summary.order_digests(selection.placed_within(lines, "_all", ["_o"]), "_all", "position", "_d")
+            counts = counts.unionByName(digest.select(F.lit("digest").alias("part"), F.lit(split).alias("name"), F.lit(None).cast("long").alias("n"), "digest"))
+    return counts
 
 
 def corrections(pairs: DataFrame, size: int = 3000, head: int = 60) -> DataFrame:
@@ -82,7 +105,7 @@ def corrections(pairs: DataFrame, size: int = 3000, head: int = 60) -> DataFrame
 
     good = pairs.filter(is_correction_pair(F.col("src"), F.col("tgt")))
     some = selection.head_tail(selection.systematic_sample(good, "line_no", size), head)
-    key = F.concat(F.lit("corr-"), F.col("split"), F.lit("-"), F.col("position").cast("string"))
+    key = F.concat(F.lit("corr-"), F.col("split"), F.lit("-"), F.col("sample_no").cast("string"))
     return some.select(key.alias("key"), F.lit("tashih").alias("mode"), trim(F.col("src")).alias("input"), trim(F.col("tgt")).alias("output"), "split")
 
 

@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quernstone import ship
-from quernstone.functions import audit as q, chars, guards as g, text as t
+from quernstone.functions import audit as q, chars, guards as g, lexicon, text as t
 from quernstone.operators import matching, selection, summary
-from quernstone.plans import corpus, edits
+from quernstone.plans import corpus, edits, modes
 from quernstone.streaming import deltas
+from quernstone.tables import stored
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -68,15 +69,31 @@ def dedupe_removed_log(spark, sf_dir):
     return selection.first_wins(records(spark, sf_dir), ["mode", "text"], ["doc_id"])[1].select("doc_id", "mode", F.lit("duplicate mode/input").alias("reason"))
 
 
-POISON = r"""(SELECT doc_id, mode, CASE WHEN NOT regexp_matches(text, '\p{Latin}') THEN 'no Persian output'
-    WHEN regexp_matches(text, '[^\P{L}\p{Latin}]') THEN 'foreign-script letter "' || regexp_extract(text, '([^\P{L}\p{Latin}])', 1) || '"'
-    WHEN regexp_matches(text, '[0-9]') THEN 'ASCII digit in output' WHEN regexp_matches(text, '\[[^\]\n]{2,}\]|【[^】\n]{2,}】') THEN 'placeholder output'
-    WHEN length(text) > greatest(600, 6 * length(substring(text, 1, 200))) THEN 'extreme output length' ELSE '' END AS reason FROM """ + RECORDS + ")"
+def _tripled(rows: str, key: str, text: str, least: int) -> str:
+    """Keys of the rows in whose text some fragment of ``least`` places or more stands three times in a row.
 
+    With a period of p, as many grams of ``least`` places in a row equal those p further on as 2 * p places have.
+    """
+    grams = f"(SELECT k, i, substring(x, i, {least}) AS gram FROM (SELECT {key} AS k, {text} AS x, unnest(range(1, length({text}) - {least - 2})) AS i FROM {rows}))"
+    pairs = f"(SELECT a.k, a.i, b.i - a.i AS p FROM {grams} a JOIN {grams} b ON a.k = b.k AND a.gram = b.gram AND b.i - a.i >= {least})"
+    return f"(SELECT k FROM (SELECT k, p, i - row_number() OVER (PARTITION BY k, p ORDER BY i) AS island FROM {pairs}) GROUP BY k, p, island HAVING count(*) >= 2 * p - {least - 1})"
+
+
+PAIR_KEY = "conv_id || '/' || turn"
+POISON = (
+    r"""(SELECT conv_id, turn, CASE WHEN NOT regexp_matches(output, '\p{Latin}') THEN 'no Persian output'
+    WHEN regexp_matches(output, '[^\P{L}\p{Latin}]') THEN 'foreign-script letter "' || regexp_extract(output, '([^\P{L}\p{Latin}])', 1) || '"'
+    WHEN regexp_matches(output, '[0-9]') THEN 'ASCII digit in output' WHEN regexp_matches(output, '\[[^\]\n]{2,}\]|【[^】\n]{2,}】') THEN 'placeholder output'
+    WHEN """
+    + f"{PAIR_KEY} IN {_tripled(PAIRS, PAIR_KEY, 'output', 12)}"
+    + " THEN 'repeated long fragment' WHEN length(output) > greatest(600, 6 * length(input)) THEN 'extreme output length' ELSE '' END AS reason FROM "
+    + PAIRS
+    + ")"
+)
 
-def _poison(spark, sf_dir, fragments=False):
-    rows = spread(records(spark, sf_dir))
-    return rows.select("doc_id", "mode", g.poison_reason(F.col("text"), F.substring("text", 1, 200), native=LATIN, fragments=fragments).alias("reason"))
+
+def _poison(spark, sf_dir):
+    return pairs(spark, sf_dir).select("conv_id", "turn", g.poison_reason(F.col("output"), F.col("input"), native=LATIN).alias("reason"))
 
 
 @query(f"SELECT * FROM {POISON}")
@@ -89,16 +106,35 @@ def poison_summary(spark, sf_dir):
     return _poison(spark, sf_dir).select(summary.folded_reason(F.col("reason"), ["foreign-script letter"]).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"SELECT conv_id, turn, {PAIR_KEY} IN {_tripled(PAIRS, PAIR_KEY, 'output', 12)} AS repeated FROM {PAIRS}")
 def poison_with_repetition(spark, sf_dir):
-    return _poison(spark, sf_dir, True)
+    return pairs(spark, sf_dir).select("conv_id", "turn", g.repeated_fragment(F.col("output"), 12).alias("repeated"))
+
+
+#: Fragments of 5, 11, 12, 20 and 300 places, twice and three times, alone and inside other text, and near misses.
+FRAGMENTS = [f"{a} {x * n}{z}" for x in ("abcde", "elevenplace", "twelveplaces", "a fragment of twenty", "long " * 60) for n in (2, 3) for a, z in (("", ""), ("before", " after"))] + ["twelveplacestwelveplacestwelveplace!", "twelveplacestwelveplaces twelveplaces", "x" * 35, "x" * 36]
+
+
+CASES = "(SELECT * FROM (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(FRAGMENTS)) + ") f(n, text))"
+
+
+@query(f"SELECT n, n IN {_tripled(CASES, 'n', 'text', 12)} AS twelve, n IN {_tripled(CASES, 'n', 'text', 16)} AS sixteen FROM {CASES}")
+def repeated_fragments(spark, sf_dir):
+    ship(spark)
+    rows = spark.createDataFrame(list(enumerate(FRAGMENTS)), "n int, text string")
+    return rows.select("n", g.repeated_fragment(F.col("text"), 12).alias("twelve"), g.repeated_fragment(F.col("text"), 16).alias("sixteen"))
 
 
 SPLIT = f"(SELECT doc_id, mode, CASE WHEN row_number() OVER (PARTITION BY mode ORDER BY h, key) <= floor(count(*) OVER (PARTITION BY mode) * 0.1 + 0.5) THEN 'valid' ELSE 'train' END AS split FROM (SELECT r.doc_id, r.key, r.mode, {FNV} AS h FROM {RECORDS} r JOIN documents d ON r.doc_id = d.doc_id))".replace("|| text, ''", "|| d.text, ''").replace("|| doc_id ||", "|| d.doc_id ||")
 
 
+def _hashed(spark, sf_dir):
+    rows = spread(records(spark, sf_dir))
+    return stored(rows.select("doc_id", "key", "mode", q.stable_hash(F.col("key"), F.col("text")).alias("hash"), F.sha2("text", 256).alias("digest")), "hashed")
+
+
 def _split(spark, sf_dir):
-    return selection.stratified_split(spread(records(spark, sf_dir)), "mode", F.col("key"), F.col("text"))
+    return selection.split_by_hash(_hashed(spark, sf_dir), "mode", "hash", "key")
 
 
 @query(f"SELECT * FROM {SPLIT}")
@@ -116,8 +152,8 @@ LANGS = [("en", 1), ("fr", 2), ("de", 3), ("es", 4)]
 
 @query(f"SELECT r.doc_id, m.p AS mode_position, row_number() OVER (PARTITION BY r.mode ORDER BY {FNV}, r.key) AS round FROM {RECORDS} r JOIN documents d ON r.doc_id = d.doc_id JOIN (VALUES ('en', 1), ('fr', 2), ('de', 3), ('es', 4)) m(mode, p) ON m.mode = r.mode".replace("|| text, ''", "|| d.text, ''").replace("|| doc_id ||", "|| d.doc_id ||"))
 def interleave_round_robin(spark, sf_dir):
-    modes = spark.createDataFrame(LANGS, "mode string, position int")
-    return selection.interleave(spread(records(spark, sf_dir)), modes, "mode", F.col("key"), F.col("text")).select("doc_id", "mode_position", "round")
+    langs = spark.createDataFrame(LANGS, "mode string, position int")
+    return selection.interleave_by_hash(_hashed(spark, sf_dir), langs, "mode", "hash", "key").select("doc_id", "mode_position", "round")
 
 
 @query("SELECT d.doc_id, copy FROM documents d JOIN labels l ON d.doc_id = l.doc_id, LATERAL (SELECT unnest(range(1, 1 + CASE WHEN lang = 'es' THEN 1 WHEN quality = 1 THEN 4 ELSE 3 END))::INTEGER AS copy)")
@@ -127,13 +163,13 @@ def weighted_replication(spark, sf_dir):
     return selection.replicate(rows, selection.corpus_weight(mode, ["rasmi"])).select("doc_id", "copy")
 
 
-@query("SELECT page_id, position, CASE WHEN position <= 60 THEN 'valid' ELSE 'train' END AS split FROM (SELECT page_id, row_number() OVER (ORDER BY page_id) AS position, count(*) OVER () // 50 AS step FROM pages) WHERE (position - 1) % step = 0 AND position <= step * 50")
+@query("SELECT page_id, position, CASE WHEN (position - 1) // step < 20 THEN 'valid' ELSE 'train' END AS split FROM (SELECT page_id, row_number() OVER (ORDER BY page_id) AS position, count(*) OVER () // 50 AS step FROM pages) WHERE (position - 1) % step = 0 AND position <= step * 50")
 def systematic_sample(spark, sf_dir):
     rows = selection.systematic_sample(table(spark, sf_dir, "pages").select("page_id"), "page_id", 50)
-    return selection.head_tail(rows, 60).select("page_id", "position", "split")
+    return selection.head_tail(rows, 20).select("page_id", "position", "split")
 
 
-@query("SELECT page_id, 'web' || lpad(row_number() OVER (ORDER BY page_id)::VARCHAR, 6, '0') AS id FROM pages")
+@query("SELECT page_id, 'web' || lpad(n, greatest(6, length(n))::INTEGER, '0') AS id FROM (SELECT page_id, row_number() OVER (ORDER BY page_id)::VARCHAR AS n FROM pages)")
 def sequential_ids(spark, sf_dir):
     return selection.sequential_ids(table(spark, sf_dir, "pages").select("page_id"), "page_id", "web", 6).select("page_id", "id")
 
@@ -141,7 +177,7 @@ def sequential_ids(spark, sf_dir):
 @query(f"SELECT v.doc_id FROM (SELECT s.doc_id, s.mode, d.text FROM {SPLIT} s JOIN documents d ON s.doc_id = d.doc_id WHERE split = 'valid') v WHERE EXISTS (SELECT 1 FROM {SPLIT} s JOIN documents d ON s.doc_id = d.doc_id WHERE s.split = 'train' AND s.mode = v.mode AND d.text = v.text)")
 def leakage_exact(spark, sf_dir):
     rows = _split(spark, sf_dir)
-    return matching.leaked(rows.filter("split = 'valid'"), rows.filter("split = 'train'"), ["mode", "text"]).select("doc_id")
+    return matching.leaked(rows.filter("split = 'valid'"), rows.filter("split = 'train'"), ["mode", "digest"]).select("doc_id")
 
 
 LEDGER = "(SELECT d.doc_id, lang || '|' || d.doc_id AS key, CASE WHEN d.doc_id % 7 = 0 THEN 'stale' ELSE sha256(lang || chr(0) || text || chr(0) || source || chr(0)) END AS digest, CASE WHEN toxic = 1 THEN ['meaning-review', 'register-review'] ELSE ['meaning-review'] END AS categories FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
@@ -209,10 +245,11 @@ def token_overlap(spark, sf_dir):
 
 @query(rf"""SELECT conv_id, turn, CASE WHEN NOT regexp_matches(output, '\p{{Latin}}') THEN 'empty-or-no-Persian-output' WHEN regexp_matches(output, '[^\P{{L}}\p{{Latin}}]') THEN 'foreign-script-letter'
     WHEN regexp_matches(output, '[0-9]') THEN 'ASCII-digit' WHEN trim(output) = trim(input) THEN 'unchanged-register' WHEN len(list_filter({NUMBERS}, lambda n: NOT contains(output, n))) > 0 THEN 'lost-number'
-    WHEN {RATIO} < 0.14 THEN 'weak-meaning-anchor' WHEN length(output)::DOUBLE / greatest(1, length(input)) < 0.2 OR length(output)::DOUBLE / greatest(1, length(input)) > 4 THEN 'extreme-length-change' ELSE '' END AS reason FROM {OVERLAP}""")
+    WHEN {RATIO} < 0.14 THEN 'weak-meaning-anchor' WHEN length(output)::DOUBLE / greatest(1, length(input)) < 0.2 OR length(output)::DOUBLE / greatest(1, length(input)) > 4 THEN 'extreme-length-change'
+    WHEN {PAIR_KEY} IN {_tripled(PAIRS, PAIR_KEY, 'output', 16)} THEN 'repetition' ELSE '' END AS reason FROM {OVERLAP}""")
 def strict_reject_pairs(spark, sf_dir):
     rows = pairs(spark, sf_dir).withColumn("overlap", q.overlap(F.col("input"), F.col("output"), PLAIN))
-    reason = g.reject_reason(F.col("output"), F.col("input"), F.lit(False), F.col("overlap"), native=LATIN, fragments=False)
+    reason = g.reject_reason(F.col("output"), F.col("input"), F.lit(False), F.col("overlap"), native=LATIN)
     return rows.select("conv_id", "turn", reason.alias("reason"))
 
 
@@ -285,11 +322,20 @@ def sentencify_chunks(spark, sf_dir):
     return spread(table(spark, sf_dir, "pages")).select("page_id", F.posexplode(pieces).alias("chunk", "text"))
 
 
-@query("SELECT lang AS mode, sha256(string_agg(sha256(lang || chr(0) || text || chr(0) || source || chr(0)), '' ORDER BY doc_id)) AS digest, count(*) AS n FROM documents GROUP BY lang")
+def _levels(rows: str, levels: int = 4) -> str:
+    for _ in range(levels):
+        rows = f"(SELECT mode, (n - 1) // 1024 + 1 AS n, sha256(string_agg(d, '' ORDER BY n)) AS d FROM {rows} GROUP BY mode, (n - 1) // 1024 + 1)"
+    return rows
+
+
+DIGESTS = _levels("(SELECT lang AS mode, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n, sha256(lang || chr(0) || text || chr(0) || source || chr(0)) AS d FROM documents)")
+
+
+@query(f"SELECT mode, d AS digest, (SELECT count(*) FROM documents WHERE lang = mode) AS n FROM {DIGESTS}")
 def corpus_digest(spark, sf_dir):
     rows = records(spark, sf_dir).select("doc_id", "mode", q.record_digest(F.col("mode"), F.col("text"), F.col("source"), F.lit("")).alias("d"))
-    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "d"))), lambda x: x["d"]), "")
-    return rows.groupBy("mode").agg(F.sha2(ordered, 256).alias("digest"), F.count("*").alias("n"))
+    placed = selection.placed_within(rows, "mode", ["doc_id"])
+    return summary.order_digests(placed, "mode", "position", "d").join(placed.groupBy("mode").agg(F.count("*").alias("n")), "mode")
 
 
 VERDICT = "CASE event_type WHEN 'purchase' THEN 'PASS' WHEN 'click' THEN 'FAIL' ELSE 'UNCERTAIN' END"
@@ -407,7 +453,7 @@ def limit_per_feed(spark, sf_dir):
     return selection.limit_per_group(pages, "host", ["page_id"], 8).select("page_id")
 
 
-@query("SELECT doc_id, 'codexv3' || lpad(n::VARCHAR, 3, '0') || '|' || lang AS expected_key FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents)")
+@query("SELECT doc_id, 'codexv3' || lpad(n, greatest(3, length(n))::INTEGER, '0') || '|' || lang AS expected_key FROM (SELECT doc_id, lang, (row_number() OVER (PARTITION BY lang ORDER BY doc_id))::VARCHAR AS n FROM documents)")
 def expected_keys(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang")
     return selection.expected_keys(rows, "lang", "doc_id", "codexv3").select("doc_id", "expected_key")
@@ -465,3 +511,197 @@ def new_word_marks(spark, sf_dir):
     rows = pairs(spark, sf_dir)
     marked = t.new_words(F.col("input"), F.col("output"))
     return rows.select("conv_id", "turn", (F.size(q.tokens(F.col("output"), PLAIN)) == 0).alias("empty"), F.size(F.filter(marked, lambda w: w["is_new"])).cast("long").alias("n_new"))
+
+
+#: Pairs of our own (mode, input, output), each to trip some rule or none; {n} is a number in Persian digits.
+PAIR_CASES = [
+    ("rasmi", "سلام رفیق. شماره {n} رو بفرست.", "احتراماً درخواست می‌شود شماره {n} ارسال گردد."),
+    ("rasmi", "نمیتونم بیام. کد {n} رو لغو کن.", "اگه ممکن است کد {n} را بررسی کنید."),
+    ("edari", "این کار انجام نشد و نامه {n} گم شد.", "نامه شماره {n} پیدا شد و کار پایان یافت."),
+    ("edari", "نامه {n} را بفرستید.", "خونه را ببینید."),
+    ("khodmani", "لطفاً گزارش {n} را بررسی کنید.", "یه نگاه به گزارش {n} بنداز، دیگه."),
+    ("khodmani", "متن {n}", "متن {n}"),
+    ("adabi", "شب آرام بود.", "شب آرام بود و سایه روی دیوار نشست. از نو بساز."),
+    ("adabi", "این متن بلند است و هیچ کس آن را نخواند و شماره {n} هم در آن نیست.", "کوتاه."),
+    ("lati", "این چند جمله رو درست کن. همون قبلی بهتر بود.", "داداش جمعش کن. همون بهتر بود."),
+    ("lati", "من نمی‌تونم مسئولیت این کار را قبول کنم.", "رفیق این کار با من نیست hello."),
+    ("tashih", "می‌خوام اول بیام بعد برم؛ اگر شد.", "می‌خواهم اول بیایم بعد بروم؛ اگر شد."),
+    ("tashih", "version {n} آمد.", "نسخه {n} آمد [نام کارفرما]."),
+    ("tashih", "سلام", "متن خود را ارسال کنید. لطفاً متن خود را بفرستید."),
+    ("tashih", "خوب", "**خوب**\n- یک\n- دو"),
+]
+VOICES = {"rasmi": "لطفاً|درخواست|ارسال", "edari": "نامه|بررسی|اقدام", "khodmani": "یه|دیگه", "adabi": "سایه|شب", "lati": "داداش|رفیق", "tashih": "."}
+
+
+def persian_pairs(spark, sf_dir):
+    """(o_orderkey, mode, input, output): a pair of the list for each order, with its number."""
+    cases = spark.createDataFrame([(i, *c) for i, c in enumerate(PAIR_CASES)], "case int, mode string, before string, after string")
+    fill = lambda c: F.replace(c, F.lit("{n}"), t.persian_digits(F.col("o_orderkey").cast("string")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey").withColumn("case", (F.col("o_orderkey") % len(PAIR_CASES)).cast("int")).join(F.broadcast(cases), "case")
+    return spread(rows.select("o_orderkey", "mode", fill(F.col("before")).alias("input"), fill(F.col("after")).alias("output")))
+
+
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+_filled = lambda c: f"replace({c}, '{{n}}', translate(o_orderkey::VARCHAR, '0123456789', '{chars.PERSIAN_DIGITS}'))"
+PERSIAN_PAIRS = f"(SELECT o_orderkey, mode, {_filled('a')} AS input, {_filled('b')} AS output FROM orders JOIN (VALUES " + ", ".join(f"({i}, {_quoted(m)}, {_quoted(a)}, {_quoted(b)})" for i, (m, a, b) in enumerate(PAIR_CASES)) + f") c(i, mode, a, b) ON i = o_orderkey % {len(PAIR_CASES)})"
+VOICED = "CASE mode " + " ".join(f"WHEN '{m}' THEN regexp_matches(output, '{p}')" for m, p in VOICES.items()) + " END"
+LATIN_DIGITS = f"translate({{}}, '{chars.PERSIAN_DIGITS}', '0123456789')"
+KEPT = f"len(list_filter(regexp_extract_all({LATIN_DIGITS.format('input')}, '[0-9]+(?:[.,][0-9]+)?'), lambda n: NOT contains({LATIN_DIGITS.format('output')}, n))) = 0"
+UNCLEAN = "[A-Za-z\\x{4E00}-\\x{9FFF}\\x{3040}-\\x{30FF}\\x{0E00}-\\x{0E7F}\\x{0900}-\\x{097F}\\x{0400}-\\x{04FF}]"
+CLEAN = f"(NOT regexp_matches(input, '{UNCLEAN}') AND NOT regexp_matches(output, '{UNCLEAN}'))"
+
+
+def _voiced():
+    chain = F.lit(None).cast("boolean")
+    for m, p in VOICES.items():
+        chain = F.when(F.col("mode") == m, F.col("output").rlike(p)).otherwise(chain)
+    return chain
+
+
+@query(f"SELECT o_orderkey, {CLEAN} AS clean, {CLEAN} AND {VOICED} AND {KEPT} AS positive, mode IN ('rasmi', 'edari') AND NOT {VOICED} AS again FROM {PERSIAN_PAIRS}")
+def voice_filters(spark, sf_dir):
+    before, output = F.col("input"), F.col("output")
+    return persian_pairs(spark, sf_dir).select("o_orderkey", g.clean_pair(before, output).alias("clean"), g.voice_positive(before, output, _voiced()).alias("positive"), g.needs_regeneration(F.col("mode"), _voiced(), ["rasmi", "edari"]).alias("again"))
+
+
+NORMAL = "trim(regexp_replace(regexp_replace(translate({}, 'يىكۀ', 'ییکه'), '[\\x{{200C}}\\x{{200D}}]', '', 'g'), '[^\\p{{Arabic}}\\p{{N}}،؛؟ـ]+', ' ', 'g'))"
+COLLOQUIAL = "regexp_matches(output, 'می‌خوام|نمی‌خوام|می‌تون|نمی‌تون|اگه|واسه|(^|\\s)یه\\s|خونه|بگید|کنسل|اوکی|(^|\\s)رو(\\s|$)')"
+FIRST_ECHO = "regexp_matches(output, 'از نو بساز|بازسازی کن|توضیح نده|فقط متن (بازنویسی|ویرایش|اصلاح)[‌\\- ]?شده|متن را به زبان .* بازنویسی کن|یک ویراستار حرفه‌ای باش|متن (اصلی|موردنظر|ارسالی) را .* (بفرست|ارسال)|برای (ویرایش|بازنویسی) به من|\\[[^\\]\\n]{2,}\\]|【[^】\\n]{2,}】')"
+
+
+@query(f"""SELECT o_orderkey, mode IN ('rasmi', 'daneshgahi', 'edari') AND {COLLOQUIAL} AS colloquial, {FIRST_ECHO} OR contains(output, substring(input, 1, 24)) AS echo,
+    regexp_matches({NORMAL.format('input')}, {_quoted(q.NEGATION)}) AND NOT regexp_matches({NORMAL.format('output')}, {_quoted(q.NEGATION)}) AS negation_lost,
+    CASE WHEN length(output) < length(input) * 0.45::DOUBLE THEN 'short' WHEN length(output) > length(input) * 2.4::DOUBLE THEN 'long' ELSE '' END AS coverage FROM {PERSIAN_PAIRS}""")
+def audit_rules(spark, sf_dir):
+    before, output = F.col("input"), F.col("output")
+    return persian_pairs(spark, sf_dir).select(
+        "o_orderkey", q.colloquial_in_formal(F.col("mode"), output).alias("colloquial"), g.echoes(output, "v1", before).alias("echo"), q.negation_lost(before, output).alias("negation_lost"), q.coverage(before, output).alias("coverage")
+    )
+
+
+COUNTED = r"len(list_filter(list_transform(string_split_regex(regexp_replace({}, '([.!؟])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(10))), lambda x: length(x) > 0))"
+
+
+@query(f"SELECT o_orderkey, CASE WHEN {COUNTED.format('input')} NOT BETWEEN 3 AND 8 THEN 'long-input' ELSE '' END || CASE WHEN {COUNTED.format('output')} < 3 THEN ',coverage' ELSE '' END AS flags FROM {PERSIAN_PAIRS}")
+def sentence_bounds(spark, sf_dir):
+    found = q.sentence_bounds(F.col("input"), F.col("output"))
+    text = F.concat(F.when(F.array_contains(found, "long-input"), "long-input").otherwise(""), F.when(F.array_contains(found, "coverage"), ",coverage").otherwise(""))
+    return persian_pairs(spark, sf_dir).select("o_orderkey", text.alias("flags"))
+
+
+@query(f"SELECT mode, k AS trap, count(*) FILTER (regexp_matches(input, p)) AS n, count(*) FILTER (regexp_matches(input, p)) < 20 AS too_few FROM {PERSIAN_PAIRS} CROSS JOIN (VALUES " + ", ".join(f"({_quoted(k)}, {_quoted(p)})" for k, p in q.TRAPS.items()) + ") r(k, p) GROUP BY mode, k")
+def trap_coverage(spark, sf_dir):
+    return q.trap_counts(persian_pairs(spark, sf_dir), "mode", F.col("input"))
+
+
+@query(f"SELECT count(DISTINCT mode) AS unique_mode, count(DISTINCT input) AS unique_input, count(DISTINCT output) AS unique_output, (SELECT count(*) FROM (SELECT DISTINCT unnest({SENTENCES}) FROM documents)) AS unique_sentences, (SELECT max(n) FROM (SELECT count(*) AS n FROM (SELECT unnest({SENTENCES}) AS s FROM documents) GROUP BY s)) AS max_sentences FROM {PERSIAN_PAIRS}")
+def distinct_counts(spark, sf_dir):
+    said = summary.distinct_counts(records(spark, sf_dir), ["doc_id"], {"sentences": q.sentences(F.col("text"))}).drop("unique_doc_id")
+    return summary.distinct_counts(persian_pairs(spark, sf_dir), ["mode", "input", "output"]).join(F.broadcast(said))  # a row beside a row
+
+
+#: An order-dependent cleanup of a seed, then its length's bounds.
+SEED = "trim(regexp_replace(regexp_replace(regexp_replace({}, '\\s*\\n\\s*', ' ', 'g'), '[«\"“'']+|[»\"”'']+$', '', 'g'), '\\s{{2,}}', ' ', 'g'))"
+
+
+@query(f"SELECT conv_id, turn, length({SEED.format('text')}) BETWEEN 8 AND 400 AS fits FROM conversations")
+def seed_bounds(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", g.seed_fits(F.col("text")).alias("fits"))
+
+
+@query(f"SELECT conv_id, turn, '<start_of_turn>user' || chr(10) || 'Rewrite.' || chr(10) || chr(10) || input || '<end_of_turn>' || chr(10) || '<start_of_turn>model' || chr(10) AS prompt FROM {PAIRS}")
+def prompt_fold(spark, sf_dir):
+    return pairs(spark, sf_dir).select("conv_id", "turn", g.fold_prompt(F.lit("Rewrite."), F.col("input")).alias("prompt"))
+
+
+@query(f"SELECT conv_id || '/' || turn AS key, CASE WHEN conv_id % 3 = 0 THEN 'rasmi' ELSE 'unknown' END AS mode, input, input AS reference, CASE WHEN turn % 4 = 0 THEN output ELSE 'other' END AS candidate FROM {PAIRS} WHERE length(input) > 0 AND length(output) > 0")
+def field_fallback(spark, sf_dir):
+    rows = pairs(spark, sf_dir).filter("length(input) > 0 AND length(output) > 0").withColumn("key", F.concat_ws("/", "conv_id", "turn"))
+    left = rows.select("key", F.when(F.col("conv_id") % 3 == 0, "rasmi").alias("mode"), "input", F.col("input").alias("output"))
+    right = rows.select("key", F.lit(None).cast("string").alias("input"), F.when(F.col("turn") % 4 == 0, F.col("output")).alias("candidate"), F.lit("other").alias("output"))
+    return matching.with_fallbacks(left, right)
+
+
+@query(f"SELECT r.doc_id, CASE WHEN r.doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'test' WHEN r.doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN 'valid' ELSE 'train' END AS split FROM {RECORDS} r")
+def holdout_split(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").withColumn("id", F.col("doc_id").cast("string"))
+    return selection.holdout(records(spark, sf_dir).select("doc_id", "key"), "key", labels.filter("toxic = 1"), labels.filter("quality = 0")).select("doc_id", "split")
+
+
+@query("SELECT event_id FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE user_id % 5 = 0)")
+def delete_entries(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    return matching.without_ids(events, events.filter("user_id % 5 = 0"), "event_id").select("event_id")
+
+
+@query("SELECT doc_id, category FROM documents JOIN (VALUES ('germanic', 'en'), ('germanic', 'de'), ('romance', 'fr'), ('romance', 'es'), ('read', 'en')) c(category, mode) ON mode = lang")
+def modes_by_category(spark, sf_dir):
+    categories = spark.createDataFrame([("germanic", "en"), ("germanic", "de"), ("romance", "fr"), ("romance", "es"), ("read", "en")], "category string, mode string")
+    return matching.in_categories(records(spark, sf_dir), categories).select("doc_id", "category")
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN NOT regexp_matches(output, '\\p{{Arabic}}') THEN 'no Persian output' WHEN regexp_matches(output, '[^\\P{{L}}\\p{{Arabic}}]') THEN 'foreign-script letter' WHEN regexp_matches(output, '[0-9]') THEN 'ASCII digit'
+    WHEN regexp_matches(output, 'از نو بساز|بازسازی کن|توضیح نده|یک ویراستار حرفه‌ای باش|متن را به زبان .* بازنویسی کن') THEN 'prompt echo' WHEN regexp_matches(output, '\\[[^\\]\\n]{{2,}}\\]|【[^】\\n]{{2,}}】') THEN 'placeholder'
+    WHEN length(output) > greatest(600, 6 * length(input)) THEN 'extreme expansion' ELSE '' END AS reason FROM {PERSIAN_PAIRS}""")
+def poison_v3(spark, sf_dir):
+    """None of the pairs repeats a fragment; repeated_fragments covers that rule."""
+    return persian_pairs(spark, sf_dir).select("o_orderkey", g.poison_reason(F.col("output"), F.col("input"), version="v3").alias("reason"))
+
+
+@query(f"""SELECT p.conv_id, p.turn, coalesce(e.text, output) AS output, 'user: Rewrite.' || chr(10) || chr(10) || input || chr(10) || 'assistant: ' || coalesce(e.text, output) AS messages, e.text IS NOT NULL AS updated FROM {PAIRS} p
+    LEFT JOIN (SELECT user_id, arg_max(event_type, event_id) AS text FROM events WHERE event_type <> 'view' GROUP BY user_id) e ON e.user_id = p.conv_id""")
+def update_messages(spark, sf_dir):
+    rows = pairs(spark, sf_dir).withColumns({"key": F.col("conv_id"), "messages": corpus.messages(F.lit("Rewrite."), F.col("input"), F.col("output"))})
+    status = F.when(F.col("event_type") == "view", "failed").otherwise("ok").alias("status")
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "event_id", F.col("event_type").alias("output"), status)
+    new = matching.update_outputs(rows, log, "event_id")
+    said = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
+    return new.select("conv_id", "turn", "output", said.alias("messages"), "updated")
+
+
+DODGED = "regexp_matches(output, 'متن (اصلی|کامل|مورد نظر|خود) را (برای من |جهت )?(ارسال|بفرستید)|برای (ویرایش|بازنویسی) به من ارسال|متنی برای (ویرایش|بازنویسی) ارائه نشده|لطفاً متن (خود|مورد نظر) را|\\[(نام|عنوان|موضوع|تاریخ|نام کارفرما|محل امضا|نام استاد)[^\\]\\n]*\\]|【[^】\\n]{2,}】')"
+
+
+@query(f"""SELECT o_orderkey, list_filter([CASE WHEN regexp_matches(input, '[\\x{{0600}}-\\x{{06FF}}\\x{{200C}}]') AND NOT regexp_matches(output, '[\\x{{0600}}-\\x{{06FF}}\\x{{200C}}]') THEN 'no-persian' END,
+    CASE WHEN NOT regexp_matches(input, '[a-zA-Z]') AND length(regexp_replace(output, '[^a-zA-Z]', '', 'g')) > 25 THEN 'foreign-letter' END, CASE WHEN NOT {KEPT} THEN 'numbers' END, CASE WHEN mode <> 'tashih' AND trim(output) = trim(input) THEN 'unchanged' END,
+    CASE WHEN {DODGED} THEN 'broken-pattern' END], lambda x: x IS NOT NULL)::VARCHAR AS reasons, regexp_matches(output, '(?m)\\*\\*|^#{{1,6}}\\s|\\n\\s*[-*]\\s+') AS markdown FROM {PERSIAN_PAIRS}""")
+def broken_outputs(spark, sf_dir):
+    reasons = g.broken_reasons(F.col("output"), F.col("input"), F.col("mode") == "tashih")
+    named = F.transform(reasons, lambda r: F.substring_index(r, ":", 1))
+    return persian_pairs(spark, sf_dir).select("o_orderkey", F.concat(F.lit("["), F.array_join(named, ", "), F.lit("]")).alias("reasons"), g.has_markdown(F.col("output")).alias("markdown"))
+
+
+@query(f"SELECT o_orderkey, least(8192, greatest(2048, len(string_split_regex(trim(input), '\\s+')) * 8 + 512))::INTEGER AS online, least(4096, greatest(256, len(string_split_regex(trim(input), '\\s+')) * 4 + 120))::INTEGER AS hosted, least(420, greatest(240, len(string_split_regex(trim(input), '\\s+')) * 3 + 60))::INTEGER AS browser FROM {PERSIAN_PAIRS}")
+def token_budgets(spark, sf_dir):
+    return persian_pairs(spark, sf_dir).select("o_orderkey", *(g.token_budget(F.col("input"), k).alias(k) for k in ("online", "hosted", "browser")))
+
+
+#: Words of several registers' lexicons, some whose replacement is replaced again, between words that stay.
+SENTENCE = "امروز آخه یه خونه واسه دوست خوب شما دیدم و شب ماه جالب بود چون برای اینکه بیا گفت اگه دل ما خیلی ممنون است نظر داد کمک خواست دادگاه رفت و نوشتم یک خانه شماره {n} رسید."
+
+
+def _replaced(register: str, text: str) -> str:
+    """The lexicon's words between single spaces, longest key first."""
+    for k, v in sorted(lexicon.REGISTERS[register], key=lambda e: -len(e[0])):
+        text = f"replace({text}, ' {k} ', ' {v} ')"
+    return f"trim({text})"
+
+
+SAID = f"' ' || replace({_quoted(SENTENCE)}, '{{n}}', translate(o_orderkey::VARCHAR, '0123456789', '{chars.PERSIAN_DIGITS}')) || ' '"
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 13 " + " ".join(f"WHEN {i} THEN {_replaced(register, SAID)}" for i, (_, register, _, _) in enumerate(modes.MODES)) + " END AS output FROM orders")
+def offline_edit_registers(spark, sf_dir):
+    names = F.array(*(F.lit(m) for m, *_ in modes.MODES))
+    text = F.replace(F.lit(SENTENCE), F.lit("{n}"), t.persian_digits(F.col("o_orderkey").cast("string")))
+    rows = spread(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"), F.get(names, (F.col("o_orderkey") % 13).cast("int")).alias("mode")))
+    return edits.edit_table(rows).select("o_orderkey", F.col("edited.output").alias("output"))
+
+
+@query("SELECT o_orderkey, " + _replaced("formal", SAID) + " AS output FROM orders")
+def lexicon_table(spark, sf_dir):
+    """A lexicon that comes from a table (register, pos, k, v)."""
+    entries = [("formal", i, k, v) for i, (k, v) in enumerate(lexicon.REGISTERS["formal"])]
+    own = lexicon.from_table(spark.createDataFrame(entries, "register string, pos int, k string, v string"))
+    text = F.replace(F.lit(SENTENCE), F.lit("{n}"), t.persian_digits(F.col("o_orderkey").cast("string")))
+    return spread(table(spark, sf_dir, "orders")).select("o_orderkey", t.replace_words(text, own["formal"]).alias("output"))

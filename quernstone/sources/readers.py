@@ -1,4 +1,4 @@
-"""Readers. Line numbers count within a file from 1 and need its lines read in order, so a file is one scan range there."""
+"""Readers. Line numbers count within a file from 1; a file may be read in many splits."""
 
 from __future__ import annotations
 
@@ -22,9 +22,18 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, mode: str = "FAILFAS
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_no (from 1), line: every line of the files with its number."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
-    return lines.select("file", (F.col("line_no") + 1).cast("long").alias("line_no"), "line")
+    """file, line_no (from 1), line: every line of the files with its number.
+
+    Files are read in splits. A split's lines are counted, and the counts of a file's earlier splits are added, so a file
+    of any size is as many tasks as it has splits.
+    """
+    text = F.regexp_replace("value", "\r$", "").alias("line")
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_i"), text)
+    splits = lines.groupBy(F.col("file").alias("_file"), F.col("_start").alias("_at")).agg(F.count("*").alias("_c"), F.min("_i").alias("_first"))
+    before = F.sum("_c").over(Window.partitionBy("_file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("_file", "_at", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))  # a row for each split
+    placed = lines.join(F.broadcast(splits), (F.col("file") == F.col("_file")) & (F.col("_start") == F.col("_at")))
+    return placed.select("file", (F.col("_i") + 1 + F.col("_shift")).alias("line_no"), "line")
 
 
 def read_jsonl_flagged(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
@@ -120,6 +129,9 @@ def order_within(rows: DataFrame, by: str, order: str) -> DataFrame:
 
 
 def assistant_text(reply: Column) -> Column:
-    """The answer in a model's JSON reply, whatever its shape."""
+    """The answer in a model's JSON reply, whatever its shape; of a list of messages the last one that the assistant said."""
     paths = ["$.choices[0].message.content", "$.choices[0].delta.content", "$.candidates[0].content.parts[0].text", "$.message.content", "$.output", "$.text"]
-    return F.coalesce(*(F.get_json_object(reply, p) for p in paths))
+    said = lambda messages: F.element_at(F.filter(messages, lambda m: m["role"] == "assistant"), -1)["content"]
+    kind = "array<struct<role: string, content: string>>"
+    many = F.coalesce(*(F.when(F.exists(x, lambda m: m["role"] == "assistant"), said(x)) for x in (F.from_json(reply, kind), F.from_json(F.get_json_object(reply, "$.messages"), kind), F.from_json(F.get_json_object(reply, "$.generated_text"), kind), F.from_json(F.get_json_object(reply, "$[0].generated_text"), kind))))
+    return F.coalesce(many, *(F.get_json_object(reply, p) for p in paths), F.get_json_object(reply, "$.generated_text"), F.get_json_object(reply, "$[0].generated_text"))

@@ -15,7 +15,7 @@ def parse_sse(raw: Column) -> Column:
     data = F.filter(F.transform(whole, lambda e: F.regexp_extract(e, r"(?m)^data:\s?(.*)$", 1)), lambda d: F.length(d) > 0)
 
     def event(d: Column) -> Column:
-        text = F.coalesce(F.get_json_object(d, "$.text"), F.get_json_object(d, "$.choices[0].delta.content"), F.lit(""))
+        text = F.coalesce(F.get_json_object(d, "$.text"), F.get_json_object(d, "$.choices[0].delta.content"), F.get_json_object(d, "$.candidates[0].content.parts[0].text"), F.lit(""))
         return F.struct(text.alias("text"), ((d == "[DONE]") | (F.get_json_object(d, "$.done") == "true")).alias("done"), F.get_json_object(d, "$.error").alias("error"))
 
     return F.transform(data, lambda d: F.struct(event(d)["text"].alias("text"), F.coalesce(event(d)["done"], F.lit(False)).alias("done"), event(d)["error"].alias("error")))
@@ -30,37 +30,43 @@ def collected(deltas: DataFrame) -> DataFrame:
     return got.withColumn("state", F.when(F.col("error").isNotNull(), "error").when(F.col("done"), "done").otherwise("open"))
 
 
-def collect_stream(deltas: DataFrame, timeout: str = "30 seconds") -> DataFrame:
+def collect_stream(deltas: DataFrame, timeout: str = "30 seconds", forget: str = "1 hour") -> DataFrame:
     """Streaming form: a request's text as it grows; it ends with done, an error, or after ``timeout`` without a delta.
 
-    Deltas of a request must arrive in order within its partition's batches; those after its end are dropped.
+    Deltas of a request must come in order from one batch to the next; within a batch they are put in order of seq. The
+    text of an ended request goes at once; that it has ended is kept for ``forget``, and deltas that come meanwhile are
+    dropped. After that no state is left.
     """
-    seconds = int(timeout.split()[0]) * 1000
+    seconds, later = (int(x.split()[0]) * {"second": 1, "minute": 60, "hour": 3600}[x.split()[1].rstrip("s")] * 1000 for x in (timeout, forget))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         text, ended = state.get if state.exists else ("", False)
         if state.hasTimedOut:
-            state.remove()
+            if ended:
+                state.remove()
+                return
+            state.update(("", True))
+            state.setTimeoutDuration(later)
             yield pd.DataFrame({"request_id": [key[0]], "text": [text], "state": ["timeout"]})
             return
-        rows = pd.concat(list(batches)).sort_values("seq")
+        if ended:  # deltas after the end
+            for _ in batches:
+                pass
+            state.update(("", True))
+            state.setTimeoutDuration(later)
+            return
         how = "open"
-        for r in rows.itertuples():
-            if ended:
-                break
+        for r in pd.concat(list(batches)).sort_values("seq").itertuples():
             text += r.text or ""
             if isinstance(r.error, str) and r.error:
-                how, ended = "error", True
+                how = "error"
             elif r.done:
-                how, ended = "done", True
-        fresh = not state.exists or not state.get[1]
-        state.update((text, ended))
-        if ended:
-            state.remove() if state.hasTimedOut else None
-        else:
-            state.setTimeoutDuration(seconds)
-        if fresh:
-            yield pd.DataFrame({"request_id": [key[0]], "text": [text], "state": [how]})
+                how = "done"
+            if how != "open":
+                break
+        state.update((text if how == "open" else "", how != "open"))
+        state.setTimeoutDuration(seconds if how == "open" else later)
+        yield pd.DataFrame({"request_id": [key[0]], "text": [text], "state": [how]})
 
     return deltas.groupBy("request_id").applyInPandasWithState(step, "request_id string, text string, state string", "text string, ended boolean", "update", "ProcessingTimeTimeout")
 
@@ -77,19 +83,23 @@ def merged_dictation(events: DataFrame) -> DataFrame:
     return got.select("session", F.concat_ws(" ", F.nullif("final_text", F.lit("")), F.nullif(F.trim("interim"), F.lit(""))).alias("text"))
 
 
-def run_resumable(source: DataFrame, work, path: str, checkpoint: str, key: str = "key") -> None:
+def run_resumable(source: DataFrame, work, path: str, checkpoint: str, key: str = "key", parts: int = 64) -> None:
     """Processes what a stream brings and appends results; keys already written are left out, so a repeated batch adds nothing.
 
-    ``work`` takes and returns a DataFrame.
+    ``work`` takes and returns a DataFrame. Results lie in ``parts`` folders by a hash of their key, and a batch reads the
+    keys only, of those folders that its own keys fall in.
     """
 
     def batch(rows: DataFrame, epoch: int) -> None:
         from quernstone.sources.readers import exists
 
-        todo = rows.dropDuplicates([key])
-        if exists(rows.sparkSession, f"{path}/*.parquet"):
-            todo = todo.join(rows.sparkSession.read.parquet(path).select(key), key, "left_anti")
-        work(todo).write.mode("append").parquet(path)
+        placed = lambda df: df.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+        todo = placed(rows.dropDuplicates([key]))
+        if exists(rows.sparkSession, f"{path}/part=*"):
+            own = [r["part"] for r in todo.select("part").distinct().collect()]  # at most ``parts``
+            done = rows.sparkSession.read.parquet(path).filter(F.col("part").isin(own)).select(key, "part")
+            todo = todo.join(done, [key, "part"], "left_anti")
+        placed(work(todo.drop("part"))).write.mode("append").partitionBy("part").parquet(path)
 
     query = source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -141,7 +141,8 @@ def test_small_variants(spark):
     assert one(spark, t.persian_digits(F.col("x")), x="v1.2") == "v۱.۲"
     assert one(spark, g.inject(F.col("x"), F.lit("!"), 0.5), x="a b c d") == "a b ! c d"
     assert one(spark, g.clean_seed(F.col("x")), x="«سلام\n دوست»") == "سلام دوست"
-    assert one(spark, g.token_budget(F.col("x")), x="abc") == 256
+    assert [one(spark, g.token_budget(F.col("x"), k), x="abc") for k in ("online", "hosted", "browser")] == [2048, 256, 240]
+    assert [one(spark, g.token_budget(F.col("x"), k), x="abc " * 300) for k in ("online", "hosted", "browser")] == [2912, 1320, 420]
 
 
 def test_guards_in_order(spark):
