@@ -14,7 +14,7 @@ from quernstone.functions import audit as q, chars, guards as g, lexicon, text a
 from quernstone.operators import matching, selection, summary
 from quernstone.plans import corpus, edits, modes
 from quernstone.streaming import deltas
-from quernstone.tables import stored
+from quernstone.tables import new_path, stored
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -564,7 +564,7 @@ def voice_filters(spark, sf_dir):
     return persian_pairs(spark, sf_dir).select("o_orderkey", g.clean_pair(before, output).alias("clean"), g.voice_positive(before, output, _voiced()).alias("positive"), g.needs_regeneration(F.col("mode"), _voiced(), ["rasmi", "edari"]).alias("again"))
 
 
-NORMAL = "trim(regexp_replace(regexp_replace(translate({}, 'يىكۀ', 'ییکه'), '[\\x{{200C}}\\x{{200D}}]', '', 'g'), '[^\\p{{Arabic}}\\p{{N}}،؛؟ـ]+', ' ', 'g'))"
+NORMAL = "trim(regexp_replace(regexp_replace(translate({}, 'يىكۀ', 'ییکه'), '[\\x{{200C}}\\x{{200D}}]', '', 'g'), '[^\\p{{Arabic}}\\p{{N}}،؛؟ـ\\x{{064B}}-\\x{{0655}}\\x{{0670}}]+', ' ', 'g'))"
 COLLOQUIAL = "regexp_matches(output, 'می‌خوام|نمی‌خوام|می‌تون|نمی‌تون|اگه|واسه|(^|\\s)یه\\s|خونه|بگید|کنسل|اوکی|(^|\\s)رو(\\s|$)')"
 FIRST_ECHO = "regexp_matches(output, 'از نو بساز|بازسازی کن|توضیح نده|فقط متن (بازنویسی|ویرایش|اصلاح)[‌\\- ]?شده|متن را به زبان .* بازنویسی کن|یک ویراستار حرفه‌ای باش|متن (اصلی|موردنظر|ارسالی) را .* (بفرست|ارسال)|برای (ویرایش|بازنویسی) به من|\\[[^\\]\\n]{2,}\\]|【[^】\\n]{2,}】')"
 
@@ -705,3 +705,152 @@ def lexicon_table(spark, sf_dir):
     own = lexicon.from_table(spark.createDataFrame(entries, "register string, pos int, k string, v string"))
     text = F.replace(F.lit(SENTENCE), F.lit("{n}"), t.persian_digits(F.col("o_orderkey").cast("string")))
     return spread(table(spark, sf_dir, "orders")).select("o_orderkey", t.replace_words(text, own["formal"]).alias("output"))
+
+
+@query(f"SELECT conv_id, turn, array_to_string(list_concat(list_concat(w[1:len(w) // 2], ['MARK']), w[len(w) // 2 + 1:]), ' ') AS mixed FROM (SELECT conv_id, turn, string_split(input, ' ') AS w FROM {PAIRS})")
+def token_injection(spark, sf_dir):
+    return pairs(spark, sf_dir).select("conv_id", "turn", g.inject(F.col("input"), F.lit("MARK"), 0.5).alias("mixed"))
+
+
+@query("SELECT p_partkey, times::INTEGER AS times, array_to_string(list_transform(range(times), lambda i: p_brand), ' ') AS input FROM part CROSS JOIN (VALUES (1), (2), (3)) v(times)")
+def repetition_lessons(spark, sf_dir):
+    from quernstone.plans import lessons
+
+    return lessons.repetition_lessons(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_brand", 3).select("p_partkey", "times", "input")
+
+
+@query("SELECT page_id, position FROM (SELECT page_id, row_number() OVER (ORDER BY page_id) AS position FROM pages) WHERE position BETWEEN 21 AND 60")
+def start_limit_window(spark, sf_dir):
+    return selection.window_of(table(spark, sf_dir, "pages").select("page_id"), "page_id", 20, 40).select("page_id", "position")
+
+
+@query("SELECT source, arg_min(n_chars, doc_id) AS n_chars FROM documents GROUP BY source")
+def first_value_per_group(spark, sf_dir):
+    return matching.first_value_by(table(spark, sf_dir, "documents"), "source", "n_chars", "doc_id")
+
+
+@query(f"SELECT o_orderkey, length(regexp_replace(text, '[^ ]*[\\x{{0600}}-\\x{{06FF}}][^ ]*', chr(1), 'g')) - length(replace(regexp_replace(text, '[^ ]*[\\x{{0600}}-\\x{{06FF}}][^ ]*', chr(1), 'g'), chr(1), '')) AS words FROM (SELECT o_orderkey, output AS text FROM {PERSIAN_PAIRS})")
+def persian_word_count(spark, sf_dir):
+    return persian_pairs(spark, sf_dir).select("o_orderkey", t.count_persian_words(F.col("output")).cast("long").alias("words"))
+
+
+@query(f"SELECT o_orderkey, {NORMAL.format('input')} AS normal FROM {PERSIAN_PAIRS}")
+def audit_normal(spark, sf_dir):
+    return persian_pairs(spark, sf_dir).select("o_orderkey", q.audit_normal(F.col("input")).alias("normal"))
+
+
+def _folded_stem(x: str) -> str:
+    """The first audit's stem of a token as SQL."""
+    cases = " ".join(f"WHEN {x}.ends_with('{s}') AND length({x}) > {len(s) + 3} THEN {x}[:length({x}) - {len(s)}]" for s in q.STEM_SUFFIXES)
+    return f"CASE {cases} ELSE {x} END"
+
+
+_stops = "[" + ", ".join(_quoted(w) for w in q.STOP_FIRST) + "]"
+FIRST_TOKENS = "list_sort(list_distinct(list_filter(list_transform(list_transform(list_filter(string_split(" + NORMAL + ", ' '), lambda x: length(x) >= 3 AND NOT list_contains(" + _stops + ", x)), lambda x: regexp_replace(x, '^(ن?می)', '')), lambda y: " + _folded_stem("y") + "), lambda z: length(z) >= 3)))"
+
+
+@query(f"SELECT o_orderkey, array_to_string({FIRST_TOKENS.format('output')}, ' ') AS tokens FROM {PERSIAN_PAIRS}")
+def first_audit_tokens(spark, sf_dir):
+    return persian_pairs(spark, sf_dir).select("o_orderkey", F.array_join(F.array_sort(q.audit_tokens(F.col("output"))), " ").alias("tokens"))
+
+
+FIRST_MATCHED = "len(list_filter(a, lambda x: len(list_filter(b, lambda y: y = x OR (length(x) >= 5 AND length(y) >= 5 AND (contains(x, y) OR contains(y, x))))) > 0))"
+
+
+@query(f"SELECT o_orderkey, round(CASE WHEN len(a) = 0 THEN 1.0::DOUBLE ELSE {FIRST_MATCHED}::DOUBLE / len(a) END, 6) AS overlap FROM (SELECT o_orderkey, {FIRST_TOKENS.format('input')} AS a, {FIRST_TOKENS.format('output')} AS b FROM {PERSIAN_PAIRS})")
+def first_audit_overlap(spark, sf_dir):
+    found = q.with_audit_overlap(persian_pairs(spark, sf_dir), "input", "output")
+    return found.select("o_orderkey", F.round("overlap", 6).alias("overlap"))
+
+
+@query(f"SELECT o_orderkey, length(trim(input)) > 0 AND length(trim(output)) > 0 AND trim(input) <> trim(output) AND regexp_matches(input, '[\\x{{0600}}-\\x{{06FF}}]') AND regexp_matches(output, '[\\x{{0600}}-\\x{{06FF}}]') AND length(trim(input)) BETWEEN 10 AND 300 AS sound FROM {PERSIAN_PAIRS}")
+def correction_pairs(spark, sf_dir):
+    return persian_pairs(spark, sf_dir).select("o_orderkey", g.is_correction_pair(F.col("input"), F.col("output")).alias("sound"))
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN length(trim(output)) = 0 THEN 'empty' WHEN NOT regexp_matches(output, '[\\x{{0600}}-\\x{{06FF}}\\x{{200C}}]') THEN 'no-persian' WHEN regexp_matches(output, '[^\\P{{L}}\\p{{Arabic}}]') THEN 'foreign' WHEN NOT {VOICED} THEN 'no-marker'
+    WHEN trim(output) = trim(input) THEN 'unchanged' WHEN NOT {KEPT} THEN 'lost-number' ELSE '' END AS reason FROM {PERSIAN_PAIRS}""")
+def candidate_reasons(spark, sf_dir):
+    return persian_pairs(spark, sf_dir).select("o_orderkey", g.candidate_reason(F.col("output"), F.col("input"), _voiced()).alias("reason"))
+
+
+#: A judge's replies and what they mean.
+REPLIES = [
+    ('{"verdict": "PASS", "score": 91.5, "reason": "same"}', "PASS", 91.5, "same"), ('text {"verdict": "رد"} more', "FAIL", 0.0, "no reason given"), ('{"verdict": "uncertain", "score": 300}', "UNCERTAIN", 100.0, "no reason given"),
+    ('{"verdict": "maybe"}', None, None, None), ("no json", None, None, None), ('{"verdict": "قبول", "score": "x", "reason": " "}', "PASS", 100.0, "no reason given"),
+]
+
+
+@query("SELECT event_id, v AS verdict, s AS score, r AS reason FROM events JOIN (VALUES " + ", ".join(f"({i}, {_quoted(v) if v else 'NULL'}, {s if s is not None else 'NULL'}::DOUBLE, {_quoted(r) if r else 'NULL'})" for i, (_, v, s, r) in enumerate(REPLIES)) + f") c(i, v, s, r) ON i = event_id % {len(REPLIES)}")
+def judge_replies(spark, sf_dir):
+    texts = F.array(*(F.lit(r) for r, *_ in REPLIES))
+    rows = table(spark, sf_dir, "events").select("event_id", F.get(texts, (F.col("event_id") % len(REPLIES)).cast("int")).alias("reply"))
+    return rows.select("event_id", g.parse_verdict(F.col("reply")).alias("v")).select("event_id", "v.verdict", "v.score", "v.reason")
+
+
+#: Raw model outputs, and what is left of them.
+OUTPUTS = [
+    ("```\nمتن پاک\n```", "متن پاک"), ("«متن در گیومه است.»", "متن در گیومه است."), ("**مهم** و *کج* است.", "مهم و کج است."), ("# سرفصل\nمتن", "سرفصل\nمتن"),
+    ("نسخه ۱: متن اول است.\nنسخه ۲: متن دوم است.", "متن اول است."), ("متن ساده است.", "متن ساده است."),
+    ("سلام دوست من حال شما خوب است سلام دوست من حال شما", "سلام دوست من حال شما خوب است."),
+]
+
+
+@query("SELECT event_id, o AS output FROM events JOIN (VALUES " + ", ".join(f"({i}, {_quoted(o)})" for i, (_, o) in enumerate(OUTPUTS)) + f") c(i, o) ON i = event_id % {len(OUTPUTS)}")
+def cleaned_outputs(spark, sf_dir):
+    texts = F.array(*(F.lit(r) for r, _ in OUTPUTS))
+    rows = spread(table(spark, sf_dir, "events").select("event_id", F.get(texts, (F.col("event_id") % len(OUTPUTS)).cast("int")).alias("raw")))
+    return rows.select("event_id", g.clean_output(F.col("raw")).alias("output"))
+
+
+VERSION_PAIRS = [("1.10.0", "1.9", True), ("v2", "2.0.0", False), ("1.2.3", "1.2.4", False), ("3", "2.9.9", True), ("1.0.1", "1", True), ("x", "0", False)]
+
+
+@query("SELECT event_id, n AS newer FROM events JOIN (VALUES " + ", ".join(f"({i}, {n})" for i, (*_, n) in enumerate(VERSION_PAIRS)) + f") c(i, n) ON i = event_id % {len(VERSION_PAIRS)}")
+def newer_versions(spark, sf_dir):
+    a, b = (F.get(F.array(*(F.lit(v[k]) for v in VERSION_PAIRS)), (F.col("event_id") % len(VERSION_PAIRS)).cast("int")) for k in (0, 1))
+    return table(spark, sf_dir, "events").select("event_id", t.is_newer(a, b).alias("newer"))
+
+
+@query(f"SELECT o_orderkey, 'با سلام؛ ' || CASE WHEN regexp_matches(output, '[.!؟…»\"'']$') THEN output ELSE output || '.' END || ' با احترام.' AS wrapped FROM {PERSIAN_PAIRS} WHERE output = trim(output)")
+def opener_and_closer(spark, sf_dir):
+    return persian_pairs(spark, sf_dir).filter(F.col("output") == F.trim("output")).select("o_orderkey", t.wrap(F.col("output"), "با سلام", "با احترام").alias("wrapped"))
+
+
+#: Sentences and what connectors ("همچنین", "سپس") make of them: never the first, none that opens with one, two at most.
+WOVEN = [
+    ("هوا امروز سرد است. ما به خانه رفتیم. او هم با ما آمد. شب آنجا ماندیم.", "هوا امروز سرد است. همچنین، ما به خانه رفتیم. سپس، او هم با ما آمد. شب آنجا ماندیم."),
+    ("هوا امروز سرد است. اما ما رفتیم بیرون. او هم با ما آمد.", "هوا امروز سرد است. اما ما رفتیم بیرون. همچنین، او هم با ما آمد."),
+    ("هوا سرد است. ما رفتیم.", "هوا سرد است. ما رفتیم."),
+]
+
+
+@query("SELECT event_id, o AS woven FROM events JOIN (VALUES " + ", ".join(f"({i}, {_quoted(o)})" for i, (_, o) in enumerate(WOVEN)) + f") c(i, o) ON i = event_id % {len(WOVEN)}")
+def woven_connectors(spark, sf_dir):
+    texts = F.get(F.array(*(F.lit(a) for a, _ in WOVEN)), (F.col("event_id") % len(WOVEN)).cast("int"))
+    return spread(table(spark, sf_dir, "events").select("event_id", texts.alias("text"))).select("event_id", t.fix_spacing(t.weave_connectors(F.col("text"), ["همچنین", "سپس"])).alias("woven"))
+
+
+@query("SELECT doc_id, lang, source, row_number() OVER (ORDER BY doc_id) AS line_no FROM documents")
+def jsonl_round_trip(spark, sf_dir):
+    """Rows written as JSON lines in order, read back with the numbers of their lines over all files of a folder."""
+    from quernstone.sources import readers, writers
+
+    placed = selection.with_positions(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id")
+    path = new_path(spark, "jsonl")
+    writers.write_jsonl(placed, path, "position", ["doc_id", "lang", "source"], one_file=True)
+    good, _ = readers.read_jsonl_flagged(spark, path, "doc_id long, lang string, source string")
+    return good.select("doc_id", "lang", "source", "line_no")
+
+
+@query(f"SELECT conv_id || '/' || turn AS key, input AS reference, output AS candidate FROM {PAIRS}")
+def checked_pair_join(spark, sf_dir):
+    rows = pairs(spark, sf_dir).withColumn("key", F.concat_ws("/", "conv_id", "turn"))
+    joined = matching.pair_up(rows.select("key", "input"), rows.select("key", "input", "output"))
+    return joined.select("key", F.col("input").alias("reference"), F.col("candidate_output").alias("candidate"))
+
+
+@query("SELECT doc_id, coalesce(r, 'other') AS register FROM documents LEFT JOIN (VALUES ('en', 'plain'), ('fr', 'soft')) d(l, r) ON l = lang")
+def dimension_default(spark, sf_dir):
+    dimension = spark.createDataFrame([("en", "plain"), ("fr", "soft"), ("none", "other")], "mode string, register string")
+    return matching.with_dimension(records(spark, sf_dir).select("doc_id", "mode"), dimension, "mode", "none").select("doc_id", "register")

@@ -213,3 +213,15 @@ def test_order_digests_by_group(spark):
     rows = spark.range(1, 2501).select((F.col("id") % 2).alias("g"), F.floor((F.col("id") + 1) / 2).alias("n"), F.sha2(F.col("id").cast("string"), 256).alias("d"))
     got = {r["g"]: r["digest"] for r in summary.order_digests(rows.repartition(6), "g", "n", "d").collect()}
     assert got == {r["g"]: r["digest"] for r in summary.order_digests(rows, "g", "n", "d").collect()} and len(set(got.values())) == 2
+
+
+def test_stored_tables_are_released(spark):
+    from quernstone import tables
+
+    at = tables.made()
+    a = tables.stored(spark.range(5), "one")
+    b = tables.stored(a.withColumn("x", F.lit(1)), "two")
+    folder = a.inputFiles()[0].rsplit("/", 1)[0]
+    assert readers.exists(spark, folder)
+    tables.release(spark, at, b)
+    assert not readers.exists(spark, folder) and b.count() == 5 and tables.made() == at + 1
