@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quernstone import tables
 from quernstone.llm import common, exact_dedup, language_id, ngram_join, packing, quality
 
 #: A language is accepted from this score on; scores of the languages add up to 1.
@@ -63,9 +64,10 @@ STAGES = [("quality", judge_quality), ("language", identify_language), ("exact_d
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, at = common.table(spark, sf_dir, "documents"), tables.made()
     for name, stage in STAGES:
         docs = common.stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        tables.release(spark, at, docs)  # what the stage stored on its way, and its input
     return docs
 
 
