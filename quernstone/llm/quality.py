@@ -91,17 +91,16 @@ def features(text: str) -> np.ndarray:
 
 
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray | None:
-    """Weights (the last is the constant) of a logistic model: Newton's steps on standardised counts and hashed words, each solved by conjugate gradients."""
+    """Weights (the last is the constant) of a logistic model: Newton's steps on standardised counts and hashed words, each solved by conjugate gradients. x is standardised in place."""
     if not len(x):
         return None
     mean, scale = np.zeros(x.shape[1]), np.ones(x.shape[1])
     mean[:COUNTS], scale[:COUNTS] = x[:, :COUNTS].mean(axis=0), np.maximum(x[:, :COUNTS].std(axis=0), 1e-9)
-    z = np.ones((len(x), x.shape[1] + 1), dtype=np.float32)
-    np.divide(np.subtract(x, mean.astype(np.float32), out=z[:, :-1]), scale.astype(np.float32), out=z[:, :-1])
+    x[:, :COUNTS] = (x[:, :COUNTS] - mean[:COUNTS]) / scale[:COUNTS]
     penalty = np.r_[np.full(COUNTS, RIDGE), np.full(x.shape[1] - COUNTS, WORD_RIDGE), 1e-3]
-    times = lambda v: (z @ v.astype(np.float32)).astype(np.float64)
-    back = lambda v: (v.astype(np.float32) @ z).astype(np.float64)
-    w = np.zeros(z.shape[1])
+    times = lambda v: (x @ v[:-1].astype(np.float32)).astype(np.float64) + v[-1]
+    back = lambda v: np.r_[(v.astype(np.float32) @ x).astype(np.float64), v.sum()]
+    w = np.zeros(len(penalty))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
         rest = back(y - p) - penalty * w
