@@ -227,14 +227,17 @@ def edit(text: Column, register: str, connectors: list[str] = (), opener: str |
 
 
 def polish_quick(text: Column) -> Column:
-    """The small keyboard variant: letters folded, prefixes joined at word starts, one space after marks, final stop."""
-    t = replace(fold_chars(text), "ۀ", "ه‌ی")
-    t = replace(t, r"(?<![\p{L}\x{200C}])(می|نمی) +(?=\p{L})", rf"$1{ZWNJ}")
-    t = replace(t, rf"({PERSIAN}+) (ها|های|تر|ترین)(?![\p{{L}}\x{{200C}}])", rf"$1{ZWNJ}$2")
-    t = replace(t, r" +([،؛؟!.…])", "$1")
-    t = replace(t, rf"([،؛؟!.])(?={PERSIAN})", "$1 ")
-    t = trim(replace(t, " {2,}", " "))
-    return F.when((F.length(t) > 0) & ~t.rlike(r"[.؟!…]\z"), F.concat(t, F.lit("."))).otherwise(t)
+    """The small keyboard variant: three letters folded, prefixes and suffixes joined at word boundaries, no space before marks, one after, and a final stop.
+
+    A text that already ends with a mark isn't trimmed.
+    """
+    word = r"[\p{L}\p{M}\p{Nd}\p{Pc}\x{200C}\x{200D}]"
+    t = replace(F.translate(text, "يك", "یک"), "ۀ", f"ه{ZWNJ}ی")
+    t = replace(t, rf"(?<!{word})(می|نمی) ", rf"$1{ZWNJ}")
+    t = replace(t, rf" (ها|های|تر|ترین)(?!{word})", rf"{ZWNJ}$1")
+    t = replace(t, r" +([،؛:!؟.])", "$1")
+    t = replace(t, r"([،؛:!؟])([^ \n])", "$1 $2")
+    return F.when(trim(t).rlike(r"[^.!؟:]\z"), F.concat(trim(t), F.lit("."))).otherwise(t)
 
 
 def version_parts(version: Column) -> Column:

@@ -854,3 +854,15 @@ def checked_pair_join(spark, sf_dir):
 def dimension_default(spark, sf_dir):
     dimension = spark.createDataFrame([("en", "plain"), ("fr", "soft"), ("none", "other")], "mode string, register string")
     return matching.with_dimension(records(spark, sf_dir).select("doc_id", "mode"), dimension, "mode", "none").select("doc_id", "register")
+
+
+#: Texts and what the keyboard variant makes of them (~ is a half-space).
+POLISHED = [
+    ("می روم ، خانه ها", "می~روم، خانه~ها."), ("نمی دانم:چرا", "نمی~دانم: چرا."), ("رسمی است !", "رسمی است!"), ("كتاب هاي ما", "کتاب~های ما."), ("ساعت ۱۲:۳۰ است. ", "ساعت ۱۲: ۳۰ است. "), ("خانۀ من", "خانه~ی من."), ("بزرگ ترین ها", "بزرگ~ترین~ها."), ("", ""), ("خوب تریبون", "خوب تریبون."),
+]
+
+
+@query("SELECT event_id, replace(o, '~', chr(8204)) AS polished FROM events JOIN (VALUES " + ", ".join(f"({i}, {_quoted(o)})" for i, (_, o) in enumerate(POLISHED)) + f") c(i, o) ON i = event_id % {len(POLISHED)}")
+def keyboard_polish(spark, sf_dir):
+    text = F.get(F.array(*(F.lit(a) for a, _ in POLISHED)), (F.col("event_id") % len(POLISHED)).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", t.polish_quick(text).alias("polished"))

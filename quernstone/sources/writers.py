@@ -48,6 +48,14 @@ def report_block(rows: DataFrame) -> DataFrame:
     )
 
 
+def write_audit(flags: DataFrame, verdict: DataFrame, path: str) -> str:
+    """An audit's report: its flags and its one-row verdict as JSON in two folders; returns the status, which a job turns into its exit code."""
+    flags.write.mode("overwrite").json(f"{path.rstrip('/')}/flags")
+    row = verdict.limit(1)
+    row.coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}/verdict")
+    return row.first()["status"]
+
+
 def versioned(path: str, run: str) -> str:
     """A directory of its own for each run, instead of moving an older output away."""
     return f"{path.rstrip('/')}/run={run}"
