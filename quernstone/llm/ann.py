@@ -242,8 +242,8 @@ def _lift(x: np.ndarray, largest: float) -> np.ndarray:
     return np.c_[x, np.sqrt(rest)].astype(np.float32)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", list_size: int = LIST_SIZE, ratio: float = RATIO, probes: int = PROBES, target: float = TARGET) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each query among all other vectors.
+def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", list_size: int = LIST_SIZE, ratio: float = RATIO, probes: int = PROBES, target: float = TARGET, exact: bool = False) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each query among all other vectors; ``exact`` visits every list.
 
     ``ratio`` and ``probes`` are where widening starts, so that ``target`` of the true neighbours are found.
     """
@@ -300,7 +300,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
             yield pd.DataFrame({"query": np.int32(r), "id": ids[some], "score": exact, "v": list(x[some])})
 
     truth = []
-    if tried:
+    if tried and not exact:
         every = rows.select("id", "v").mapInPandas(compare, "query int, id long, score double, v array<double>")
         every = every.groupBy("query", "id").agg(F.max("score").alias("score"), F.max_by("v", "score").alias("v"))
         best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
@@ -312,7 +312,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
             for r, i in zip(*assign(_lift(np.array(own), largest), c, norms)) if own else ():
                 lists[r].add(int(i))
             truth.append((ideal(v), lists))
-    ratio, probes, beam = widen(truth, c, norms, graph, held, k, ratio, probes, target)
+    ratio, probes, beam = (float("inf"), len(c), len(c)) if exact else widen(truth, c, norms, graph, held, k, ratio, probes, target)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c, norms, graph = shared.value

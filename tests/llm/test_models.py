@@ -296,6 +296,35 @@ def test_copies_take_one_place(spark):
     assert len(got) == 20 and got[0] == 1 and len(set(got[1:]) & set(others)) >= 17
 
 
+@pytest.mark.parametrize("sf", ["0.001", "0.1"])
+def test_recall_of_the_query(spark, sf):
+    rows = [(r["vec_id"], r["embedding"]) for r in table(spark, f"/root/testdata/sf{sf}", "embeddings").collect() if r["embedding"] is not None]
+    size = max(len(v) for _, v in rows)
+    rows = [(i, v) for i, v in rows if len(v) == size and None not in v and np.isfinite(v).all() and any(v)]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], dtype=np.float64)
+    got = {}
+    for r in ann.op8_nearest_neighbours(spark, f"/root/testdata/sf{sf}").collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert set(got) == {i for i in ids.tolist() if i % 20 == 0}
+    hits = []
+    for k in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[k]
+        s[k] = -np.inf
+        hits.append(len(got[int(ids[k])] & set(ids[np.lexsort((ids, -s))[:20]].tolist())) / 20)
+    assert np.mean(hits) >= 0.9
+
+
+def test_exact_search(spark):
+    x = np.random.default_rng(9).normal(size=(900, 12))
+    df = spark.createDataFrame([(int(i), [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, list_size=10, exact=True).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    assert all([v for _, v in sorted(own)] == np.argsort(-s[i], kind="stable")[:20].tolist() for i, own in got.items()) and len(got) == 45
+
+
 def test_few_neighbours(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r["vec_id"], r["score"]) for r in ann.search(df, F.col("vec_id") % 20 == 0).orderBy("rank").collect()] == [(1, 1.0), (2, 0.0)]
