@@ -316,7 +316,13 @@ def html_strip(spark, sf_dir):
     return spread(table(spark, sf_dir, "pages")).select("page_id", g.strip_html(F.col("html")).alias("text"))
 
 
-@query()
+STRIPPED = r"""(SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<![^>]*>', '', 'g'), '<[^>]+>', ' ', 'g'), '&[a-zA-Z]+;', ' ', 'g'), '&#[0-9]+;', ' ', 'g'), '\s+', ' ', 'g'), '^ | $', '', 'g') AS text FROM pages)"""
+_count = lambda x: f"len(string_split_regex({x}, '\\s+'))"
+_kept = f"list_filter(list_transform(string_split(regexp_replace(text, '([.!؟…]) +', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: regexp_matches(x, '[A-Za-z]') AND {_count('x')} <= 32)"
+_merged = f"list_reduce(list_transform(kept, lambda x: [x]), lambda a, b: CASE WHEN {_count('a[-1]')} + {_count('b[1]')} <= 28 THEN list_concat(a[:-2], [a[-1] || ' ' || b[1]]) ELSE list_concat(a, b) END)"
+
+
+@query(f"SELECT page_id, unnest(range(0, len(c)))::INTEGER AS chunk, unnest(c) AS text FROM (SELECT page_id, list_filter(CASE WHEN len(kept) = 0 THEN [] ELSE {_merged} END, lambda x: {_count('x')} >= 3) AS c FROM (SELECT page_id, {_kept} AS kept FROM {STRIPPED}))")
 def sentencify_chunks(spark, sf_dir):
     pieces = g.chunks(g.strip_html(F.col("html")), native="[A-Za-z]")
     return spread(table(spark, sf_dir, "pages")).select("page_id", F.posexplode(pieces).alias("chunk", "text"))
