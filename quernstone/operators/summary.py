@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
 
-from quernstone.tables import stored
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def count_by(rows: DataFrame, by: str, every: DataFrame | None = None) -> DataFrame:
@@ -85,15 +85,16 @@ def sentence_frequency(rows: DataFrame, sentences: Column) -> DataFrame:
 
 
 def distinct_counts(rows: DataFrame, columns: list[str], sentences: dict[str, Column] | None = None) -> DataFrame:
-    """One row: the exact number of distinct values of each column, and of distinct sentences and their highest count.
+    """(name, n): the exact number of distinct values of each column, and of distinct sentences and their highest count.
 
     Values are told apart by SHA-256, so whole texts don't move.
     """
-    one = rows.agg(*(F.countDistinct(F.sha2(F.col(c).cast("string"), 256)).alias(f"unique_{c}") for c in columns))
+    named = lambda one: one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in one.columns))).alias("x")).select("x.*")
+    parts = [named(rows.agg(*(F.countDistinct(F.sha2(F.col(c).cast("string"), 256)).alias(f"unique_{c}") for c in columns)))] if columns else []
     for name, s in (sentences or {}).items():
         counted = rows.select(F.explode(F.transform(s, lambda x: F.sha2(x, 256))).alias("s")).groupBy("s").agg(F.count("*").alias("n"))
-        one = one.join(F.broadcast(counted.agg(F.count("*").alias(f"unique_{name}"), F.coalesce(F.max("n"), F.lit(0)).alias(f"max_{name}"))))  # a row beside a row
-    return one
+        parts.append(named(counted.agg(F.count("*").alias(f"unique_{name}"), F.coalesce(F.max("n"), F.lit(0)).alias(f"max_{name}"))))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def categories_by_key(flags: DataFrame) -> DataFrame:

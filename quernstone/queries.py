@@ -600,10 +600,11 @@ def trap_coverage(spark, sf_dir):
     return q.trap_counts(persian_pairs(spark, sf_dir), "mode", F.col("input"))
 
 
-@query(f"SELECT count(DISTINCT mode) AS unique_mode, count(DISTINCT input) AS unique_input, count(DISTINCT output) AS unique_output, (SELECT count(*) FROM (SELECT DISTINCT unnest({SENTENCES}) FROM documents)) AS unique_sentences, (SELECT max(n) FROM (SELECT count(*) AS n FROM (SELECT unnest({SENTENCES}) AS s FROM documents) GROUP BY s)) AS max_sentences FROM {PERSIAN_PAIRS}")
+@query(f"""SELECT 'unique_mode' AS name, count(DISTINCT mode) AS n FROM {PERSIAN_PAIRS} UNION ALL SELECT 'unique_input', count(DISTINCT input) FROM {PERSIAN_PAIRS} UNION ALL SELECT 'unique_output', count(DISTINCT output) FROM {PERSIAN_PAIRS}
+    UNION ALL SELECT 'unique_sentences', count(*) FROM (SELECT DISTINCT unnest({SENTENCES}) FROM documents) UNION ALL SELECT 'max_sentences', max(n) FROM (SELECT count(*) AS n FROM (SELECT unnest({SENTENCES}) AS s FROM documents) GROUP BY s)""")
 def distinct_counts(spark, sf_dir):
-    said = summary.distinct_counts(records(spark, sf_dir), ["doc_id"], {"sentences": q.sentences(F.col("text"))}).drop("unique_doc_id")
-    return summary.distinct_counts(persian_pairs(spark, sf_dir), ["mode", "input", "output"]).join(F.broadcast(said))  # a row beside a row
+    said = summary.distinct_counts(records(spark, sf_dir), [], {"sentences": q.sentences(F.col("text"))})
+    return summary.distinct_counts(persian_pairs(spark, sf_dir), ["mode", "input", "output"]).unionByName(said)
 
 
 #: An order-dependent cleanup of a seed, then its length's bounds.
