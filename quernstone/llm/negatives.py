@@ -164,7 +164,8 @@ def windows(chosen: DataFrame, hard: DataFrame, k: int, low: tuple[int, int]) ->
     """The answers of all windows of an anchor from its slots: for each positive its slot and those below it, merged from the top."""
     slots = hard.groupBy("anchor").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "id", "slot"))).alias("n"))
     first = F.slice(F.filter("n", lambda c: c["slot"] >= F.col("slot_from")), 1, k)
-    inside = F.filter(first, lambda c: -c["o"] * low[1] >= F.col("positive_score") * low[0])
+    wide = lambda c: c.cast("decimal(20,0)")  # noqa: E731  a score times a fraction's part may exceed 64 bits
+    inside = F.filter(first, lambda c: -wide(c["o"]) * low[1] >= wide(F.col("positive_score")) * low[0])
     asked = chosen.withColumnRenamed("rank", "slot_from").join(slots, "anchor")
     found = asked.select("anchor", "positive_id", "positive_score", F.posexplode(inside).alias("at", "c"))
     return found.select("anchor", "positive_id", "positive_score", (F.col("at") + 1).alias("rank"), F.col("c.id").alias("negative_id"), (-F.col("c.o")).alias("negative_score"))
