@@ -5,11 +5,13 @@ tree. To stay bounded at any input size this runs in two steps of the same kind:
 
 1. Tasks, as many as the rows need (``TASKS`` at most), pack their share of the groups into crates of a fixed small
    capacity (a shard's capacity divided by ``crates_per_shard``); each task keeps its open crates in a balanced tree.
-2. The crates, at most two of each capacity and one more for each task whatever the input, enter the shards by the same
-   rule, at the smallest capacity of the shards that a search finds.
+   Groups over a crate's capacity, of which there are no more than crates, stay out of them.
+2. The crates, at most two of each capacity and one more for each task whatever the input, and the groups over a crate's
+   capacity enter the shards by the same rule, each whole, at the smallest capacity of the shards that a search finds.
 
-A group over a crate's capacity is numbered in chunks so that no task gets all of it, but its chunks go to one shard.
-Only a group that is larger than a whole shard, and so fits no shard, is spread over several by whole rows.
+So every group that fits a shard lies in one. Only a group that is larger than a whole shard (all bytes over the number of
+shards), and so fits none, is spread over several by whole rows, in chunks that go through the crates. Slots are ranks
+within a shard from range partitions and their counts, so neither a group nor a crate or shard is one task's.
 
 Defined results: a null text has no bytes and is grouped with the empty text; ids may repeat or be null (each row
 gets its own slot); an empty table gives an empty result; with fewer groups than shards some shards stay empty.
@@ -20,7 +22,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, Window
+from pyspark.sql import Column, DataFrame, functions as F
+
+from quernstone.operators.selection import placed_within
 
 from .common import ship, stored, table
 
@@ -172,27 +176,25 @@ def shard(docs: DataFrame, shards: int = 40, group: Column | None = None, id_col
     total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     full = max(1, -(-total // shards))
     small = max(1, full // crates_per_shard)
-    groups = rows.groupBy("g").agg(F.sum("size").alias("bytes"))
+    groups = rows.groupBy("g").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     # Of groups over a crate's capacity there are at most shards * crates_per_shard, whatever the input.
-    large = groups.filter(F.col("bytes") > small).select("g", F.ceil(F.col("bytes") / small).cast("int").alias("chunks"), (F.col("bytes") <= full).alias("tied"))
-    large = stored(large, "shard-large")
-    placed = rows.join(F.broadcast(large), "g", "left").withColumn("chunk", F.when(F.col("chunks").isNull(), 0).otherwise(F.pmod(F.xxhash64("row"), "chunks").cast("int")))
-    units = placed.groupBy("g", "chunk").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    large = stored(groups.filter(F.col("bytes") > small), "shard-large")
+    whole, wide = large.filter(F.col("bytes") <= full), large.filter(F.col("bytes") > full)
+    chunks = wide.select("g", F.ceil(F.col("bytes") / small).cast("int").alias("chunks"))
+    rest = rows.join(F.broadcast(whole.select("g")), "g", "left_anti").join(F.broadcast(chunks), "g", "left")
+    rest = rest.withColumn("chunk", F.when(F.col("chunks").isNull(), 0).otherwise(F.pmod(F.xxhash64("row"), "chunks").cast("int")))
+    units = rest.groupBy("g", "chunk").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     boxed = stored(crates(units, small, min(TASKS, max(1, -(-n // ROWS_PER_TASK)))), "shard-crates")
-    tied = boxed.join(F.broadcast(large.filter("tied").select("g", F.lit(True).alias("tied"))), "g", "left")
-    items = tied.groupBy("crate").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"), F.max(F.when(F.col("tied"), F.hex("g"))).alias("tie")).toPandas()
-    # At most two crates of each capacity and one more for each task: no more rows than the parameters allow.
-    items["item"] = items["tie"].where(items["tie"].notna(), items["crate"].astype(str))
-    whole = items.groupby("item", as_index=False)["bytes"].sum().sort_values(["bytes", "item"], ascending=[False, True])
-    _, bins = least_capacity(whole["bytes"].tolist(), shards)
-    whole["shard"] = bins
-    items = items.merge(whole[["item", "shard"]], on="item").sort_values(["shard", "crate"])
-    items["base"] = items.groupby("shard")["n"].cumsum() - items["n"]
-    where = spark.createDataFrame([(int(c), int(s), int(b)) for c, s, b in zip(items["crate"], items["shard"], items["base"])], "crate long, shard int, base long")
-    found = placed.join(boxed.select("g", "chunk", "crate"), ["g", "chunk"])
-    order = Window.partitionBy("crate").orderBy("id", "crc", "size", "row")
-    return found.join(F.broadcast(where), "crate").select(
-        F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", (F.row_number().over(order) - 1 + F.col("base")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    # At most two crates of each capacity, one more for each task, and the large groups: no more rows than the parameters allow.
+    items = boxed.groupBy("crate").agg(F.sum("bytes").alias("bytes")).select("crate", F.lit(None).cast("binary").alias("g"), "bytes")
+    items = items.unionByName(whole.select(F.lit(None).cast("long").alias("crate"), "g", "bytes")).orderBy(F.desc("bytes"), "crate", "g").toPandas()
+    _, items["shard"] = least_capacity(items["bytes"].tolist(), shards)
+    by_crate = spark.createDataFrame([(int(c), int(s)) for c, s, g in zip(items["crate"], items["shard"], items["g"]) if g is None], "crate long, shard int")
+    by_group = spark.createDataFrame([(bytes(g), int(s)) for s, g in zip(items["shard"], items["g"]) if g is not None], "g binary, shard int")
+    kept = ["id", "size", "crc", "row", "shard"]
+    placed = rest.join(boxed.select("g", "chunk", "crate"), ["g", "chunk"]).join(F.broadcast(by_crate), "crate").select(kept).unionByName(rows.join(F.broadcast(by_group), "g").select(kept))
+    return placed_within(placed, "shard", ["id", "crc", "size", "row"], "place").select(
+        F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", (F.col("place") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
 
 

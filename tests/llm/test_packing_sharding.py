@@ -157,3 +157,34 @@ def test_sharding_even_with_a_hot_group(spark, make_text):
     for g in range(50):
         assert len({where[9000 + 4 * g + k] for k in range(4)}) == 1
     assert all(r["size"] == len((dict(rows)[r["doc_id"]]).encode()) + 16 for r in found[:50])
+
+
+@pytest.mark.parametrize(("sizes", "shards", "crates"), [([3] * 1700, 40, 512), ([5] * 1700, 40, 512), ([1, 2, 3, 4, 5] * 400, 40, 512), ([3] * 400, 4, 120), ([2] * 900 + [900] * 2 + [30] * 40, 7, 64)])
+def test_groups_that_fit_a_shard_stay_whole(spark, sizes, shards, crates):
+    """Thousands of groups around a crate's capacity, above and below it: each in one shard, and shards of nearly one size."""
+    rows = [(n * 1000 + k, f"group {n:06d} " + "x" * 147) for n, c in enumerate(sizes) for k in range(c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = s.shard(df, shards, crates_per_shard=crates).collect()
+    filled = check_shards(rows, found, shards)
+    where = {}
+    for r in found:
+        where.setdefault(r["doc_id"] // 1000, set()).add(r["shard"])
+    row = len(rows[0][1]) + 16
+    fits = [g for g, c in enumerate(sizes) if c * row <= -(-len(rows) * row // shards)]
+    assert len(fits) > 300 and all(len(where[g]) == 1 for g in fits)
+    mean = len(rows) * row / shards
+    assert len(filled) == shards and max(filled.values()) - mean <= max(0.01 * mean, max(sizes[g] for g in fits) * row)
+
+
+def test_sharding_query(spark, sf_dir):
+    """The registered query on its table: sizes, digests, gapless slots, groups whole, sizes near equal."""
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    found = s.op10_sharding(spark, sf_dir).collect()
+    check_shards(docs, found, 40)
+    where = {}
+    for r in found:
+        text = docs[r["doc_id"]].encode()
+        assert r["size"] == len(text) + 16 and r["text_crc32"] == zlib.crc32(text) and r["law"] == "bytes" and r["grown_shard"] is None
+        where.setdefault(text, []).append((r["shard"], r["size"]))
+    full = -(-sum(r["size"] for r in found) // 40)
+    assert all(len({x for x, _ in own}) == 1 for own in where.values() if sum(n for _, n in own) <= full)
