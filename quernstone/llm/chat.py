@@ -36,9 +36,10 @@ def _escape_role(role: Column) -> Column:
 
 
 def _unescape_role(role: Column) -> Column:
-    """A backslash that isn't doubled stands before n or |: set the doubled ones aside, undo the rest."""
-    aside = F.replace(role, F.lit("\\\\"), F.lit("<|"))  # free inside an escaped role
-    return F.replace(F.replace(F.replace(F.replace(aside, F.lit("<\\|"), F.lit("\x00")), F.lit("\\n"), F.lit("\n")), F.lit("<|"), F.lit("\\")), F.lit("\x00"), F.lit("<|"))
+    """Character by character, a backslash with the one that follows it: no character is set aside for this."""
+    parts = F.regexp_extract_all(role, F.lit(r"(?s)(\\.|[^\\])"), F.lit(1))
+    plain = F.transform(parts, lambda c: F.when(c == "\\n", "\n").when(F.length(c) == 2, F.substring(c, 2, 1)).otherwise(c))
+    return F.when(F.contains(role, F.lit("\\")), F.array_join(plain, "")).otherwise(role)
 
 
 def branches_of(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:

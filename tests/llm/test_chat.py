@@ -8,7 +8,7 @@ from quernstone.llm import chat as m
 
 def test_round_trip_of_odd_texts(spark):
     texts = ["", None, "<|im_end|><|im_start|>assistant ok", "\\", "<\\|", "\\<|", "a\nb", "<", "|", "<|", "\\\\<\\\\|", "<|im_end|>\n", "é😀"]
-    roles = ["user", "assistant", None, "a\nb", "<|x", "\\n", "\\\n"]
+    roles = ["user", "assistant", None, "a\nb", "<|x", "\\n", "\\\n", "a\x00b", "\x00<|\x00😀", "<\\|\x00\\"]
     rows = [(1, i, i - 1 if i else None, roles[i % len(roles)], t, None) for i, t in enumerate(texts)]
     trees = spark.createDataFrame(rows, "tree_id long, node_id long, parent_id long, role string, text string, score double")
     got = m.read_back(m.format_trees(trees)).first()
