@@ -40,7 +40,3 @@ def letters_outside(native: str = ARABIC_EXTENDED) -> str:
 
 def ascii_bounded(pattern: str) -> str:
     return rf"(?<![A-Za-z0-9_]){pattern}(?![A-Za-z0-9_])"
-
-
-def quote(literal: str) -> str:
-    return "".join(c if c.isalnum() or ord(c) > 127 else "\\" + c for c in literal)

@@ -1,12 +1,22 @@
 """Ordered lexicons: merged and expanded once, when a query is built; replaced longest key first.
 
 A lexicon is a list of (key, value) pairs in order. The entries here are our own small sets with the structure that
-replacement has to handle: keys of several words, prefixed verbs, and values that are keys themselves.
+replacement has to handle: keys of several words, prefixed verbs, and values that are keys themselves. Lexicons of real
+size come from a table.
+
+Replacement is one pass over the text for each entry, longest key first, so a pass sees what earlier ones wrote. Most
+entries don't occur in a text: an automaton over all keys finds those that do in one scan, only their passes run, and
+after each pass the places that it wrote are scanned for keys of later passes that they formed. So the work follows the
+text and its replacements, not the number of entries, and a plan has one node for all lexicons.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import heapq
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .chars import ZWNJ
 
@@ -38,17 +48,17 @@ def merged(*parts: Lexicon) -> Lexicon:
     return list(out.items())
 
 
-#: Entries that a query's lexicons hold, at most: each is a pass over the texts that it occurs in.
-MOST_ENTRIES = 5_000
+#: Entries that a query's lexicons hold, at most: a dimension that the driver collects and sends to every executor.
+MOST_ENTRIES = 200_000
 
 
 def from_table(rows: DataFrame) -> dict[str, Lexicon]:
     """Lexicons by register from a table (register, pos, k, v): a dimension of at most MOST_ENTRIES rows, refused if larger."""
-    found = rows.select("register", "pos", "k", "v").orderBy("register", "pos").limit(MOST_ENTRIES + 1).collect()
+    found = rows.select("register", "pos", "k", "v").limit(MOST_ENTRIES + 1).collect()
     if len(found) > MOST_ENTRIES:
         raise ValueError(f"more than {MOST_ENTRIES} lexicon entries")
     out: dict[str, Lexicon] = {}
-    for r in found:
+    for r in sorted(found, key=lambda r: (r["register"], r["pos"])):
         out.setdefault(r["register"], []).append((r["k"], r["v"]))
     return {register: merged(entries) for register, entries in out.items()}
 
@@ -68,6 +78,85 @@ def longest_first(lexicon: Lexicon) -> Lexicon:
     return sorted(lexicon, key=lambda e: -len(e[0]))
 
 
+class Replacer:
+    """The passes of one lexicon over a text. A key counts where no letter and no half-space touches it."""
+
+    def __init__(self, lexicon: Lexicon) -> None:
+        import ahocorasick
+
+        self.entries = [(k, v) for k, v in longest_first(merged(lexicon)) if k]
+        self.longest = len(self.entries[0][0]) if self.entries else 0
+        self.automaton = ahocorasick.Automaton()
+        for i, (k, _) in enumerate(self.entries):
+            self.automaton.add_word(k, i)
+        self.automaton.make_automaton()
+
+    @staticmethod
+    def alone(text: str, start: int, end: int) -> bool:
+        before, after = text[start - 1 : start] if start else "", text[end : end + 1]
+        return not (before.isalpha() or after.isalpha() or before == ZWNJ or after == ZWNJ)
+
+    def occurring(self, text: str, start: int, end: int) -> set[int]:
+        """Entries whose keys stand alone within a range of the text."""
+        found = set()
+        for last, i in self.automaton.iter(text, start, end):
+            if i not in found and self.alone(text, last + 1 - len(self.entries[i][0]), last + 1):
+                found.add(i)
+        return found
+
+    def one_pass(self, text: str, i: int) -> tuple[str, list[tuple[int, int]]]:
+        """The text after an entry's pass, and the ranges that it wrote."""
+        key, value = self.entries[i]
+        out, ranges, done, length, at = [], [], 0, 0, text.find(key)
+        while at >= 0:
+            if self.alone(text, at, at + len(key)):
+                out += [text[done:at], value]
+                length += at - done + len(value)
+                ranges.append((length - len(value), length))
+                done = at + len(key)
+            at = text.find(key, max(done, at + 1))
+        return "".join([*out, text[done:]]), ranges
+
+    def __call__(self, text: str) -> tuple[str, int]:
+        """The text after all passes, and the number of replacements; an entry whose value is its key counts too."""
+        if not self.entries:
+            return text, 0
+        waiting, n, last = list(self.occurring(text, 0, len(text))), 0, -1
+        heapq.heapify(waiting)
+        while waiting:
+            i = heapq.heappop(waiting)
+            if i == last:
+                continue
+            text, ranges = self.one_pass(text, i)
+            n, last = n + len(ranges), i
+            for start, end in ranges:
+                for j in self.occurring(text, max(0, start - self.longest - 1), min(len(text), end + self.longest + 1)):
+                    if j > i:
+                        heapq.heappush(waiting, j)
+        return text, n
+
+
+def replacing(lexicons: dict[str, Lexicon]) -> Callable[[Column, Column], Column]:
+    """A function of text and name of lexicon that gives struct(text, n): the text after the passes, and how many words were replaced.
+
+    A text whose lexicon is unknown stays as it is. The lexicons are sent once to each executor.
+    """
+    sent = SparkSession.active().sparkContext.broadcast(lexicons)
+
+    @F.pandas_udf("text string, n int")
+    def replaced(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        built: dict[str, Replacer | None] = {}
+        for texts, names in batches:
+            out = []
+            for text, name in zip(texts, names):
+                if name not in built:
+                    built[name] = Replacer(sent.value[name]) if name in sent.value else None
+                out.append((text, 0) if text is None or built[name] is None else built[name](text))
+            yield pd.DataFrame(out, columns=["text", "n"])
+
+    return replaced
+
+
 #: Register to lexicon; the clean registers fix colloquial spellings first.
 REGISTERS: dict[str, Lexicon] = {
     "standard": STANDARD,

@@ -6,12 +6,10 @@ start by default; ``compat=True`` joins them inside words too, as the loose rule
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import lexicon as lx
-from .chars import ARABIC_DIGITS, ASCII_DIGITS, PERSIAN, PERSIAN_DIGITS, PERSIAN_OR_ZWNJ, SPACE, ZWNJ, quote, replace, trim
+from .chars import ARABIC_DIGITS, ASCII_DIGITS, PERSIAN, PERSIAN_DIGITS, PERSIAN_OR_ZWNJ, SPACE, ZWNJ, replace, trim
 
 #: Letters of the Arabic layout and what replaces them; marks and invisible characters that go.
 ARABIC_LETTERS, PERSIAN_LETTERS = "أإيكة", "اایکه"
@@ -70,31 +68,14 @@ def fix_spacing(text: Column) -> Column:
     return trim(replace(t, r"[ \t]{2,}", " "))
 
 
-def _entries(entries: lx.Lexicon) -> list[tuple[str, str]]:
-    return [(rf"(?<![\p{{L}}\x{{200C}}]){quote(k)}(?![\p{{L}}\x{{200C}}])", v.replace("\\", "\\\\").replace("$", "\\$")) for k, v in lx.longest_first(entries)]
-
-
 def replace_words(text: Column, entries: lx.Lexicon) -> Column:
-    """Whole words, one pass for each entry, longest key first, so later passes see what earlier ones wrote.
-
-    Each pass has a literal pattern, which Spark compiles once. A text without any of the keys, found by one pass, takes no other.
-    """
-    passes = reduce(lambda t, e: replace(t, *e), _entries(entries), text)
-    return F.when(replaces_any(text, entries), passes).otherwise(text) if entries else text
+    """Whole words, one pass for each entry, longest key first, so later passes see what earlier ones wrote."""
+    return lx.replacing({"": entries})(text, F.lit(""))["text"]
 
 
 def replaced_words(text: Column, entries: lx.Lexicon) -> Column:
     """How many replacements replace_words makes; an entry whose value is its key counts too."""
-    n, t = F.lit(0), text
-    for pattern, value in _entries(entries):
-        n = n + F.regexp_count(t, F.lit(pattern))
-        t = replace(t, pattern, value)
-    return n
-
-
-def replaces_any(text: Column, entries: lx.Lexicon) -> Column:
-    """Whether replace_words replaces anything: the first pass that does sees the text as it is."""
-    return text.rlike("|".join(p for p, _ in _entries(entries))) if entries else F.lit(False)
+    return lx.replacing({"": entries})(text, F.lit(""))["n"]
 
 
 def count_persian_words(text: Column) -> Column:
@@ -179,51 +160,41 @@ NOTES = {
 }
 
 
-def edit(text: Column, register: str, connectors: list[str] = (), opener: str | None = None, closer: str | None = None, lexicon: lx.Lexicon | None = None, compat: bool = False) -> Column:
-    """struct(output, changed, notes): the whole rule-based edit of a text for one register."""
-    entries = lx.with_joined_prefixes(lx.REGISTERS.get(register, []) if lexicon is None else lexicon)
-    formal = register in ("formal", "academic", "admin")
-
-    # Each stage is bound once by a one-element transform, so that it isn't computed again for every use.
-    bind = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
-
-    def stages(t: Column) -> Column:
-        def after_all(folded, joined, marked, stripped, said, woven):
-            ended_in = fix_spacing(join_half_spaces(wrap(woven, opener, closer), compat))
-            return bind(
-                ended_in,
-                lambda spaced: F.struct(
-                    final_mark(spaced).alias("output"),
-                    F.when(text == final_mark(spaced), 0).otherwise(word_changes(text, final_mark(spaced), 999)).alias("changed"),
-                    F.filter(
-                        F.array(
-                            F.when(joined != folded, NOTES["half_space"]),
-                            F.when(marked != joined, NOTES["punctuation"]),
-                            F.when(stripped != marked, NOTES["interjections"]),
-                            F.when(replaces_any(stripped, entries), NOTES["words"]),
-                            F.when(woven != said, NOTES["connectors"]),
-                            F.when(lacks_final_mark(spaced), NOTES["final"]),
-                        ),
-                        lambda n: n.isNotNull(),
-                    ).alias("notes"),
-                ),
-            )
-
-        return bind(
-            join_half_spaces(t, compat),
-            lambda joined: bind(
-                fix_punctuation(joined),
-                lambda marked: bind(
-                    strip_interjections(marked) if formal else marked,
-                    lambda stripped: bind(replace_words(stripped, entries), lambda said: bind(weave_connectors(said, list(connectors)), lambda woven: after_all(t, joined, marked, stripped, said, woven))),
-                ),
-            ),
-        )
-
-    folded = fold_chars(text)
-    none = F.struct(trim(folded).alias("output"), F.lit(0).alias("changed"), F.array(F.lit(NOTES["none"])).alias("notes"))
-    clean = bind(stages(folded), lambda d: F.struct(d["output"].alias("output"), d["changed"].alias("changed"), F.when(F.size(d["notes"]) == 0, F.array(F.lit(NOTES["clean"]))).otherwise(d["notes"]).alias("notes")))
-    return F.when(has_persian(folded), clean).otherwise(none)
+FORMAL_REGISTERS = ("formal", "academic", "admin")
+
+
+def with_edit(rows: DataFrame, text: str, register: Column, lexicons: dict[str, lx.Lexicon], lexicon: Column, weave=None, frame=None, compat: bool = False) -> DataFrame:
+    """Adds edited = struct(output, changed, notes): the whole rule-based edit of a text for its register.
+
+    ``lexicon`` names the row's lexicon; ``weave`` and ``frame`` are functions of a text, for connectors and for opener and
+    closer. Each stage is a column of its own, so that none is computed twice, and the register is data: the plan has the
+    same size for one mode as for all.
+    """
+    entries = lx.replacing({k: lx.with_joined_prefixes(v) for k, v in lexicons.items()})
+    c = F.col
+    t = rows.withColumns({"_register": register, "_lexicon": lexicon}).withColumn("_folded", fold_chars(c(text)))
+    t = t.withColumn("_joined", join_half_spaces(c("_folded"), compat)).withColumn("_marked", fix_punctuation(c("_joined")))
+    t = t.withColumn("_stripped", F.when(c("_register").isin(*FORMAL_REGISTERS), strip_interjections(c("_marked"))).otherwise(c("_marked")))
+    t = t.withColumn("_said", entries(c("_stripped"), c("_lexicon")))
+    t = t.withColumn("_woven", weave(c("_said")["text"]) if weave else c("_said")["text"])
+    t = t.withColumn("_spaced", fix_spacing(join_half_spaces(frame(c("_woven")) if frame else c("_woven"), compat)))
+    t = t.withColumn("_ended", final_mark(c("_spaced")))
+    notes = F.filter(
+        F.array(
+            F.when(c("_joined") != c("_folded"), NOTES["half_space"]),
+            F.when(c("_marked") != c("_joined"), NOTES["punctuation"]),
+            F.when(c("_stripped") != c("_marked"), NOTES["interjections"]),
+            F.when(c("_said")["n"] > 0, NOTES["words"]),
+            F.when(c("_woven") != c("_said")["text"], NOTES["connectors"]),
+            F.when(lacks_final_mark(c("_spaced")), NOTES["final"]),
+        ),
+        lambda n: n.isNotNull(),
+    )
+    t = t.withColumn("_notes", notes)
+    changed = F.when(c(text) == c("_ended"), 0).otherwise(word_changes(c(text), c("_ended"), 999))
+    done = F.struct(c("_ended").alias("output"), changed.alias("changed"), F.when(F.size("_notes") == 0, F.array(F.lit(NOTES["clean"]))).otherwise(c("_notes")).alias("notes"))
+    none = F.struct(trim(c("_folded")).alias("output"), F.lit(0).alias("changed"), F.array(F.lit(NOTES["none"])).alias("notes"))
+    return t.select(*rows.columns, F.when(has_persian(c("_folded")), done).otherwise(none).alias("edited"))
 
 
 def polish_quick(text: Column) -> Column:

@@ -873,3 +873,6 @@ POLISHED = [
 def keyboard_polish(spark, sf_dir):
     text = F.get(F.array(*(F.lit(a) for a, _ in POLISHED)), (F.col("event_id") % len(POLISHED)).cast("int"))
     return table(spark, sf_dir, "events").select("event_id", t.polish_quick(text).alias("polished"))
+
+
+from quernstone import queries_tables  # noqa: E402, F401  adds its queries

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quernstone.functions import audit as q, guards as g, lexicon as lx, text as t
+from quernstone.plans import edits
 
 Z = "‌"
 
@@ -66,9 +67,10 @@ def test_prefixed_keys_get_a_joined_form():
 
 
 def test_edit(spark):
-    got = one(spark, t.edit(F.col("x"), "standard"), x="من كتاب را می خواهم ,آخه یه روز")
-    assert got["output"] == f"من کتاب را می{Z}خواهم ,زیرا یک روز." or got["output"].endswith("روز.")
-    assert one(spark, t.edit(F.col("x"), "standard"), x=" abc ")["output"] == "abc"
+    texts = spark.createDataFrame([("tashih", "من كتاب را می خواهم ,آخه یه روز"), ("tashih", " abc "), ("other", None)], "mode string, text string")
+    got = [r["edited"] for r in edits.edit_table(texts).collect()]
+    assert got[0]["output"] == f"من کتاب را می{Z}خواهم ,زیرا یک روز." and got[0]["notes"] == [t.NOTES["half_space"], t.NOTES["words"], t.NOTES["final"]]
+    assert got[1]["output"] == "abc" and got[2]["output"] is None
     woven = one(spark, t.weave_connectors(F.col("x"), ["پس"]), x="این یک است. آن دو شد امروز. و سه هم آمد. چهار هم رفت خانه.")
     assert woven.count("پس،") == 2
 
@@ -159,3 +161,32 @@ def test_overlap_profiles(spark):
     assert one(spark, q.overlap(F.col("a"), F.col("b"), q.PROFILES["gate"]), **both) == 1.0
     assert one(spark, q.overlap(F.col("a"), F.col("b"), q.PROFILES["v3"]), **both) == pytest.approx(1 / 3)
     assert one(spark, q.audit_tokens(F.col("x")), x="ﻛﺘﺎﺑﻬﺎ و ۱۲") == ["کتاب"]
+
+
+def test_passes_in_order_like_plain_replacement():
+    """Random lexicons over few letters, with cascades, keys within keys and values that touch their neighbours."""
+    import random
+
+    import regex
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(1, 3)))
+    for case in range(400):
+        phrase = lambda: rng.choice([" ", "-", Z, ""]).join(word() for _ in range(rng.randint(1, 2)))
+        entries = lx.merged([(phrase(), rng.choice([phrase(), phrase(), "", f" {word()}", f"{word()}!"])) for _ in range(rng.randint(1, 12))])
+        text = "".join(rng.choice(["a", "b", "ab", "ba", " ", " ", "-", "!", Z]) for _ in range(rng.randint(0, 40)))
+        want, n = text, 0
+        for k, v in lx.longest_first(entries):
+            want, some = regex.subn(rf"(?<![\p{{L}}{Z}]){regex.escape(k)}(?![\p{{L}}{Z}])", lambda m: v, want)  # noqa: B023
+            n += some
+        assert lx.Replacer(entries)(text) == (want, n), (case, entries, text)
+
+
+def test_five_thousand_entries_are_one_node(spark):
+    key = lambda i: "ک" + str(i).translate(str.maketrans("0123456789", "ابپتثجچحخد"))
+    entries = [(key(i), key(i + 1)) for i in range(5000)]
+    rows = spark.createDataFrame([(f"{key(4998)} و {key(12)} ساده ک",)], "x string").select(t.replace_words(F.col("x"), entries).alias("y"))
+    assert rows.first()["y"] == f"{key(5000)} و {key(100)} ساده ک"  # the passes of longer keys are over
+    assert len(rows._jdf.queryExecution().executedPlan().toString()) < 2000
+    table = spark.createDataFrame([("r", i, k, v) for i, (k, v) in enumerate(entries)], "register string, pos int, k string, v string")
+    assert lx.from_table(table.repartition(4)) == {"r": entries}
