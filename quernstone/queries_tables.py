@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from quernstone.functions import lexicon
 from quernstone.queries import query, table
+from quernstone.streaming import stateful
 from quernstone.tables import stored
 
 #: Lexicons of real size: 13 of 235 entries and one of 5,000, from the words of the documents; a fifth of the values are
@@ -44,3 +45,48 @@ def lexicons_of_real_size(spark, sf_dir):
     text = F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " "))
     rows = table(spark, sf_dir, "documents").select("doc_id", edit(text, (F.col("doc_id") % (LEXICONS + 1)).cast("string"))["text"].alias("output"))
     return rows.select("doc_id", F.sha2("output", 256).alias("output_sha256"), F.length("output").cast("long").alias("n_chars"))
+
+
+# Streams: run over the tables' rows in several batches
+
+
+@query(r"""SELECT conv_id::VARCHAR AS request_id, regexp_replace(coalesce(string_agg(text, '' ORDER BY turn), ''), '^\s+|\s+$', '', 'g') AS text, CASE WHEN conv_id % 4 = 1 THEN 'broke' END AS error FROM conversations GROUP BY conv_id""")
+def sse_stream(spark, sf_dir):
+    """Each conversation as the bytes of a server-sent event stream, cut every 53 bytes, arriving in any order in three batches."""
+    event = F.concat(F.lit("data: "), F.to_json(F.struct("text")), F.lit("\n\n"))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", event.alias("e")))), lambda x: x["e"]), "")
+    late = "\n\n".join(["", 'data: {"text": "late"}', ""])
+    end = F.when(F.col("conv_id") % 4 == 0, 'data: {"done": true}' + late).when(F.col("conv_id") % 4 == 1, 'data: {"error": "broke"}' + late).when(F.col("conv_id") % 4 == 2, "data: [DONE]\n\n").otherwise("data: {}")
+    bodies = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(said.alias("said")).select(F.col("conv_id").cast("string").alias("request_id"), F.encode(F.concat("said", end), "UTF-8").alias("body"))
+    pieces = F.sequence(F.lit(0), F.floor((F.length("body") - 1) / 53).cast("int"))
+    chunks = bodies.select("request_id", F.posexplode(F.transform(pieces, lambda i: F.substring(F.col("body"), i * 53 + 1, F.lit(53)))).alias("seq", "chunk"), F.size(pieces).alias("n"))
+    chunks = chunks.select("request_id", F.col("seq").cast("long").alias("seq"), "chunk", (F.col("seq") == F.col("n") - 1).alias("last"))
+    return stateful.sse_text(stateful.run_over_files(spark, chunks, lambda s: stateful.sse_stream(s, 0), 3))
+
+
+@query("""WITH e AS (SELECT conv_id % 97 AS speaker, conv_id AS session, turn, turn // 2 AS r, role = 'assistant' AS is_final, trim(coalesce(text, '')) AS t FROM conversations),
+    n AS (SELECT speaker, max(session) AS session FROM e GROUP BY speaker), o AS (SELECT e.* FROM e JOIN n USING (speaker, session)),
+    f AS (SELECT speaker, string_agg(t, ' ' ORDER BY r) AS final, list(r) AS settled FROM (SELECT speaker, r, arg_max(t, turn) AS t FROM o WHERE is_final GROUP BY speaker, r) GROUP BY speaker),
+    i AS (SELECT speaker, arg_max(r, turn) AS r, arg_max(t, turn) AS t FROM o WHERE NOT is_final GROUP BY speaker)
+    SELECT n.speaker::VARCHAR AS speaker, n.session, concat_ws(' ', nullif(final, ''), CASE WHEN NOT coalesce(list_contains(settled, i.r), false) THEN nullif(i.t, '') END) AS text FROM n LEFT JOIN f USING (speaker) LEFT JOIN i USING (speaker)""")
+def dictation_stream(spark, sf_dir):
+    """Conversations as dictation of 97 speakers: a session each, the assistant's turns final, arriving in any order in three batches."""
+    c = table(spark, sf_dir, "conversations")
+    events = c.select((F.col("conv_id") % 97).cast("string").alias("speaker"), F.col("conv_id").cast("long").alias("session"), F.col("turn").cast("long").alias("event_no"), F.floor(F.col("turn") / 2).cast("int").alias("result_index"), (F.col("role") == "assistant").alias("is_final"), F.col("text").alias("transcript"))
+    return stateful.newest_text(stateful.run_over_files(spark, events, stateful.dictation_stream, 3))
+
+
+@query("""WITH e AS (SELECT user_id, (event_id % 3)::INTEGER AS p, floor(value * 2000)::BIGINT AS ms, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'end' WHEN 'signup' THEN 'error' ELSE 'delta' END AS kind, event_type AS t FROM events),
+    w AS (SELECT *, ms - lag(ms) OVER (PARTITION BY user_id, p ORDER BY ms, seq) AS gap, row_number() OVER (PARTITION BY user_id, p ORDER BY ms, seq) AS n FROM e),
+    c AS (SELECT user_id, coalesce(min(p) FILTER (n = 2 AND kind <> 'error' AND gap <= 30000), 3) AS p FROM w GROUP BY user_id),
+    a AS (SELECT w.*, CASE WHEN n > 2 AND gap > 30000 THEN 'timeout' WHEN kind = 'delta' THEN 'open' WHEN kind = 'error' THEN 'error' ELSE 'done' END AS state FROM w JOIN c USING (user_id, p) WHERE n > 1),
+    k AS (SELECT *, min(n) FILTER (state <> 'open') OVER (PARTITION BY user_id) AS stop FROM a),
+    s AS (SELECT user_id, coalesce(string_agg(t, '' ORDER BY n) FILTER (state IN ('open', 'done')), '') AS text, arg_max(state, n) AS state FROM k WHERE stop IS NULL OR n <= stop GROUP BY user_id)
+    SELECT c.user_id::VARCHAR AS request_id, c.p AS priority, coalesce(s.text, '') AS text, CASE s.state WHEN 'open' THEN 'timeout' ELSE coalesce(s.state, 'failed') END AS state FROM c LEFT JOIN s USING (user_id)""")
+def failover(spark, sf_dir):
+    """Events as what three backends say to each user's request: their times from the value, the first row of a backend its start."""
+    kind = F.when(F.col("event_type") == "purchase", "end").when(F.col("event_type") == "signup", "error").otherwise("delta")
+    rows = table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("request_id"), (F.col("event_id") % 3).cast("int").alias("priority"), F.timestamp_millis(F.floor(F.col("value") * 2000)).alias("at"), F.col("event_id").alias("seq"), kind.alias("kind"), F.col("event_type").alias("text"), F.lit(3).alias("backends")
+    )
+    return stateful.failover_batch(rows)
