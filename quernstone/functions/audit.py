@@ -8,6 +8,7 @@ from __future__ import annotations
 import unicodedata
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -81,10 +82,40 @@ def audit_tokens(text: Column, stop: tuple[str, ...] = STOP_FIRST) -> Column:
     return F.array_distinct(F.filter(F.transform(words, lambda t: stem(t)), lambda t: F.length(t) >= 3))
 
 
+def matched_of(a: list[str], b: list[str], least: int) -> int:
+    """How many of a's tokens equal one of b's, or contain one or lie in one, both of the least length or more.
+
+    A token that contains another holds that one's first ``least`` characters as a gram, so grams and beginnings say which
+    tokens can; only those are compared.
+    """
+    known = set(b)
+    grams: dict[str, list[str]] = {}
+    begins: dict[str, list[str]] = {}
+    for y in known:
+        if len(y) >= least:
+            begins.setdefault(y[:least], []).append(y)
+            for g in {y[i : i + least] for i in range(len(y) - least + 1)}:
+                grams.setdefault(g, []).append(y)
+
+    def contained(x: str) -> bool:
+        return any(x in y for y in grams.get(x[:least], ())) or any(y in x for i in range(len(x) - least + 1) for y in begins.get(x[i : i + least], ()))
+
+    return sum(x in known or (len(x) >= least and contained(x)) for x in a)
+
+
+def matched_tokens(a: Column, b: Column, least: int) -> Column:
+    """matched_of by batches; null where either is null."""
+
+    @F.pandas_udf(T.IntegerType())
+    def matched(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else matched_of(list(x), list(y), least) for x, y in zip(left, right)], dtype="Int32")
+
+    return matched(a, b)
+
+
 def overlap_of(a: Column, b: Column, contained_from: int, over_smaller: bool) -> Column:
     """Share of a's tokens that equal one of b's, or contain one or lie in one, both of the given length or more."""
-    long = lambda x: F.length(x) >= contained_from
-    matched = F.size(F.filter(a, lambda x: F.array_contains(b, x) | (long(x) & F.exists(b, lambda y: long(y) & (F.contains(x, y) | F.contains(y, x))))))
+    matched = matched_tokens(a, b, contained_from)
     if over_smaller:
         return F.when((F.size(a) == 0) | (F.size(b) == 0), 1.0).otherwise(matched / F.least(F.size(a), F.size(b)))
     return F.when(F.size(a) == 0, 1.0).otherwise(matched / F.size(a))
@@ -165,10 +196,37 @@ def marked(output: Column, marker: Column, poetry: Column) -> Column:
     return F.coalesce(output.rlike(marker) if isinstance(marker, str) else F.regexp_like(output, marker), F.lit(False)) | (poetry & (F.contains(output, F.lit("\n")) | output.rlike("[؛،].*[؛،]")))
 
 
-def fnv1a(text: Column) -> Column:
-    """FNV-1a of 32 bits over code points."""
-    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
-    return F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(c) * 16777619).bitwiseAND(F.lit(4294967295)))
+OFFSET, PRIME = 2166136261, 16777619
+
+
+def fnv1a_of(texts: list[str | None]) -> np.ndarray:
+    """FNV-1a of 32 bits over the code points of each text, one position of all texts at a time; a null text's place holds the empty text's."""
+    encoded = [(t or "").encode("utf-32-le", "surrogatepass") for t in texts]
+    lengths = np.array([len(e) // 4 for e in encoded], dtype=np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    starts = np.r_[0, np.cumsum(lengths)[:-1]] if len(lengths) else lengths
+    codes, starts, longest = np.frombuffer(b"".join(encoded), dtype="<u4").astype(np.uint64), starts[order], lengths[order]
+    h = np.full(len(texts), OFFSET, dtype=np.uint64)
+    prime, mask, at = np.uint64(PRIME), np.uint64(0xFFFFFFFF), 0
+    active = np.searchsorted(-longest, 0)  # texts longer than ``at``
+    while active >= 8:
+        h[:active] = ((h[:active] ^ codes[starts[:active] + at]) * prime) & mask
+        at += 1
+        active = np.searchsorted(-longest, -at)
+    for i in range(active):  # the few longest on their own
+        x = int(h[i])
+        for c in codes[starts[i] + at : starts[i] + longest[i]].tolist():
+            x = (x ^ c) * PRIME & 0xFFFFFFFF
+        h[i] = x
+    out = np.empty_like(h)
+    out[order] = h
+    return out.astype(np.int64)
+
+
+@F.pandas_udf(T.LongType())
+def fnv1a(text: pd.Series) -> pd.Series:
+    """FNV-1a of 32 bits over code points; Spark has no function for it, and an expression for each character is slow."""
+    return pd.Series(fnv1a_of(text.tolist()), index=text.index, dtype="Int64").mask(text.isna())
 
 
 def stable_hash(key: Column, text: Column) -> Column:

@@ -138,9 +138,10 @@ def circuit_breaker(results: DataFrame, order: str, skipped: Column, run: int =
 
 
 def failure_budget(attempts: DataFrame, by: str, order: str, failed: Column, budget: int = 10) -> DataFrame:
-    """Attempts up to and with the one that uses up the budget of failures, for each group."""
-    before = F.sum(failed.cast("int")).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return attempts.withColumn("_f", F.coalesce(before, F.lit(0))).filter(F.col("_f") < budget).drop("_f")
+    """Attempts up to and with the one that uses up the budget of failures, for each group; a group is no task of its own."""
+    from .selection import running_within
+
+    return running_within(attempts, by, [order], failed.cast("int"), "_f").filter(F.col("_f") < budget).drop("_f")
 
 
 def first_success(attempts: DataFrame, request: str, priority: str, value: str, ok: Column) -> DataFrame:

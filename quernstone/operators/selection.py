@@ -58,18 +58,53 @@ def placed_within(rows: DataFrame, by: str, order: list[str], rank: str = "posit
     return placed.withColumn(rank, F.col("_i") + 1 + F.col("_shift")).select(*rows.columns, rank)
 
 
+def running_within(rows: DataFrame, by: str, order: list[str], value: Column, name: str) -> DataFrame:
+    """Adds the sum of value over the earlier rows of each value of ``by``: range partitions by (by, order), sums within them, and what earlier partitions sum up to.
+
+    A value of ``by`` is dealt to as many tasks as its rows need.
+    """
+    ranged = stored(rows.withColumn("_x", F.coalesce(value.cast("long"), F.lit(0))).repartitionByRange(by, *order).withColumn("_p", F.spark_partition_id()), "running")
+    sums = ranged.groupBy(F.col("_p").alias("_q"), F.col(by).alias("_value")).agg(F.sum("_x").alias("_s"))
+    before = F.sum("_s").over(Window.partitionBy("_value").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1))
+    carried = stored(sums.select("_q", "_value", F.coalesce(before, F.lit(0)).alias("_carried")), "carried")  # a row for each value and partition that holds some of it
+    side = F.broadcast(carried) if carried.count() <= BROADCAST_ROWS else carried
+    within = F.sum("_x").over(Window.partitionBy("_p", by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    summed = ranged.withColumn("_own", F.coalesce(within, F.lit(0))).join(side, (F.col("_p") == F.col("_q")) & F.col(by).eqNullSafe(F.col("_value")))
+    return summed.select(*rows.columns, (F.col("_own") + F.col("_carried")).alias(name))
+
+
+def kth_by_hash(rows: DataFrame, by: str, hash_col: str, key: str, share: float, bits: int = 32) -> DataFrame:
+    """(_stratum, _h, _k): hash and key of the row at place round(share * n) in each stratum, in order of (hash, key); none where that place is 0.
+
+    Radix selection: rows are counted by 16 more bits of the hash a time, combined within map tasks, and only the prefix
+    that holds the place is looked at further. No row is sorted or moved; a count has 65,536 rows a stratum at most.
+    """
+    narrow = rows.select(F.col(by).alias("_s"), F.col(hash_col).cast("long").alias("_h"), F.col(key).alias("_k"))
+    left, found = narrow, None
+    for part in [*(F.shiftright("_h", b) for b in reversed(range(0, bits, 16))), F.col("_k")]:
+        counts = left.withColumn("_part", part).groupBy("_s", "_part", *([] if found is None else ["_place"])).agg(F.count("*").alias("_c"))
+        whole = Window.partitionBy("_s")
+        upto = F.sum("_c").over(whole.orderBy(F.col("_part").asc_nulls_first()))
+        place = F.floor(F.sum("_c").over(whole) * F.lit(share) + 0.5) if found is None else F.col("_place")
+        here = counts.withColumns({"_upto": upto, "_want": place}).filter((F.col("_want") > F.col("_upto") - F.col("_c")) & (F.col("_want") <= F.col("_upto")))
+        before = found
+        found = stored(here.select("_s", F.col("_part").alias("_at"), (F.col("_want") - F.col("_upto") + F.col("_c")).alias("_place")), "bound")
+        side = found.select(F.col("_s").alias("_fs"), F.col("_at").alias("_fa"), "_place")
+        side = F.broadcast(side) if found.count() <= BROADCAST_ROWS else side
+        left = narrow.join(side, F.col("_s").eqNullSafe(F.col("_fs")) & part.eqNullSafe(F.col("_fa"))).drop("_fs", "_fa")
+    hashes = before.select(F.col("_s").alias("_stratum"), F.col("_at").alias("_h"))
+    keyed = found.select("_s", F.col("_at").alias("_k"))
+    return hashes.join(keyed, F.col("_stratum").eqNullSafe(F.col("_s"))).select("_stratum", "_h", "_k")
+
+
 def split_by_hash(rows: DataFrame, by: str, hash_col: str, key: str, share: float = 0.10) -> DataFrame:
     """Adds split: in each stratum the first round(share * n) rows by (hash, key) are 'valid', the rest 'train'; rows alike in both go together.
 
-    Only stratum, hash and key are ranked; what comes back is one bound for each stratum.
+    What is looked for is one bound for each stratum, by radix selection over hashes of 32 bits.
     """
-    narrow = rows.select(F.col(by).alias("_s"), F.col(hash_col).alias("_h"), F.col(key).alias("_k"))
-    placed = placed_within(narrow, "_s", ["_h", "_k"], "_n")
-    sizes = narrow.groupBy(F.col("_s").alias("_stratum")).agg(F.floor(F.count("*") * F.lit(share) + 0.5).alias("_last"))
-    bounds = placed.join(sizes, F.col("_s").eqNullSafe(F.col("_stratum")) & (F.col("_n") == F.col("_last"))).select("_stratum", F.struct("_h", "_k").alias("_bound"))
-    bounds = stored(bounds, "bounds")
+    bounds = stored(kth_by_hash(rows, by, hash_col, key, share).select("_stratum", F.struct("_h", "_k").alias("_bound")), "bounds")
     side = F.broadcast(bounds) if bounds.count() <= BROADCAST_ROWS else bounds
-    within = F.struct(F.col(hash_col).alias("_h"), F.col(key).alias("_k")) <= F.col("_bound")
+    within = F.struct(F.col(hash_col).cast("long").alias("_h"), F.col(key).alias("_k")) <= F.col("_bound")
     joined = rows.join(side, F.col(by).eqNullSafe(F.col("_stratum")), "left")
     return joined.withColumn("split", F.when(within, "valid").otherwise("train")).select(*rows.columns, "split")
 

@@ -81,7 +81,8 @@ def worst(results: DataFrame, key: str = "key", n: int = 5) -> DataFrame:
 
 
 def sentence_frequency(rows: DataFrame, sentences: Column) -> DataFrame:
-    return rows.select(F.explode(sentences).alias("sentence")).groupBy("sentence").agg(F.count("*").alias("n"))
+    """(digest, n): how often each sentence occurs, by the 32 bytes of its SHA-256, so whole sentences don't move."""
+    return rows.select(F.explode(F.transform(sentences, lambda s: F.unhex(F.sha2(s, 256)))).alias("digest")).groupBy("digest").agg(F.count("*").alias("n"))
 
 
 def distinct_counts(rows: DataFrame, columns: list[str], sentences: dict[str, Column] | None = None) -> DataFrame:

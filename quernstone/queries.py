@@ -39,8 +39,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """The tables are single row groups: deal rows to all cores before heavy text functions."""
-    return rows.repartition(max(2, rows.sparkSession.sparkContext.defaultParallelism))
+    """Rows of a scan; dealt to all cores where the scan has fewer partitions than that (small tables of one row group)."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,9 +51,9 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn of a user followed by one of the assistant."""
     c = table(spark, sf_dir, "conversations")
-    a = c.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("input"))
+    a = spread(c.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("input")))
     b = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("output"))
-    return spread(a.join(b, ["conv_id", "turn"]))
+    return a.join(b, ["conv_id", "turn"])
 
 
 PAIRS = "(SELECT a.conv_id, a.turn, a.text AS input, b.text AS output FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant')"
@@ -300,7 +301,7 @@ def sentence_histogram(spark, sf_dir):
 
 @query(f"SELECT max(n) AS most, count(*) AS sentences, count(*) FILTER (n > 5) AS over_five FROM (SELECT s, count(*) AS n FROM (SELECT unnest({SENTENCES}) AS s FROM documents) GROUP BY s)")
 def max_sentence_repeat(spark, sf_dir):
-    rows = summary.sentence_frequency(records(spark, sf_dir), q.sentences(F.col("text")))
+    rows = summary.sentence_frequency(spread(table(spark, sf_dir, "documents").select("text")), q.sentences(F.col("text")))
     return rows.agg(F.max("n").alias("most"), F.count("*").alias("sentences"), F.count_if(F.col("n") > 5).alias("over_five"))
 
 
@@ -543,8 +544,8 @@ def persian_pairs(spark, sf_dir):
     """(o_orderkey, mode, input, output): a pair of the list for each order, with its number."""
     cases = spark.createDataFrame([(i, *c) for i, c in enumerate(PAIR_CASES)], "case int, mode string, before string, after string")
     fill = lambda c: F.replace(c, F.lit("{n}"), t.persian_digits(F.col("o_orderkey").cast("string")))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey").withColumn("case", (F.col("o_orderkey") % len(PAIR_CASES)).cast("int")).join(F.broadcast(cases), "case")
-    return spread(rows.select("o_orderkey", "mode", fill(F.col("before")).alias("input"), fill(F.col("after")).alias("output")))
+    rows = spread(table(spark, sf_dir, "orders").select("o_orderkey")).withColumn("case", (F.col("o_orderkey") % len(PAIR_CASES)).cast("int")).join(F.broadcast(cases), "case")
+    return rows.select("o_orderkey", "mode", fill(F.col("before")).alias("input"), fill(F.col("after")).alias("output"))
 
 
 _quoted = lambda x: "'" + x.replace("'", "''") + "'"
