@@ -73,28 +73,39 @@ def running_within(rows: DataFrame, by: str, order: list[str], value: Column, na
     return summed.select(*rows.columns, (F.col("_own") + F.col("_carried")).alias(name))
 
 
+#: Rows of a stratum that are counted by (hash, key) at once when the place is known to lie among them.
+DIRECT_ROWS = 200_000
+
+
 def kth_by_hash(rows: DataFrame, by: str, hash_col: str, key: str, share: float, bits: int = 32) -> DataFrame:
     """(_stratum, _h, _k): hash and key of the row at place round(share * n) in each stratum, in order of (hash, key); none where that place is 0.
 
     Radix selection: rows are counted by 16 more bits of the hash a time, combined within map tasks, and only the prefix
-    that holds the place is looked at further. No row is sorted or moved; a count has 65,536 rows a stratum at most.
+    that holds the place is looked at further, until few rows share it; these are counted by hash and key. No row is
+    sorted or moved; a count has 65,536 rows a stratum at most, or the distinct rows of one prefix.
     """
     narrow = rows.select(F.col(by).alias("_s"), F.col(hash_col).cast("long").alias("_h"), F.col(key).alias("_k"))
-    left, found = narrow, None
-    for part in [*(F.shiftright("_h", b) for b in reversed(range(0, bits, 16))), F.col("_k")]:
-        counts = left.withColumn("_part", part).groupBy("_s", "_part", *([] if found is None else ["_place"])).agg(F.count("*").alias("_c"))
-        whole = Window.partitionBy("_s")
-        upto = F.sum("_c").over(whole.orderBy(F.col("_part").asc_nulls_first()))
-        place = F.floor(F.sum("_c").over(whole) * F.lit(share) + 0.5) if found is None else F.col("_place")
+    whole, left, known, shift = Window.partitionBy("_s"), narrow, [], bits
+
+    def holding(parts: list[Column]) -> DataFrame:
+        """Of the counts by stratum and parts those that hold the place, which is counted from their first row on."""
+        names = [f"_part{i}" for i in range(len(parts))]
+        counts = left.select("_s", *known, *(p.alias(n) for p, n in zip(parts, names))).groupBy("_s", *names, *known).agg(F.count("*").alias("_c"))
+        upto = F.sum("_c").over(whole.orderBy(*(F.col(n).asc_nulls_first() for n in names)))
+        place = F.col("_place") if known else F.floor(F.sum("_c").over(whole) * F.lit(share) + 0.5)
         here = counts.withColumns({"_upto": upto, "_want": place}).filter((F.col("_want") > F.col("_upto") - F.col("_c")) & (F.col("_want") <= F.col("_upto")))
-        before = found
-        found = stored(here.select("_s", F.col("_part").alias("_at"), (F.col("_want") - F.col("_upto") + F.col("_c")).alias("_place")), "bound")
-        side = found.select(F.col("_s").alias("_fs"), F.col("_at").alias("_fa"), "_place")
-        side = F.broadcast(side) if found.count() <= BROADCAST_ROWS else side
-        left = narrow.join(side, F.col("_s").eqNullSafe(F.col("_fs")) & part.eqNullSafe(F.col("_fa"))).drop("_fs", "_fa")
-    hashes = before.select(F.col("_s").alias("_stratum"), F.col("_at").alias("_h"))
-    keyed = found.select("_s", F.col("_at").alias("_k"))
-    return hashes.join(keyed, F.col("_stratum").eqNullSafe(F.col("_s"))).select("_stratum", "_h", "_k")
+        return stored(here.select("_s", *names, "_c", (F.col("_want") - F.col("_upto") + F.col("_c")).alias("_place")), "bound")
+
+    most = None
+    while shift > 0 and (most is None or most > DIRECT_ROWS):
+        shift -= 16
+        part = F.shiftright("_h", shift)
+        found = holding([part])
+        strata, most = found.agg(F.count("*"), F.coalesce(F.max("_c"), F.lit(0))).first()
+        side = found.select(F.col("_s").alias("_fs"), F.col("_part0").alias("_fa"), "_place")
+        side = F.broadcast(side) if strata <= BROADCAST_ROWS else side
+        left, known = narrow.join(side, F.col("_s").eqNullSafe(F.col("_fs")) & (part == F.col("_fa"))), ["_place"]
+    return holding([F.col("_h"), F.col("_k")]).select(F.col("_s").alias("_stratum"), F.col("_part0").alias("_h"), F.col("_part1").alias("_k"))
 
 
 def split_by_hash(rows: DataFrame, by: str, hash_col: str, key: str, share: float = 0.10) -> DataFrame:
@@ -102,7 +113,7 @@ def split_by_hash(rows: DataFrame, by: str, hash_col: str, key: str, share: floa
 
     What is looked for is one bound for each stratum, by radix selection over hashes of 32 bits.
     """
-    bounds = stored(kth_by_hash(rows, by, hash_col, key, share).select("_stratum", F.struct("_h", "_k").alias("_bound")), "bounds")
+    bounds = kth_by_hash(rows, by, hash_col, key, share).select("_stratum", F.struct("_h", "_k").alias("_bound"))
     side = F.broadcast(bounds) if bounds.count() <= BROADCAST_ROWS else bounds
     within = F.struct(F.col(hash_col).cast("long").alias("_h"), F.col(key).alias("_k")) <= F.col("_bound")
     joined = rows.join(side, F.col(by).eqNullSafe(F.col("_stratum")), "left")
