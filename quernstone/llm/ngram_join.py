@@ -19,7 +19,8 @@
 Words are lower-cased runs of characters between white space, without punctuation at their ends. Defined results: a
 text of fewer than five words has its whole word sequence as its one shingle; a text without words links with nothing
 and is a class of its own; each row is a document, also when its id repeats or is null (null comes before all others);
-an empty table gives an empty result. Word sequences and shingles are told apart by 64-bit hashes.
+an empty table gives an empty result. Words and shingles are told apart by 64-bit hashes, word sequences by 128 bits of
+their words' hashes.
 """
 
 from __future__ import annotations
@@ -110,13 +111,15 @@ def band_keys(m: np.ndarray) -> np.ndarray:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in (whole.slice(at, 512) for at in range(0, whole.num_rows, 512)):
-            v, bands, chars = [], [], []
+            v, w, bands, chars = [], [], [], []
             for text in batch.column("text").to_pylist():
                 h = word_sequence(text)
-                v.append(int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True) if len(h) else None)
+                digest = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
+                v.append(int.from_bytes(digest[:8], "little", signed=True) if len(h) else None)
+                w.append(int.from_bytes(digest[8:], "little", signed=True) if len(h) else None)
                 bands.append(band_keys(min_hashes(shingles(h))) if len(h) else None)
                 chars.append(len(text))
-            columns = {"id": batch.column("id"), "t": batch.column("t"), "v": pa.array(v, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64())), "chars": pa.array(chars, pa.int64())}
+            columns = {"id": batch.column("id"), "t": batch.column("t"), "v": pa.array(v, pa.int64()), "w": pa.array(w, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64())), "chars": pa.array(chars, pa.int64())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
@@ -318,15 +321,29 @@ def large_groups(parts: DataFrame, threshold: float, tolerance: float) -> DataFr
     return found.unionByName(certain)
 
 
+def told_apart(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """sketches with a v of its own for each digest of 128 bits (v, w), and the distinct texts (v, id, t, copies).
+
+    Texts of one v and different w get a new v from both, again until no two share one.
+    """
+    while True:
+        found = sketches.filter("v IS NOT NULL").groupBy("v").agg(F.min(F.struct("id", "t")).alias("rep"), F.count("*").alias("copies"), (F.min("w") != F.max("w")).alias("mixed"))
+        found = stored(found.select("v", "rep.*", "copies", "mixed"), "texts")
+        if not found.filter("mixed").take(1):
+            return sketches, found.drop("mixed")
+        mixed = found.filter("mixed").select("v", "mixed")
+        new = F.when(F.col("mixed"), F.xxhash64("v", "w")).otherwise(F.col("v"))
+        sketches = stored(sketches.join(small(mixed), "v", "left").withColumn("v", new).select(sketches.columns), "sketches")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, class_id (least id of the class), n_links (documents at or over the threshold), class_size,
     text_hash (xxhash64 of the text) and kept (of each class the row of least id, then hash)."""
     ship(docs.sparkSession)
     alike = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["t"] == b["t"])
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
-    sketches = stored(own.mapInArrow(_sketch, "id long, t long, v long, bands array<long>, chars long"), "sketches")
-    texts = stored(sketches.filter("v IS NOT NULL").groupBy("v").agg(F.min(F.struct("id", "t")).alias("rep"), F.count("*").alias("copies")).select("v", "rep.*", "copies"), "texts")
-    reps = stored(sketches.drop("v").join(texts, alike(sketches, texts)).select("v", "bands", "chars"), "reps")
+    sketches, texts = told_apart(stored(own.mapInArrow(_sketch, "id long, t long, v long, w long, bands array<long>, chars long"), "sketches"))
+    reps = stored(sketches.drop("v", "w").join(texts, alike(sketches, texts)).select("v", "bands", "chars"), "reps")
     repeated = reps.count() > texts.count()  # rows of one id and one text
     reps = stored(reps.dropDuplicates(["v"]), "reps") if repeated else reps
     keys = reps.select("v", F.explode("bands").alias("key"))

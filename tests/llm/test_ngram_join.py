@@ -111,3 +111,15 @@ def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (7, 7)], "a long, b long")
     found = {r["v"]: r["c"] for r in m.components(links).collect()}
     assert found == {**{i: 0 for i in range(51)}, 100: 100, 101: 100}
+
+
+def test_texts_of_one_hash_are_told_apart(spark):
+    """Six texts with two values of the first 64 bits, some repeated, and one without words."""
+    rows = [(i, i, i % 2, i % 6, None, 1) for i in range(18)] + [(99, 99, None, None, None, 0)]
+    df = spark.createDataFrame(rows, "id long, t long, v long, w long, bands array<long>, chars long")
+    sketches, texts = m.told_apart(df)
+    by = {}
+    for r in sketches.collect():
+        by.setdefault(r["w"], set()).add(r["v"])
+    assert all(len(v) == 1 for v in by.values()) and len({x for v in by.values() for x in v}) == 7 and by[None] == {None}
+    assert sorted(r["copies"] for r in texts.collect()) == [3] * 6 and sketches.columns == df.columns
