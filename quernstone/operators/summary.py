@@ -64,16 +64,28 @@ def fold_votes(votes: DataFrame, expected: int, key: str = "key") -> DataFrame:
     )
 
 
-def judge_report(results: DataFrame, requested: int | None = None) -> DataFrame:
-    """One row: judged, passed, failed, uncertain, skipped, pass rate and status."""
-    is_ = lambda v: F.count_if(F.col("verdict") == v)
-    got = results.agg(F.count("*").alias("completed"), is_("PASS").alias("passed"), is_("FAIL").alias("failed"), is_("UNCERTAIN").alias("uncertain"), is_("SKIP").alias("skipped"))
+VERDICTS = {"passed": "PASS", "failed": "FAIL", "uncertain": "UNCERTAIN", "skipped": "SKIP"}
+
+
+def judge_partials(results: DataFrame) -> DataFrame:
+    """One row of counts that add up over any division of the results."""
+    return results.agg(F.count("*").alias("completed"), *(F.count_if(F.col("verdict") == v).alias(n) for n, v in VERDICTS.items()))
+
+
+def judge_report_of(partials: DataFrame, requested: int | None = None) -> DataFrame:
+    """The report from the counts of all divisions."""
+    got = partials.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("completed", *VERDICTS)))
     got = got.withColumn("judged", F.col("completed") - F.col("skipped")).withColumn("requested", F.lit(requested) if requested is not None else F.col("completed"))
     whole = F.col("completed") == F.col("requested")
     status = F.when((F.col("judged") == 0) & whole, "UNAVAILABLE").when(whole & (F.col("skipped") == 0), "COMPLETE").otherwise("PARTIAL")
     return got.withColumn("pass_rate", F.round(F.col("passed") / F.nullif(F.col("judged"), F.lit(0)), 4)).withColumn("status", status)
 
 
+def judge_report(results: DataFrame, requested: int | None = None) -> DataFrame:
+    """One row: judged, passed, failed, uncertain, skipped, pass rate and status."""
+    return judge_report_of(judge_partials(results), requested)
+
+
 def worst(results: DataFrame, key: str = "key", n: int = 5) -> DataFrame:
     """The worst judged results: failures first, then low scores (50 where missing)."""
     severity = F.when(F.col("verdict") == "FAIL", 0).when(F.col("verdict") == "UNCERTAIN", 1).otherwise(2)

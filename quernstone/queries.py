@@ -841,14 +841,13 @@ def woven_connectors(spark, sf_dir):
 
 @query("SELECT doc_id, lang, source, row_number() OVER (ORDER BY doc_id) AS line_no FROM documents")
 def jsonl_round_trip(spark, sf_dir):
-    """Rows written as JSON lines in order, read back with the numbers of their lines over all files of a folder."""
+    """Rows written as JSON lines in order, as many parts as tasks, read back with the numbers of their lines over all parts."""
     from quernstone.sources import readers, writers
 
     placed = selection.with_positions(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id")
     path = new_path(spark, "jsonl")
-    writers.write_jsonl(placed, path, "position", ["doc_id", "lang", "source"], one_file=True)
-    good, _ = readers.read_jsonl_flagged(spark, path, "doc_id long, lang string, source string")
-    return good.select("doc_id", "lang", "source", "line_no")
+    writers.write_jsonl_parts(placed, path, "position", ["doc_id", "lang", "source"])
+    return readers.read_jsonl_parts(spark, path, "doc_id long, lang string, source string").select("doc_id", "lang", "source", "line_no")
 
 
 @query(f"SELECT conv_id || '/' || turn AS key, input AS reference, output AS candidate FROM {PAIRS}")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from quernstone.functions import lexicon
-from quernstone.queries import query, table
-from quernstone.streaming import stateful
-from quernstone.tables import stored
+from quernstone.functions import calendar, lexicon
+from quernstone.queries import STRIPPED, query, table
+from quernstone.streaming import deltas, stateful
+from quernstone.tables import new_path, stored
 
 #: Lexicons of real size: 13 of 235 entries and one of 5,000, from the words of the documents; a fifth of the values are
 #: two words, and half of these are keys again, so passes see what longer keys wrote.
@@ -90,3 +90,73 @@ def failover(spark, sf_dir):
         F.col("user_id").cast("string").alias("request_id"), (F.col("event_id") % 3).cast("int").alias("priority"), F.timestamp_millis(F.floor(F.col("value") * 2000)).alias("at"), F.col("event_id").alias("seq"), kind.alias("kind"), F.col("event_type").alias("text"), F.lit(3).alias("backends")
     )
     return stateful.failover_batch(rows)
+
+
+# Sources and sinks: rows written as the reference's file formats and read back from many splits
+
+SQUEEZED = "trim(regexp_replace({}, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))"
+
+
+def in_small_splits(spark, make):
+    """What make returns, read in splits of 64 KB, so that the small files here are many tasks too."""
+    conf = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "64k")
+    try:
+        return stored(make(), "read")
+    finally:
+        spark.conf.set(conf, before)
+
+
+@query(f"SELECT doc_id::VARCHAR AS key, lang AS mode, sha256({SQUEEZED.format('text')}) AS input_sha256, source AS teacher, length({SQUEEZED.format('text')}) AS output FROM documents WHERE length({SQUEEZED.format('text')}) > 0")
+def report_round_trip(spark, sf_dir):
+    """Documents as blocks of an evaluation report in one file of many splits, read back block by block."""
+    from quernstone.sources import readers, writers
+
+    text = F.trim(F.regexp_replace("text", r"[ \t\n\r\f\x0B]+", " "))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), F.col("lang").alias("mode"), text.alias("input"), F.col("source").alias("teacher"), F.length(text).cast("string").alias("output")).filter("length(input) > 0")
+    path = new_path(spark, "report")
+    writers.report_block(rows).write.text(path)
+    back = in_small_splits(spark, lambda: readers.read_report(spark, path))
+    return back.select("key", "mode", F.sha2("input", 256).alias("input_sha256"), "teacher", F.col("output").cast("long").alias("output"))
+
+
+@query(f"SELECT url AS title, sha256(text) AS description_sha256 FROM {STRIPPED} JOIN pages USING (page_id)")
+def feed_round_trip(spark, sf_dir):
+    """Pages as items of feeds of many splits, read back item by item."""
+    from quernstone.sources import readers
+
+    item = F.concat(F.lit("<item><title>"), "url", F.lit("</title>\n<description><![CDATA["), "html", F.lit("]]></description></item>"))
+    path = new_path(spark, "feed")
+    table(spark, sf_dir, "pages").select(item.alias("value")).write.text(path)
+    back = in_small_splits(spark, lambda: readers.read_feed(spark, path))
+    return back.select("title", F.sha2("description", 256).alias("description_sha256"))
+
+
+@query("SELECT round(count(*) FILTER (value >= 50) / nullif(count(*), 0), 4) AS pass_rate, count(*) AS completed, count(*) FILTER (value >= 50) AS passed, 'COMPLETE' AS status FROM events")
+def report_kept_current(spark, sf_dir):
+    """Events as judged results that a stream brings in batches; the report that lies there after the last."""
+    path, source = new_path(spark, "judged"), new_path(spark, "results")
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("key"), F.when(F.col("value") >= 50, "PASS").otherwise("FAIL").alias("verdict"))
+    rows.repartition(4).write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    deltas.run_reported(stream, path, new_path(spark, "checkpoint"))
+    report = spark.read.schema("completed long, passed long, pass_rate double, status string").json(f"{path}/report")
+    return report.select("pass_rate", "completed", "passed", "status")
+
+
+# Calendar
+
+DAYS = "(date_diff('day', DATE '1970-01-01', {d}) + 492268)"
+FIRST = "(365 * ({y} - 1) + floor((8 * {y} + 21) / 33.0)::BIGINT)"
+SOLAR = f"""(SELECT d, y, CASE WHEN n < 186 THEN n // 31 ELSE (n - 6) // 30 END AS m, n FROM (SELECT d, y, k - {FIRST.format(y='y')} AS n FROM (
+    SELECT d, {DAYS.format(d='d')} AS k, floor((33 * {DAYS.format(d='d')} + 3) / 12053.0)::BIGINT + 1 AS y FROM (SELECT DISTINCT ts::DATE AS d FROM events UNION SELECT DISTINCT o_orderdate::DATE FROM orders))))"""
+
+
+@query(f"SELECT d::VARCHAR AS date, y AS year, m + 1 AS month, n - CASE WHEN m < 6 THEN m * 31 ELSE m * 30 + 6 END + 1 AS day, d::VARCHAR AS back FROM {SOLAR}")
+def solar_hijri_days(spark, sf_dir):
+    """Every day of events and orders in the Solar Hijri calendar, and back."""
+    days = table(spark, sf_dir, "events").select(F.to_date("ts").alias("d")).union(table(spark, sf_dir, "orders").select(F.to_date("o_orderdate"))).distinct()
+    s = days.select("d", calendar.solar_hijri(F.col("d")).alias("s")).select("d", "s.*")
+    back = calendar.from_solar_hijri(F.col("year"), F.col("month"), F.col("day"))
+    return s.select(F.col("d").cast("string").alias("date"), *(F.col(c).cast("long").alias(c) for c in ("year", "month", "day")), back.cast("string").alias("back"))

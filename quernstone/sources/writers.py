@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def json_line(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -10,12 +10,33 @@ def json_line(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def write_jsonl(rows: DataFrame, path: str, position: str, columns: list[str], one_file: bool = False, mode: str = "overwrite") -> None:
-    """JSON lines in the order of ``position``. One file is for small outputs; else files sort by name."""
+    """JSON lines in the order of ``position``. One file is one task, for small outputs; else files sort by name (see write_jsonl_parts)."""
     lines = json_line(rows, columns)
     placed = lines.orderBy(position).coalesce(1) if one_file else lines.repartitionByRange(position).sortWithinPartitions(position)
     placed.select(F.col("line").alias("value")).write.mode(mode).text(path)
 
 
+def write_jsonl_parts(rows: DataFrame, path: str, position: str, columns: list[str]) -> DataFrame:
+    """JSON lines in the order of ``position`` (gapless from 1) as parts in the order of their names, and their manifest: part, offset, lines, bytes, digest.
+
+    Tasks write the parts; they become visible when all are written, so a failed job leaves none. The manifest is made
+    from what then lies there and written last: no manifest, no output. Its digests depend on every line and its number;
+    nothing is gathered in one task.
+    """
+    from quernstone.operators.summary import order_digests
+    from quernstone.sources.readers import numbered_lines
+
+    spark, root = rows.sparkSession, path.rstrip("/")
+    write_jsonl(rows, root, position, columns, mode="errorifexists")
+    lines = numbered_lines(spark, f"{root}/part-*").withColumn("part", F.element_at(F.split("file", "/"), -1))
+    sums = lines.groupBy("part").agg(F.count("*").alias("lines"), F.sum(F.octet_length("line") + 1).alias("bytes"))
+    before = F.coalesce(F.sum("lines").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each part
+    digests = order_digests(lines.select("part", "line_no", F.sha2("line", 256).alias("d")), "part", "line_no", "d")
+    manifest = sums.withColumn("offset", before).join(digests, "part").select("part", "offset", "lines", "bytes", "digest")
+    manifest.write.mode("errorifexists").json(f"{root}/_manifest")
+    return spark.read.schema(manifest.schema).json(f"{root}/_manifest")
+
+
 def append_jsonl(rows: DataFrame, path: str, columns: list[str]) -> None:
     json_line(rows, columns).select(F.col("line").alias("value")).write.mode("append").text(path)
 

@@ -105,6 +105,25 @@ def run_resumable(source: DataFrame, work, path: str, checkpoint: str, key: str
     query.awaitTermination()
 
 
+def keep_report(results: DataFrame, epoch: int, path: str, requested: int | None = None) -> None:
+    """For foreachBatch: counts of a batch of judged results in a folder of its own, then the report over all batches so far, written again.
+
+    A repeated batch writes its folder again, so it changes nothing; an older report is there until the new one is.
+    """
+    from quernstone.operators.summary import judge_partials, judge_report_of
+
+    spark, root = results.sparkSession, path.rstrip("/")
+    judge_partials(results).write.mode("overwrite").json(f"{root}/partials/batch={epoch}")
+    counted = spark.read.schema("completed long, passed long, failed long, uncertain long, skipped long, batch long").option("basePath", f"{root}/partials").json(f"{root}/partials/batch=*")
+    judge_report_of(counted, requested).withColumn("epoch", F.lit(epoch)).write.mode("overwrite").json(f"{root}/report")
+
+
+def run_reported(source: DataFrame, path: str, checkpoint: str, requested: int | None = None) -> None:
+    """A stream of judged results whose report is current after every batch."""
+    query = source.writeStream.foreachBatch(lambda rows, epoch: keep_report(rows, epoch, path, requested)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def validated(first: Column, retry: Column, sound, strip) -> Column:
     """The first attempt if sound, else the retry if sound, else the first one stripped."""
     return F.coalesce(F.when(sound(first), first), F.when(sound(retry), retry), strip(first))
