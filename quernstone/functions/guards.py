@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 from .chars import ARABIC_EXTENDED, PERSIAN, SPACE, ascii_bounded, letters_outside, replace, trim
-from .text import ascii_digits, has_persian
+from .text import ascii_digits, bind, has_persian
 
 NUMBER = r"\d+(?:[.,]\d+)?"
 #: Phrases that show an instruction echoed into an output, by profile.
@@ -191,7 +191,6 @@ def clean_output(text: Column) -> Column:
     t = replace(t, rf"(?m)^#{{1,6}}{SPACE}*", "")
     t = replace(t, rf"(?m)^{SPACE}*[-*]{SPACE}+", "")
     t = trim(replace(t, rf"(?m)^{SPACE}*>{SPACE}?", ""))
-    bind = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
     option = lambda t: trim(F.regexp_extract(t, rf"(?s)\A(?:نسخه|گزینه|حالت){SPACE}*(?:۱|1|اول)[:\-\s]+(.+?)(?=\n*(?:نسخه|گزینه|حالت){SPACE}*(?:۲|2|دوم)|\z)", 1))
     quoted = lambda t: trim(F.regexp_extract(t, r"(?s)\A[«\"“]([^»\"”]+)[»\"”].+\z", 1))
     t = bind(t, lambda t: F.when(F.length(option(t)) > 0, option(t)).otherwise(t))
@@ -202,15 +201,24 @@ def clean_output(text: Column) -> Column:
 
 def _cut_restart(text: Column) -> Column:
     """Cut where word 0 comes back inside a word, or words 0, 1 (and 2) come back in a row; from word 3 on, of 8 or more."""
-    w = F.split(text, rf"{SPACE}+")
-    bare = lambda i: replace(F.get(w, F.lit(i)), r"\A[«\"“']", "")
-    at = lambda i: F.instr(F.get(w, i), bare(0))  # noqa: E731  1 at the start, 0 nowhere
-    again = lambda i: (at(i) == 1) & (F.length(bare(1)) > 0) & F.coalesce(F.get(w, i + 1) == bare(1), F.lit(False)) & ((F.length(bare(2)) == 0) | F.coalesce(F.get(w, i + 2) == bare(2), F.lit(False)))
-    first = F.array_min(F.filter(F.sequence(F.lit(3), F.greatest(F.size(w) - 1, F.lit(3))), lambda i: (at(i) > 1) | again(i)))
-    inside = F.when(at(first) > 1, F.array(F.substring(F.get(w, first), F.lit(1), at(first) - 1))).otherwise(F.array().cast("array<string>"))
-    cut = trim(F.array_join(F.concat(F.slice(w, F.lit(1), first), inside), " "))
-    stopped = F.when(cut.rlike(r"[.!?؟،؛]\z"), cut).otherwise(F.concat(cut, F.lit(".")))
-    return F.when((F.size(w) >= 8) & (F.length(bare(0)) > 0) & first.isNotNull(), stopped).otherwise(text)
+
+    def bare(w: Column, i: int) -> Column:
+        return replace(F.get(w, F.lit(i)), r"\A[«\"“']", "")
+
+    def cut_at(w: Column, b: Column) -> Column:
+        zero, one, two = b["zero"], b["one"], b["two"]
+        at = lambda i: F.instr(F.get(w, i), zero)  # noqa: E731  1 at the start, 0 nowhere
+        again = lambda i: (at(i) == 1) & (F.length(one) > 0) & F.coalesce(F.get(w, i + 1) == one, F.lit(False)) & ((F.length(two) == 0) | F.coalesce(F.get(w, i + 2) == two, F.lit(False)))
+
+        def joined(first: Column) -> Column:
+            inside = F.when(at(first) > 1, F.array(F.substring(F.get(w, first), F.lit(1), at(first) - 1))).otherwise(F.array().cast("array<string>"))
+            cut = trim(F.array_join(F.concat(F.slice(w, F.lit(1), first), inside), " "))
+            stopped = bind(cut, lambda c: F.when(c.rlike(r"[.!?؟،؛]\z"), c).otherwise(F.concat(c, F.lit("."))))
+            return F.when((F.size(w) >= 8) & (F.length(zero) > 0) & first.isNotNull(), stopped).otherwise(text)
+
+        return bind(F.array_min(F.filter(F.sequence(F.lit(3), F.greatest(F.size(w) - 1, F.lit(3))), lambda i: (at(i) > 1) | again(i))), joined)
+
+    return bind(F.split(text, rf"{SPACE}+"), lambda w: bind(F.struct(bare(w, 0).alias("zero"), bare(w, 1).alias("one"), bare(w, 2).alias("two")), lambda b: cut_at(w, b)))
 
 
 def strip_corrupt(text: Column) -> Column:

@@ -99,22 +99,26 @@ CONNECTED = "امّا|اما|ولی|بنابراین|هم‌چنین|از این
 INTERJECTIONS = "ای بابا|آخه|بابا|وای|خب|عجب|بیخیال"
 
 
+def bind(value: Column, body) -> Column:
+    """body of a value that is computed once: a column that a lambda mentions is computed for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def weave_connectors(text: Column, connectors: list[str]) -> Column:
     """At most two connectors, into plain sentences of three words or more that don't open with one; never the first."""
     if not connectors:
         return text
-    s = F.split(text, SENTENCE_GAP)
-    plain = lambda i: (
-        (i > 0)
-        & (F.length(trim(F.get(s, i))) > 0)
-        & ~trim(F.get(s, i)).rlike(rf"\A({CONNECTED})(?!{PERSIAN_OR_ZWNJ})")
-        & ~trim(F.get(s, i)).rlike(r"[؟!…]\z")
-        & (F.size(F.split(trim(F.get(s, i)), rf"{SPACE}+")) >= 3)
-    )
-    chosen = F.slice(F.filter(F.sequence(F.lit(0), F.size(s) - 1), plain), 1, F.least(F.lit(2), F.size(s) - 2))
     words = F.array(*map(F.lit, connectors))
-    woven = F.transform(s, lambda x, i: F.when(F.array_contains(chosen, i), F.concat(F.lit(" "), F.get(words, ((F.array_position(chosen, i) - 1) % len(connectors)).cast("int")), F.lit("، "), trim(x))).otherwise(x))
-    return F.when(F.size(s) < 3, text).otherwise(F.array_join(woven, " "))
+
+    def plain(sentence: Column) -> Column:
+        return bind(trim(sentence), lambda x: (F.length(x) > 0) & ~x.rlike(rf"\A({CONNECTED})(?!{PERSIAN_OR_ZWNJ})") & ~x.rlike(r"[؟!…]\z") & (F.size(F.split(x, rf"{SPACE}+")) >= 3))
+
+    def woven(s: Column) -> Column:
+        chosen = F.slice(F.filter(F.sequence(F.lit(1), F.size(s) - 1), lambda i: plain(F.get(s, i))), 1, F.least(F.lit(2), F.size(s) - 2))
+        said = lambda c, x, i: F.concat(F.lit(" "), F.get(words, ((F.array_position(c, i) - 1) % len(connectors)).cast("int")), F.lit("، "), trim(x))
+        return bind(chosen, lambda c: F.array_join(F.transform(s, lambda x, i: F.when(F.array_contains(c, i), said(c, x, i)).otherwise(x)), " "))
+
+    return bind(F.split(text, SENTENCE_GAP), lambda s: F.when(F.size(s) < 3, text).otherwise(woven(s)))
 
 
 def strip_interjections(text: Column) -> Column:
@@ -144,8 +148,8 @@ def word_changes(before: Column, after: Column, most: int | None = None) -> Colu
 def new_words(before: Column, after: Column) -> Column:
     """For each word of after, whether before lacks it; marks at its place don't count."""
     bare = lambda x: replace(x, "[.,!؟،؛]", "")
-    known = F.transform(F.split(before, rf"{SPACE}+"), bare)
-    return F.transform(F.split(after, rf"{SPACE}+"), lambda x: F.struct(x.alias("word"), (~F.array_contains(known, bare(x))).alias("is_new")))
+    known = F.array_distinct(F.transform(F.split(before, rf"{SPACE}+"), bare))
+    return bind(known, lambda k: F.transform(F.split(after, rf"{SPACE}+"), lambda x: F.struct(x.alias("word"), (~F.array_contains(k, bare(x))).alias("is_new"))))
 
 
 NOTES = {

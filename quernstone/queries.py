@@ -112,18 +112,16 @@ def poison_with_repetition(spark, sf_dir):
     return pairs(spark, sf_dir).select("conv_id", "turn", g.repeated_fragment(F.col("output"), 12).alias("repeated"))
 
 
-#: Fragments of 5, 11, 12, 20 and 300 places, twice and three times, alone and inside other text, and near misses.
-FRAGMENTS = [f"{a} {x * n}{z}" for x in ("abcde", "elevenplace", "twelveplaces", "a fragment of twenty", "long " * 60) for n in (2, 3) for a, z in (("", ""), ("before", " after"))] + ["twelveplacestwelveplacestwelveplace!", "twelveplacestwelveplaces twelveplaces", "x" * 35, "x" * 36]
+#: The beginning of each turn, twice or three times, alone and inside other text.
+CASES = """(SELECT conv_id, turn, conv_id || '/' || turn AS n, CASE WHEN turn % 2 = 0 THEN 'before ' ELSE '' END || repeat(substring(coalesce(text, ''), 1, (5 + (7 * turn + conv_id) % 20)::INTEGER), (2 + (conv_id + turn) % 2)::INTEGER) || CASE WHEN conv_id % 3 = 0 THEN ' after' ELSE '' END AS text FROM conversations)"""
 
 
-CASES = "(SELECT * FROM (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(FRAGMENTS)) + ") f(n, text))"
-
-
-@query(f"SELECT n, n IN {_tripled(CASES, 'n', 'text', 12)} AS twelve, n IN {_tripled(CASES, 'n', 'text', 16)} AS sixteen FROM {CASES}")
+@query(f"SELECT conv_id, turn, n IN {_tripled(CASES, 'n', 'text', 12)} AS twelve, n IN {_tripled(CASES, 'n', 'text', 16)} AS sixteen FROM {CASES}")
 def repeated_fragments(spark, sf_dir):
-    ship(spark)
-    rows = spark.createDataFrame(list(enumerate(FRAGMENTS)), "n int, text string")
-    return rows.select("n", g.repeated_fragment(F.col("text"), 12).alias("twelve"), g.repeated_fragment(F.col("text"), 16).alias("sixteen"))
+    start = F.substring(F.coalesce("text", F.lit("")), F.lit(1), (5 + (7 * F.col("turn") + F.col("conv_id")) % 20).cast("int"))
+    text = F.concat(F.when(F.col("turn") % 2 == 0, "before ").otherwise(""), F.repeat(start, (2 + (F.col("conv_id") + F.col("turn")) % 2).cast("int")), F.when(F.col("conv_id") % 3 == 0, " after").otherwise(""))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("text"))
+    return rows.select("conv_id", "turn", g.repeated_fragment(F.col("text"), 12).alias("twelve"), g.repeated_fragment(F.col("text"), 16).alias("sixteen"))
 
 
 SPLIT = f"(SELECT doc_id, mode, CASE WHEN row_number() OVER (PARTITION BY mode ORDER BY h, key) <= floor(count(*) OVER (PARTITION BY mode) * 0.1 + 0.5) THEN 'valid' ELSE 'train' END AS split FROM (SELECT r.doc_id, r.key, r.mode, {FNV} AS h FROM {RECORDS} r JOIN documents d ON r.doc_id = d.doc_id))".replace("|| text, ''", "|| d.text, ''").replace("|| doc_id ||", "|| d.doc_id ||")
@@ -782,41 +780,63 @@ def candidate_reasons(spark, sf_dir):
     return persian_pairs(spark, sf_dir).select("o_orderkey", g.candidate_reason(F.col("output"), F.col("input"), _voiced()).alias("reason"))
 
 
-#: A judge's replies and what they mean.
-REPLIES = [
-    ('{"verdict": "PASS", "score": 91.5, "reason": "same"}', "PASS", 91.5, "same"), ('text {"verdict": "رد"} more', "FAIL", 0.0, "no reason given"), ('{"verdict": "uncertain", "score": 300}', "UNCERTAIN", 100.0, "no reason given"),
-    ('{"verdict": "maybe"}', None, None, None), ("no json", None, None, None), ('{"verdict": "قبول", "score": "x", "reason": " "}', "PASS", 100.0, "no reason given"),
-]
+#: A judge's replies, from each event's type, value and properties.
+REPLY_WORDS = ["PASS", "رد", "uncertain", "maybe", "درست", "نامشخص", "FAIL"]
+REPLY_MEANS = "CASE event_id % 7 WHEN 0 THEN 'PASS' WHEN 1 THEN 'FAIL' WHEN 2 THEN 'UNCERTAIN' WHEN 4 THEN 'PASS' WHEN 5 THEN 'UNCERTAIN' WHEN 6 THEN 'FAIL' END"
 
 
-@query("SELECT event_id, v AS verdict, s AS score, r AS reason FROM events JOIN (VALUES " + ", ".join(f"({i}, {_quoted(v) if v else 'NULL'}, {s if s is not None else 'NULL'}::DOUBLE, {_quoted(r) if r else 'NULL'})" for i, (_, v, s, r) in enumerate(REPLIES)) + f") c(i, v, s, r) ON i = event_id % {len(REPLIES)}")
+@query(f"""SELECT event_id, CASE WHEN event_id % 11 <> 3 THEN {REPLY_MEANS} END AS verdict,
+    CASE WHEN event_id % 11 = 3 OR event_id % 7 = 3 THEN NULL WHEN event_id % 5 = 0 THEN CASE {REPLY_MEANS} WHEN 'PASS' THEN 100.0 WHEN 'FAIL' THEN 0.0 ELSE 50.0 END ELSE greatest(0.0, least(100.0, value * 2 - 20)) END::DOUBLE AS score,
+    CASE WHEN event_id % 11 = 3 OR event_id % 7 = 3 THEN NULL WHEN event_id % 3 = 0 THEN 'no reason given' ELSE event_type || ' "' || user_id || '"' END AS reason FROM events""")
 def judge_replies(spark, sf_dir):
-    texts = F.array(*(F.lit(r) for r, *_ in REPLIES))
-    rows = table(spark, sf_dir, "events").select("event_id", F.get(texts, (F.col("event_id") % len(REPLIES)).cast("int")).alias("reply"))
+    e = F.col("event_id")
+    word = F.get(F.array(*map(F.lit, REPLY_WORDS)), (e % 7).cast("int"))
+    score = F.when(e % 5 != 0, (F.col("value") * 2 - 20).cast("string")).when(e % 2 == 0, "x")
+    reason = F.when(e % 3 == 0, "  ").otherwise(F.concat("event_type", F.lit(' "'), F.col("user_id").cast("string"), F.lit('"')))
+    said = F.to_json(F.struct(word.alias("verdict"), score.alias("score"), reason.alias("reason")))
+    reply = F.when(e % 11 == 3, F.col("event_type")).when(e % 2 == 0, F.concat(F.lit("```json\n"), said, F.lit("\n```"))).otherwise(F.concat(F.lit("It says: "), said))
+    rows = table(spark, sf_dir, "events").select("event_id", reply.alias("reply"))
     return rows.select("event_id", g.parse_verdict(F.col("reply")).alias("v")).select("event_id", "v.verdict", "v.score", "v.reason")
 
 
-#: Raw model outputs, and what is left of them.
-OUTPUTS = [
-    ("```\nمتن پاک\n```", "متن پاک"), ("«متن در گیومه است.»", "متن در گیومه است."), ("**مهم** و *کج* است.", "مهم و کج است."), ("# سرفصل\nمتن", "سرفصل\nمتن"),
-    ("نسخه ۱: متن اول است.\nنسخه ۲: متن دوم است.", "متن اول است."), ("متن ساده است.", "متن ساده است."),
-    ("سلام دوست من حال شما خوب است سلام دوست من حال شما", "سلام دوست من حال شما خوب است."),
-]
-
-
-@query("SELECT event_id, o AS output FROM events JOIN (VALUES " + ", ".join(f"({i}, {_quoted(o)})" for i, (_, o) in enumerate(OUTPUTS)) + f") c(i, o) ON i = event_id % {len(OUTPUTS)}")
+#: Turns as raw model outputs: fenced, quoted, bold, as a heading with a list, as one of two options, or begun again.
+PLAIN_TURN = "trim(regexp_replace(regexp_replace(coalesce(text, ''), '[«»\"“”''*#>`-]', ' ', 'g'), '\\s+', ' ', 'g'))"
+RAW = f"""(SELECT conv_id, turn, CASE (conv_id + turn) % 7 WHEN 0 THEN '```text' || chr(10) || x || chr(10) || '```' WHEN 1 THEN '«' || x || '»' WHEN 2 THEN '**' || x || '** and *' || x || '*' WHEN 3 THEN '## ' || x || chr(10) || '- ' || x || chr(10) || '> ' || x
+    WHEN 4 THEN 'نسخه ۱: ' || x || chr(10) || 'نسخه ۲: other' WHEN 5 THEN x || ' ' || x ELSE x END AS raw FROM (SELECT conv_id, turn, {PLAIN_TURN} AS x FROM conversations))"""
+_stripped = "trim(raw)"
+for _pattern, _by in ((r"(?s)\A```[a-z]*\n(.*?)\n```\z", r"\1"), (r"\*\*(.*?)\*\*", r"\1"), (r"\*(.*?)\*", r"\1"), (r"(?m)^#{1,6}\s*", ""), (r"(?m)^\s*[-*]\s+", ""), (r"(?m)^\s*>\s?", "")):
+    _stripped = f"regexp_replace({_stripped}, '{_pattern}', '{_by}', 'g')"
+CLEANED = rf"""WITH a AS (SELECT conv_id, turn, trim({_stripped}) AS t FROM {RAW}),
+    b AS (SELECT conv_id, turn, CASE WHEN t LIKE 'نسخه ۱: %' THEN trim(regexp_extract(t, '(?s)\Aنسخه ۱: (.+?)\n*(نسخه ۲|\z)', 1)) ELSE t END AS t FROM a),
+    c AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(t, '\A[«"“''»\s]+', ''), '[«"”''»\s]+\z', '')) AS t FROM b),
+    d AS (SELECT *, string_split_regex(t, '\s+') AS w FROM c),
+    e AS (SELECT *, w[1] AS b0, coalesce(w[2], '') AS b1, coalesce(w[3], '') AS b2 FROM d),
+    f AS (SELECT *, list_min(list_filter(range(3, len(w)), lambda i: instr(w[i + 1], b0) > 1 OR (instr(w[i + 1], b0) = 1 AND b1 <> '' AND coalesce(w[i + 2] = b1, false) AND (b2 = '' OR coalesce(w[i + 3] = b2, false))))) AS k FROM e),
+    h AS (SELECT *, trim(array_to_string(list_concat(w[:k], CASE WHEN instr(w[k + 1], b0) > 1 THEN [substring(w[k + 1], 1, instr(w[k + 1], b0) - 1)] ELSE [] END), ' ')) AS cut FROM f)
+    SELECT conv_id, turn, CASE WHEN len(w) >= 8 AND length(b0) > 0 AND k IS NOT NULL THEN CASE WHEN regexp_matches(cut, '[.!?؟،؛]\z') THEN cut ELSE cut || '.' END ELSE t END AS output FROM h"""
+
+
+@query(CLEANED)
 def cleaned_outputs(spark, sf_dir):
-    texts = F.array(*(F.lit(r) for r, _ in OUTPUTS))
-    rows = spread(table(spark, sf_dir, "events").select("event_id", F.get(texts, (F.col("event_id") % len(OUTPUTS)).cast("int")).alias("raw")))
-    return rows.select("event_id", g.clean_output(F.col("raw")).alias("output"))
+    x = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "[«»\"“”'*#>`-]", " "), r"\s+", " "))
+    rows = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", x.alias("x")))
+    kind, c = (F.col("conv_id") + F.col("turn")) % 7, lambda *p: F.concat(*(F.col("x") if i is None else F.lit(i) for i in p))
+    raw = F.when(kind == 0, c("```text\n", None, "\n```")).when(kind == 1, c("«", None, "»")).when(kind == 2, c("**", None, "** and *", None, "*")).when(kind == 3, c("## ", None, "\n- ", None, "\n> ", None))
+    raw = raw.when(kind == 4, c("نسخه ۱: ", None, "\nنسخه ۲: other")).when(kind == 5, c(None, " ", None)).otherwise(F.col("x"))
+    return rows.select("conv_id", "turn", g.clean_output(raw).alias("output"))
 
 
-VERSION_PAIRS = [("1.10.0", "1.9", True), ("v2", "2.0.0", False), ("1.2.3", "1.2.4", False), ("3", "2.9.9", True), ("1.0.1", "1", True), ("x", "0", False)]
+#: Versions of two to four parts from an event's numbers, some with a v, a letter in a part or nothing before a dot.
+VERSION_A = "CASE WHEN event_id % 4 = 0 THEN 'v' ELSE '' END || (event_id % 3) || '.' || (user_id % 12) || CASE WHEN event_id % 5 = 0 THEN '' ELSE '.' || (event_id % 7) || CASE WHEN event_id % 9 = 0 THEN 'rc1' ELSE '' END END"
+VERSION_B = "(user_id % 3) || '.' || (event_id % 12) || CASE WHEN user_id % 2 = 0 THEN '.x' ELSE '.' || (user_id % 7) || '.1' END"
+_parts = lambda v: rf"list_resize(list_transform(string_split(regexp_replace({v}, '^[vV]', ''), '.'), lambda p: coalesce(try_cast(regexp_extract(p, '^(\d+)', 1) AS INTEGER), 0)), 4, 0)"
 
 
-@query("SELECT event_id, n AS newer FROM events JOIN (VALUES " + ", ".join(f"({i}, {n})" for i, (*_, n) in enumerate(VERSION_PAIRS)) + f") c(i, n) ON i = event_id % {len(VERSION_PAIRS)}")
+@query(f"SELECT event_id, {_parts(VERSION_A)} > {_parts(VERSION_B)} AS newer FROM events")
 def newer_versions(spark, sf_dir):
-    a, b = (F.get(F.array(*(F.lit(v[k]) for v in VERSION_PAIRS)), (F.col("event_id") % len(VERSION_PAIRS)).cast("int")) for k in (0, 1))
+    e, u, s = F.col("event_id"), F.col("user_id"), lambda c: c.cast("string")
+    a = F.concat(F.when(e % 4 == 0, "v").otherwise(""), s(e % 3), F.lit("."), s(u % 12), F.when(e % 5 == 0, "").otherwise(F.concat(F.lit("."), s(e % 7), F.when(e % 9 == 0, "rc1").otherwise(""))))
+    b = F.concat(s(u % 3), F.lit("."), s(e % 12), F.when(u % 2 == 0, ".x").otherwise(F.concat(F.lit("."), s(u % 7), F.lit(".1"))))
     return table(spark, sf_dir, "events").select("event_id", t.is_newer(a, b).alias("newer"))
 
 
@@ -825,18 +845,17 @@ def opener_and_closer(spark, sf_dir):
     return persian_pairs(spark, sf_dir).filter(F.col("output") == F.trim("output")).select("o_orderkey", t.wrap(F.col("output"), "با سلام", "با احترام").alias("wrapped"))
 
 
-#: Sentences and what connectors ("همچنین", "سپس") make of them: never the first, none that opens with one, two at most.
-WOVEN = [
-    ("هوا امروز سرد است. ما به خانه رفتیم. او هم با ما آمد. شب آنجا ماندیم.", "هوا امروز سرد است. همچنین، ما به خانه رفتیم. سپس، او هم با ما آمد. شب آنجا ماندیم."),
-    ("هوا امروز سرد است. اما ما رفتیم بیرون. او هم با ما آمد.", "هوا امروز سرد است. اما ما رفتیم بیرون. همچنین، او هم با ما آمد."),
-    ("هوا سرد است. ما رفتیم.", "هوا سرد است. ما رفتیم."),
-]
+_plain = "regexp_replace(s[i + 1], '^\\s+|\\s+$', '', 'g')"
+PLAIN_AT = rf"list_filter(range(1, len(s)), lambda i: length({_plain}) > 0 AND NOT regexp_matches({_plain}, '^({t.CONNECTED})([^\x{{0600}}-\x{{06FF}}\x{{200C}}]|$)') AND NOT regexp_matches({_plain}, '[؟!…]$') AND len(string_split_regex({_plain}, '\s+')) >= 3)"
 
 
-@query("SELECT event_id, o AS woven FROM events JOIN (VALUES " + ", ".join(f"({i}, {_quoted(o)})" for i, (_, o) in enumerate(WOVEN)) + f") c(i, o) ON i = event_id % {len(WOVEN)}")
+@query(rf"""WITH a AS (SELECT doc_id, text, string_split(regexp_replace(text, '([.!؟…]) +', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents),
+    b AS (SELECT *, CASE WHEN len(s) > 2 THEN ({PLAIN_AT})[:least(2, len(s) - 2)] END AS chosen FROM a)
+    SELECT doc_id, sha256(CASE WHEN len(s) < 3 THEN text ELSE array_to_string(list_transform(s, lambda x, i: CASE WHEN list_contains(chosen, i - 1) THEN ' ' || (['همچنین', 'سپس'])[list_position(chosen, i - 1)] || '، ' || regexp_replace(x, '^\s+|\s+$', '', 'g') ELSE x END), ' ') END) AS woven_sha256 FROM b""")
 def woven_connectors(spark, sf_dir):
-    texts = F.get(F.array(*(F.lit(a) for a, _ in WOVEN)), (F.col("event_id") % len(WOVEN)).cast("int"))
-    return spread(table(spark, sf_dir, "events").select("event_id", texts.alias("text"))).select("event_id", t.fix_spacing(t.weave_connectors(F.col("text"), ["همچنین", "سپس"])).alias("woven"))
+    """Connectors in every document: never in the first sentence, in none that opens with one, is short, asks or shouts, two at most."""
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.sha2(t.weave_connectors(F.col("text"), ["همچنین", "سپس"]), 256).alias("woven_sha256"))
 
 
 @query("SELECT doc_id, lang, source, row_number() OVER (ORDER BY doc_id) AS line_no FROM documents")
@@ -863,16 +882,18 @@ def dimension_default(spark, sf_dir):
     return matching.with_dimension(records(spark, sf_dir).select("doc_id", "mode"), dimension, "mode", "none").select("doc_id", "register")
 
 
-#: Texts and what the keyboard variant makes of them (~ is a half-space).
-POLISHED = [
-    ("می روم ، خانه ها", "می~روم، خانه~ها."), ("نمی دانم:چرا", "نمی~دانم: چرا."), ("رسمی است !", "رسمی است!"), ("كتاب هاي ما", "کتاب~های ما."), ("ساعت ۱۲:۳۰ است. ", "ساعت ۱۲: ۳۰ است. "), ("خانۀ من", "خانه~ی من."), ("بزرگ ترین ها", "بزرگ~ترین~ها."), ("", ""), ("خوب تریبون", "خوب تریبون."),
-]
+_word = r"\p{L}\p{M}\p{Nd}\p{Pc}\x{200C}\x{200D}"
+_polished = "replace(translate(text, 'يك', 'یک'), 'ۀ', 'ه' || chr(8204) || 'ی')"
+for _pattern, _by in ((rf"(^|[^{_word}])(می|نمی) ", "'\\1\\2' || chr(8204)"), (rf" (ها|های|تر|ترین)([^{_word}]|$)", "chr(8204) || '\\1\\2'"), (r" +([،؛:!؟.])", "'\\1'"), (r"([،؛:!؟])([^ \n])", "'\\1 \\2'")):
+    _polished = f"regexp_replace({_polished}, '{_pattern}', {_by}, 'g')"
 
 
-@query("SELECT event_id, replace(o, '~', chr(8204)) AS polished FROM events JOIN (VALUES " + ", ".join(f"({i}, {_quoted(o)})" for i, (_, o) in enumerate(POLISHED)) + f") c(i, o) ON i = event_id % {len(POLISHED)}")
+@query(f"SELECT o_orderkey, part, CASE WHEN regexp_matches(trim(p), '[^.!؟:]$') THEN trim(p) || '.' ELSE p END AS polished FROM (SELECT o_orderkey, part, {_polished} AS p FROM (SELECT o_orderkey, 'a' AS part, text FROM {PERSIAN} UNION ALL SELECT o_orderkey, 'b', input FROM {PERSIAN_PAIRS} UNION ALL SELECT o_orderkey, 'c', output || ' ، می ' || input || ' ها:خوب ' FROM {PERSIAN_PAIRS}))")
 def keyboard_polish(spark, sf_dir):
-    text = F.get(F.array(*(F.lit(a) for a, _ in POLISHED)), (F.col("event_id") % len(POLISHED)).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", t.polish_quick(text).alias("polished"))
+    pairs_ = persian_pairs(spark, sf_dir)
+    rows = persian(spark, sf_dir).select("o_orderkey", F.lit("a").alias("part"), "text").unionByName(pairs_.select("o_orderkey", F.lit("b").alias("part"), F.col("input").alias("text")))
+    rows = rows.unionByName(pairs_.select("o_orderkey", F.lit("c").alias("part"), F.concat("output", F.lit(" ، می "), "input", F.lit(" ها:خوب ")).alias("text")))
+    return rows.select("o_orderkey", "part", t.polish_quick(F.col("text")).alias("polished"))
 
 
 from quernstone import queries_tables  # noqa: E402, F401  adds its queries
