@@ -196,6 +196,14 @@ def marked(output: Column, marker: Column, poetry: Column) -> Column:
     return F.coalesce(output.rlike(marker) if isinstance(marker, str) else F.regexp_like(output, marker), F.lit(False)) | (poetry & (F.contains(output, F.lit("\n")) | output.rlike("[؛،].*[؛،]")))
 
 
+def voiced(mode: Column, output: Column, markers: dict[str, str], poetic: tuple[str, ...] = ()) -> Column:
+    """Whether an output shows its mode's marker, by one profile's table of patterns; false for modes without one."""
+    chain = F.lit(False)
+    for m, pattern in markers.items():
+        chain = F.when(mode == m, marked(output, pattern, F.lit(m in poetic))).otherwise(chain)
+    return chain
+
+
 OFFSET, PRIME = 2166136261, 16777619
 
 

@@ -27,6 +27,13 @@ def coverage(rows: DataFrame, by: str, hit: Column, every: DataFrame | None = No
     return got if every is None else F.broadcast(every.select(by)).join(got, by, "left").select(by, F.coalesce("n", F.lit(0)).alias("n"), "coverage")
 
 
+def coverage_by_profile(rows: DataFrame, by: str, hits: dict[str, Column]) -> DataFrame:
+    """(profile, by, n, coverage): the share of hits of each profile, 3 digits, in one pass over the rows."""
+    got = rows.groupBy(by).agg(F.count("*").alias("n"), *(F.round(F.avg(c.cast("double")), 3).alias(f"_{i}") for i, c in enumerate(hits.values())))
+    each = F.explode(F.array(*(F.struct(F.lit(p).alias("profile"), F.col(f"_{i}").alias("coverage")) for i, p in enumerate(hits)))).alias("c")
+    return got.select(by, "n", each).select("c.profile", by, "n", "c.coverage")
+
+
 def gate(records: DataFrame, issues: DataFrame, modes: DataFrame, hard_modes: list[str], most: float = 0.10, least: float = 0.75) -> DataFrame:
     """One row: counts, meaning-review rate, the four tests and the status of an evaluation.
 

@@ -31,3 +31,19 @@ def modes(spark: SparkSession, instructions: dict[str, str] | None = None, marke
     told, marked = instructions or {}, markers or MARKERS
     rows = [(m, r, p, p is not None, t, told.get(m, f"Rewrite the text in the register {r}."), marked.get(m, ".")) for m, r, p, t in MODES]
     return spark.createDataFrame(rows, "mode string, register string, position int, in_pipeline boolean, overlap_threshold double, instruction string, marker_regex string")
+
+
+#: Rows of a table of markers, at most: a pattern for each profile and mode.
+MOST_MARKERS = 2_000
+
+
+def markers_from_table(rows: DataFrame) -> dict[str, dict[str, str]]:
+    """Patterns by profile (gate, audit, long audit, or others) and mode from a table (profile, mode, pattern); more than MOST_MARKERS rows are refused."""
+    found = rows.select("profile", "mode", "pattern").limit(MOST_MARKERS + 1).collect()
+    if len(found) > MOST_MARKERS:
+        raise ValueError(f"more than {MOST_MARKERS} markers")
+    out: dict[str, dict[str, str]] = {}
+    for r in found:
+        if r["pattern"] != out.setdefault(r["profile"], {}).setdefault(r["mode"], r["pattern"]):
+            raise ValueError(f"two patterns for {r['mode']} in {r['profile']}")
+    return out

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from quernstone.functions import calendar, lexicon
+from quernstone.functions import audit, calendar, lexicon
+from quernstone.operators import summary
+from quernstone.plans import modes
 from quernstone.queries import STRIPPED, query, table
 from quernstone.streaming import deltas, stateful
 from quernstone.tables import new_path, stored
@@ -160,3 +162,34 @@ def solar_hijri_days(spark, sf_dir):
     s = days.select("d", calendar.solar_hijri(F.col("d")).alias("s")).select("d", "s.*")
     back = calendar.from_solar_hijri(F.col("year"), F.col("month"), F.col("day"))
     return s.select(F.col("d").cast("string").alias("date"), *(F.col(c).cast("long").alias(c) for c in ("year", "month", "day")), back.cast("string").alias("back"))
+
+
+# Register markers of three profiles from a table
+
+#: Words of a marker by profile: the most frequent words of a language of so many letters or more.
+PROFILE_WORDS = {"gate": (2, 4), "audit": (4, 5), "long audit": (8, 6)}
+MARKER_ROWS = " UNION ALL ".join(
+    f"SELECT '{p}' AS profile, lang AS mode, '(?i)(' || string_agg(w, '|' ORDER BY n DESC, w) || ')' AS pattern FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) AS k FROM (SELECT lang, w, count(*) AS n FROM words WHERE length(w) >= {least} GROUP BY lang, w)) WHERE k <= {k} GROUP BY lang" for p, (k, least) in PROFILE_WORDS.items()
+)
+
+
+def marker_rows(spark, sf_dir):
+    """The table (profile, mode, pattern)."""
+    words = table(spark, sf_dir, "documents").select(F.col("lang").alias("mode"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), F.lit(1))).alias("w"))
+    counts = stored(words.groupBy("mode", "w").agg(F.count("*").alias("n")), "marker-words")
+    out = None
+    for profile, (k, least) in PROFILE_WORDS.items():
+        first = counts.filter(F.length("w") >= least).withColumn("k", F.row_number().over(Window.partitionBy("mode").orderBy(F.desc("n"), "w"))).filter(F.col("k") <= k)
+        said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "w"))), lambda x: x["w"]), "|")
+        own = first.groupBy("mode").agg(said.alias("s")).select(F.lit(profile).alias("profile"), "mode", F.concat(F.lit("(?i)("), "s", F.lit(")")).alias("pattern"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query(f"""WITH words AS MATERIALIZED (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS w FROM documents), m AS MATERIALIZED ({MARKER_ROWS})
+    SELECT profile, mode, count(*) AS n, round(avg(regexp_matches(text, pattern)::INT::DOUBLE), 3) AS coverage FROM documents JOIN m ON m.mode = lang GROUP BY profile, mode""")
+def marker_profiles(spark, sf_dir):
+    """Coverage of each language by the markers of three profiles, which come from a table."""
+    markers = modes.markers_from_table(marker_rows(spark, sf_dir))
+    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("mode"), "text").filter("mode IS NOT NULL")
+    return summary.coverage_by_profile(rows, "mode", {p: audit.voiced(F.col("mode"), F.col("text"), m) for p, m in markers.items()})
