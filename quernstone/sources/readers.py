@@ -113,8 +113,8 @@ def parse_report(text: Column) -> Column:
     return F.transform(blocks, report_fields)
 
 
-def read_report(spark: SparkSession, path: str) -> DataFrame:
-    """file, block_no (in order within the file), key, mode, input, teacher, output of report files of any size, which are read in splits.
+def read_report(spark: SparkSession, path: str, *also: str) -> DataFrame:
+    """block_no (in order within its file), key, mode, input, teacher, output of report files of any size, which are read in splits; ``also`` may name file.
 
     A piece begins behind the first 32 characters of a rule, and what is left of the rule goes. A line that begins like a
     rule and goes on with other text makes a malformed block, which raises.
@@ -122,7 +122,7 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     pieces = numbered_lines(spark, path, "\n" + RULE)
     block = F.when(F.col("line_no") == 1, F.regexp_replace("line", r"\A={32}", "")).otherwise(F.col("line"))
     rest = trim(F.regexp_replace(block, r"\A=*[^\S\n]*(\n|\z)", "")).alias("b")
-    return pieces.select("file", F.col("line_no").alias("block_no"), rest).filter("length(b) > 0").select("file", "block_no", report_fields(F.col("b")).alias("b")).select("file", "block_no", "b.*")
+    return pieces.select("file", F.col("line_no").alias("block_no"), rest).filter("length(b) > 0").select("file", "block_no", report_fields(F.col("b")).alias("b")).select(*also, "block_no", "b.*")
 
 
 def with_defaults(stored: Column, schema: str, defaults: dict[str, str]) -> Column:
