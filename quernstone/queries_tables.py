@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from quernstone.functions import audit, calendar, lexicon
+from quernstone.functions import audit, calendar, guards, lexicon
 from quernstone.operators import summary
 from quernstone.plans import modes
-from quernstone.queries import STRIPPED, query, table
+from quernstone.queries import PAIRS, PERSIAN_PAIRS, STRIPPED, pairs, persian_pairs, query, table
 from quernstone.streaming import deltas, stateful
 from quernstone.tables import new_path, stored
 
@@ -193,3 +193,83 @@ def marker_profiles(spark, sf_dir):
     markers = modes.markers_from_table(marker_rows(spark, sf_dir))
     rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("mode"), "text").filter("mode IS NOT NULL")
     return summary.coverage_by_profile(rows, "mode", {p: audit.voiced(F.col("mode"), F.col("text"), m) for p, m in markers.items()})
+
+
+# Rows of bad lines, schemas, prompts, replies and later profiles
+
+
+@query("SELECT 'kept' AS what, count(*) AS n, sum(doc_id)::BIGINT AS total FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT 'flagged', count(*), 0 FROM documents WHERE doc_id % 7 = 0")
+def malformed_lines(spark, sf_dir):
+    """Every seventh record cut off in the middle: one reader skips these lines, another makes flags of them."""
+    from quernstone.sources import readers
+
+    line = F.to_json(F.struct("doc_id", "lang"))
+    path = new_path(spark, "lines")
+    table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 7 == 0, F.substring(line, F.lit(1), F.length(line) - 4)).otherwise(line).alias("value")).write.text(path)
+    good = readers.read_jsonl(spark, path, "doc_id long, lang string", "DROPMALFORMED")
+    _, flags = readers.read_jsonl_flagged(spark, path, "doc_id long, lang string")
+    kept = good.filter("doc_id IS NOT NULL").agg(F.lit("kept").alias("what"), F.count("lang").alias("n"), F.sum("doc_id").alias("total"))
+    return kept.unionByName(flags.agg(F.lit("flagged").alias("what"), F.count("*").alias("n"), F.lit(0).cast("long").alias("total")))
+
+
+@query("SELECT doc_id, doc_id % 3 = 2 AS other_fields, doc_id % 3 <> 0 AS other_order FROM documents")
+def schema_flags(spark, sf_dir):
+    """Records whose lines hold the fields in order, in another order, or not all of them."""
+    line = F.when(F.col("doc_id") % 3 == 0, F.to_json(F.struct("doc_id", "lang", "source"))).when(F.col("doc_id") % 3 == 1, F.to_json(F.struct("lang", "doc_id", "source"))).otherwise(F.to_json(F.struct("doc_id", "lang")))
+    fields, want = F.json_object_keys(line), ["doc_id", "lang", "source"]
+    return table(spark, sf_dir, "documents").select("doc_id", audit.schema_flag(fields, want).alias("other_fields"), audit.schema_flag(fields, want, ordered=True).alias("other_order"))
+
+
+@query(f"""SELECT conv_id, turn, sha256(CASE WHEN turn % 2 = 0 THEN 'Look for meaning that was lost.' ELSE 'Look for meaning that was added.' END || chr(10) || chr(10) || 'INPUT: ' || input || chr(10) || chr(10) || 'REFERENCE: ' || output || chr(10) || chr(10) || 'CANDIDATE: ' || output || '!') AS prompt_sha256 FROM {PAIRS}""")
+def judge_prompts(spark, sf_dir):
+    return pairs(spark, sf_dir).select("conv_id", "turn", F.sha2(guards.judge_prompt(F.col("input"), F.col("output"), F.concat("output", F.lit("!")), F.col("turn")), 256).alias("prompt_sha256"))
+
+
+def _later_tokens_sql(column: str, profile: audit.Profile) -> str:
+    runs = f"regexp_extract_all(lower({column}), '[\\p{{Arabic}}،؛؟ـ\\x{{064B}}-\\x{{0655}}\\x{{0670}}]{{{profile.least},}}')"
+    cut = f"list_transform({runs}, lambda x: regexp_replace(translate(x, 'يىك', 'ییک'), '({'|'.join(profile.suffixes)})$', ''))"
+    stops = "[" + ", ".join(f"'{w}'" for w in profile.stop) + "]::VARCHAR[]"
+    return f"array_to_string(list_sort(list_distinct(list_filter({cut}, lambda x: length(x) >= {profile.least} AND NOT list_contains({stops}, x)))), ' ')"
+
+
+@query("SELECT o_orderkey, " + ", ".join(f"{_later_tokens_sql('output', p)} AS {n}" for n, p in audit.PROFILES.items()) + f" FROM {PERSIAN_PAIRS}")
+def later_tokens(spark, sf_dir):
+    """Tokens of the gate's profile and of the two later audits."""
+    said = lambda p: F.array_join(F.array_sort(audit.tokens(F.col("output"), p)), " ")
+    return persian_pairs(spark, sf_dir).select("o_orderkey", *(said(p).alias(n) for n, p in audit.PROFILES.items()))
+
+
+@query("SELECT doc_id, lang FROM documents")
+def appended_lines(spark, sf_dir):
+    """JSON lines appended in two runs and read back, failing at a malformed line."""
+    from quernstone.sources import readers, writers
+
+    rows, path = table(spark, sf_dir, "documents"), new_path(spark, "appended")
+    for k in range(2):
+        writers.append_jsonl(rows.filter(F.col("doc_id") % 2 == k), path, ["doc_id", "lang"])
+    return readers.read_jsonl(spark, path, "doc_id long, lang string")
+
+
+SHAPES = ['{"choices": [{"message": {"content": %s}}]}', '{"candidates": [{"content": {"parts": [{"text": %s}]}}]}', '{"message": {"content": %s}}', '{"output": %s}', '[{"generated_text": %s}]', '[{"role": "user", "content": "no"}, {"role": "assistant", "content": %s}]']
+
+
+@query("SELECT conv_id, turn, text AS said FROM conversations WHERE text IS NOT NULL AND text <> ''")
+def assistant_texts(spark, sf_dir):
+    """The answer in replies of six shapes."""
+    from quernstone.sources import readers
+
+    rows = table(spark, sf_dir, "conversations").filter("text IS NOT NULL AND text <> ''")
+    content = F.regexp_extract(F.to_json(F.struct("text")), r'(?s)\A\{"text":(.*)\}\z', 1)
+    shape = F.get(F.array(*map(F.lit, SHAPES)), ((F.col("conv_id") + F.col("turn")) % len(SHAPES)).cast("int"))
+    reply = F.concat(F.substring_index(shape, "%s", 1), content, F.substring_index(shape, "%s", -1))
+    return rows.select("conv_id", "turn", readers.assistant_text(reply).alias("said"))
+
+
+ONE_LINE = "trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))"
+
+
+@query(rf"""SELECT conv_id, turn, trim(CASE WHEN regexp_matches(x, '\A[«"“'']+(.*?)[»"”'']\z') THEN regexp_extract(x, '\A[«"“'']+(.*?)[»"”'']\z', 1) ELSE x END) AS bare FROM (SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN '«' || {ONE_LINE} || '»' WHEN 1 THEN '"' || {ONE_LINE} || '" said' ELSE {ONE_LINE} END AS x FROM conversations)""")
+def unwrapped_quotes(spark, sf_dir):
+    x = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\n\r\f\x0B]+", " "))
+    framed = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("«"), x, F.lit("»"))).when(F.col("conv_id") % 3 == 1, F.concat(F.lit('"'), x, F.lit('" said'))).otherwise(x)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", guards.unwrap_quotes(framed).alias("bare"))
