@@ -120,21 +120,27 @@ def first_value_by(rows: DataFrame, by: str, value: str, order: str) -> DataFram
     return rows.groupBy(by).agg(F.min_by(F.col(value), F.col(order)).alias(value))
 
 
-def circuit_breaker(results: DataFrame, order: str, skipped: Column, run: int = 3) -> DataFrame:
-    """Adds circuit_open: rows after the first ``run`` consecutive skipped ones.
+def circuit_breaker(results: DataFrame, order: str, skipped: Column, run: int = 3, by: str | None = None) -> DataFrame:
+    """Adds position (from 1) and circuit_open: rows after the first ``run`` consecutive skipped ones, of all rows or of each value of ``by``.
 
-    Gaps and islands over positions that come from ranges; the breaking position is a single value.
+    Positions come from ranges; skipped positions in a row are found by joins of shifted copies, and the breaking position
+    is one value for each group, so neither a window nor a group is one task's.
     """
-    from .selection import with_positions
+    from .selection import BROADCAST_ROWS, placed_within, with_positions
+
+    from quernstone.tables import stored
 
-    placed = with_positions(results, order).withColumn("_s", skipped)
-    bad = placed.filter("_s").select("position")
-    # Skipped positions in a row have one value of position minus rank; shifted copies meet in joins, not in one window.
+    placed = with_positions(results, order) if by is None else placed_within(results, by, [order])
+    group = F.lit("") if by is None else F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit("-"))
+    placed = placed.withColumns({"_s": F.coalesce(skipped, F.lit(False)), "_g": group})
+    bad = placed.filter("_s").select("_g", "position")
     runs = bad
     for k in range(1, run):
-        runs = runs.join(bad.select((F.col("position") + k).alias("position")), "position", "left_semi")
-    first = runs.agg(F.min("position")).first()[0]
-    return placed.withColumn("circuit_open", F.lit(False) if first is None else F.col("position") > first).drop("_s")
+        runs = runs.join(bad.select("_g", (F.col("position") + k).alias("position")), ["_g", "position"], "left_semi")
+    first = stored(runs.groupBy("_g").agg(F.min("position").alias("_first")), "broken")
+    side = F.broadcast(first) if by is None or first.count() <= BROADCAST_ROWS else first
+    joined = placed.join(side, "_g", "left").withColumn("circuit_open", F.coalesce(F.col("position") > F.col("_first"), F.lit(False)))
+    return joined.select(*results.columns, "position", "circuit_open")
 
 
 def failure_budget(attempts: DataFrame, by: str, order: str, failed: Column, budget: int = 10) -> DataFrame:

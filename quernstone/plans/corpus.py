@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quernstone.functions.audit import stable_hash
 from quernstone.functions.guards import poison_reason
 from quernstone.operators import matching, selection, summary
 
@@ -107,7 +106,3 @@ def corrections(pairs: DataFrame, size: int = 3000, head: int = 60) -> DataFrame
     some = selection.head_tail(selection.systematic_sample(good, "line_no", size), head)
     key = F.concat(F.lit("corr-"), F.col("split"), F.lit("-"), F.col("sample_no").cast("string"))
     return some.select(key.alias("key"), F.lit("tashih").alias("mode"), trim(F.col("src")).alias("input"), trim(F.col("tgt")).alias("output"), "split")
-
-
-def stable_order(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("hash", stable_hash(F.col("key"), F.col("input")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from quernstone.functions import audit, calendar, guards, lexicon
-from quernstone.operators import summary
+from quernstone.operators import matching, summary
 from quernstone.plans import modes
 from quernstone.queries import PAIRS, PERSIAN_PAIRS, STRIPPED, pairs, persian_pairs, query, table
 from quernstone.streaming import deltas, stateful
@@ -273,3 +273,11 @@ def unwrapped_quotes(spark, sf_dir):
     x = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\n\r\f\x0B]+", " "))
     framed = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("«"), x, F.lit("»"))).when(F.col("conv_id") % 3 == 1, F.concat(F.lit('"'), x, F.lit('" said'))).otherwise(x)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", guards.unwrap_quotes(framed).alias("bare"))
+
+
+@query("""WITH e AS (SELECT event_id, user_id, row_number() OVER w AS position, value < 20 AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+    r AS (SELECT *, s AND lag(s, 1, false) OVER w AND lag(s, 2, false) OVER w AS three FROM e WINDOW w AS (PARTITION BY user_id ORDER BY position))
+    SELECT event_id, user_id, position, coalesce(position > min(position) FILTER (three) OVER (PARTITION BY user_id), false) AS circuit_open FROM r""")
+def circuit_breaker_by_user(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    return matching.circuit_breaker(rows, "event_id", F.col("value") < 20, by="user_id").select("event_id", "user_id", "position", "circuit_open")

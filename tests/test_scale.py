@@ -73,3 +73,19 @@ def test_running_sums_of_a_hot_group(spark):
     kept = matching.failure_budget(df, "u", "i", F.col("x") == 1, 7)
     plain = df.withColumn("f", F.coalesce(F.sum(F.coalesce((F.col("x") == 1).cast("int"), F.lit(0))).over(Window.partitionBy("u").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter("f < 7")
     assert {r["i"] for r in kept.collect()} == {r["i"] for r in plain.collect()}
+
+
+def test_circuit_breaker_of_groups(spark):
+    """A hot group, a null group, one that never breaks, and nulls among the flags."""
+    rng = random.Random(6)
+    rows = [("hot" if i % 2 else rng.choice(["a", "b", None]), i, rng.choice([True, False, False, None])) for i in range(1200)] + [("calm", 5000 + i, False) for i in range(5)] + [("short", 6000, True), ("short", 6001, True)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "u string, i int, s boolean").repartition(5)
+    got = {r["i"]: (r["position"], r["circuit_open"]) for r in matching.circuit_breaker(df, "i", F.col("s"), by="u").collect()}
+    want, seen = {}, {}
+    for u, i, s in sorted(rows, key=lambda r: r[1]):
+        n, run, broken = seen.get(u, (0, 0, False))
+        want[i] = (n + 1, broken)
+        run = run + 1 if s else 0
+        seen[u] = (n + 1, run, broken or run >= 3)
+    assert got == want
