@@ -58,7 +58,7 @@ class WordHashes(dict):
     """64-bit hash of each word, kept for a bounded number of words."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         bare = word.strip(EDGES)
         h = self[word] = int.from_bytes(hashlib.blake2b(bare.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") if bare else 0
