@@ -100,12 +100,14 @@ def scores(model: dict, texts: list[str], marks: np.ndarray) -> np.ndarray:
 def model_of(docs: DataFrame, sample: int, landmarks: int, id_col: str, text_col: str, lang_col: str) -> dict | None:
     """The model of at most ``sample`` rows, those of least hash (a few KB of each go to the driver)."""
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    h = F.xxhash64(F.col(id_col), F.lit(9))
-    bound = known.select(h.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    rows = known.select(F.xxhash64(F.col(id_col), F.lit(9)).alias("h"), F.xxhash64(text_col).alias("t"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    key = F.struct("h", "t")
+    bound = rows.select(key.alias("key")).orderBy("key").limit(sample).agg(F.max("key").alias("key")).first()["key"]
     if bound is None:
         return None
-    rows = known.filter(h <= bound).select(h.alias("h"), F.xxhash64(text_col).alias("t"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rows = stored(rows.orderBy("h", "t", "lang").limit(2 * sample), "language-sample")  # more than the sample only where ids repeat
+    # Texts stay where they are read; rows of one id and one text count once.
+    some = rows.filter((F.col("h") < bound["h"]) | ((F.col("h") == bound["h"]) & (F.col("t") <= bound["t"])))
+    rows = stored(some.groupBy("h", "t").agg(F.min("lang").alias("lang"), F.first("text").alias("text")), "language-sample")
 
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
