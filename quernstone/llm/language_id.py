@@ -8,7 +8,8 @@ whitened by the landmarks' own kernel matrix; one-versus-rest kernel ridge regre
 weights fold into one matrix, so a batch of pieces is scored by two matrix products: presence by landmarks, kernels by
 weights.
 
-The model is fitted on a bounded sample, the ``sample`` training rows of least hash; scoring covers every whole text.
+The model is fitted on a bounded sample, the ``sample`` training rows of least hash (of rows alike in id and text each
+takes a place, but one is learned from); scoring covers every whole text.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; with no training row every text is
 ``und``; ties go to the language first in order; rows with repeated or null ids are scored like any other; columns to
