@@ -6,8 +6,8 @@ from pyspark.sql import Window, functions as F
 
 from quernstone.functions import audit, calendar, guards, lexicon
 from quernstone.operators import matching, summary
-from quernstone.plans import modes
-from quernstone.queries import PAIRS, PERSIAN_PAIRS, STRIPPED, pairs, persian_pairs, query, table
+from quernstone.plans import audit as plan_audit, modes
+from quernstone.queries import PAIRS, PERSIAN_PAIRS, STRIPPED, pairs, persian_pairs, query, records, table
 from quernstone.streaming import deltas, stateful
 from quernstone.tables import new_path, stored
 
@@ -281,3 +281,33 @@ def unwrapped_quotes(spark, sf_dir):
 def circuit_breaker_by_user(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
     return matching.circuit_breaker(rows, "event_id", F.col("value") < 20, by="user_id").select("event_id", "user_id", "position", "circuit_open")
+
+
+@query("SELECT lang || '|' || d.doc_id AS key, sha256(lang || chr(0) || text || chr(0) || source || chr(0)) AS digest, CASE WHEN toxic = 1 THEN 'meaning-review,register-review' ELSE 'meaning-review' END AS categories FROM labels l JOIN documents d ON l.doc_id = d.doc_id")
+def review_ledger(spark, sf_dir):
+    """The ledger of a review: each labelled record's digest and the flags that a reviewer may approve; broken schemas aren't among them."""
+    rows = records(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+    flags = rows.select("key", F.explode(F.when(F.col("toxic") == 1, F.array(*map(F.lit, ("register-review", "meaning-review", "schema")))).otherwise(F.array(F.lit("schema"), F.lit("meaning-review")))).alias("category"))
+    kept = plan_audit.ledger_of(flags, rows.select("key", "mode", F.col("text").alias("input"), F.col("source").alias("output"), F.lit("").alias("system")))
+    return kept.select("key", "digest", F.array_join(F.array_sort("categories"), ",").alias("categories"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars % 3 <> 0 THEN 'good' ELSE 'bad' END AS place, CASE WHEN n_chars % 3 <> 0 THEN NULL ELSE 'in ' || lang END AS why FROM documents")
+def two_ways(spark, sf_dir):
+    """Rows written to where they belong, accepted or rejected with a reason, and read back; a place for no row isn't made."""
+    from quernstone.sources import writers
+
+    good, bad, none = (new_path(spark, name) for name in ("good", "bad", "none"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.concat(F.lit("in "), "lang").alias("reason"))
+    writers.write_two_ways(rows, "n_chars % 3 <> 0", good, bad)
+    if writers.write_unless_empty(rows.filter("doc_id < 0 AND doc_id >= 0"), none):
+        raise ValueError("a place for no row")
+    read = lambda path, place: spark.read.schema("doc_id long, reason string").json(path).select("doc_id", F.lit(place).alias("place"), F.col("reason").alias("why"))
+    return read(good, "good").unionByName(read(bad, "bad"))
+
+
+@query(r"SELECT doc_id, sha256(regexp_replace(translate(coalesce(text, ''), 'aeoEO', 'жд漢かक'), '[\p{Cyrillic}\p{Han}\p{Hiragana}\p{Katakana}\p{Devanagari}]', '', 'g')) AS rest_sha256 FROM documents")
+def corrupt_script_removed(spark, sf_dir):
+    """Documents with letters of five foreign scripts in the places of some of their own."""
+    damaged = F.translate(F.coalesce("text", F.lit("")), "aeoEO", "жд漢かक")
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(guards.strip_corrupt(damaged), 256).alias("rest_sha256"))

@@ -50,9 +50,9 @@ def write_unless_empty(rows: DataFrame, path: str) -> bool:
 
 
 def write_two_ways(rows: DataFrame, accepted: str, good: str, bad: str) -> None:
-    """Accepted rows to one place, the others to another."""
+    """Accepted rows to one place, the others, also those where it is unknown, to another."""
     rows.filter(accepted).drop("reason").write.mode("append").json(good)
-    rows.filter(f"NOT ({accepted})").write.mode("append").json(bad)
+    rows.filter(f"NOT coalesce({accepted}, false)").write.mode("append").json(bad)
 
 
 def report_block(rows: DataFrame) -> DataFrame:

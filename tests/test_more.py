@@ -118,6 +118,9 @@ def test_sinks(spark, tmp_path):
     writers.write_two_ways(rows, "reason = ''", str(tmp_path / "good"), str(tmp_path / "bad"))
     assert [r["x"] for r in spark.read.json(str(tmp_path / "good")).collect()] == [1]
     assert [r["reason"] for r in spark.read.json(str(tmp_path / "bad")).collect()] == ["bad"]
+    unknown = spark.createDataFrame([(3, "c", None)], "x int, y string, reason string")
+    writers.write_two_ways(unknown, "reason = ''", str(tmp_path / "yes"), str(tmp_path / "no"))
+    assert [r["x"] for r in spark.read.json(str(tmp_path / "no")).collect()] == [3]
     assert writers.write_audit(rows, spark.createDataFrame([("FAIL", 2)], "status string, n int"), str(tmp_path / "audit")) == "FAIL"
     assert spark.read.json(str(tmp_path / "audit" / "verdict")).first()["n"] == 2 and spark.read.json(str(tmp_path / "audit" / "flags")).count() == 2
     assert writers.versioned("/data/", "7") == "/data/run=7"
