@@ -6,8 +6,8 @@ from pyspark.sql import Window, functions as F
 
 from quernstone.functions import audit, calendar, guards, lexicon
 from quernstone.operators import matching, summary
-from quernstone.plans import audit as plan_audit, modes
-from quernstone.queries import PAIRS, PERSIAN_PAIRS, STRIPPED, pairs, persian_pairs, query, records, table
+from quernstone.plans import audit as plan_audit, corpus, modes
+from quernstone.queries import OVERLAP, PAIRS, PERSIAN_PAIRS, PLAIN, RATIO, STRIPPED, pairs, persian_pairs, query, records, table
 from quernstone.streaming import deltas, stateful
 from quernstone.tables import new_path, stored
 
@@ -311,3 +311,17 @@ def corrupt_script_removed(spark, sf_dir):
     """Documents with letters of five foreign scripts in the places of some of their own."""
     damaged = F.translate(F.coalesce("text", F.lit("")), "aeoEO", "жд漢かक")
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(guards.strip_corrupt(damaged), 256).alias("rest_sha256"))
+
+
+MODE_ROWS = ", ".join(f"({i}, '{m}', {0.14 if t is None else t}::DOUBLE)" for i, (m, _, _, t) in enumerate(modes.MODES))
+
+
+@query(f"SELECT conv_id, turn, mode FROM (SELECT *, {RATIO} AS ratio FROM {OVERLAP}) JOIN (VALUES {MODE_ROWS}) m(i, mode, least) ON i = (conv_id + turn) % {len(modes.MODES)} WHERE ratio < least")
+def low_overlap_by_mode(spark, sf_dir):
+    """Turns of all modes with the audit's flag of few tokens in common, each mode by its own bound; modes without one by the profile's."""
+    mode = F.get(F.array(*(F.lit(m) for m, *_ in modes.MODES)), ((F.col("conv_id") + F.col("turn")) % len(modes.MODES)).cast("int"))
+    rows = pairs(spark, sf_dir).select(F.concat_ws("|", "conv_id", "turn").alias("key"), mode.alias("mode"), F.lit("").alias("system"), "input", "output")
+    told = rows.withColumn("messages", corpus.messages(F.col("system"), F.col("input"), F.col("output")))
+    flags = plan_audit.flags_of(told, modes.modes(spark), PLAIN, fragments=False).filter("detail = 'low token overlap'")
+    at = F.split("key", "[|]")
+    return flags.select(at[0].cast("long").alias("conv_id"), at[1].cast("int").alias("turn"), "mode")
