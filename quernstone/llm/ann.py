@@ -40,10 +40,16 @@ LINKS, BEAM = 24, 128
 #: Recall that the visits are widened to, and queries that it is measured on, at most.
 TARGET, TRIED = 0.97, 256
 CHUNK = 8192
+#: Rows that are compared with all centroids at once: 32 MB a product with 8,192 centroids.
+BLOCK = 1024
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return (2 * (x @ c.T) - (c * c).sum(1)[None, :]).argmax(axis=1)
+    """Each row's nearest centroid, by blocks of rows: all products at once would take gigabytes of the driver."""
+    norms, out = (c * c).sum(1)[None, :], np.empty(len(x), dtype=np.int64)
+    for at in range(0, len(x), BLOCK):
+        out[at : at + BLOCK] = (2 * (x[at : at + BLOCK] @ c.T) - norms).argmax(axis=1)
+    return out
 
 
 def fit_centroids(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:

@@ -249,6 +249,22 @@ def test_packed_numbers(top):
     assert not len(bpe.unpack_numbers(bpe.pack_numbers(x[:0])))
 
 
+def test_centroids_in_bounded_memory():
+    """As many rows and centroids as a table of 600,000 vectors has: the fit's arrays stay far under a product of both."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    x, c = rng.normal(size=(20_000, 8)).astype(np.float32), rng.normal(size=(4000, 8)).astype(np.float32)
+    tracemalloc.start()
+    at = ann._nearest(x, c)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # all products at once: 320 MB and more
+    some = rng.integers(0, len(x), 200)
+    d = ((x[some, None, :] - c[None, :, :]) ** 2).sum(axis=2)
+    assert np.allclose(d[np.arange(200), at[some]], d.min(axis=1), rtol=1e-3, atol=1e-4)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(3000, 16))
