@@ -89,3 +89,20 @@ def test_circuit_breaker_of_groups(spark):
         run = run + 1 if s else 0
         seen[u] = (n + 1, run, broken or run >= 3)
     assert got == want
+
+
+def test_rows_of_one_row_group_are_dealt(spark, tmp_path):
+    """A file of one row group has as many partitions as its bytes give, but one of them has all rows."""
+    from quernstone.queries import spread
+
+    path = str(tmp_path / "one")
+    spark.range(40_000).selectExpr("id", "md5(cast(id as string)) AS x").coalesce(1).write.parquet(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        rows = spark.read.parquet(path)
+        assert rows.rdd.getNumPartitions() >= 4
+        counts = [r["count"] for r in spread(rows).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sum(counts) == 40_000 and max(counts) < 10_000

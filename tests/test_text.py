@@ -190,3 +190,22 @@ def test_five_thousand_entries_are_one_node(spark):
     assert len(rows._jdf.queryExecution().executedPlan().toString()) < 2000
     table = spark.createDataFrame([("r", i, k, v) for i, (k, v) in enumerate(entries)], "register string, pos int, k string, v string")
     assert lx.from_table(table.repartition(4)) == {"r": entries}
+
+
+def test_passes_that_form_no_key():
+    """Only what can be a part of a key is looked at again; the result is that of all passes in order."""
+    import random
+
+    rng = random.Random(9)
+    words = ["a", "b", "c", "ab", "b c", "c a b", "می" + lx.ZWNJ + "b", "-a", "b-"]
+    for _ in range(400):
+        entries = [(rng.choice(words), rng.choice([*words, "", "zz", "b zz"])) for _ in range(rng.randint(1, 6))]
+        text = "".join(rng.choice([*words, " ", " ", "-", lx.ZWNJ]) for _ in range(12))
+        replacer = lx.Replacer(entries)
+        want, n = text, 0
+        for i in range(len(replacer.entries)):
+            want, ranges = replacer.one_pass(want, i)
+            n += len(ranges)
+        assert replacer(text) == (want, n), (entries, text)
+    plain = lx.Replacer([("one two", "five"), ("six", "one")])
+    assert plain.forms == [False, True]  # "five" is a part of no key, "one" of the first
