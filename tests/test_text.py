@@ -209,3 +209,9 @@ def test_passes_that_form_no_key():
         assert replacer(text) == (want, n), (entries, text)
     plain = lx.Replacer([("one two", "five"), ("six", "one")])
     assert plain.forms == [False, True]  # "five" is a part of no key, "one" of the first
+
+
+def test_edit_computes_only_what_is_taken(spark):
+    rows = spark.createDataFrame([("می روم ?", "x")], "text string, mode string")
+    plan = edits.edit_table(rows).select("edited.output")._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan  # the count of changed words
