@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .chars import ARABIC_EXTENDED, SPACE, replace, trim
+from .chars import ARABIC_EXTENDED, SPACE, bind, replace, replace_with, trim
 from .guards import ECHO, NUMBER, foreign_letter, repeated_fragment
 from .text import ascii_digits
 
@@ -70,18 +70,25 @@ STEM_SUFFIXES = ("ترین", "هایی", "های", "ها", "شان", "مان", "
 
 def stem(token: Column, suffixes: tuple[str, ...] = STEM_SUFFIXES) -> Column:
     """Without a verbal prefix, and without the first suffix in order that leaves more than three letters."""
-    t = replace(token, r"\A(ن?می)", "")
-    chain = F.when(F.lit(False), t)
-    for s in suffixes:
-        chain = chain.when(t.endswith(s) & (F.length(t) > len(s) + 3), F.substring(t, F.lit(1), F.length(t) - len(s)))
-    return chain.otherwise(t)
+
+    def cut(t: Column) -> Column:
+        chain = F.when(F.lit(False), t)
+        for s in suffixes:
+            chain = chain.when(t.endswith(s) & (F.length(t) > len(s) + 3), F.substring(t, F.lit(1), F.length(t) - len(s)))
+        return chain.otherwise(t)
+
+    return bind(replace_with(token, ("می",), r"\A(ن?می)", ""), cut)
 
 
 def audit_tokens(text: Column, stop: tuple[str, ...] = STOP_FIRST) -> Column:
-    words = F.filter(F.split(audit_normal(text), rf"{SPACE}+"), lambda t: (F.length(t) >= 3) & ~t.isin(*stop))
+    words = F.filter(F.split(audit_normal(text), " "), lambda t: (F.length(t) >= 3) & ~t.isin(*stop))
     return F.array_distinct(F.filter(F.transform(words, lambda t: stem(t)), lambda t: F.length(t) >= 3))
 
 
+#: Comparisons of two tokens that are made directly; beyond, grams say which tokens to compare.
+FEW = 400
+
+
 def matched_of(a: list[str], b: list[str], least: int) -> int:
     """How many of a's tokens equal one of b's, or contain one or lie in one, both of the least length or more.
 
@@ -89,6 +96,10 @@ def matched_of(a: list[str], b: list[str], least: int) -> int:
     tokens can; only those are compared.
     """
     known = set(b)
+    rest = [x for x in a if x not in known and len(x) >= least]
+    if len(rest) * len(known) <= FEW:
+        long = [y for y in known if len(y) >= least] if rest else []
+        return sum(x in known for x in a) + sum(any(x in y or y in x for y in long) for x in rest)
     grams: dict[str, list[str]] = {}
     begins: dict[str, list[str]] = {}
     for y in known:
@@ -100,25 +111,27 @@ def matched_of(a: list[str], b: list[str], least: int) -> int:
     def contained(x: str) -> bool:
         return any(x in y for y in grams.get(x[:least], ())) or any(y in x for i in range(len(x) - least + 1) for y in begins.get(x[i : i + least], ()))
 
-    return sum(x in known or (len(x) >= least and contained(x)) for x in a)
+    return sum(x in known for x in a) + sum(map(contained, rest))
 
 
 def matched_tokens(a: Column, b: Column, least: int) -> Column:
-    """matched_of by batches; null where either is null."""
+    """struct(matched, a, b): matched_of by batches, null where either is null, and the numbers of tokens, so that these aren't cut again."""
+    n = lambda x: None if x is None else len(x)
 
-    @F.pandas_udf(T.IntegerType())
-    def matched(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else matched_of(list(x), list(y), least) for x, y in zip(left, right)], dtype="Int32")
+    @F.pandas_udf("matched int, a int, b int")
+    def matched(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+        rows = [(None if x is None or y is None else matched_of(list(x), list(y), least), n(x), n(y)) for x, y in zip(left, right)]
+        return pd.DataFrame(rows, columns=["matched", "a", "b"], dtype="Int32")
 
     return matched(a, b)
 
 
 def overlap_of(a: Column, b: Column, contained_from: int, over_smaller: bool) -> Column:
     """Share of a's tokens that equal one of b's, or contain one or lie in one, both of the given length or more."""
-    matched = matched_tokens(a, b, contained_from)
+    found = matched_tokens(a, b, contained_from)
     if over_smaller:
-        return F.when((F.size(a) == 0) | (F.size(b) == 0), 1.0).otherwise(matched / F.least(F.size(a), F.size(b)))
-    return F.when(F.size(a) == 0, 1.0).otherwise(matched / F.size(a))
+        return F.when((found["a"] == 0) | (found["b"] == 0), 1.0).otherwise(found["matched"] / F.least(found["a"], found["b"]))
+    return F.when(found["a"] == 0, 1.0).otherwise(found["matched"] / found["a"])
 
 
 def overlap(before: Column, output: Column, profile: Profile) -> Column:

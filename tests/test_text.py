@@ -215,3 +215,11 @@ def test_edit_computes_only_what_is_taken(spark):
     rows = spark.createDataFrame([("می روم ?", "x")], "text string, mode string")
     plan = edits.edit_table(rows).select("edited.output")._jdf.queryExecution().optimizedPlan().toString()
     assert "zip_with" not in plan  # the count of changed words
+
+
+def test_tokens_are_cut_once(spark):
+    rows = spark.createDataFrame([("کتاب‌های خوب", "کتاب خوبی"), ("", "کتاب"), (None, "")], "a string, b string")
+    both = q.with_audit_overlap(rows, "a", "b")
+    assert [r["overlap"] for r in both.collect()][1] == 1.0
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") <= 4  # once for each text, in the function's input and its plan node
