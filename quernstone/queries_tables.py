@@ -99,11 +99,17 @@ def failover(spark, sf_dir):
 SQUEEZED = "trim(regexp_replace({}, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))"
 
 
-def in_small_splits(spark, make):
-    """What make returns, read in splits of 64 KB, so that the small files here are many tasks too."""
+#: Bytes of a split, at most.
+MOST_SPLIT = 32 << 20
+
+
+def in_small_splits(spark, path, make):
+    """What make returns, read in splits of 64 KB, so that the small files here are many tasks too; of large ones in larger splits, eight for each core."""
     conf = "spark.sql.files.maxPartitionBytes"
     before = spark.conf.get(conf)
-    spark.conf.set(conf, "64k")
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    spark.conf.set(conf, min(MOST_SPLIT, max(64 << 10, size // (8 * spark.sparkContext.defaultParallelism))))
     try:
         return stored(make(), "read")
     finally:
@@ -119,7 +125,7 @@ def report_round_trip(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), F.col("lang").alias("mode"), text.alias("input"), F.col("source").alias("teacher"), F.length(text).cast("string").alias("output")).filter("length(input) > 0")
     path = new_path(spark, "report")
     writers.report_block(rows).write.text(path)
-    back = in_small_splits(spark, lambda: readers.read_report(spark, path))
+    back = in_small_splits(spark, path, lambda: readers.read_report(spark, path))
     return back.select("key", "mode", F.sha2("input", 256).alias("input_sha256"), "teacher", F.col("output").cast("long").alias("output"))
 
 
@@ -131,7 +137,7 @@ def feed_round_trip(spark, sf_dir):
     item = F.concat(F.lit("<item><title>"), "url", F.lit("</title>\n<description><![CDATA["), "html", F.lit("]]></description></item>"))
     path = new_path(spark, "feed")
     table(spark, sf_dir, "pages").select(item.alias("value")).write.text(path)
-    back = in_small_splits(spark, lambda: readers.read_feed(spark, path))
+    back = in_small_splits(spark, path, lambda: readers.read_feed(spark, path))
     return back.select("title", F.sha2("description", 256).alias("description_sha256"))
 
 

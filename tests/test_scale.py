@@ -106,3 +106,13 @@ def test_rows_of_one_row_group_are_dealt(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert sum(counts) == 40_000 and max(counts) < 10_000
+
+
+def test_splits_grow_with_the_files(spark, tmp_path):
+    from quernstone.queries_tables import in_small_splits
+
+    path = str(tmp_path / "large")
+    spark.range(400_000).selectExpr("repeat('x', 100) AS value").coalesce(1).write.text(path)
+    seen = []
+    in_small_splits(spark, path, lambda: (lambda df: (seen.append(df.rdd.getNumPartitions()), df)[1])(spark.read.text(path)))
+    assert seen[0] <= 10 * spark.sparkContext.defaultParallelism  # 640 of 64 KB
