@@ -325,17 +325,29 @@ def dictation_batch(events: DataFrame) -> DataFrame:
 
 
 def run_over_files(spark: SparkSession, rows: DataFrame, make: Callable[[DataFrame], DataFrame], files: int = 4, order: Column | None = None) -> DataFrame:
-    """What a stream operator makes of rows that arrive in so many batches, dealt by ``order`` (a hash of the row by default)."""
+    """What a stream operator makes of rows that arrive in so many batches, dealt by ``order`` (a hash of the row by default).
+
+    The rows are written once, by as many tasks as they come from; a batch's folder then moves to where the stream looks,
+    and the stream goes on from its checkpoint over what is new there.
+    """
     from quernstone.tables import new_path
 
-    source, sink, checkpoint = (new_path(spark, f"stream-{n}") for n in ("source", "sink", "checkpoint"))
+    staged, source, sink, checkpoint = (new_path(spark, f"stream-{n}") for n in ("staged", "source", "sink", "checkpoint"))
     dealt = rows.withColumn("_batch", F.pmod(F.xxhash64(*rows.columns) if order is None else order, F.lit(files)))
-    for b in range(files):
-        dealt.filter(F.col("_batch") == b).drop("_batch").coalesce(1).write.mode("append").parquet(source)
-    made = make(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source))
+    dealt.write.partitionBy("_batch").parquet(staged)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    store = at(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(at(source))
+    made = make(spark.readStream.schema(rows.schema).parquet(f"{source}/*"))
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink}/batch={epoch}")  # a repeated batch writes its folder again
 
-    made.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    for b in range(files):
+        arrived = at(f"{staged}/_batch={b}")
+        if b and not store.exists(arrived):
+            continue
+        if store.exists(arrived) and not store.rename(arrived, at(f"{source}/arrived-{b}")):
+            raise OSError(f"{arrived} can't be moved")
+        made.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(made.schema).option("basePath", sink).parquet(f"{sink}/batch=*").select(made.columns)

@@ -116,3 +116,16 @@ def test_splits_grow_with_the_files(spark, tmp_path):
     seen = []
     in_small_splits(spark, path, lambda: (lambda df: (seen.append(df.rdd.getNumPartitions()), df)[1])(spark.read.text(path)))
     assert seen[0] <= 10 * spark.sparkContext.defaultParallelism  # 640 of 64 KB
+
+
+def test_stream_rows_are_written_by_many_tasks(spark, monkeypatch):
+    from quernstone.streaming import stateful
+
+    seen = []
+    monkeypatch.setattr("quernstone.tables.new_path", lambda spark, name, f=__import__("quernstone.tables", fromlist=["x"]).new_path: seen.append(f(spark, name)) or seen[-1])
+    df = spark.range(0, 4000, 1, 4).selectExpr("cast(id % 7 as string) AS speaker", "1L AS session", "id AS event_no", "0 AS result_index", "true AS is_final", "cast(id as string) AS transcript")
+    got = stateful.newest_text(stateful.run_over_files(spark, df, stateful.dictation_stream, 3)).collect()
+    assert sorted((r["speaker"], r["text"]) for r in got) == sorted((str(k), str(max(i for i in range(4000) if i % 7 == k))) for k in range(7))
+    source = next(p for p in seen if "/stream-source-" in p)
+    files = spark.read.option("recursiveFileLookup", "true").parquet(source).inputFiles()
+    assert len(files) == 12  # four tasks, three batches; one file a batch before
