@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -89,19 +89,56 @@ def broken_reasons(output: Column, before: Column, correction: Column) -> Column
     )
 
 
+#: Longest text whose multiples are looked up in a table, of a million pairs.
+TABLED = 1 << 17
+
+
+@cache
+def multiples(least: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(k * p, (k + 1) * p) of all lengths p from ``least`` to a third of the size, by the second place up to the size."""
+    lengths = range(least, size // 3 + 1)
+    first = np.concatenate([np.zeros(0, dtype=np.int32), *(np.arange(0, size - p + 1, p, dtype=np.int32) for p in lengths)])
+    second = np.concatenate([np.zeros(0, dtype=np.int32), *(np.arange(p, size + 1, p, dtype=np.int32) for p in lengths)])
+    order = np.argsort(second, kind="stable")
+    return first[order], second[order]
+
+
+def periods(x: np.ndarray, least: int) -> list[int]:
+    """Lengths p of at most a third of x at which some multiple of p begins ``least`` values that come again p further on; by chance others."""
+    base, h, of = np.uint64(0x9E3779B97F4A7C15), None, {1: x.astype(np.uint64)}
+    for bit in (1 << i for i in range(least.bit_length())):
+        if bit > 1:
+            half = of[bit // 2]
+            of[bit] = half[: len(half) - bit // 2] * base ** np.uint64(bit // 2) + half[bit // 2 :]
+        if least & bit:  # values of so many more places before those so far
+            own, after = of[bit], h
+            h = own if after is None else own[: len(after) - bit] * base ** np.uint64(least & (bit - 1)) + after[bit:]
+    if len(x) > TABLED:
+        return [p for p in range(least, len(x) // 3 + 1) if (h[:-p:p] == h[p::p]).any()]
+    a, b = multiples(least, max(64, 1 << (len(x) - 1).bit_length()))
+    n = int(np.searchsorted(b, len(h) - 1, "right"))
+    a, b = a[:n], b[:n]
+    same = h[a] == h[b]
+    return [p for p in np.unique((b - a)[same]).tolist() if p <= len(x) // 3] if same.any() else []
+
+
 def tripled(text: str, least: int) -> bool:
     """Whether some fragment of ``least`` code points or more stands three times in a row.
 
-    For every length p it does if 2 * p characters in a row equal those p further on. Sampled at eighths of p such a
-    run shows as 16 hits in a row or so; only then are all characters compared, so the work is near n log n.
+    For every length p it does if 2 * p characters in a row equal those p further on. Some multiple of p then begins
+    ``least`` characters that equal those p further on; hashes of so many characters say at which lengths that is so, for
+    all lengths at once. Of these, sampled at eighths of p such a run shows as 16 hits in a row or so; only then are all
+    characters compared, so the work is near n log n.
     """
+    if len(text) < 3 * least:
+        return False
     x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
     def in_a_row(hits: np.ndarray, n: int) -> bool:
         misses = np.flatnonzero(~hits)
         return int(np.diff(np.r_[-1, misses, len(hits)]).max()) - 1 >= n
 
-    for p in range(least, len(x) // 3 + 1):
+    for p in periods(x, least):
         step = max(1, p // 8)
         if in_a_row(x[:-p:step] == x[p::step], 2 * p // step) and (step == 1 or in_a_row(x[:-p] == x[p:], 2 * p)):
             return True

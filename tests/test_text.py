@@ -223,3 +223,18 @@ def test_tokens_are_cut_once(spark):
     assert [r["overlap"] for r in both.collect()][1] == 1.0
     plan = both._jdf.queryExecution().executedPlan().toString()
     assert plan.count("split(") <= 4  # once for each text, in the function's input and its plan node
+
+
+def test_fragments_are_quick():
+    import random
+    import time
+
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
+    text = " ".join(rng.choice(words) for _ in range(12_000))
+    g.tripled(text, 12)
+    began = time.perf_counter()
+    assert not g.tripled(text, 12)
+    assert time.perf_counter() - began < 0.25  # 6 ms; a step for each length took half a second and more
+    assert g.tripled(text[:30_000] + text[500:560] * 3 + text[30_000:], 12)
+    assert g.tripled(text * 2 + "-" + text[500:560] * 3, 12)  # longer than the table
