@@ -218,15 +218,31 @@ def voiced(mode: Column, output: Column, markers: dict[str, str], poetic: tuple[
 
 
 OFFSET, PRIME = 2166136261, 16777619
+#: Code points that are hashed together: 32 MB of codes.
+HASHED_CHARS = 1 << 22
 
 
 def fnv1a_of(texts: list[str | None]) -> np.ndarray:
-    """FNV-1a of 32 bits over the code points of each text, one position of all texts at a time; a null text's place holds the empty text's."""
+    """FNV-1a of 32 bits over the code points of each text, one position of many texts at a time; a null text's place holds the empty text's.
+
+    Texts are taken by blocks of HASHED_CHARS code points or one text, so memory doesn't follow how long a batch's texts are.
+    """
+    out, start, size = [np.zeros(0, dtype=np.int64)], 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t or "") > HASHED_CHARS:
+            out.append(_fnv1a_block(texts[start:i]))
+            start, size = i, 0
+        size += len(t or "")
+    return np.concatenate([*out, _fnv1a_block(texts[start:])])
+
+
+def _fnv1a_block(texts: list[str | None]) -> np.ndarray:
     encoded = [(t or "").encode("utf-32-le", "surrogatepass") for t in texts]
     lengths = np.array([len(e) // 4 for e in encoded], dtype=np.int64)
     order = np.argsort(-lengths, kind="stable")
     starts = np.r_[0, np.cumsum(lengths)[:-1]] if len(lengths) else lengths
-    codes, starts, longest = np.frombuffer(b"".join(encoded), dtype="<u4").astype(np.uint64), starts[order], lengths[order]
+    codes, starts, longest = np.frombuffer(b"".join(encoded), dtype="<u4"), starts[order], lengths[order]
+    del encoded
     h = np.full(len(texts), OFFSET, dtype=np.uint64)
     prime, mask, at = np.uint64(PRIME), np.uint64(0xFFFFFFFF), 0
     active = np.searchsorted(-longest, 0)  # texts longer than ``at``

@@ -238,3 +238,19 @@ def test_fragments_are_quick():
     assert time.perf_counter() - began < 0.25  # 6 ms; a step for each length took half a second and more
     assert g.tripled(text[:30_000] + text[500:560] * 3 + text[30_000:], 12)
     assert g.tripled(text * 2 + "-" + text[500:560] * 3, 12)  # longer than the table
+
+
+def test_hashes_by_blocks(monkeypatch):
+    import tracemalloc
+
+    texts = [None, "", "é😀", *("x" * (n % 700) for n in range(300)), "y" * 5000]
+    want = q.fnv1a_of(texts).tolist()
+    monkeypatch.setattr(q, "HASHED_CHARS", 900)
+    assert q.fnv1a_of(texts).tolist() == want
+    monkeypatch.undo()
+    long = ["x" * 3000] * 10_000
+    tracemalloc.start()
+    q.fnv1a_of(long)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6  # 480 MB for all texts at once
