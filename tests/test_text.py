@@ -254,3 +254,8 @@ def test_hashes_by_blocks(monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 120e6  # 480 MB for all texts at once
+
+
+def test_keyboard_polish_computes_the_text_once(spark):
+    df = spark.createDataFrame([("می روم  ؟خوب",)], "t string").select(t.polish_quick(F.col("t")).alias("p"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
