@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from .chars import ARABIC_EXTENDED, PERSIAN, SPACE, ascii_bounded, letters_outside, replace, trim
+from .chars import ARABIC_EXTENDED, PERSIAN, SPACE, ascii_bounded, letters_outside, replace, replace_with, trim
 from .text import ascii_digits, bind, has_persian
 
 NUMBER = r"\d+(?:[.,]\d+)?"
@@ -267,17 +267,18 @@ def strip_html(html: Column, native: str = PERSIAN) -> Column:
 
     Bodies of scripts and styles stay, as in the rule this follows; entities are not decoded.
     """
-    t = replace(html, r"<![^>]*>", "")
+    t = replace_with(html, ("<!",), r"<![^>]*>", "")
     t = replace(t, r"<[^>]+>", " ")
-    t = replace(t, r"&[a-zA-Z]+;", " ")
-    t = replace(t, r"&#[0-9]+;", " ")
-    t = replace(t, rf"{SPACE}+", " ")
+    t = replace_with(t, ("&",), r"&[a-zA-Z]+;", " ")
+    t = replace_with(t, ("&#",), r"&#[0-9]+;", " ")
+    t = replace(t, rf"{SPACE}{{2,}}|[{SPACE}&&[^ ]]", " ")
     t = replace(t, rf"(?<={native}){SPACE}*{ascii_bounded('[a-z]{1,4}')}{SPACE}*(?={native})", " ")
-    return trim(replace(t, rf"{SPACE}{{2,}}", " "))
+    return trim(replace_with(t, ("  ",), " {2,}", " "))
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.split(text, rf"{SPACE}+"))
+    """Parts between spaces; a pattern to split by would be compiled again for each text."""
+    return F.regexp_count(text, F.lit(rf"{SPACE}+")) + 1
 
 
 def sentences_of(text: Column) -> Column:
@@ -286,15 +287,17 @@ def sentences_of(text: Column) -> Column:
 
 def chunks(text: Column, most: int = 32, merge_to: int = 28, least: int = 3, native: str = PERSIAN) -> Column:
     """Native sentences of at most ``most`` words, each merged into the chunk before it while both have at most ``merge_to``; chunks of ``least`` words or more."""
-    kept = F.filter(sentences_of(text), lambda s: s.rlike(native) & (word_count(s) <= most))
-    start = F.array().cast("array<string>")
+    counted = F.transform(sentences_of(text), lambda s: F.struct(s.alias("s"), word_count(s).alias("n")))  # words are counted once: those of merged sentences add up
+    kept = F.filter(counted, lambda x: x["s"].rlike(native) & (x["n"] <= most))
+    start = F.array().cast("array<struct<s: string, n: int>>")
 
-    def step(done: Column, s: Column) -> Column:
+    def step(done: Column, x: Column) -> Column:
         last = F.element_at(done, -1)
-        fits = F.when(F.size(done) == 0, False).otherwise(word_count(last) + word_count(s) <= merge_to)
-        return F.when(fits, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.concat_ws(" ", last, s)))).otherwise(F.concat(done, F.array(s)))
+        fits = F.when(F.size(done) == 0, False).otherwise(last["n"] + x["n"] <= merge_to)
+        both = F.struct(F.concat_ws(" ", last["s"], x["s"]).alias("s"), (last["n"] + x["n"]).alias("n"))
+        return F.when(fits, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(both))).otherwise(F.concat(done, F.array(x)))
 
-    return F.filter(F.aggregate(kept, start, step), lambda s: word_count(s) >= least)
+    return F.transform(F.filter(F.aggregate(kept, start, step), lambda x: x["n"] >= least), lambda x: x["s"])
 
 
 def clean_seed(text: Column) -> Column:

@@ -259,3 +259,11 @@ def test_hashes_by_blocks(monkeypatch):
 def test_keyboard_polish_computes_the_text_once(spark):
     df = spark.createDataFrame([("می روم  ؟خوب",)], "t string").select(t.polish_quick(F.col("t")).alias("p"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+
+
+def test_words_of_chunks_are_counted_once(spark):
+    text = " ".join(f"<p>Word {i} of some sentence.</p>" for i in range(60))
+    df = spark.createDataFrame([(text,)], "html string").select(g.chunks(g.strip_html(F.col("html")), native="[A-Za-z]").alias("c"))
+    got = df.collect()[0]["c"]
+    assert got == [" ".join(f"Word {i} of some sentence." for i in range(k, k + 5)) for k in range(0, 60, 5)]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 1
