@@ -90,12 +90,36 @@ class SseReader:
         return out
 
 
-def sse_stream(chunks: DataFrame, forget_ms: int = 3_600_000) -> DataFrame:
+#: Groups that requests share a state in, where ended ones leave none.
+GROUPS = 1024
+
+
+def sse_stream(chunks: DataFrame, forget_ms: int = 3_600_000, groups: int = GROUPS) -> DataFrame:
     """Deltas as their events are whole. After done, an error or the last chunk nothing is kept but, for ``forget_ms`` (0: not at all), that the request has ended.
 
     With ``forget_ms`` the clock is the machine's, so batches go on while the query runs; a run over what is there takes 0.
+    Then no request needs a timer of its own, and requests are dealt to ``groups``: a call for each group of a batch costs
+    milliseconds, a request in it far less.
     """
 
+    def together(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        new: dict = {}
+        for pdf in batches:
+            for r in pdf.itertuples():
+                new.setdefault(r.request_id, {})[int(r.seq)] = (bytes(r.chunk or b""), bool(r.last))
+        open_, out = dict(kept(state, {"open": []})["open"]), []
+        for request, own in new.items():
+            reader = SseReader(**open_.pop(request, {}))
+            out += [(request, *e) for e in reader.add(own)]
+            if not reader.over:
+                open_[request] = reader.state()
+        if open_:
+            keep(state, {"open": list(open_.items())})
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["request_id", "event_no", "text", "done", "error"])
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -110,15 +134,15 @@ def sse_stream(chunks: DataFrame, forget_ms: int = 3_600_000) -> DataFrame:
         out = reader.add(chunks)
         if not reader.over:
             keep(state, reader.state())
-        elif forget_ms:
+        else:
             keep(state, {"ended": True})
             state.setTimeoutDuration(forget_ms)
-        elif state.exists:
-            state.remove()
         if out:
             yield pd.DataFrame([(key[0], *e) for e in out], columns=["request_id", "event_no", "text", "done", "error"])
 
-    return chunks.groupBy("request_id").applyInPandasWithState(step, EVENT, "kept string", "append", "ProcessingTimeTimeout" if forget_ms else "NoTimeout")
+    if not forget_ms:
+        return chunks.withColumn("_group", F.pmod(F.xxhash64("request_id"), F.lit(groups))).groupBy("_group").applyInPandasWithState(together, EVENT, "kept string", "append", "NoTimeout")
+    return chunks.groupBy("request_id").applyInPandasWithState(step, EVENT, "kept string", "append", "ProcessingTimeTimeout")
 
 
 def sse_batch(chunks: DataFrame) -> DataFrame:

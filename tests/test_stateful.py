@@ -162,3 +162,16 @@ def test_dictation_in_any_order(spark, files):
         assert want[k] == (newest, f"{text} {open_}" if text and open_ else text or open_)
     got = m.run_over_files(spark, df, m.dictation_stream, files)
     assert {r["speaker"]: (r["session"], r["text"]) for r in m.newest_text(got).collect()} == want
+
+
+def test_requests_share_groups(spark):
+    """Requests of one group with gaps over batches, one without an id, ended ones; the function is called once a group and batch."""
+    body = lambda k: b"".join(b'data: {"text": "%d-%d "}\n\n' % (k, i) for i in range(5)) + (b'data: {"done": true}\n\n' if k % 2 else b"")
+    rows = []
+    for k in range(40):
+        cut = [body(k)[i : i + 9] for i in range(0, len(body(k)), 9)]
+        rows += [(None if k == 7 else f"r{k}", i, c, i == len(cut) - 1) for i, c in enumerate(cut)]
+    chunks = spark.createDataFrame(rows, "request_id string, seq long, chunk binary, last boolean").repartition(3)
+    stream = m.run_over_files(spark, chunks, lambda s: m.sse_stream(s, 0, groups=3), 3)
+    got = {r["request_id"]: r["text"] for r in m.sse_text(stream).collect()}
+    assert got == {None if k == 7 else f"r{k}": " ".join(f"{k}-{i}" for i in range(5)) for k in range(40)}
